@@ -5,22 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, pieces, simhash, tokens
 from .common import UPPER, documents
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_tokens(tokens.write_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(documents(spark, sf_dir))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_token_output": op5_token_output,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL = {
