@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, simhash, tokens
+from . import exact_dedup, html_text, licenses, mixing, pieces, quality, simhash, tokens, toxicity
 from .common import UPPER, documents
 
 
@@ -21,6 +21,29 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _held_out(column: str, parts: int, rest: int) -> Column:
+    """Whether crc32 of the id as text leaves that remainder."""
+    return F.crc32(F.col(column).cast("string")) % parts == rest
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, ~_held_out("doc_id", 4, 2))
+    out = toxicity.score_toxicity(docs.select("doc_id", "text", "lang"), model)
+    return out.select("doc_id", _held_out("doc_id", 4, 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), "toxic")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, ~_held_out("doc_id", 5, 0))
+    out = quality.score_quality(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", _held_out("doc_id", 5, 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"), "rank")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
 
@@ -29,6 +52,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir))
 
@@ -39,8 +66,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_token_output": op5_token_output,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
 }
