@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, licenses, mixing, pieces, quality, simhash, tokens, toxicity
+from . import exact_dedup, html_text, licenses, mixing, pieces, quality, simhash, tokens, toxicity, vectors
 from .common import UPPER, documents
 
 
@@ -52,6 +52,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(documents(spark, sf_dir)))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_token_output": op5_token_output,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
