@@ -32,8 +32,8 @@ from .common import new_path, write_table
 DOCS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids in one frame at most.
 FRAME_IDS = 1 << 24
-#: Words remembered by an encoder; it starts anew when full.
-REMEMBER = 300_000
+#: Words remembered by an encoder, in each of two halves; the older half goes when the newer one is full.
+REMEMBER = 500_000
 END_ID = 0
 
 _TWO_SPACES, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
@@ -44,7 +44,8 @@ class Encoder:
     """Byte-level BPE ids of whole texts by the tokenizers library.
 
     The pre-tokenizer always starts a new piece at a single space between two other characters, so the text is cut
-    there and a piece already seen is not encoded again.  Special tokens' strings in a text are ordinary text.
+    there and a piece already seen is not encoded again.  New pieces are encoded as one text; the ids' byte lengths tell
+    where each piece ends.  Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -53,29 +54,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # byte-level: a character of a token's string stands for one byte
+            self.length[i] = len(token)
         self.known: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.older: dict[str, bytes] = {}
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word after a space."""
+        plain = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
+        out = {w: self._raw(" " + w) for w in words if not w or w[0].isspace() or w[-1].isspace()}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.length[ids])
+            want = np.cumsum([len(w.encode()) + 1 for w in plain])
+            at = np.searchsorted(ends, want) + 1
+            if ends[-1] != want[-1] or (ends[at - 1] != want).any():
+                raise ValueError("the vocabulary is not byte-level")
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(plain, (4 * at).tolist()):
+                out[w] = raw[begin:end]
+                begin = end
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         head, *rest = _CUT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
+        first = self._raw(head) if head else b""
         known = self.known
-        first = self._raw([head])[0] if head else b""
         try:
             return first + b"".join([known[x] for x in rest])
         except KeyError:
             pass
-        new = [x for x in dict.fromkeys(rest) if x not in known]
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list(dict.fromkeys(rest))
-        own = dict(zip(new, self._raw([" " + x for x in new])))
+        older = self.older
+        own = {x: older.get(x) for x in dict.fromkeys(rest) if x not in known}
+        own |= self._new([x for x, y in own.items() if y is None])
         out = first + b"".join([own[x] if x in own else known[x] for x in rest])
-        known.update((x, y) for x, y in own.items() if len(x) <= 64)
+        if len(known) + len(own) > REMEMBER:  # the words in use come over from the older half as they are met
+            self.older, self.known = known, {}
+        self.known.update((x, y) for x, y in own.items() if len(x) <= 64)
         return out
 
 
