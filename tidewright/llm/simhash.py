@@ -83,13 +83,15 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links (places in the input) that connect, within each group, whatever pairs within `distance` connect.
 
-    Only links that join two classes come back, so there are fewer of them than fingerprints.
+    With `check` (rows of longer fingerprints), a pair must also differ there in at most `most` bits.  Only links that
+    join two classes come back, so there are fewer of them than fingerprints.
     """
     order = np.lexsort((gray_rank(fp), group))
     group, fp = group[order], fp[order]
+    check = check[order] if check is not None else None
     n = len(fp)
     levels = [(fp, fp, np.arange(n), np.arange(n) + 1)]  # bits in all members, bits in any, first child, end of children
     owner = group
@@ -125,6 +127,9 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3) -> tu
             a, b = a[near], b[near]
             near = np.bitwise_count(fp[a] ^ fp[b]) <= distance
             a, b = a[near], b[near]
+            if check is not None and len(a):
+                near = np.bitwise_count(check[a] ^ check[b]).sum(1, dtype=np.int64) <= most
+                a, b = a[near], b[near]
             if len(a):
                 # one link for each pair of classes is enough
                 x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
@@ -167,20 +172,34 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(src, dst) links between ids of distinct fingerprints (rep, fp), enough to connect all that are within `distance`."""
+def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET, checks: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+    """(src, dst) links between ids of distinct fingerprints (rep, fp), enough to connect all that are within `distance`.
+
+    With `checks` (names of further long columns), rows also have a column k, only fingerprints of one k are compared,
+    and linked pairs may differ in at most `most` bits of those columns.
+    """
     spark = distinct.sparkSession
+    if "k" not in distinct.columns:
+        distinct = distinct.withColumn("k", F.lit(0))
+    payload = ["rep", "fp", "k", *checks]
+    key = ["k", "used", "value"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches arrive sorted by bucket; a bucket's rows are held until it ends."""
         held: list[pa.Table] = []
         rows = 0
 
+        def groups(t: pa.Table) -> np.ndarray:
+            """True where a new bucket begins."""
+            new = np.ones(t.num_rows, bool)
+            cols = [t[c].to_numpy() for c in key]
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            return new
+
         def out(t: pa.Table) -> pa.RecordBatch:
-            used, value = (t[c].to_numpy() for c in ("used", "value"))
-            new = np.r_[True, (used[1:] != used[:-1]) | (value[1:] != value[:-1])]
             rep, fp = t["rep"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
-            a, b = gray_index_links(np.cumsum(new), fp, distance)
+            check = np.stack([t[c].to_numpy().view(np.uint64) for c in checks], axis=1) if checks else None
+            a, b = gray_index_links(np.cumsum(groups(t)), fp, distance, check, most)
             return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["src", "dst"])
 
         for batch in batches:
@@ -191,34 +210,32 @@ def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataF
             if rows < 200_000:
                 continue
             t = pa.concat_tables(held).combine_chunks()
-            used, value = (t[c].to_numpy() for c in ("used", "value"))
-            last = np.flatnonzero((used != used[-1]) | (value != value[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
+            cut = int(np.flatnonzero(groups(t))[-1])
             if cut:
                 yield out(t.slice(0, cut).combine_chunks())
             held, rows = [t.slice(cut)], t.num_rows - cut
         if rows:
             yield out(pa.concat_tables(held).combine_chunks())
 
-    found, todo, level = [], distinct.select("rep", "fp", F.lit(0).cast("long").alias("used")), 0
+    found, todo, level = [], distinct.select(*payload, F.lit(0).cast("long").alias("used")), 0
     used_masks = [0]
     while True:
         steps = [(used, band) for used in used_masks for band in _bands(used, level, distance)]
         choose = F.array(*[F.struct(F.lit(_signed(u)).alias("was"), F.lit(_signed(u | b)).alias("used")) for u, b in steps])
-        dealt = todo.withColumn("x", F.explode(F.filter(choose, lambda s: s["was"] == F.col("used")))).select("rep", "fp", F.col("x.used").alias("used"))
+        dealt = todo.withColumn("x", F.explode(F.filter(choose, lambda s: s["was"] == F.col("used")))).select(*payload, F.col("x.used").alias("used"))
         dealt = dealt.withColumn("value", F.col("fp").bitwiseAND(F.col("used")))
         used_masks = sorted({u | b for u, b in steps})
         free = BITS - max(bin(u).count("1") for u in used_masks)
         big = None
         if free > bucket.bit_length() - 1:  # else 2**free values bound a bucket
-            big = write_table(dealt.groupBy("used", "value").count().where(F.col("count") > bucket).select("used", "value"), "big")
+            big = write_table(dealt.groupBy(*key).count().where(F.col("count") > bucket).select(*key), "big")
             if big.isEmpty():
                 big = None
-        small = dealt if big is None else dealt.join(big, ["used", "value"], "left_anti")
-        found.append(small.repartition("used", "value").sortWithinPartitions("used", "value").mapInArrow(join, "src long, dst long"))
+        small = dealt if big is None else dealt.join(big, key, "left_anti")
+        found.append(small.repartition(*key).sortWithinPartitions(*key).mapInArrow(join, "src long, dst long"))
         if big is None:
             break
-        todo = write_table(dealt.join(big, ["used", "value"], "left_semi").select("rep", "fp", "used"), "deal")
+        todo = write_table(dealt.join(big, key, "left_semi").select(*payload, "used"), "deal")
         level += 1
     out = found[0]
     for x in found[1:]:
@@ -233,3 +250,87 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = components(links(distinct, distance, bucket))
     classes = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+#: Fingerprints of a document's distinct words that find candidates, and 64-bit parts of the fingerprint of its shingles.
+WORD_PRINTS, SHINGLE_PARTS = 8, 4
+#: Words remembered by a worker; it starts anew when full.
+REMEMBER = 200_000
+
+
+class Signer:
+    """Signatures of texts: WORD_PRINTS fingerprints of the set of words, then SHINGLE_PARTS of the set of shingles."""
+
+    def __init__(self, width: int = 5):
+        self.width, self.known = width, {}
+
+    def sign(self, text: str | None) -> np.ndarray:
+        import xxhash
+
+        words = (text or "").encode().lower().split()
+        if not words:
+            return np.zeros(WORD_PRINTS + SHINGLE_PARTS, np.int64)
+        known = self.known
+        if len(known) > REMEMBER:
+            known.clear()
+        distinct = sorted(set(words))
+        for w in distinct:
+            if w not in known:
+                known[w] = b"".join(xxhash.xxh3_128_digest(w, seed) for seed in range(WORD_PRINTS // 2))
+        return np.concatenate([self._majority([known[w] for w in distinct], 8 * WORD_PRINTS), self._majority(self._shingles(words), 8 * SHINGLE_PARTS)])
+
+    def _shingles(self, words: list[bytes]) -> list[bytes]:
+        import xxhash
+
+        width = min(self.width, len(words))
+        own = dict.fromkeys(b" ".join(x) for x in zip(*(words[k:] for k in range(width))))
+        digest = xxhash.xxh3_128_digest
+        return [digest(x, 1) + digest(x, 2) for x in own]
+
+    @staticmethod
+    def _majority(digests: list[bytes], size: int) -> np.ndarray:
+        ones = np.zeros(8 * size, np.int64)
+        for at in range(0, len(digests), 16_384):
+            block = np.frombuffer(b"".join(digests[at : at + 16_384]), np.uint8).reshape(-1, size)
+            ones += np.unpackbits(block, axis=1).sum(0, dtype=np.int64)
+        return np.packbits(2 * ones > len(digests)).view(np.int64)
+
+
+def bits_at(similarity: float) -> int:
+    """Most differing bits of the shingles' fingerprint for documents of that Jaccard similarity: the expected number and a
+    bit less than two standard deviations."""
+    cosine = 2 * similarity / (1 + similarity)
+    p, n = np.arccos(cosine) / np.pi, BITS * SHINGLE_PARTS
+    return int(n * p + 1.8 * np.sqrt(n * p * (1 - p)))
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, text_hash, component_id: classes of documents whose shingles of `width` words have about
+    the similarity or more.
+
+    Candidates are pairs that one of several fingerprints of their distinct words puts within `distance` bits of each
+    other; a candidate is linked when the 256-bit fingerprints of the shingles differ in no more bits than the
+    similarity lets expect.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        signer = Signer(width)
+        for texts in batches:
+            yield pd.Series([signer.sign(x) for x in texts])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = write_table(df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), sign(text).alias("s")), "signatures")
+    distinct = write_table(rows.where("doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep")), "signed")
+    checks = [f"c{k}" for k in range(SHINGLE_PARTS)]
+    prints = distinct.select("rep", F.posexplode(F.slice("s", 1, WORD_PRINTS)).alias("k", "fp"), *(F.col("s")[WORD_PRINTS + k].alias(c) for k, c in enumerate(checks)))
+    parts = components(links(prints, distance, bucket, tuple(checks), bits_at(similarity)))
+    classes = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(classes, "s", "left").select("doc_id", "text_hash", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """df with one document of each class of near duplicates, the one with the smallest id; columns unchanged."""
+    found = write_table(similar_documents(df, id_col, text_col, width, similarity), "similar")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    return df.join(gone, (df[id_col] == F.col("gone_id")) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("gone_hash")), "left_anti")
