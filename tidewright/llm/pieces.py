@@ -27,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of lattices remembered by a worker; it starts anew when full.
-REMEMBER = 48_000_000
+#: Arcs of lattices remembered by a worker (9 bytes each); it starts anew when full.
+REMEMBER = 10_000_000
 #: Words sampled together.
-BLOCK = 100_000
+BLOCK = 200_000
 #: Offset of the rank in Zipf's law, and the power of the weights: larger ones sample closer to the best path.
 OFFSET, POWER = 2.7, 1.0
 
@@ -68,54 +68,153 @@ class Pieces:
                 text = piece.replace(_MARK, " ")
                 self.ids[text], self.bytes[i] = i, text.encode()
         first = min(self.ids.values(), default=0)
-        self.cost = {text: POWER * math.log(i - first + 1 + OFFSET) for text, i in self.ids.items()}
+        self.cost = np.full(n, np.inf)
+        for i in self.ids.values():
+            self.cost[i] = POWER * math.log(i - first + 1 + OFFSET)
         self.byte_cost = POWER * math.log(n + OFFSET)
         self.longest = max(map(len, self.ids), default=1)
-        self.known: dict[str, tuple[int, bytes, bytes, bytes, bytes]] = {}
-        self.held = 0
-
-    def lattice(self, word: str) -> tuple[int, bytes, bytes, bytes, bytes]:
-        """Places, and for the arcs that end at each place from 1 on: how many, their summed chances, starts and codes.
-
-        A code below the vocabulary's size is a piece; one above it is a character to be written as bytes.
-        """
-        n, total, counts, chances, starts, codes = len(word), [0.0], [], [], [], []
-        ids, cost, longest = self.ids, self.cost, self.longest
-        for end in range(1, n + 1):
-            arcs = []
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                if piece in ids:
-                    arcs.append((total[start] - cost[piece], start, ids[piece]))
-            if word[end - 1] not in ids:
-                raw = word[end - 1].encode()
-                arcs.append((total[end - 1] - self.byte_cost * len(raw), end - 1, self.byte[raw[0]] if len(raw) == 1 else self.size + ord(word[end - 1])))
-            top = max(x[0] for x in arcs)
-            run, sums = 0.0, []
-            for x, _, _ in arcs:
-                run += math.exp(x - top)
-                sums.append(run)
-            total.append(top + math.log(run))
-            counts.append(len(arcs))
-            chances += [x / run for x in sums[:-1]] + [1.0]
-            starts += [x[1] for x in arcs]
-            codes += [x[2] for x in arcs]
-        return n, np.array(counts, np.int32).tobytes(), np.array(chances).tobytes(), np.array(starts, np.int32).tobytes(), np.array(codes, np.int32).tobytes()
-
-    def _words(self, words: list[str]) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
-        out = []
-        for w in words:
-            if (x := self.known.get(w)) is None:
-                x = self.lattice(w)
-                if len(w) <= 64:
-                    if self.held > REMEMBER:
-                        self.known.clear()
-                        self.held = 0
-                    self.known[w] = x
-                    self.held += 300 + sum(map(len, x[1:]))
-            out.append(x)
+        self._trie()
+        self._start_anew()
+
+    def _trie(self) -> None:
+        """The pieces' prefixes as states; (state, character) to next state in an open-addressed table."""
+        letters = sorted({c for piece in self.ids for c in piece})
+        self.letter = np.zeros(0x110000, np.int64)  # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        states, self.state_piece, keys, values = {"": 0}, [-1], [], []
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in states:
+                    states[piece[:k]] = len(self.state_piece)
+                    self.state_piece.append(-1)
+                    keys.append(states[piece[: k - 1]] << 20 | int(self.letter[ord(piece[k - 1])]))
+                    values.append(states[piece[:k]])
+            self.state_piece[states[piece]] = i
+        self.state_piece = np.array(self.state_piece)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.table_key, self.table_value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        keys, values = np.array(keys, np.int64), np.array(values, np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.table_key[at] < 0
+            self.table_key[at[free]], self.table_value[at[free]] = keys[free], values[free]
+            left = self.table_key[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * _GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _step(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The next states, -1 where no piece goes on like that."""
+        keys = states << 20 | letters
+        at = self._slot(keys)
+        out = np.full(len(keys), -1)
+        todo = np.arange(len(keys))
+        while len(todo):
+            have = self.table_key[at]
+            hit = have == keys
+            out[todo[hit]] = self.table_value[at[hit]]
+            on = ~hit & (have >= 0)
+            todo, keys, at = todo[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def _start_anew(self) -> None:
+        self.known: dict[str, int] = {}
+        self.base, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each word: its first place, its length
+        self.first = np.zeros(0, np.int64)  # of each place: its first arc
+        self.chance, self.span, self.code = np.zeros(0, np.float32), np.zeros(0, np.uint8), np.zeros(0, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Lattices of new words.  A place stands for a prefix of a word; its arcs are the pieces that end there, with summed
+        chances.  A code below the vocabulary's size is a piece; one above it is a character to be written as bytes."""
+        length = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = len(chars)
+        base = np.cumsum(length) - length
+        place = np.arange(n) - np.repeat(base, length)
+        left = np.repeat(length, length) - place
+        letters = self.letter[chars]
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []  # starts, length, codes
+        at, state = np.arange(n), np.zeros(n, np.int64)
+        for size in range(1, self.longest + 1):
+            fits = left[at] >= size
+            at, state = at[fits], state[fits]
+            state = self._step(state, letters[at + size - 1])
+            at, state = at[state >= 0], state[state >= 0]
+            if not len(at):
+                break
+            piece = self.state_piece[state]
+            found.append((at[piece >= 0], size, piece[piece >= 0]))
+        single = np.zeros(n, bool)
+        if found and found[0][1] == 1:
+            single[found[0][0]] = True
+        raw = np.flatnonzero(~single)
+        if len(raw):
+            one_byte = np.array([self.byte.get(b, 0) for b in range(128)])
+            found.append((raw, 1, np.where(chars[raw] < 128, one_byte[np.minimum(chars[raw], 127)], self.size + chars[raw])))
+        ends = [s + size - 1 for s, size, _ in found]
+        counts = np.bincount(np.concatenate(ends), minlength=n) if ends else np.zeros(n, np.int64)
+        # arcs by how far into its word a place is, so that each step below is one slice
+        order = np.argsort(place.astype(np.int32), kind="stable")
+        by_depth = np.cumsum(counts[order]) - counts[order]
+        first_deep = np.empty(n, np.int64)
+        first_deep[order] = by_depth
+        total_arcs = int(counts.sum())
+        start, code, span = np.empty(total_arcs, np.int64), np.empty(total_arcs, np.int64), np.empty(total_arcs, np.uint8)
+        filled = np.zeros(n, np.int64)
+        for (s, size, c), e in zip(found, ends):
+            to = first_deep[e] + filled[e]
+            filled[e] += 1
+            start[to], code[to], span[to] = np.where(place[s] > 0, s - 1, n), c, size
+        plain = code < self.size
+        cost = np.empty(total_arcs)
+        is_byte = np.zeros(self.size, bool)
+        is_byte[list(self.byte.values())] = True
+        cost[plain] = np.where(is_byte[code[plain]], self.byte_cost, self.cost[code[plain]])
+        wide = code[~plain] - self.size
+        cost[~plain] = self.byte_cost * (2 + (wide > 0x7FF) + (wide > 0xFFFF))
+        total, chance = np.zeros(n + 1), np.empty(total_arcs)
+        depth_nodes = np.cumsum(np.bincount(place))
+        a0 = n0 = 0
+        for n1 in depth_nodes.tolist():
+            nodes = order[n0:n1]
+            many = counts[nodes]
+            a1 = a0 + int(many.sum())
+            begin = np.cumsum(many) - many
+            x = total[start[a0:a1]] - cost[a0:a1]
+            top = np.maximum.reduceat(x, begin)
+            e = np.exp(x - np.repeat(top, many))
+            run = np.cumsum(e)
+            whole = np.add.reduceat(e, begin)
+            total[nodes] = top + np.log(whole)
+            chance[a0:a1] = (run - np.repeat(run[begin] - e[begin], many)) / np.repeat(whole, many)
+            chance[a0 + begin + many - 1] = 2.0  # whatever the rounding, the last arc is taken
+            a0, n0 = a1, n1
+        # word by word for the store
+        first = np.cumsum(counts) - counts
+        back = np.repeat(first_deep - first, counts) + np.arange(total_arcs)
+        nodes_before, arcs_before = len(self.first), len(self.code)
+        self.base, self.length = np.concatenate([self.base, base + nodes_before]), np.concatenate([self.length, length])
+        self.first = np.concatenate([self.first, first + arcs_before])
+        self.chance = np.concatenate([self.chance, chance[back].astype(np.float32)])
+        self.span, self.code = np.concatenate([self.span, span[back]]), np.concatenate([self.code, code[back].astype(np.int32)])
+
+    def _words(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words, learning new ones."""
+        known = self.known
+        try:
+            return np.array([known[w] for w in words])
+        except KeyError:
+            pass
+        if len(self.code) > REMEMBER:
+            self._start_anew()
+            known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        known.update(zip(new, range(len(self.base), len(self.base) + len(new))))
+        self._learn(new)
+        return np.array([known[w] for w in words])
+
     def split(self, text: str) -> list[str]:
         if not text:
             return []
@@ -151,24 +250,18 @@ class Pieces:
 
     def _block(self, words: list[str], keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and where each word's ids begin."""
-        distinct: dict[str, int] = {}
-        which = np.array([distinct.setdefault(w, len(distinct)) for w in words])
-        parts = self._words(list(distinct))
-        length = np.array([x[0] for x in parts])
-        base = np.cumsum(length) - length - 1  # a word's place k >= 1 is node base + k
-        counts = np.frombuffer(b"".join(x[1] for x in parts), np.int32)
-        node = np.repeat(np.arange(len(counts)), counts)
-        edges = np.frombuffer(b"".join(x[2] for x in parts), np.float64) + node
-        starts = np.frombuffer(b"".join(x[3] for x in parts), np.int32)
-        codes = np.frombuffer(b"".join(x[4] for x in parts), np.int32)
-        at, live = length[which].astype(np.int64), np.arange(len(words))
+        which = self._words(words)
+        base, at, live = self.base[which] - 1, self.length[which], np.arange(len(words))
         steps, n_steps = [], np.zeros(len(words), np.int64)
         while len(live):
-            u = uniform(keys[live], places[live], len(steps))
-            arc = np.searchsorted(edges, base[which[live]] + at[live] + u, "right")
-            steps.append((live, codes[arc]))
+            u = uniform(keys[live], places[live], len(steps)).astype(np.float32)
+            arc = self.first[base[live] + at[live]]
+            on = np.arange(len(live))
+            while len(on := on[self.chance[arc[on]] <= u[on]]):
+                arc[on] += 1
+            steps.append((live, self.code[arc]))
             n_steps[live] += 1
-            at[live] = starts[arc]
+            at[live] -= self.span[arc]
             live = live[at[live] > 0]
         ends = np.r_[0, np.cumsum(n_steps)]
         flat = np.empty(ends[-1], np.int32)
