@@ -16,6 +16,7 @@ come first; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -24,19 +25,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, write_table
+from .common import new_path, release_memory, small_batches, write_table
 
 DOCS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids in one frame at most.
 FRAME_IDS = 1 << 24
-#: Words remembered by an encoder, in each of two halves; the older half goes when the newer one is full.
-REMEMBER = 500_000
+#: Words as they stand in the text, and their stems (without punctuation), remembered by an encoder, in each of two halves;
+#: the older half goes when the newer one is full.
+REMEMBER, STEMS = 500_000, 600_000
 END_ID = 0
+#: Characters of texts that are encoded together.
+BATCH_CHARS = 3_000_000
 
 _TWO_SPACES, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -60,50 +67,146 @@ class Encoder:
             self.length[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.older_stems: dict[str, bytes] = {}
+        self.alone: dict[str, bytes] = {}  # words and punctuation without a space before them
+        self.line_break = self._raw("\n")
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word after a space."""
-        plain = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        out = {w: self._raw(" " + w) for w in words if not w or w[0].isspace() or w[-1].isspace()}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.length[ids])
-            want = np.cumsum([len(w.encode()) + 1 for w in plain])
-            at = np.searchsorted(ends, want) + 1
-            if ends[-1] != want[-1] or (ends[at - 1] != want).any():
-                raise ValueError("the vocabulary is not byte-level")
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(plain, (4 * at).tolist()):
-                out[w] = raw[begin:end]
-                begin = end
+    def _joined(self, words: list[str], mark: str) -> dict[str, bytes]:
+        """The ids of each word: after a space (mark " "), or alone (mark "\n", which is a piece of its own)."""
+        if not words:
+            return {}
+        ids = np.array(self.tokenizer.encode_batch_fast([mark + mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.length[ids])
+        sizes = np.array([len(w) if w.isascii() else len(w.encode()) for w in words])
+        want = np.cumsum(sizes + 1)
+        to = np.searchsorted(ends, want) + 1
+        begin = np.r_[0, to[:-1]] if mark == " " else np.searchsorted(ends, want - sizes) + 1
+        if ends[-1] != want[-1] or (ends[to - 1] != want).any():
+            raise ValueError("the vocabulary is not byte-level")
+        raw = ids.tobytes()
+        return {w: raw[x:y] for w, x, y in zip(words, (4 * begin).tolist(), (4 * to).tolist())}
+
+    def _new(self, words: list[str], odd: bool) -> dict[str, bytes]:
+        """The ids of each word after a space.  A line break between other characters is a piece of its own, and so is the
+        punctuation at the end of a word, so words are put together from their parts.  odd: some words may begin or end
+        with white space or hold two such characters in a row."""
+        out: dict[str, bytes] = {}
+        cut: list[tuple[str, list[str]]] = []  # words with their stem and what follows it
+        spaced, bare, line_break = [], set(), "\n"
+
+        def split(line: str) -> tuple[str, str]:
+            stem = line.rstrip(_PUNCTUATION)
+            return (stem, line[len(stem) :]) if stem and stem[-1].isalnum() else (line, "")
+
+        for w in words:
+            if not w or odd and (w[0].isspace() or w[-1].isspace() or _TWO_SPACES.search(w)):
+                out[w] = self._raw(" " + w)
+                continue
+            if line_break not in w:
+                stem = w.rstrip(_PUNCTUATION)
+                if len(stem) == len(w) or not stem or not stem[-1].isalnum():
+                    spaced.append(w)
+                else:
+                    tail = w[len(stem) :]
+                    spaced.append(stem)
+                    bare.add(tail)
+                    cut.append((w, [stem, tail]))
+                continue
+            lines = w.split(line_break)
+            stem, tail = split(lines[0])
+            parts = [stem, tail] if tail else [stem]
+            for line in lines[1:]:
+                parts.append(line_break)
+                parts += filter(None, split(line))
+            spaced.append(stem)
+            bare.update(parts[1:])
+            cut.append((w, parts))
+        alone, older = self.alone, self.older_stems
+        if len(self.stems) > STEMS:
+            self.stems, self.older_stems, older = {}, self.stems, self.stems
+        stems, new = self.stems, []
+        for x in dict.fromkeys(spaced):
+            if (ids := stems.get(x)) is None:
+                if (ids := older.get(x)) is None:
+                    new.append(x)
+                    continue
+                stems[x] = ids
+            out[x] = ids
+        made = self._joined(new, " ")
+        out |= made
+        stems.update((x, y) for x, y in made.items() if len(x) <= 64)
+        if len(alone) > REMEMBER // 2:
+            alone.clear()
+        alone |= self._joined([x for x in bare if x not in alone and x != line_break], line_break)
+        alone[line_break] = self.line_break
+        for w, parts in cut:
+            out[w] = out[parts[0]] + b"".join([alone[x] for x in parts[1:]])
         return out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        head, *rest = _CUT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-        first = self._raw(head) if head else b""
-        known = self.known
-        try:
-            return first + b"".join([known[x] for x in rest])
-        except KeyError:
-            pass
-        older = self.older
-        own = {x: older.get(x) for x in dict.fromkeys(rest) if x not in known}
-        own |= self._new([x for x, y in own.items() if y is None])
-        out = first + b"".join([own[x] if x in own else known[x] for x in rest])
-        if len(known) + len(own) > REMEMBER:  # the words in use come over from the older half as they are met
-            self.older, self.known = known, {}
-        self.known.update((x, y) for x, y in own.items() if len(x) <= 64)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text.  The texts are cut and their words numbered in Arrow; only distinct words are looked up."""
+        out = [b""] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
+            if _TWO_SPACES.search(text):
+                head, *rest = _CUT.split(text)
+                found = self._find(list(dict.fromkeys(rest)), True)
+                ids = dict(zip(dict.fromkeys(rest), found))
+                out[i] = self._raw(head) + b"".join([ids[x] for x in rest])
+            elif text:
+                plain.append(i)
+        if not plain:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        heads = [words[c] for c in codes[ends[:-1]].tolist()]  # the first word of a text has no space before it
+        known = self._find(words, False)
+        known += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        codes[ends[:-1]] = len(words) + np.arange(len(plain))
+        many = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(many) - many
+        ids = np.frombuffer(b"".join(known), "<u4")
+        n = many[codes]
+        stop = np.cumsum(n)
+        ids = ids[np.arange(stop[-1]) + np.repeat(begin[codes] - stop + n, n)]
+        cut = np.r_[0, stop][ends].tolist()
+        for i, x, y in zip(plain, cut, cut[1:]):
+            out[i] = ids[x:y].tobytes()
+        return out
+
+    def _find(self, words: list[str], odd: bool) -> list[bytes]:
+        """The ids of each word after a space, for distinct words."""
+        out = list(map(self.known.get, words))
+        if None in out:
+            at = [k for k, x in enumerate(out) if x is None]
+            older, new = self.older, []
+            for k in at:
+                if (ids := older.get(words[k])) is None:
+                    new.append(words[k])
+                out[k] = ids
+            made = self._new(new, odd)
+            for k in at:
+                if out[k] is None:
+                    out[k] = made[words[k]]
+            self.known.update((words[k], out[k]) for k in at if len(words[k]) <= 64)
+            if len(self.known) > REMEMBER:  # the words in use come over from the older half as they are met
+                self.older, self.known = self.known, {}
         return out
 
 
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -195,15 +298,24 @@ def write_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
         def docs():
             for b in (x for y in ([first], batches) for x in y):
-                for known, doc_id, text in zip(b["id"].notna(), b["id"], b["text"]):
-                    yield int(doc_id) if known else None, enc.encode(text) + end
+                known, ids, texts = b["id"].notna().tolist(), b["id"].tolist(), b["text"].tolist()
+                at = 0
+                while at < len(texts):
+                    to, size = at, 0
+                    while to < len(texts) and size < BATCH_CHARS:
+                        size += len(texts[to])
+                        to += 1
+                    for k, raw in zip(range(at, to), enc.encode_many(texts[at:to])):
+                        yield int(ids[k]) if known[k] else None, raw + end
+                    at = to
 
         path = f"{folder}/{part:05d}-{uuid.uuid4().hex}.zst"
         with _open(path, "w") as out:
             n, total = write_shard(out, docs())
+        release_memory()
         yield pd.DataFrame({"shard": [part], "path": [path], "n_docs": [n], "n_tokens": [total]})
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     done = write_table(ranged.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
     before, out = 0, []
