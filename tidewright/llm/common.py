@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,32 @@ def write_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's bound on the bytes of an Arrow batch: texts are long, and the default of 64 MB is held
+    several times over, in the JVM's direct memory and in each worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    try:
+        now = int("".join(c for c in conf.get(name) if c.isdigit()) or 0)
+    except PySparkException:  # a version without this setting
+        return df
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and shares the executor's memory with the JVM."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

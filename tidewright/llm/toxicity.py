@@ -17,6 +17,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,12 +25,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory, small_batches
+
 #: Labelled rows that a fit reads at most.
 MAX_LABELS = 8_000
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 16
+BUCKETS, DIM, WIDTHS, FILTERS, PARTS = 1 << 15, 16, (1, 2, 3), 16, 6
 EPOCHS, BATCH, RATE = 4, 32, 0.05
+#: Words that the filters pass over at a time.
+BLOCK = 20_000
 #: Words remembered by a worker; it starts anew when full.
-REMEMBER = 200_000
+REMEMBER = 100_000
 #: Calibration rows that a language needs for a threshold of its own.
 LANG_ROWS = 50
 
@@ -37,10 +42,11 @@ _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def parts(word: str) -> list[int]:
-    """Buckets of a lower-cased word's features: the word, its first four to seven characters, its last three."""
+    """Buckets of a lower-cased word's features: the word, its last three characters, its first four to seven; BUCKETS for none."""
     w = word.strip(_EDGE)
-    marks = ["=" + w] + [f"{n}^{w[:n]}" for n in (4, 5, 6, 7) if len(w) > n] + ["$" + w[-3:]]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in marks]
+    marks = ["=" + w, "$" + w[-3:]] + [f"{n}^{w[:n]}" for n in (4, 5, 6, 7) if len(w) > n]
+    out = [zlib.crc32(x.encode()) % BUCKETS for x in marks]
+    return out + [BUCKETS] * (PARTS - len(out))
 
 
 class Words:
@@ -48,25 +54,33 @@ class Words:
 
     def __init__(self):
         self.row: dict[str, int] = {}
-        self.parts: list[list[int]] = []
+        self.flat = array("i")
+
+    def __len__(self) -> int:
+        return len(self.row)
 
     def rows(self, text: str) -> np.ndarray:
         words, row = text.lower().split(), self.row
         try:
-            return np.array([row[w] for w in words], np.int64)
+            return np.array([row[w] for w in words], np.int32)
         except KeyError:
             for w in words:
                 if w not in row:
-                    row[w] = len(self.parts)
-                    self.parts.append(parts(w))
-            return np.array([row[w] for w in words], np.int64)
+                    row[w] = len(row)
+                    self.flat.extend(parts(w))
+            return np.array([row[w] for w in words], np.int32)
+
+    def parts(self, since: int = 0) -> np.ndarray:
+        return np.array(self.flat[since * PARTS :], np.int32).reshape(-1, PARTS)
 
 
-def _vectors(table: np.ndarray, some: list[list[int]]) -> np.ndarray:
-    if not some:
-        return np.zeros((0, table.shape[1]), np.float32)
-    starts = np.cumsum([0] + [len(x) for x in some[:-1]])
-    return np.add.reduceat(table[np.concatenate([np.array(x) for x in some])], starts, axis=0)
+def _vectors(table: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows; bucket BUCKETS counts for nothing."""
+    longer = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])
+    out = np.zeros((len(some), table.shape[1]), np.float32)
+    for k in range(some.shape[1]):
+        out += longer[some[:, k]]
+    return out
 
 
 class Classifier:
@@ -84,21 +98,31 @@ class Classifier:
 
     def _pool(self, x: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Largest filter responses (documents x widths*FILTERS) and their places.  x: word vectors of all documents in a row."""
-        best = np.zeros((len(spans), len(WIDTHS), FILTERS), np.float32)
+        best = np.full((len(spans), len(WIDTHS), FILTERS), -np.inf, np.float32)
         where = np.full(best.shape, -1, np.int64)
-        for k, w in enumerate(WIDTHS):
-            if len(x) < w:
-                continue
-            every = x @ self.filters[k].transpose(1, 0, 2).reshape(DIM, -1)
-            every = every.reshape(len(x), w, FILTERS)
-            run = every[: len(x) - w + 1, 0].copy()
-            for j in range(1, w):
-                run += every[j : len(x) - w + 1 + j, j]
-            for i, (a, b) in enumerate(spans):
-                if b - a >= w:
-                    at = run[a : b - w + 1].argmax(0)
-                    best[i, k] = run[a + at, np.arange(FILTERS)]
-                    where[i, k] = a + at
+        filters, first = np.arange(FILTERS), 0
+        for b0 in range(0, len(x), BLOCK):  # a bounded block of the words at a time, however long a text is
+            while first < len(spans) and spans[first][1] <= b0:
+                first += 1
+            for k, w in enumerate(WIDTHS):
+                own = x[b0 : b0 + BLOCK + w - 1]
+                n = len(own) - w + 1
+                if n <= 0:
+                    continue
+                every = (own @ self.filters[k].transpose(1, 0, 2).reshape(DIM, -1)).reshape(len(own), w, FILTERS)
+                run = every[:n, 0].copy()
+                for j in range(1, w):
+                    run += every[j : n + j, j]
+                for i in range(first, len(spans)):
+                    if spans[i][0] >= b0 + n:
+                        break
+                    lo, hi = max(spans[i][0], b0), min(spans[i][1] - w + 1, b0 + n)
+                    if hi > lo:
+                        at = run[lo - b0 : hi - b0].argmax(0)
+                        value = run[lo - b0 + at, filters]
+                        more = value > best[i, k]
+                        best[i, k] = np.where(more, value, best[i, k])
+                        where[i, k] = np.where(more, lo + at, where[i, k])
         best += self.bias
         where[best <= 0] = -1
         best = np.where(where >= 0, best, 0)  # texts shorter than a filter respond with nothing
@@ -122,15 +146,13 @@ class Classifier:
         check, train = order[: len(order) // 5], order[len(order) // 5 :]
         words = Words()
         docs = [words.rows(t) for t in texts]
-        width = max(map(len, words.parts), default=1)
-        feats = np.full((max(1, len(words.parts)), width), -1, np.int64)
-        for i, x in enumerate(words.parts):
-            feats[i, : len(x)] = x
+        del texts
+        feats = words.parts()
         # log odds of each feature, by documents
         pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for i in train:
             f = np.unique(feats[np.unique(docs[i])]) if len(docs[i]) else np.array([], int)
-            (pos if labels[i] else neg)[f[f >= 0]] += 1
+            (pos if labels[i] else neg)[f[f < BUCKETS]] += 1
         n_pos, n_neg = labels[train].sum(), len(train) - labels[train].sum()
         odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
         odds[pos + neg < 3] = 0
@@ -144,14 +166,20 @@ class Classifier:
         g_bias, g_out, g_shift = np.full(self.bias.shape, 1e-2, np.float32), np.full(self.out.shape, 1e-2, np.float32), 1e-2
         for _ in range(EPOCHS):
             rng.shuffle(train)
-            for at in range(0, len(train), BATCH):
-                own = train[at : at + BATCH]
+            sizes = np.array([len(docs[i]) for i in train])
+            cuts, held, begin = [], 0, 0
+            for k, size in enumerate(sizes.tolist()):  # batches of up to BATCH documents and, more or less, BLOCK words
+                held += size
+                if k + 1 - begin == BATCH or held >= BLOCK or k + 1 == len(sizes):
+                    cuts.append((begin, k + 1))
+                    begin, held = k + 1, 0
+            for begin, end in cuts:
+                own = train[begin:end]
                 flat = np.concatenate([docs[i] for i in own])
                 ends = np.cumsum([len(docs[i]) for i in own])
                 spans = list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()))
                 used, back = np.unique(flat, return_inverse=True)
-                rows = np.concatenate([self.table, np.zeros((1, DIM), np.float32)])[feats[used]].sum(1) if len(used) else np.zeros((0, DIM), np.float32)
-                x = rows[back].astype(np.float32)
+                x = _vectors(self.table, feats[used])[back]
                 pooled, where = self._pool(x, spans)
                 p = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.shift, -30, 30)))
                 err = (p - labels[own]).astype(np.float32) / len(own)
@@ -177,7 +205,7 @@ class Classifier:
                 hit = np.flatnonzero(np.abs(d_x).max(1) > 0) if len(d_x) else np.array([], int)
                 if len(hit):
                     bucket = feats[flat[hit]]
-                    keep = bucket >= 0
+                    keep = bucket < BUCKETS
                     idx, g = bucket[keep], np.repeat(d_x[hit], keep.sum(1), axis=0)
                     np.add.at(g_table, idx, (g**2).mean(1))
                     np.add.at(self.table, idx, -RATE * g / np.sqrt(g_table[idx])[:, None])
@@ -185,7 +213,7 @@ class Classifier:
         return self
 
     def _calibrate(self, docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], words: Words) -> None:
-        vectors = _vectors(self.table, words.parts)
+        vectors = _vectors(self.table, words.parts())
         z = np.concatenate([self.logits(vectors[d], [(0, len(d))]) for d in docs]).astype(np.float64)
         a, b = 1.0, 0.0
         soft = np.where(labels > 0, (labels.sum() + 1) / (labels.sum() + 2), 1 / (len(labels) - labels.sum() + 2))
@@ -214,15 +242,15 @@ class Classifier:
     def score(self, texts: list[str], words: Words, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of whole texts; vectors grows with the words met."""
         docs = [words.rows(t) for t in texts]
-        if len(words.parts) > len(vectors):
-            vectors = np.concatenate([vectors, _vectors(self.table, words.parts[len(vectors) :])])
+        if len(words) > len(vectors):
+            vectors = np.concatenate([vectors, _vectors(self.table, words.parts(len(vectors)))])
         if self.constant is not None:
             return np.full(len(texts), self.constant), vectors
         out, group, size = [], [], 0
         for k, d in enumerate(docs):
             group.append(d)
             size += len(d)
-            if size > 60_000 or k == len(docs) - 1:
+            if size > 20_000 or k == len(docs) - 1:
                 ends = np.cumsum([len(x) for x in group])
                 out.append(self.logits(vectors[np.concatenate(group)], list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()))))
                 group, size = [], 0
@@ -241,7 +269,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit
 def train(docs: DataFrame, labels: DataFrame, keep: Column, limit: int = MAX_LABELS) -> Classifier:
     rows = labelled(docs, labels, "toxic", keep, limit).limit(2 * limit).toPandas().sort_values(["doc_id", "text"])
     lang = [x if isinstance(x, str) else None for x in rows["lang"]]
-    return Classifier().fit(rows["text"].tolist(), rows["y"].to_numpy(), lang)
+    texts, y = rows["text"].tolist(), rows["y"].to_numpy()
+    del rows
+    return Classifier().fit(texts, y, lang)
 
 
 def scorer(model: Classifier) -> Callable[[pd.Series], pd.Series]:
@@ -253,21 +283,34 @@ def scorer(model: Classifier) -> Callable[[pd.Series], pd.Series]:
         for b in batches:
             out = []
             for at in range(0, len(b), 200):
-                if len(words.parts) > REMEMBER:
+                if len(words) > REMEMBER:
                     words, vectors = Words(), np.zeros((0, DIM), np.float32)
                 s, vectors = model.score([x or "" for x in b.iloc[at : at + 200]], words, vectors)
                 out.append(s)
             yield pd.Series(np.concatenate(out) if out else np.array([], float))
+        del words, vectors
+        release_memory()
 
     return score
 
 
-def score_toxicity(df: DataFrame, model: Classifier) -> DataFrame:
-    """df with toxicity (0 to 1) and toxic (whether it reaches the threshold of the row's language)."""
-    lang = F.col("lang") if "lang" in df.columns else F.lit(None).cast("string")
+def threshold(df: DataFrame, model: Classifier) -> Column:
+    """The threshold of each row's language."""
     cut = F.lit(model.thresholds.get(None, 0.3))
-    for name, value in model.thresholds.items():
-        if name is not None:
-            cut = F.when(lang == name, value).otherwise(cut)
-    out = df.withColumn("toxicity", scorer(model)(F.coalesce(F.col("text"), F.lit(""))))
+    if "lang" in df.columns:
+        for name, value in model.thresholds.items():
+            if name is not None:
+                cut = F.when(F.col("lang") == name, value).otherwise(cut)
+    return cut
+
+
+def score_toxicity(df: DataFrame, model: Classifier) -> DataFrame:
+    """df with toxicity (0 to 1) and toxic (whether it reaches the threshold of the row's language), in place of columns of these names."""
+    cut = threshold(df, model)
+    out = small_batches(df).withColumn("toxicity", scorer(model)(F.coalesce(F.col("text"), F.lit(""))))
     return out.withColumn("toxic", F.col("toxicity") >= cut)
+
+
+def drop_toxic(df: DataFrame, model: Classifier) -> DataFrame:
+    """The rows below their language's threshold, columns unchanged."""
+    return small_batches(df).where(scorer(model)(F.coalesce(F.col("text"), F.lit(""))) < threshold(df, model))
