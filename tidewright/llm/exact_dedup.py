@@ -93,12 +93,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that exact_dedup drops, its columns unchanged; of rows that repeat id and text one stays."""
     report = write_table(exact_dedup(df, id_col, text_col), "exact")
-    dropped = report.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
+    dropped = report.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
     repeated = report.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
-    out = df.join(dropped.select("gone_id").distinct(), df[id_col] == F.col("gone_id"), "left_anti")
+    out = df.join(dropped.select("_gone_id").distinct(), df[id_col] == F.col("_gone_id"), "left_anti")
     if report.groupBy("doc_id").agg(F.min("kept").alias("a"), F.max("kept").alias("b")).where("a <> b").isEmpty() and repeated.isEmpty():
         return out
     # ids that are not unique: decide on (id, text), then keep one of the repeated rows
-    marked = df.withColumn("gone_digest", _sha(fold_ascii(df[text_col]))).withColumn("gone_id", df[id_col].cast("long"))
-    out = marked.join(dropped.distinct(), ["gone_id", "gone_digest"], "left_anti")
-    return out.dropDuplicates(["gone_id", "gone_digest"]).drop("gone_id", "gone_digest")
+    marked = df.withColumn("_gone_digest", _sha(fold_ascii(df[text_col]))).withColumn("_gone_id", df[id_col].cast("long"))
+    out = marked.join(dropped.distinct(), ["_gone_id", "_gone_digest"], "left_anti")
+    return out.dropDuplicates(["_gone_id", "_gone_digest"]).drop("_gone_id", "_gone_digest")

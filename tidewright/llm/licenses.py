@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The base phrases and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -150,7 +152,7 @@ def build_index(df: DataFrame, text_col: str = "text", base: dict[str, str] = BA
             n += len(b)
         yield pd.DataFrame({"word": ["", *(w.decode() for w in total)], "n": [n, *total.values()]})
 
-    rows = df.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(df).select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {w.encode(): n for w, n in rows}
     return index.weigh(counts.pop(b"", 0), counts)
 
@@ -168,7 +170,7 @@ def scan(df: DataFrame, index: Index | None = None, id_col: str = "doc_id", text
             out.append((len(words), [{"start": s, "label": x} for s, x in base], [{"start": s, "label": x, "share": p} for s, x, p in notices]))
         return pd.DataFrame(out, columns=["n_words", "base", "notices"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), run(F.coalesce(F.col(text_col), F.lit(""))).alias("x")).select("doc_id", "x.*")
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), run(F.coalesce(F.col(text_col), F.lit(""))).alias("x")).select("doc_id", "x.*")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ which the words run out, and up to three closing documents of about the size of
 
 Defined results: null text has size 0; a null source is a source of its own and sorts last; sources without words get
 target 0; rows that repeat an id have the same rank and are taken together; an empty table gives an empty result; the
-random numbers are hashes of id and seed, so reruns agree.  `mix` keeps all other columns unless they are called copies.
+random numbers are hashes of id and seed, so reruns agree.  `mix` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,22 +93,22 @@ def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP
 
 
 def decide(rows: DataFrame, table: DataFrame, seed: int = 42) -> DataFrame:
-    """rows (with doc_id, source) with the source's words and target and the row's copies."""
-    table = table.select(F.col("source").alias("_source"), F.col("words").alias("_words"), F.col("target").alias("_target"), "certain", "p", "cut", "closing")
-    out = rows.join(table, F.col("source").eqNullSafe(F.col("_source")))
-    extra = (_rank(F.col("doc_id"), F.col("p"), seed) <= F.col("cut")) | F.coalesce(F.array_contains("closing", F.col("doc_id")), F.lit(False))
-    return out.withColumn("copies", F.col("certain") + extra.cast("int")).drop("_source", "certain", "p", "cut", "closing")
+    """rows (with doc_id, source) with _mix_words and _mix_target of the source and the row's _mix_copies."""
+    table = table.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "words", "target", "certain", "p", "cut", "closing")])
+    out = rows.join(table, F.col("source").eqNullSafe(F.col("_mix_source")))
+    extra = (_rank(F.col("doc_id"), F.col("_mix_p"), seed) <= F.col("_mix_cut")) | F.coalesce(F.array_contains("_mix_closing", F.col("doc_id")), F.lit(False))
+    return out.withColumn("_mix_copies", F.col("_mix_certain") + extra.cast("int")).drop("_mix_source", "_mix_certain", "_mix_p", "_mix_cut", "_mix_closing")
 
 
 def plan_mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
     rows = write_table(df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")), "sizes")
     out = decide(rows, cuts(rows, weights, cap, seed), seed)
-    return out.select("doc_id", "source", "size", F.col("_words").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", F.col("_mix_words").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_copies").alias("copies"), (F.col("_mix_copies") * F.col("size")).alias("taken"))
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
     """The mixed documents: each row of df as often as the mix takes it, columns unchanged.  The texts themselves are not shuffled while there are few sources."""
     rows = write_table(df.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    out = decide(df, cuts(rows, weights, cap, seed), seed).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[df[c] for c in df.columns])
+    out = decide(df, cuts(rows, weights, cap, seed), seed).where("_mix_copies > 0")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*df.columns)

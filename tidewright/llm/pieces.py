@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory, small_batches
+
 #: Arcs of lattices remembered by a worker (9 bytes each); it starts anew when full.
-REMEMBER = 10_000_000
+REMEMBER = 5_000_000
 #: Words sampled together.
-BLOCK = 200_000
+BLOCK = 60_000
 #: Offset of the rank in Zipf's law, and the power of the weights: larger ones sample closer to the best path.
 OFFSET, POWER = 2.7, 1.0
 
@@ -79,7 +81,7 @@ class Pieces:
     def _trie(self) -> None:
         """The pieces' prefixes as states; (state, character) to next state in an open-addressed table."""
         letters = sorted({c for piece in self.ids for c in piece})
-        self.letter = np.zeros(0x110000, np.int64)  # 0: in no piece
+        self.letter = np.zeros(0x110000, np.int32)  # 0: in no piece
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         states, self.state_piece, keys, values = {"": 0}, [-1], [], []
         for piece, i in self.ids.items():
@@ -122,7 +124,7 @@ class Pieces:
     def _start_anew(self) -> None:
         self.known: dict[str, int] = {}
         self.base, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each word: its first place, its length
-        self.first = np.zeros(0, np.int64)  # of each place: its first arc
+        self.first = np.zeros(0, np.int32)  # of each place: its first arc
         self.chance, self.span, self.code = np.zeros(0, np.float32), np.zeros(0, np.uint8), np.zeros(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
@@ -134,7 +136,7 @@ class Pieces:
         base = np.cumsum(length) - length
         place = np.arange(n) - np.repeat(base, length)
         left = np.repeat(length, length) - place
-        letters = self.letter[chars]
+        letters = self.letter[chars].astype(np.int64)
         found: list[tuple[np.ndarray, int, np.ndarray]] = []  # starts, length, codes
         at, state = np.arange(n), np.zeros(n, np.int64)
         for size in range(1, self.longest + 1):
@@ -196,7 +198,7 @@ class Pieces:
         back = np.repeat(first_deep - first, counts) + np.arange(total_arcs)
         nodes_before, arcs_before = len(self.first), len(self.code)
         self.base, self.length = np.concatenate([self.base, base + nodes_before]), np.concatenate([self.length, length])
-        self.first = np.concatenate([self.first, first + arcs_before])
+        self.first = np.concatenate([self.first, (first + arcs_before).astype(np.int32)])
         self.chance = np.concatenate([self.chance, chance[back].astype(np.float32)])
         self.span, self.code = np.concatenate([self.span, span[back]]), np.concatenate([self.code, code[back].astype(np.int32)])
 
@@ -305,9 +307,9 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 keys = np.array([xxhash.xxh64_intdigest(x, seed) for x in part["key"]], np.uint64)
                 ids = m.sample(texts, keys)
                 yield pd.DataFrame({"doc_id": part["id"].array, "ids": ids, "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], "lossless": [m.decode(x) == t for x, t in zip(ids, texts)]})
+        release_memory()
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("id", F.col("id"))
+    rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, lossless boolean")
 
 

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .toxicity import labelled
 
 MAX_LABELS, PAIRS = 8_000, 60_000
@@ -152,7 +153,7 @@ def score_quality(df: DataFrame, model: Ranker) -> DataFrame:
         r = model.rank(x)
         return pd.DataFrame({"rank": r, "quality": model.chance(r)})
 
-    out = df.withColumn("_scores", score(F.coalesce(F.col("text"), F.lit(""))))
+    out = small_batches(df).withColumn("_scores", score(F.coalesce(F.col("text"), F.lit(""))))
     return out.withColumn("rank", F.col("_scores.rank")).withColumn("quality", F.col("_scores.quality")).drop("_scores")
 
 
