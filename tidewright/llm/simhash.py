@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, write_table
+from .common import components, release_memory, small_batches, write_table
 
 BITS = 64
 #: Distinct fingerprints in one bucket before it is dealt again.
 BUCKET = 100_000
+#: Times that a bucket is dealt again at most: then 49 of the 64 bits agree, and the 15 left have fewer values than a bucket may hold.
+LEVELS = 5
 FANOUT = 4
 #: Node pairs that are compared at a time.
 CHUNK = 1 << 16
@@ -59,7 +61,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x, width) for x in texts], np.uint64).view(np.int64))
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), fp(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), fp(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -89,6 +91,8 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check
     With `check` (rows of longer fingerprints), a pair must also differ there in at most `most` bits.  Only links that
     join two classes come back, so there are fewer of them than fingerprints.
     """
+    if len(fp) < 2:
+        return np.array([], int), np.array([], int)
     order = np.lexsort((gray_rank(fp), group))
     group, fp = group[order], fp[order]
     check = check[order] if check is not None else None
@@ -110,9 +114,9 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check
     for _, _, first, end in levels[1:]:
         lo, hi = spans[-1]
         spans.append((lo[first], hi[end - 1]))
-    label, out_a, out_b = np.arange(n), [], []
+    label = np.arange(n)
     top = len(levels) - 1
-    roots = np.flatnonzero(spans[top][1] - spans[top][0] > 1) if n else np.array([], int)
+    roots = np.flatnonzero(spans[top][1] - spans[top][0] > 1)
     stack = [(top, roots[i : i + CHUNK], roots[i : i + CHUNK]) for i in range(0, len(roots), CHUNK)]
     while stack:
         level, a, b = stack.pop()
@@ -131,11 +135,6 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check
                 near = np.bitwise_count(check[a] ^ check[b]).sum(1, dtype=np.int64) <= most
                 a, b = a[near], b[near]
             if len(a):
-                # one link for each pair of classes is enough
-                x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-                _, one = np.unique(x * n + y, return_index=True)
-                out_a.append(a[one])
-                out_b.append(b[one])
                 label = _merge(label, a, b)
             continue
         below_a, below_b = end[a] - first[a], end[b] - first[b]
@@ -156,9 +155,8 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check
         far = np.argsort(x != y, kind="stable")[::-1]  # a node with itself comes off the stack first
         x, y = x[far], y[far]
         stack += [(level - 1, x[i : i + CHUNK], y[i : i + CHUNK]) for i in range(0, len(x), CHUNK)]
-    if not out_a:
-        return np.array([], int), np.array([], int)
-    return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
+    joined = np.flatnonzero(label != np.arange(n))  # each member of a class with its first
+    return order[joined], order[label[joined]]
 
 
 def _bands(used: int, level: int, distance: int) -> list[int]:
@@ -172,9 +170,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET, checks: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET, checks: tuple[str, ...] = (), most: int = 0, levels: int = LEVELS) -> DataFrame:
     """(src, dst) links between ids of distinct fingerprints (rep, fp), enough to connect all that are within `distance`.
 
+    Each task joins what its buckets join and names the smallest id of a class.
+
     With `checks` (names of further long columns), rows also have a column k, only fingerprints of one k are compared,
     and linked pairs may differ in at most `most` bits of those columns.
     """
@@ -200,7 +200,10 @@ def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET, checks:
             rep, fp = t["rep"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
             check = np.stack([t[c].to_numpy().view(np.uint64) for c in checks], axis=1) if checks else None
             a, b = gray_index_links(np.cumsum(groups(t)), fp, distance, check, most)
-            return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["src", "dst"])
+            node, place = np.unique(rep, return_inverse=True)  # one node for a document in several buckets
+            label = _merge(np.arange(len(node)), place[a], place[b])
+            at = np.flatnonzero(label != np.arange(len(node)))
+            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -225,9 +228,8 @@ def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET, checks:
         dealt = todo.withColumn("x", F.explode(F.filter(choose, lambda s: s["was"] == F.col("used")))).select(*payload, F.col("x.used").alias("used"))
         dealt = dealt.withColumn("value", F.col("fp").bitwiseAND(F.col("used")))
         used_masks = sorted({u | b for u, b in steps})
-        free = BITS - max(bin(u).count("1") for u in used_masks)
         big = None
-        if free > bucket.bit_length() - 1:  # else 2**free values bound a bucket
+        if level < levels - 1:
             big = write_table(dealt.groupBy(*key).count().where(F.col("count") > bucket).select(*key), "big")
             if big.isEmpty():
                 big = None
@@ -240,14 +242,17 @@ def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET, checks:
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out
+    # a document has a link to the smallest of its class in each of its buckets, so a bounded number: lay them on one
+    own = out.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("all"))
+    one = F.transform(F.concat(F.array("src"), F.slice("all", 2, F.size("all"))), lambda x: F.struct(x.alias("src"), F.col("all")[0].alias("dst")))
+    return own.select(F.explode(one).alias("x")).select("x.src", "x.dst")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links of `distance` bits or fewer)."""
     fps = write_table(fingerprints(df, id_col, text_col, width), "fingerprints")
     distinct = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
-    parts = components(links(distinct, distance, bucket))
+    parts = components(links(distinct, distance, bucket, levels=levels))
     classes = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -255,7 +260,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #: Fingerprints of a document's distinct words that find candidates, and 64-bit parts of the fingerprint of its shingles.
 WORD_PRINTS, SHINGLE_PARTS = 8, 4
 #: Words remembered by a worker; it starts anew when full.
-REMEMBER = 200_000
+REMEMBER = 100_000
 
 
 class Signer:
@@ -318,9 +323,11 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signer = Signer(width)
         for texts in batches:
             yield pd.Series([signer.sign(x) for x in texts])
+        signer.known.clear()
+        release_memory()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = write_table(df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), sign(text).alias("s")), "signatures")
+    rows = write_table(small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), sign(text).alias("s")), "signatures")
     distinct = write_table(rows.where("doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep")), "signed")
     checks = [f"c{k}" for k in range(SHINGLE_PARTS)]
     prints = distinct.select("rep", F.posexplode(F.slice("s", 1, WORD_PRINTS)).alias("k", "fp"), *(F.col("s")[WORD_PRINTS + k].alias(c) for k, c in enumerate(checks)))
@@ -332,5 +339,5 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """df with one document of each class of near duplicates, the one with the smallest id; columns unchanged."""
     found = write_table(similar_documents(df, id_col, text_col, width, similarity), "similar")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    return df.join(gone, (df[id_col] == F.col("gone_id")) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("gone_hash")), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    return df.join(gone, (df[id_col] == F.col("_gone_id")) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("_gone_hash")), "left_anti")
