@@ -267,8 +267,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     kind = df.schema[label_col].dataType.simpleString()
     graphs = dealt.select("label", "dim", "shard", "rep", "many", "v").groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shard int, blob binary")
     graphs = write_table(graphs, "graphs")
+    keys = graphs.select("label", "dim", "shard")
+    pairs = keys.join(keys.withColumnRenamed("shard", "shard_b"), ["label", "dim"]).where("shard <= shard_b")  # of shards, without their vectors
     other = graphs.select("label", "dim", F.col("shard").alias("shard_b"), F.col("blob").alias("blob_b"))
-    pairs = graphs.join(other, ["label", "dim"]).where("shard <= shard_b")
+    pairs = pairs.join(graphs, ["label", "dim", "shard"]).join(other, ["label", "dim", "shard_b"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from .simhash import _merge
