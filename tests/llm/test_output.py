@@ -1,3 +1,4 @@
+import functools
 import io
 import zlib
 
@@ -17,12 +18,17 @@ def docs(spark, texts=TEXTS):
     return spark.createDataFrame(list(zip(ids, texts, ["s"] * len(texts))), "doc_id long, text string, start string")
 
 
-def plain_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+    return t
+
+
+def plain_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 @pytest.mark.parametrize("shards", [1, 5])
