@@ -130,3 +130,34 @@ def test_components(spark, edges):
     got = {r["node"]: r["component"] for r in components(df).collect()}
     own = classes(100, edges)
     assert got == {n: own[n] for e in edges for n in e if e[0] != e[1]}
+
+
+def edited(rng, kind, n=300, similarity=0.8):
+    """Two texts whose five-word shingles have barely that Jaccard similarity or more, and the similarity."""
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    w = [word() for _ in range(n)]
+    v, s = list(w), n - 4
+    if kind == "append":
+        v += [word() for _ in range(int(s / similarity - s))]
+    elif kind == "insert":
+        at = rng.randrange(10, n - 10)
+        v[at:at] = [word() for _ in range(int((s - 4) / similarity - s - 4))]
+    elif kind == "delete":
+        k = int(s * (1 - similarity)) - 9
+        at = rng.randrange(10, n - k - 10)
+        del v[at : at + k]
+    else:
+        for k in rng.sample(range(1, n // 6 - 1), int(s * (1 - similarity) / (1 + similarity) / 5)):
+            v[6 * k] = word()
+    a, b = (simhash.shingle_set(" ".join(x)) for x in (w, v))
+    return " ".join(w), " ".join(v), len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("kind", ["append", "insert", "delete", "scatter"])
+def test_pairs_at_the_similarity_are_found_whatever_the_edit(spark, kind):
+    rng = random.Random(11)
+    pairs = [edited(rng, kind) for _ in range(150)]
+    assert all(0.8 <= j < 0.83 for _, _, j in pairs)
+    df = spark.createDataFrame([(2 * k + s, p[s]) for k, p in enumerate(pairs) for s in (0, 1)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(150)) >= 147

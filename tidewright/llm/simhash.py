@@ -257,81 +257,227 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of a document's distinct words that find candidates, and 64-bit parts of the fingerprint of its shingles.
-WORD_PRINTS, SHINGLE_PARTS = 8, 4
-#: Words remembered by a worker; it starts anew when full.
-REMEMBER = 100_000
+#: Fingerprints of a document's shingles, of PRINT bits each: a pair of Jaccard similarity 0.8 agrees on one of them in 99.5 of 100 cases.
+PRINTS, PRINT = 72, 16
+#: 64-bit parts of the fingerprints that a pair of one bucket is compared by before its texts are.
+CHECKS = 2
+#: Buckets up to this size are compared place by place, all of them together.
+SMALL = 64
+#: Shape of the sketch that a document's shingles are counted in.
+SKETCH = (32, 64)
+
+
+def shingle_set(text: str | None, width: int = 5) -> set[bytes]:
+    """The distinct runs of `width` words; a shorter text is one run."""
+    words = (text or "").encode().lower().split()
+    width = max(1, min(width, len(words)))
+    return {b" ".join(x) for x in zip(*(words[k:] for k in range(width)))}
+
+
+def _hadamard(n: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
 
 
 class Signer:
-    """Signatures of texts: WORD_PRINTS fingerprints of the set of words, then SHINGLE_PARTS of the set of shingles."""
+    """Signatures of texts: a 128-bit hash of the set of shingles, then PRINTS fingerprints of it.
+
+    Each bit is the side of a random plane on which the set lies.  The planes come from two rounds of random signs and a
+    Hadamard transform of the signed counts of the shingles' hashes, so a bit costs the same for any length; all sums are
+    of whole numbers and exact.
+    """
 
     def __init__(self, width: int = 5):
-        self.width, self.known = width, {}
+        rng, size = np.random.default_rng(20_011), SKETCH[0] * SKETCH[1]
+        self.width, self.left, self.right = width, _hadamard(SKETCH[0]), _hadamard(SKETCH[1])
+        self.signs = [rng.choice([-1.0, 1.0], SKETCH) for _ in range(2)]
+        self.taken = rng.permutation(size)[: PRINTS * PRINT]
 
-    def sign(self, text: str | None) -> np.ndarray:
-        import xxhash
+    def sign(self, texts: list[str | None]) -> np.ndarray:
+        out = [self._block(texts[at : at + 256]) for at in range(0, len(texts), 256)]
+        return np.concatenate(out) if out else np.zeros((0, 2 + PRINTS * PRINT // 64), np.int64)
 
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(WORD_PRINTS + SHINGLE_PARTS, np.int64)
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        distinct = sorted(set(words))
-        for w in distinct:
-            if w not in known:
-                known[w] = b"".join(xxhash.xxh3_128_digest(w, seed) for seed in range(WORD_PRINTS // 2))
-        return np.concatenate([self._majority([known[w] for w in distinct], 8 * WORD_PRINTS), self._majority(self._shingles(words), 8 * SHINGLE_PARTS)])
-
-    def _shingles(self, words: list[bytes]) -> list[bytes]:
+    def _block(self, texts: list[str | None]) -> np.ndarray:
         import xxhash
 
-        width = min(self.width, len(words))
-        own = dict.fromkeys(b" ".join(x) for x in zip(*(words[k:] for k in range(width))))
-        digest = xxhash.xxh3_128_digest
-        return [digest(x, 1) + digest(x, 2) for x in own]
+        size = SKETCH[0] * SKETCH[1]
+        digest = xxhash.xxh3_64_intdigest
+        v, own = np.zeros((len(texts), size)), np.zeros((len(texts), 2), np.int64)
+        for k, text in enumerate(texts):
+            h = np.array([digest(x) for x in shingle_set(text, self.width)], np.uint64)
+            if len(h):
+                h.sort()
+                own[k] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+                v[k] = np.bincount((h % np.uint64(size)).astype(np.int64), 1.0 - 2.0 * (h >> np.uint64(63)), size)
+        v = v.reshape(-1, *SKETCH)
+        for signs in self.signs:
+            v = self.left @ (v * signs) @ self.right
+        bits = v.reshape(-1, size)[:, self.taken] > 0
+        return np.concatenate([own, np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)], axis=1)
+
+
+def bits_at(similarity: float, bits: int = BITS * CHECKS) -> int:
+    """Most bits in which fingerprints of that length differ for documents of that Jaccard similarity: the expected number and
+    four and a half standard deviations, so that no such pair is refused before its texts are compared."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = np.arccos(cosine) / np.pi
+    return int(np.ceil(bits * p + 4.5 * np.sqrt(bits * p * (1 - p))))
 
-    @staticmethod
-    def _majority(digests: list[bytes], size: int) -> np.ndarray:
-        ones = np.zeros(8 * size, np.int64)
-        for at in range(0, len(digests), 16_384):
-            block = np.frombuffer(b"".join(digests[at : at + 16_384]), np.uint8).reshape(-1, size)
-            ones += np.unpackbits(block, axis=1).sum(0, dtype=np.int64)
-        return np.packbits(2 * ones > len(digests)).view(np.int64)
 
+def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in the input) of one key, which is sorted, whose `check` rows differ in at most `most` bits.
 
-def bits_at(similarity: float) -> int:
-    """Most differing bits of the shingles' fingerprint for documents of that Jaccard similarity: the expected number and a
-    bit less than two standard deviations."""
-    cosine = 2 * similarity / (1 + similarity)
-    p, n = np.arccos(cosine) / np.pi, BITS * SHINGLE_PARTS
-    return int(n * p + 1.8 * np.sqrt(n * p * (1 - p)))
+    Without `part`, only pairs that connect what all such pairs connect; with it, all pairs of different parts.
+    """
+    n = len(key)
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.array([], int)
+    size = np.diff(np.r_[start, n])
+    label, found = np.arange(n), [(np.array([], int), np.array([], int))]
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(check[a] ^ check[b]).sum(-1, dtype=np.int64) <= most
+
+    last = np.repeat(np.where(size <= SMALL, start + size, 0), size)  # end of each place's bucket, if that is small
+    a = np.arange(n)
+    for step in range(1, SMALL):
+        a = a[a + step < last[a]]
+        if not len(a):
+            break
+        x = a if part is None else a[part[a] != part[a + step]]
+        x = x[near(x, x + step)]
+        if part is None:
+            label = _merge(label, x, x + step)
+        else:
+            found.append((x, x + step))
+    for at, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        rest = np.arange(at, at + m)
+        if part is None:  # reach from place to place; what is reached is not compared again
+            while len(rest):
+                queue, rest = [rest[0]], rest[1:]
+                while queue and len(rest):
+                    x = queue.pop()
+                    ok = near(x, rest)
+                    label[rest[ok]] = label[x]
+                    queue += rest[ok].tolist()
+                    rest = rest[~ok]
+        else:
+            for x in range(at, at + m - 1):
+                y = np.arange(x + 1, at + m)
+                y = y[part[y] != part[x]]
+                y = y[near(x, y)]
+                found.append((np.full(len(y), x), y))
+    if part is None:
+        joined = np.flatnonzero(label != np.arange(n))
+        found.append((label[joined], joined))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def candidates(signed: DataFrame, most: int) -> DataFrame:
+    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part): see bucket_pairs."""
+    parted = "part" in signed.columns
+    names = ["key", "rep", *(f"c{k}" for k in range(CHECKS)), *(["part"] if parted else [])]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.arange(PRINTS, dtype=np.int32) << PRINT
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                s = np.array(batch["s"].flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)[:, 2:]
+                keys = np.ascontiguousarray(s).view(np.uint16).astype(np.int32) | tables
+                cols = [batch["rep"].to_numpy(zero_copy_only=False), *(s[:, k] for k in range(CHECKS))]
+                cols += [batch["part"].to_numpy(zero_copy_only=False)] if parted else []
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, PRINTS)) for c in cols)], names)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches arrive sorted by key; a key's rows are held until it ends."""
+        held: list[pa.Table] = []
+        rows = 0
+
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            rep = t["rep"].to_numpy()
+            check = np.stack([t[f"c{k}"].to_numpy().view(np.uint64) for k in range(CHECKS)], axis=1)
+            x, y = bucket_pairs(t["key"].to_numpy(), check, most, t["part"].to_numpy() if parted else None)
+            pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows < 200_000:
+                continue
+            t = pa.concat_tables(held).combine_chunks()
+            key = t["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from out(t.slice(0, cut))
+            held, rows = [t.slice(cut)], t.num_rows - cut
+        if rows:
+            yield from out(pa.concat_tables(held).combine_chunks())
+
+    schema = "key int, rep long, " + ", ".join(f"c{k} long" for k in range(CHECKS)) + (", part long" if parted else "")
+    dealt = signed.select("rep", "s", *(["part"] if parted else [])).mapInArrow(deal, schema)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (rep, text) have that Jaccard similarity of shingles or more, counted exactly."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, x = None, set()
+        for batch in batches:
+            ok = []
+            for one, other in zip(batch["one"].to_pylist(), batch["other"].to_pylist()):
+                if one != before:
+                    before, x = one, shingle_set(one, width)
+                y = shingle_set(other, width)
+                both = len(x & y)
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+        release_memory()
+
+    rows = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("one")), "a")
+    rows = rows.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("other")), "b")
+    return rows.select("a", "b", "one", "other").mapInArrow(compare, "a long, b long").distinct()
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, text_hash, component_id: classes of documents whose shingles of `width` words have about
-    the similarity or more.
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, text_hash, component_id: classes of documents that pairs of that Jaccard similarity of
+    their shingles of `width` words, or more, connect.
 
-    Candidates are pairs that one of several fingerprints of their distinct words puts within `distance` bits of each
-    other; a candidate is linked when the 256-bit fingerprints of the shingles differ in no more bits than the
-    similarity lets expect.
+    Candidates are pairs that agree on one of PRINTS SimHash fingerprints of their shingles and that the longer fingerprint
+    does not rule out; each is linked only when its texts have the similarity.  First come as many candidates as connect
+    all of them; then all those that these links left in different classes.
     """
 
     @F.pandas_udf("array<bigint>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         signer = Signer(width)
         for texts in batches:
-            yield pd.Series([signer.sign(x) for x in texts])
-        signer.known.clear()
+            yield pd.Series(list(signer.sign(texts.tolist())), dtype=object)
         release_memory()
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = write_table(small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), sign(text).alias("s")), "signatures")
-    distinct = write_table(rows.where("doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep")), "signed")
-    checks = [f"c{k}" for k in range(SHINGLE_PARTS)]
-    prints = distinct.select("rep", F.posexplode(F.slice("s", 1, WORD_PRINTS)).alias("k", "fp"), *(F.col("s")[WORD_PRINTS + k].alias(c) for k, c in enumerate(checks)))
-    parts = components(links(prints, distance, bucket, tuple(checks), bits_at(similarity)))
+    text, most = F.coalesce(F.col(text_col), F.lit("")), bits_at(similarity)
+    docs = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = write_table(docs.select("doc_id", "text_hash", sign("text").alias("s")), "signatures")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    distinct = write_table(rows.where("doc_id is not null").groupBy("s").agg(first).select("s", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash")), "signed")
+
+    pairs = write_table(candidates(distinct, most), "candidates")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    met = write_table(distinct.join(met, "rep"), "met")
+    own = met.select(F.col("rep").alias("doc_id"), "text_hash").distinct()
+    texts = write_table(docs.join(own, ["doc_id", "text_hash"]).select(F.col("doc_id").alias("rep"), "text").distinct(), "near-texts")
+    linked = write_table(alike(pairs, texts, width, similarity), "alike")
+    parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    left = met.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "s", F.coalesce("component", "rep").alias("part"))
+    more = write_table(candidates(left, most).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    linked = linked.unionByName(alike(more, texts, width, similarity))
+    parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(classes, "s", "left").select("doc_id", "text_hash", "component_id")
 
