@@ -161,3 +161,44 @@ def test_pairs_at_the_similarity_are_found_whatever_the_edit(spark, kind):
     df = spark.createDataFrame([(2 * k + s, p[s]) for k, p in enumerate(pairs) for s in (0, 1)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
     assert sum(got[2 * k + 1] == 2 * k for k in range(150)) >= 147
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.7, 0.77])
+def test_pairs_below_the_similarity_stay(spark, similarity):
+    rng = random.Random(12)
+    pairs = [edited(rng, kind, similarity=similarity) for kind in ("append", "insert", "delete", "scatter") for _ in range(40)]
+    assert all(j < 0.8 for _, _, j in pairs)
+    df = spark.createDataFrame([(2 * k + s, p[s]) for k, p in enumerate(pairs) for s in (0, 1)], "doc_id long, text string")
+    assert simhash.keep_one(df).count() == df.count()
+
+
+@pytest.mark.parametrize("small", [64, 4])
+def test_classes_are_those_of_exact_pairs(spark, small, monkeypatch):
+    """Crowded buckets: candidates that fail must not hide those that hold."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(13)
+    texts = [None, "", "A b", "a B"]
+    for _ in range(6):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+        for _ in range(25):
+            v = list(w)
+            for k in rng.sample(range(120), rng.randint(0, 3)):
+                v[k] = str(rng.random())
+            texts.append(" ".join(v))
+    sets = [simhash.shingle_set(t) for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert [got[k] for k in range(len(texts))] == classes(len(texts), alike)
+
+
+def test_bucket_pairs_connect_and_cover():
+    rng = np.random.default_rng(14)
+    key = np.sort(rng.integers(0, 4, 300))
+    check = rng.integers(0, 1 << 12, (300, 1)).astype(np.uint64)
+    part = rng.integers(0, 3, 300)
+    near = [(a, b) for a in range(300) for b in range(a + 1, 300) if key[a] == key[b] and int(check[a, 0] ^ check[b, 0]).bit_count() <= 2]
+    own = simhash.bucket_pairs(key, check, 2)
+    assert classes(300, zip(*(x.tolist() for x in own))) == classes(300, near)
+    every = simhash.bucket_pairs(key, check, 2, part)
+    assert sorted(zip(*(x.tolist() for x in every))) == [(a, b) for a, b in near if part[a] != part[b]]
