@@ -50,6 +50,20 @@ def test_pages_against_their_markup(spark, labeller):
     assert same >= 0.98 * len(got)
 
 
+def test_deep_pages(labeller):
+    """The outer container counts at any depth: replies far down a thread are comments, deep paragraphs of an article are not."""
+    text = lambda k: f"The plain words of part {k} say what there is to say about it."
+    for depth in (3, 6, 10):
+        replies = "".join(f"<ul><li><div><p>{text(k)}</p></div>" for k in range(depth)) + "</li></ul>" * depth
+        article = "<article><h1>Title of the page</h1>" + "<div>" * 5 * depth + "".join(f"<p>{text(100 + k)}</p>" for k in range(6)) + "</div>" * 5 * depth + "</article>"
+        for mark in ('class="comments"', 'id="comments"'):
+            page = f"<html><head><title>Site</title></head><body>{article}<section {mark}><h2>Comments</h2>{replies}</section><footer><p>Copyright us</p></footer></body></html>"
+            assert text_of(labeller, page) == " ".join(["Title of the page", *(text(100 + k) for k in range(6))])
+    far = html_text.blocks("<section class=comments>" + "<div>" * 5_000 + "x")[0]
+    near = html_text.blocks("<section class=comments><div><div>x")[0]
+    assert far.path[:2] == ("section", ".comments") and labeller._path(far.element) == labeller._path(near.element)
+
+
 def test_html_edge_cases(spark, labeller):
     big = "<html><body><nav><ul><li><a href=x>home</a></li></ul></nav><article><h1>T</h1>" + "<p>word word word.</p>" * 5_000 + "</article></body></html>"
     df = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (3, "u", big, 1), (3, "u", big, 1), (None, "u", "<article><p>Text here.</p></article>", 1)], "page_id long, url string, html string, text int")

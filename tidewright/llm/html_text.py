@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is cut into blocks, the runs of text between block-level tags.  A block is described by hashed vectors of its tag
-path (tags, classes, ids, roles), hashed vectors of its words, and a few shape numbers; a bidirectional LSTM in numpy
+A page is cut into blocks, the runs of text between block-level tags.  A block is described by hashed vectors of its whole
+tag path (the distinct tags, classes, ids and roles of all open elements, at any depth), hashed vectors of its words, and a few shape numbers; a bidirectional LSTM in numpy
 reads the page's whole sequence of blocks in both directions, and a logistic output says for each block whether it
 belongs to the article.
 
@@ -40,18 +40,38 @@ PATH_BUCKETS, WORD_BUCKETS, DIM, WORD_DIM, SHAPES, HIDDEN = 2_048, 2_048, 20, 8,
 IN = DIM + WORD_DIM + SHAPES
 
 
+class Element:
+    """An open element with the marks of its own tag, and the element around it."""
+
+    __slots__ = ("name", "marks", "above", "buckets")
+
+    def __init__(self, name: str, marks: tuple[str, ...], above: Element | None):
+        self.name, self.marks, self.above, self.buckets = name, marks, above, None
+
+    def path(self) -> tuple[str, ...]:
+        own, at = [], self
+        while at:
+            own.append(at.marks)
+            at = at.above
+        return tuple(x for marks in reversed(own) for x in marks)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    element: Element | None
     text: str
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Marks of all open elements, the outermost first."""
+        return self.element.path() if self.element else ()
+
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; scripts, styles and markup are gone, character references decoded, white space plain."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
+    stack: list[Element] = []
     held: list[str] = []
     linked = link_depth = at = 0
 
@@ -60,7 +80,7 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(path, text, linked))
+                out.append(Block(stack[-1] if stack else None, text, linked))
             held.clear()
         linked = 0
 
@@ -84,24 +104,23 @@ def blocks(page: str) -> list[Block]:
         link_depth = 0
         if close:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     del stack[k:]
                     break
         else:
-            if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            if stack and stack[-1].name in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 stack.pop()
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES_ITSELF.get(name, ()):
+                if stack[k].name in CLOSES_ITSELF.get(name, ()):
                     break
-                if stack[k][0] == name and name in CLOSES_ITSELF:
+                if stack[k].name == name and name in CLOSES_ITSELF:
                     del stack[k:]
                     break
             if name not in VOID and not m[4].rstrip().endswith("/"):
                 marks = [name]
                 for _, value in _MARKS.findall(m[4]):
                     marks += ["." + x for x in _NAME.findall(value.lower())]
-                stack.append((name, tuple(marks)))
-        path = tuple(x for _, marks in stack[-12:] for x in marks)
+                stack.append(Element(name, tuple(marks), stack[-1] if stack else None))
     if at < len(page):
         held.append(page[at:])
     flush()
@@ -126,19 +145,34 @@ class Labeller:
         for way in "fb":
             self.w |= {f"x{way}": draw(IN, 4 * HIDDEN), f"h{way}": draw(HIDDEN, 4 * HIDDEN), f"b{way}": np.zeros(4 * HIDDEN, np.float32)}
             self.w[f"b{way}"][HIDDEN : 2 * HIDDEN] = 1
-        self.paths: dict[tuple[str, ...], list[int]] = {}
+        self.marks: dict[str, int] = {}
         self.words: dict[str, int] = {}
 
+    def _path(self, element: Element | None) -> list[int]:
+        """Buckets of the distinct marks of the open elements, then of the last two marks; an element adds its own to those
+        of the elements around it, once."""
+        if element is None:
+            return [_bucket("none", PATH_BUCKETS, self.marks)]
+        todo, at = [], element
+        while at and at.buckets is None:
+            todo.append(at)
+            at = at.above
+        seen = at.buckets if at else {}
+        for at in reversed(todo):
+            own = {_bucket(x, PATH_BUCKETS, self.marks): None for x in at.marks}
+            if own.keys() - seen.keys():
+                seen = seen | own
+            at.buckets = seen
+        last = element.marks[-2:]
+        if len(last) < 2 and element.above:
+            last = (element.above.marks[-1], *last)
+        return [*seen, *(_bucket("last" + x, PATH_BUCKETS, self.marks) for x in last)]
+
     def describe(self, page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         """Path buckets, word buckets and shape numbers of each block."""
         paths, words, shapes = [], [], np.zeros((len(page), SHAPES), np.float32)
         for i, b in enumerate(page):
-            if (p := self.paths.get(b.path)) is None:
-                if len(self.paths) > 50_000:
-                    self.paths.clear()
-                marks = [*b.path, *("last" + x for x in b.path[-2:])] or ["none"]
-                p = self.paths[b.path] = [zlib.crc32(x.encode()) % PATH_BUCKETS for x in marks]
-            paths.append(p)
+            paths.append(self._path(b.element))
             w = b.text.lower().split()
             ends = w if len(w) <= 40 else w[:20] + w[-20:]  # of a long block, its shape numbers tell more than its words
             words.append([_bucket(x, WORD_BUCKETS, self.words) for x in ends])
@@ -252,6 +286,13 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     def mark(*names: str) -> str:
         return pick(f' class="{pick(*names)}"', f' id="{pick(*names)}"', f' class="{pick("box", "wrap", "col", "x")} {pick(*names)}"')
 
+    def deep() -> tuple[str, str]:
+        """Opening and closing tags of many plain elements."""
+        kinds, plain = pick(("div",), ("div",), ("div", "section"), ("div", "section", "ul><li")), pick(0.7, 1.0)
+        names = [pick(*kinds) for _ in range(rng.integers(1, 40))]
+        tags = [f"<{x}>" if rng.random() < plain or "><" in x else f"<{x}{mark('row', 'inner', 'body', 'block', 'col', 'level')}>" for x in names]
+        return "".join(tags), "".join("</li></ul>" if "><" in x else f"</{x}>" for x in reversed(names))
+
     def menu(outer: str) -> None:
         add(outer + "<ul>")
         for _ in range(rng.integers(2, 9)):
@@ -259,10 +300,11 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         add("</ul>" + re.sub(r"<(\w+)[^>]*>", r"</\1>", outer))
 
     def side_text(outer: str, text: list[str], inner: str = "p") -> None:
-        add(outer)
+        opened, closed = deep() if rng.random() < 0.05 else ("", "")
+        add(outer + opened)
         for x in text:
             add(pick(f"<{inner}>{x}</{inner}>", f"<div>{x}</div>") if rng.random() < 0.8 or len(text) > 1 else x, 0)
-        add(re.sub(r"<(\w+)[^>]*>", r"</\1>", outer))
+        add(closed + re.sub(r"<(\w+)[^>]*>", r"</\1>", outer))
 
     def advert() -> None:
         side_text(f"<{(t := pick('div', 'aside', 'section', 'ins'))}{mark('ad', 'ads', 'advert', 'advertisement', 'banner', 'sponsored', 'promo')}>", [pick(prose(1, 3), line(2, 9), "Advertisement")])
@@ -296,6 +338,12 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         add(outer)
         if rng.random() < 0.6:
             add(f"<h{(k := pick(2, 3))}>{pick('Comments', 'Kommentare', 'Comentarios', line(1, 3))}</h{k}>", 0)
+        if rng.random() < 0.4:  # replies to replies
+            inner = pick("<ul><li><div>", "<ol><li><div>", "<ul class=\"children\"><li class=\"comment\"><div>", "<div><div><div>", "<div class=\"reply\"><div><div class=\"body\">")
+            levels = rng.integers(3, 14)
+            for _ in range(levels):
+                add(f"{inner}<p>{prose()}</p></div>", 0)
+            add(("</div></div>" if inner.startswith("<div") else f"</li></{inner[1:3]}>") * levels)
         for _ in range(rng.integers(1, 5)):
             wrap = pick("div class=\"comment\"", "article class=\"comment\"", "li", "div")
             add(f"<{wrap}><p>{prose()}</p></{wrap.split()[0]}>", 0)
@@ -307,6 +355,8 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     def article() -> None:
         outer = pick("<article>", "<article>", "<article>", f"<article{mark('post', 'entry', 'story')}>", "<main><article>", "<main>", f"<div{mark('article', 'content', 'post', 'entry-content', 'story', 'main-content', 'post-body')}>", '<div itemprop="articleBody">', '<section class="article-body">')
         add(outer)
+        opened, closed = deep() if rng.random() < 0.3 else ("", "")
+        add(opened)
         if rng.random() < 0.85:
             add(f"<h1>{line(2, 12)}</h1>", 1)
         if rng.random() < 0.2:
@@ -336,6 +386,7 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[int]]:
                 form()
             else:
                 pick(sidebar, notice, share)()
+        add(closed)
         if rng.random() < 0.1:
             comments()
         add("</article></main>" if "><" in outer else re.sub(r"<(\w+)[^>]*>", r"</\1>", outer))
