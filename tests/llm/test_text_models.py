@@ -137,9 +137,94 @@ def test_scores_of_odd_texts(spark):
     assert bad > 0.5 > calm
 
 
+def test_scores_do_not_depend_on_company(spark):
+    """A text scored alone, in batches of two sizes and in two partitionings, and the model from the same rows dealt otherwise."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    for module, column in ((toxicity, "toxicity"), (quality, "quality")):
+        model = module.train(docs, labels, F.lit(True))
+        again = module.train(docs.repartition(7), labels.repartition(3), F.lit(True))
+        score = toxicity.score_toxicity if module is toxicity else quality.score_quality
+        few = docs.where("doc_id % 10 = 0")
+        runs = [{r["doc_id"]: r[column] for r in score(x, m).collect()} for x, m in ((docs, model), (few.coalesce(1), model), (docs.repartition(13), again))]
+        assert all(runs[0][k] == v for run in runs[1:] for k, v in run.items())
+        texts = [r["text"] for r in few.orderBy("doc_id").collect()]
+        if module is toxicity:
+            start = lambda: (toxicity.Words(), np.zeros((0, 0), np.float32))
+            together, alone = model.score(texts, *start())[0], [model.score([t], *start())[0][0] for t in texts]
+            blocks = toxicity.BLOCK
+            try:
+                toxicity.BLOCK = 97
+                assert (model.score(texts, *start())[0] == together).all()
+            finally:
+                toxicity.BLOCK = blocks
+        else:
+            x = np.array([quality.features(t) for t in texts])
+            together, alone = model.chance(model.rank(x)), [model.chance(model.rank(x[[k]]))[0] for k in range(len(x))]
+        assert together.tolist() == alone
+
+
+def test_toxicity_against_plain_sums():
+    """The output by the formula: largest window response of each filter, zero at least, times its weight."""
+    rng = np.random.default_rng(1)
+    m = toxicity.Classifier()
+    m.bias += rng.normal(0, 0.1, m.bias.shape).astype(np.float32)
+    texts = ["", "one", "one two", "three little words here", "word " * 300 + "idiot", " ".join(f"w{k % 37}" for k in range(900))]
+    words = toxicity.Words()
+    docs = [words.rows(t) for t in texts]
+    got = m.logits(docs, m.answers(words.parts()))
+    vectors = {w: sum(m.table[p] for p in toxicity.parts(w) if p < toxicity.BUCKETS) for t in texts for w in t.lower().split()}
+    for text, z in zip(texts, got):
+        w, want = text.lower().split(), m.shift
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                runs = [sum(vectors[w[i + j]] @ m.filters[k][j][:, f] for j in range(width)) for i in range(len(w) - width + 1)]
+                want += max(0.0, max(runs, default=-9e9) + m.bias[k, f]) * m.out[k * toxicity.FILTERS + f]
+        assert abs(z - want) < 1e-4
+
+
+def test_training_rows_are_bounded_and_chosen_alike(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k} " * (k % 7), "en") for k in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k % 50, int(k % 3 == 0)) for k in range(100)] + [(None, 1)], "doc_id long, toxic int")
+    one = toxicity.labelled(docs, labels, "toxic", F.lit(True), 20).orderBy("doc_id").collect()
+    assert len(one) == 20 and one == toxicity.labelled(docs.repartition(5), labels.repartition(4), "toxic", F.lit(True), 20).orderBy("doc_id").collect()
+    texts = {k: min(f"text {j} " * (j % 7) for j in range(k, 200, 50)) for k in range(50)}
+    assert all(r["text"] == texts[r["doc_id"]] and r["y"] == max(j % 3 == 0 for j in range(r["doc_id"], 100, 50)) for r in one)
+    sizes = spark.createDataFrame([(k, 10) for k in range(50)], "doc_id long, n long")
+    assert toxicity.within(sizes, "n", 205).count() == 20 and toxicity.within(sizes, "n", 5).count() == 0
+
+
+def test_quality_against_brute_force_bradley_terry():
+    """The ranker prefers what a plain Bradley-Terry fit over all pairs prefers."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, len(quality.FEATURES)))
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(0, 0.3, 80) > 0).astype(int)
+    m = quality.Ranker().fit(x, y)
+    z = (m._design(x) - m.mean) / m.scale
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(500):
+        w += 0.05 * ((d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(0) - 1e-3 * w)
+    r, plain = m.rank(x), z @ w
+    assert ((r[y == 1][:, None] > r[y == 0][None]).mean()) > 0.95
+    assert np.corrcoef(r, plain)[0, 1] > 0.9
+
+
+def test_clashing_columns_of_scores(spark):
+    docs = spark.createDataFrame([(1, "some words", 7, 8, 9)], "doc_id long, text string, scores int, scores_ int, rank int")
+    out = quality.score_quality(docs, quality.Ranker().fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))).collect()[0]
+    assert (out["scores"], out["scores_"], out["rank"], out["quality"]) == (7, 8, 0.0, 0.0)
+
+
 def test_quality_keeps_by_quantile(spark):
     df = spark.createDataFrame([(k, float(k)) for k in range(100)], "doc_id long, rank double")
-    assert quality.keep_best(df, 0.25).count() in (75, 76) and quality.keep_best(df, 0).count() == 100
+    assert quality.keep_best(df, 0.25).count() == 76 and quality.keep_best(df, 0).count() == 100
+    rng = np.random.default_rng(5)
+    for values in ([3.5], [1.0] * 9, [0.0, 1e-320, 5e-324], rng.normal(size=999).tolist(), np.round(rng.normal(size=500), 1).tolist(), [*([0.25] * 700), *rng.random(300)]):
+        table = spark.createDataFrame([(float(v),) for v in values], "rank double")
+        for share in (0.01, 0.25, 0.5, 0.9, 1.0):
+            assert quality.rank_quantile(table, share) == sorted(values)[max(1, int(np.ceil(share * len(values)))) - 1]
+    assert quality.rank_quantile(df.limit(0), 0.5) is None
     assert len(quality.features(None)) == len(quality.features("Ab c.\nX!! | 9")) == len(quality.FEATURES)
 
 

@@ -18,9 +18,11 @@ _OWN_FOLDER: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_FOLDER:
             _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="tidewright-")
@@ -70,6 +72,17 @@ def release_memory() -> None:
         pass
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

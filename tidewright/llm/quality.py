@@ -7,15 +7,18 @@ against one of label 0, by logistic loss on the feature differences.  Documents
 the table at hand; a calibration fitted on rows outside the fit maps a score to the chance of label 1.
 
 The fit reads at most `MAX_LABELS` labelled rows and `PAIRS` pairs (documented bounds); features are computed on the
-executors and only they reach the driver, never texts.  Every text is scored whole.
+executors and only they reach the driver, never texts.  Every text is scored whole.  A score is summed column by column,
+so it depends on its text alone and equal texts have equal scores in any batch.
 
-Defined results: null and empty texts have all features zero; rows that repeat an id are scored each; a missing or
-one-sided training set gives a constant score, the share of label 1 (0 without labels); an empty table gives an empty
-result; other columns are ignored.
+Defined results: null and empty texts have all features zero; rows that repeat an id are scored each; in training an id
+counts once, with its largest label and the smallest of its texts; a missing or one-sided training set gives a constant
+score, the share of label 1 (0 without labels); ties at the quantile stay; an empty table gives an empty result; all other
+columns are kept, but columns named rank and quality are replaced by the scores.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -25,11 +28,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, unused
 from .toxicity import labelled
 
 MAX_LABELS, PAIRS = 8_000, 60_000
 QUANTILES = 8
+#: Counts that a round of the exact quantile reads.
+BINS = 1_024
+#: Share of documents below the quantile that the decision asks for.
+DROP_SHARE = 0.25
 
 _ODD = re.compile(r"[^\w\s]{2,}")
 FEATURES = ("words", "upper", "symbols", "digits", "spaces", "odd_runs", "odd_words", "upper_words", "same_next", "distinct", "top_word", "triples", "top_triple", "line_repeats", "short_lines", "bars", "word_length", "long_words", "ends", "packed", "letters")
@@ -92,12 +99,15 @@ class Ranker:
         """Bradley-Terry scores of feature rows."""
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        return ((self._design(x) - self.mean) / self.scale) @ self.weights
+        z, out = self._design(x), np.zeros(len(x))
+        for k, weight in enumerate(self.weights.tolist()):  # in a fixed order, whatever else is in the batch
+            out += (z[:, k] - self.mean[k]) / self.scale[k] * weight
+        return out
 
     def chance(self, rank: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(rank), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * rank + self.offset, -30, 30)))
+        return np.array([1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * r + self.offset)))) for r in rank.tolist()])
 
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Ranker:
         y = np.asarray(y)
@@ -136,16 +146,15 @@ class Ranker:
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, limit: int = MAX_LABELS) -> Ranker:
+    """A ranker fitted on the labelled rows of `labels` that `keep` lets through."""
     features_udf = F.pandas_udf(lambda texts: pd.Series([features(x) for x in texts]), "array<double>")
-    rows = labelled(docs, labels, "quality", keep, limit).select("doc_id", "y", features_udf("text").alias("x")).limit(2 * limit).toPandas()
-    rows = rows.sort_values(["doc_id"], kind="stable")
+    rows = labelled(docs, labels, "quality", keep, limit).select("doc_id", "y", features_udf("text").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
-    order = np.lexsort((*x.T[::-1], rows["doc_id"].to_numpy())) if len(rows) else []
-    return Ranker().fit(x[order], rows["y"].to_numpy()[order])
+    return Ranker().fit(x, rows["y"].to_numpy())
 
 
 def score_quality(df: DataFrame, model: Ranker) -> DataFrame:
-    """df with rank (the Bradley-Terry score) and quality (0 to 1)."""
+    """df with rank (the Bradley-Terry score) and quality (0 to 1), in place of columns of these names."""
 
     @F.pandas_udf("struct<rank:double,quality:double>")
     def score(texts: pd.Series) -> pd.DataFrame:
@@ -153,13 +162,38 @@ def score_quality(df: DataFrame, model: Ranker) -> DataFrame:
         r = model.rank(x)
         return pd.DataFrame({"rank": r, "quality": model.chance(r)})
 
-    out = small_batches(df).withColumn("_scores", score(F.coalesce(F.col("text"), F.lit(""))))
-    return out.withColumn("rank", F.col("_scores.rank")).withColumn("quality", F.col("_scores.quality")).drop("_scores")
+    (both,) = unused(df, "scores")
+    out = small_batches(df).withColumn(both, score(F.coalesce(F.col("text"), F.lit(""))))
+    return out.withColumn("rank", F.col(f"{both}.rank")).withColumn("quality", F.col(f"{both}.quality")).drop(both)
+
+
+def rank_quantile(scored: DataFrame, share: float) -> float | None:
+    """The exact `share` quantile of the ranks of a scored and stored table: the smallest rank that at least that share of all
+    ranks does not exceed; None without rows.
+
+    The range of ranks is narrowed to the bin that holds the quantile, bin by bin, so the driver reads BINS counts a round.
+    """
+    n, low, high = scored.agg(F.count("rank"), F.min("rank"), F.max("rank")).first()
+    if not n:
+        return None
+    want, below = max(1, math.ceil(share * n)), 0
+    while low < high:
+        width = (high - low) / BINS
+        place = F.least(F.floor((F.col("rank") - low) / width), F.lit(BINS - 1)).cast("int")
+        if low + width <= low:  # no more than BINS numbers lie in between
+            place = F.col("rank")
+        bins = scored.where(F.col("rank").between(low, high)).groupBy(place.alias("bin"))
+        for _, many, first, last in sorted(bins.agg(F.count("*"), F.min("rank"), F.max("rank")).collect()):
+            if below + many >= want:
+                low, high = first, last
+                break
+            below += many
+    return low
 
 
 def keep_best(scored: DataFrame, drop_share: float) -> DataFrame:
     """Rows of a scored (and stored) table whose rank reaches the quantile `drop_share` of all ranks; ties stay."""
     if drop_share <= 0:
         return scored
-    cut = scored.agg(F.percentile_approx("rank", F.lit(drop_share), F.lit(100_000))).first()[0]  # one number
+    cut = rank_quantile(scored, drop_share)
     return scored.where(F.col("rank") >= cut) if cut is not None else scored

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_text, licenses, mixing, pieces, quality, simhash, tokens, toxicity, vectors
-from .common import UPPER, documents
+from .common import UPPER, documents, write_table
 
 
 def vocabulary(name: str) -> str:
@@ -40,8 +40,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, ~_held_out("doc_id", 5, 0))
-    out = quality.score_quality(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", _held_out("doc_id", 5, 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"), "rank")
+    out = write_table(quality.score_quality(docs.select("doc_id", "text"), model).drop("text"), "ranked")
+    cut = quality.rank_quantile(out, quality.DROP_SHARE)
+    best = F.lit(True) if cut is None else F.col("rank") >= cut
+    return out.select("doc_id", _held_out("doc_id", 5, 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"), "rank", best.alias("best"))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,16 +6,22 @@ parts' log odds in the training rows, all weights are then trained by gradient d
 score is calibrated on rows that the fit has not seen; there also each language gets the threshold with the best F1
 (languages with few rows share one).  The language is used for that threshold only, never for a score.
 
-The fit reads at most `MAX_LABELS` labelled rows (a documented bound; which ones is decided by a hash of the id); every
-text is scored whole.
+The fit reads at most `MAX_LABELS` labelled rows of at most `MAX_WORDS` words together (documented bounds; a hash of the id
+decides which); words become feature numbers on the executors and only these reach the driver.  Every text is scored whole.
 
-Defined results: null and empty texts get the score of a text without words; rows that repeat an id are scored each; a
-missing or one-sided training set gives a constant score, the share of positive labels (0 without labels); an empty
-table gives an empty result; other columns are ignored.
+A score depends on its text alone: what the filters answer to a word is summed dimension by dimension, elementwise, once per
+distinct word; answers of neighbouring words are added in order, maxima are exact, and the output is summed filter by
+filter in double precision.  So equal texts have equal scores in any batch and any partitioning.
+
+Defined results: null and empty texts get the score of a text without words; rows that repeat an id are scored each; in
+training an id counts once, with its largest label and the smallest of its texts; a missing or one-sided training set
+gives a constant score, the share of positive labels (0 without labels); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -25,16 +31,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches
+from .common import release_memory, small_batches, write_table
 
-#: Labelled rows that a fit reads at most.
-MAX_LABELS = 8_000
+#: Labelled rows that a fit reads at most, and their words together.
+MAX_LABELS, MAX_WORDS = 8_000, 6_000_000
 BUCKETS, DIM, WIDTHS, FILTERS, PARTS = 1 << 15, 16, (1, 2, 3), 16, 6
 EPOCHS, BATCH, RATE = 4, 32, 0.05
 #: Words that the filters pass over at a time.
 BLOCK = 20_000
 #: Words remembered by a worker; it starts anew when full.
 REMEMBER = 100_000
+#: Texts that are scored together.
+TEXTS = 1_000
 #: Calibration rows that a language needs for a threshold of its own.
 LANG_ROWS = 50
 
@@ -128,15 +136,56 @@ class Classifier:
         best = np.where(where >= 0, best, 0)  # texts shorter than a filter respond with nothing
         return best.reshape(len(spans), -1), where
 
-    def logits(self, x: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-        return self._pool(x, spans)[0] @ self.out + self.shift
+    def answers(self, some: np.ndarray) -> np.ndarray:
+        """What each row of each filter answers to words of these feature buckets (words x the filters' rows * FILTERS), summed
+        over the dimensions one after the other, so a word's answers do not depend on the words beside it."""
+        vectors = _vectors(self.table, some)
+        weights = np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in self.filters], axis=1)
+        out = np.zeros((len(some), weights.shape[1]), np.float32)
+        for d in range(DIM):
+            out += vectors[:, d : d + 1] * weights[d]
+        return out
+
+    def logits(self, docs: list[np.ndarray], answers: np.ndarray) -> np.ndarray:
+        """The outputs for documents, given as rows of answers; in double precision and, for a document, in a fixed order."""
+        ahead, n_filters = max(WIDTHS) - 1, len(WIDTHS) * FILTERS
+        none = len(answers)  # a row that answers with minus infinity closes each document, so no window crosses its end
+        answers = np.concatenate([answers, np.full((1, answers.shape[1]), -np.inf, np.float32)])
+        end = np.full(ahead, none, np.int32)
+        flat = np.concatenate([x for d in docs for x in (d, end)])
+        size = np.array([len(d) + ahead for d in docs])
+        begin = np.cumsum(size) - size
+        best = np.full((len(docs), n_filters), -np.inf, np.float32)
+        for at in range(0, len(flat), BLOCK):  # a bounded block of the words at a time, however long a text is
+            to = min(at + BLOCK, len(flat))
+            own = answers[np.r_[flat[at : to + ahead], end][: to - at + ahead]]
+            first, last = np.searchsorted(begin, at, "right") - 1, np.searchsorted(begin, to)
+            cuts, column = np.maximum(begin[first:last], at) - at, 0
+            for k, w in enumerate(WIDTHS):
+                run = own[: to - at, column : column + FILTERS]
+                for j in range(1, w):
+                    run = run + own[j : to - at + j, column + j * FILTERS : column + (j + 1) * FILTERS]
+                column += w * FILTERS
+                part = best[first:last, k * FILTERS : (k + 1) * FILTERS]
+                np.maximum(part, np.maximum.reduceat(run, cuts, axis=0), out=part)
+        best = np.maximum(best + self.bias.ravel(), 0).astype(np.float64)  # texts shorter than a filter respond with nothing
+        z = np.full(len(docs), float(self.shift))
+        for k in range(n_filters):
+            z += best[:, k] * float(self.out[k])
+        return z
 
     def chance(self, logit: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(logit), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * logit.astype(np.float64) + self.offset, -30, 30)))
+        return np.array([1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * z + self.offset)))) for z in logit.tolist()])
 
     def fit(self, texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> Classifier:
+        words = Words()
+        docs = [words.rows(t) for t in texts]
+        return self.fit_rows(docs, words.parts(), labels, langs, seed)
+
+    def fit_rows(self, docs: list[np.ndarray], feats: np.ndarray, labels: np.ndarray, langs: list[str | None], seed: int = 7) -> Classifier:
+        """Fit on documents given as rows of feats, the feature buckets of distinct words."""
         labels = np.asarray(labels, np.float64)
         if len(labels) < 20 or labels.min() == labels.max():
             self.constant = float(labels.mean()) if len(labels) else 0.0
@@ -144,10 +193,6 @@ class Classifier:
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(labels))
         check, train = order[: len(order) // 5], order[len(order) // 5 :]
-        words = Words()
-        docs = [words.rows(t) for t in texts]
-        del texts
-        feats = words.parts()
         # log odds of each feature, by documents
         pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for i in train:
@@ -209,12 +254,13 @@ class Classifier:
                     idx, g = bucket[keep], np.repeat(d_x[hit], keep.sum(1), axis=0)
                     np.add.at(g_table, idx, (g**2).mean(1))
                     np.add.at(self.table, idx, -RATE * g / np.sqrt(g_table[idx])[:, None])
-        self._calibrate([docs[i] for i in check], labels[check], [langs[i] for i in check], words)
+        self._calibrate([docs[i] for i in check], labels[check], [langs[i] for i in check], feats)
         return self
 
-    def _calibrate(self, docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], words: Words) -> None:
-        vectors = _vectors(self.table, words.parts())
-        z = np.concatenate([self.logits(vectors[d], [(0, len(d))]) for d in docs]).astype(np.float64)
+    def _calibrate(self, docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], feats: np.ndarray) -> None:
+        used, back = np.unique(np.concatenate(docs), return_inverse=True)
+        cut = np.cumsum([len(d) for d in docs])[:-1]
+        z = self.logits(np.split(back.astype(np.int32), cut), self.answers(feats[used]))
         a, b = 1.0, 0.0
         soft = np.where(labels > 0, (labels.sum() + 1) / (labels.sum() + 2), 1 / (len(labels) - labels.sum() + 2))
         for _ in range(500):
@@ -239,39 +285,65 @@ class Classifier:
             if len(rows) >= LANG_ROWS and 0 < labels[rows].sum() < len(rows):
                 self.thresholds[lang] = best(rows)
 
-    def score(self, texts: list[str], words: Words, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of whole texts; vectors grows with the words met."""
+    def score(self, texts: list[str], words: Words, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of whole texts; answers grows with the words met."""
         docs = [words.rows(t) for t in texts]
-        if len(words) > len(vectors):
-            vectors = np.concatenate([vectors, _vectors(self.table, words.parts(len(vectors)))])
-        if self.constant is not None:
-            return np.full(len(texts), self.constant), vectors
-        out, group, size = [], [], 0
-        for k, d in enumerate(docs):
-            group.append(d)
-            size += len(d)
-            if size > 20_000 or k == len(docs) - 1:
-                ends = np.cumsum([len(x) for x in group])
-                out.append(self.logits(vectors[np.concatenate(group)], list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()))))
-                group, size = [], 0
-        return self.chance(np.concatenate(out)), vectors
+        if len(words) > len(answers):
+            new = self.answers(words.parts(len(answers)))
+            answers = np.concatenate([answers, new]) if len(answers) else new
+        if self.constant is not None or not docs:
+            return np.full(len(texts), self.constant or 0.0), answers
+        if not len(answers):  # texts without a single word
+            answers = self.answers(np.full((1, PARTS), BUCKETS, np.int32))[:0]
+        return self.chance(self.logits(docs, answers)), answers
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int = MAX_LABELS) -> DataFrame:
-    """At most `limit` labelled rows (doc_id, text, lang, y) of those that `keep` lets through; a hash of the id decides which."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
+    """At most `limit` labelled rows (doc_id, text, lang, y), one per id, of those that `keep` lets through; a hash of the id
+    decides which.  Of labels of one id the largest counts, of its documents the one with the smallest text."""
+    fine = F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep
+    chosen = labels.where(fine).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(limit)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang", "y")  # `limit` rows at most
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # `limit` rows at most
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("row"))
+    return rows.select("doc_id", "row.text", "row.lang", "y")
+
+
+def within(rows: DataFrame, size: str, most: int) -> DataFrame:
+    """The rows (doc_id, ...) that fit into a total of `most`, taken by the hash of their ids; rows is stored and small."""
+    left, chosen = most, []
+    for doc_id, n in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", size).collect():
+        if n <= left:
+            left -= n
+            chosen.append((doc_id,))
+    return rows.join(rows.sparkSession.createDataFrame(chosen, "doc_id long"), "doc_id", "left_semi")
 
 
-def train(docs: DataFrame, labels: DataFrame, keep: Column, limit: int = MAX_LABELS) -> Classifier:
-    rows = labelled(docs, labels, "toxic", keep, limit).limit(2 * limit).toPandas().sort_values(["doc_id", "text"])
+def train(docs: DataFrame, labels: DataFrame, keep: Column, limit: int = MAX_LABELS, most: int = MAX_WORDS) -> Classifier:
+    """A classifier fitted on the labelled rows of `labels` that `keep` lets through."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each text as places in a list of feature buckets of its own."""
+        for b in batches:
+            out = []
+            for text in b["text"]:
+                words = Words()
+                rows = words.rows(text)
+                out.append((len(rows), rows.tobytes(), words.parts().astype("<u2").tobytes()))
+            yield b.drop(columns="text").assign(n=[x[0] for x in out], places=[x[1] for x in out], parts=[x[2] for x in out])
+
+    rows = labelled(docs, labels, "toxic", keep, limit).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "y")
+    rows = write_table(small_batches(rows).mapInPandas(number, "doc_id long, lang string, y int, n long, places binary, parts binary"), "labelled")
+    rows = within(rows, "n", most).toPandas().sort_values("doc_id")
+    own = [np.frombuffer(x, "<u2").reshape(-1, PARTS) for x in rows["parts"]]
+    every = np.concatenate([np.zeros((0, PARTS), "<u2"), *own])
+    _, first, back = np.unique(every.view(f"V{2 * PARTS}").ravel(), return_index=True, return_inverse=True)
+    begin = np.cumsum([0, *map(len, own)])
+    words = [back[a + np.frombuffer(x, "<i4")].astype(np.int32) for a, x in zip(begin, rows["places"])]
     lang = [x if isinstance(x, str) else None for x in rows["lang"]]
-    texts, y = rows["text"].tolist(), rows["y"].to_numpy()
-    del rows
-    return Classifier().fit(texts, y, lang)
+    return Classifier().fit_rows(words, every[first].astype(np.int32), rows["y"].to_numpy(), lang)
 
 
 def scorer(model: Classifier) -> Callable[[pd.Series], pd.Series]:
@@ -279,16 +351,16 @@ def scorer(model: Classifier) -> Callable[[pd.Series], pd.Series]:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, vectors = Words(), np.zeros((0, DIM), np.float32)
+        words, answers = Words(), np.zeros((0, 0), np.float32)
         for b in batches:
             out = []
-            for at in range(0, len(b), 200):
+            for at in range(0, len(b), TEXTS):
                 if len(words) > REMEMBER:
-                    words, vectors = Words(), np.zeros((0, DIM), np.float32)
-                s, vectors = model.score([x or "" for x in b.iloc[at : at + 200]], words, vectors)
+                    words, answers = Words(), np.zeros((0, 0), np.float32)
+                s, answers = model.score([x or "" for x in b.iloc[at : at + TEXTS]], words, answers)
                 out.append(s)
             yield pd.Series(np.concatenate(out) if out else np.array([], float))
-        del words, vectors
+        del words, answers
         release_memory()
 
     return score
