@@ -187,8 +187,8 @@ def test_inclusion_is_even_within_a_source(spark):
     times = {}
     seeds = 3
     for seed in range(seeds):
-        for r in mixing.decide(rows, mixing.cuts(rows, seed=seed), seed).collect():
-            times[r["source"], r["doc_id"]] = times.get((r["source"], r["doc_id"]), 0) + r["_mix_copies"]
+        for r in mixing.counts(rows, seed=seed).collect():
+            times[r["source"], r["doc_id"]] = times.get((r["source"], r["doc_id"]), 0) + r["copies"]
     for s in "abc":
         mine = np.array([v for (x, _), v in times.items() if x == s]) / seeds
         total = mine.sum()
@@ -197,6 +197,94 @@ def test_inclusion_is_even_within_a_source(spark):
         assert len(set(mine)) > 1  # other documents with another seed
 
 
+def plain_expected(sizes, target):
+    """Expected copies of documents of these sizes, by bisection."""
+    g = np.array([1 + len(bin(s)[2:]) / 16 for s in sizes])
+    low, high = 0.0, 3.0
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if np.minimum(3, c * g) @ np.array(sizes) < target else (low, c)
+    return np.minimum(3, low * g)
+
+
+def plain_sample(ids, sizes, target, seed):
+    """Copies of each document of one source (distinct ids), document by document."""
+    import hashlib
+
+    e = plain_expected(sizes, target)
+    copies, gap = np.floor(e + 1e-12).astype(int), 0.0
+    p = e - copies
+    gap = target - float(copies @ np.array(sizes))
+    rank = []
+    for i, chance in zip(ids, p):
+        u = (int(hashlib.md5(f"{i}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        rank.append(u / (1 - u) / (chance / (1 - chance)) if chance > 1e-9 else None)
+    left = sorted((r, k) for k, r in enumerate(rank) if r is not None and sizes[k])
+    for _ in range(mixing.PHASES):
+        fits, room, rest = True, gap, []
+        for r, k in left:
+            if fits and sizes[k] <= room:
+                if sizes[k] <= gap:
+                    gap -= sizes[k]
+                    copies[k] += 1
+                else:
+                    fits = False
+            if not fits:
+                rest.append((r, k))
+        left = rest
+    last = min(((abs(gap - sizes[k]), r, k) for r, k in left if abs(gap - sizes[k]) < gap), default=None)
+    if last:
+        copies[last[2]] += 1
+    return copies
+
+
+def test_mix_against_plain_loops(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = [(k, "abc"[k % 3], int(2 ** rng.uniform(0, 9))) for k in range(150)]
+    rows = spark.createDataFrame(docs, "doc_id long, source string, size long").persist()
+    want = plain_targets({s: sum(n for _, x, n in docs if x == s) for s in "abc"})
+    monkeypatch.setattr(mixing, "BINS", 8)  # so that bins are cut again
+    monkeypatch.setattr(mixing, "LEAF", 3)
+    got = {r["doc_id"]: r["copies"] for r in mixing.counts(rows, seed=5).collect()}
+    for s in "abc":
+        own = [(i, n) for i, x, n in docs if x == s]
+        plain = plain_sample([i for i, _ in own], [n for _, n in own], want[s], 5)
+        assert [got[i] for i, _ in own] == plain.tolist()
+
+
+def test_inclusion_frequencies_follow_the_probabilities():
+    """Over many seeds a document is taken about as often as expected, larger ones more often; words come near the target."""
+    rng = np.random.default_rng(9)
+    sizes = [int(x) for x in 2 ** rng.uniform(4, 11, 400)]
+    for share in (0.4, 1.3):
+        target = share * sum(sizes)
+        e, runs = plain_expected(sizes, target), [plain_sample(range(400), sizes, target, seed) for seed in range(300)]
+        often = np.mean(runs, axis=0)
+        # documents that close the gap come on top: small ones, a few of a source
+        assert abs(often - e).mean() < 0.04 and abs(often.sum() - e.sum()) < 10
+        groups = [np.array([len(bin(n)) - 2 == h for n in sizes]) for h in range(5, 12)]
+        assert all(abs(often[g].mean() - e[g].mean()) < 0.06 for g in groups)
+        assert often[groups[-1]].mean() > often[groups[2]].mean() + 0.02
+        assert max(abs(x @ np.array(sizes) - target) for x in runs) < 0.01 * target
+
+
+def test_mix_keeps_clashing_columns(spark):
+    df = mixed_docs(spark, 60)
+    for name in ("own", "own_", "times", "salt", "salt_b", "s", "c", "phases", "_mix_copies", "_mix_source", "_mix_copy", "size", "words", "rank"):
+        df = df.withColumn(name, F.lit(7))
+    out = mixing.mix(df)
+    plan = mixing.plan_mix(df)
+    assert out.columns == df.columns and out.count() == plan.agg(F.sum("copies")).first()[0]
+    assert all(set(r.asDict()[c] for c in df.columns[4:]) == {7} for r in out.collect())
+
+
+def test_hot_source_and_repeated_ids(spark):
+    """A source with most rows, one id that half of its rows repeat, ties of all kinds: reruns agree, nothing exceeds the cap."""
+    rows = spark.createDataFrame([(7 if k % 2 else k, "hot", 1 + k % 9) for k in range(4000)] + [(None, None, 3), (None, "x", 0), (1, "x", 5)], "doc_id long, source string, size long")
+    one, two = (sorted((r["doc_id"] or -1, r["source"] or "", r["size"], r["copies"]) for r in mixing.counts(x).collect()) for x in (rows.persist(), rows.repartition(11)))
+    assert one == two and len(one) == 4003 and all(0 <= c <= 3 for *_, c in one)
+
+
 def test_mix_edge_cases(spark):
     df = mixed_docs(spark, 30)
     assert mixing.plan_mix(df.limit(0)).isEmpty() and mixing.mix(df.limit(0)).isEmpty()

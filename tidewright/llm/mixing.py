@@ -1,15 +1,25 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions.
 
-Each source gets a target number of words (its weight's share of all words, at most `cap` times what it has, the excess
-reshared by weight).  With target / words = copies, every document of the source gets the whole part of that as certain
-copies; the rest is a fixed-size sample in which a document is included with the remaining probability p: documents are
-ranked by random odds over inclusion odds (Pareto order sampling), and the lowest ranks are taken until the words run
-out.  The cut is found from a histogram of ranks of bounded width per source, the exact order only inside the bin in
-which the words run out, and up to three closing documents of about the size of the gap.  No source is ever gathered in one task.
-
-Defined results: null text has size 0; a null source is a source of its own and sorts last; sources without words get
-target 0; rows that repeat an id have the same rank and are taken together; an empty table gives an empty result; the
-random numbers are hashes of id and seed, so reruns agree.  `mix` keeps all other columns, whatever their names.
+Each source gets a target number of words: its weight's share of all words, at most `cap` times what it has, the excess
+reshared by weight.  A document of a source is expected e = min(cap, c * g) times, where g grows gently with the bits of
+its size (1 + bits / 16) and c is such that the expected words meet the target.  The whole part of e are certain copies.
+What is left, p = e - floor(e), is the document's inclusion probability in the sample: documents are ranked by random odds
+over inclusion odds, u / (1 - u) over p / (1 - p) (Pareto order sampling, unequal probabilities), and the lowest ranks are
+taken until the words that the certain copies leave open are used up, so a source's sample has a fixed size in words.
+
+What closes the gap: documents that exceed the words left are passed over, and the order is followed further with the
+documents that fit (`PHASES` times; each leaves less than the size of the document that stopped it); then one document
+of those left over may follow, the one that brings the words nearest to the target.
+
+No source is gathered in one task.  Where the words run out is found from histograms of the ranks, `BINS` sums a source,
+bin by bin, until a bin holds at most `LEAF` documents.  Tables of one row a source are joined by source and salt, so a
+source that holds a third of all rows is dealt over `SALTS` tasks; Spark broadcasts them instead where they are under
+its own size bound.
+
+Defined results: null text has size 0; documents without words are taken as often as their certain copies; a null source
+is a source of its own and sorts last; a source without words gets target 0; rows that repeat an id have one rank, and
+those of one rank are taken together or not at all (certain copies aside); an empty table gives an empty result; random
+numbers are hashes of id and seed, so reruns agree in any partitioning.  `mix` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import unused, write_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
-BINS = 16_384
+#: Sums of a source that a round of the search reads, documents in the last bin, and rounds that the ranks' bits allow.
+BINS, LEAF, ROUNDS = 256, 4_096, 7
+#: Times that the order is followed, each time with the documents that fit into the words left.
+PHASES = 3
+#: Tasks that one source's rows are dealt over in a join.
+SALTS = 16
 
 
 def size_of(text: Column) -> Column:
@@ -29,6 +44,15 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _of_source(rows: DataFrame, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """rows (with source) joined to table (one row a source, whose source column is s; it is dropped)."""
+    (salt, other) = unused(rows.join(table.limit(0)), "salt", "salt_b")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    dealt = table.withColumn(other, F.explode(salts))
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
+    return rows.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col(salt) == F.col(other))).drop(salt, other, "s")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """sizes (source, words) with target: weights by code-point order, repeating, nulls last; targets stop at cap * words."""
     # places in the order: rows of a range partition, after the counts of the ranges before (one number per range)
@@ -39,7 +63,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
         before += n
     starts = sizes.sparkSession.createDataFrame(starts, "part int, start long")
     place = F.col("start") + F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
-    weighted = ranged.join(F.broadcast(starts), "part").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")))
+    weighted = ranged.join(F.broadcast(starts), "part").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")))  # one row a range
     weighted = write_table(weighted.select("source", "words", "weight"), "weights")
     rate = 0.0
     while True:  # each round caps more sources; the rate is one number
@@ -52,63 +76,140 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return weighted.select("source", "words", F.least(F.col("words") * cap, F.col("weight") * rate).alias("target"))
 
 
+def _likelier(size: Column) -> Column:
+    """How much likelier a document of that size is taken: 1 + bits / 16."""
+    return 1 + F.length(F.bin(size)) / 16.0
+
+
+def _expected(size: Column, c: Column, cap: float) -> Column:
+    """Expected copies of a document; c is null where the whole source is at the cap."""
+    return F.when(c.isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), c * _likelier(size)))
+
+
 def _rank(doc_id: Column, p: Column, seed: int) -> Column:
     """Random odds over inclusion odds, squeezed into (0, 1) without changing the order."""
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
-    p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = u / (1 - u) / (p / (1 - p))
+    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long")
+    u = (bits.cast("double") + 0.5) / float(1 << 52)
+    odds = F.try_divide(u / (1 - u), p / (1 - p))
     return odds / (1 + odds)
 
 
-def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
-    """rows (doc_id, source, size) to one row per source: words, target, certain, p, cut (largest rank taken), closing (ids)."""
-    sums = rows.groupBy("source").agg(F.sum("size").alias("words"))
-    share = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
-    plan = targets(sums, weights, cap).withColumn("certain", F.floor(share).cast("int")).withColumn("p", share - F.col("certain")).withColumn("need", F.col("target") - F.col("certain") * F.col("words"))
-    plan = write_table(plan, "plan")
-    ranked = rows.join(plan.select(F.col("source").alias("s"), "p", "need"), F.col("source").eqNullSafe(F.col("s")))
-    ranked = ranked.select("doc_id", "source", "size", "need", _rank(F.col("doc_id"), F.col("p"), seed).alias("rank"))
-    ranked = ranked.where("need > 0 and size > 0").withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
-    hist = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("need").alias("need"))
-    full = hist.selectExpr("source", "bin", "need", "sum(words) over (partition by source order by bin) as upto", "words")
-    edge = full.where("upto > need and upto - words <= need").select(F.col("source").alias("s"), F.col("bin").alias("edge"), (F.col("need") - F.col("upto") + F.col("words")).alias("left"))
-    edge = write_table(edge, "edge")  # one row per source
-    inside = ranked.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("edge")))
-    run = inside.selectExpr("source", "rank", "left", "sum(size) over (partition by source order by rank) as upto")
-    last = run.where("upto <= left").groupBy("source").agg(F.max("rank").alias("last"), F.max("upto").alias("used"))
-    cut = edge.join(last, F.col("s").eqNullSafe(F.col("source")), "left").select("s", F.coalesce("last", F.col("edge") / BINS - F.lit(1e-12)).alias("cut"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("gap"))
-    cut = write_table(cut, "cut")
-    closing = cut.select("s", "gap", F.expr("cast(array() as array<bigint>)").alias("closing"))
-    for last_round in (False, False, True):  # the largest documents that fit, then the one nearest to what is left
-        beyond = ranked.drop("need").join(closing.join(cut.select(F.col("s").alias("s2"), "cut"), F.col("s").eqNullSafe(F.col("s2"))), F.col("source").eqNullSafe(F.col("s")))
-        fits = F.abs(F.col("gap") - F.col("size")) < F.col("gap") if last_round else F.col("size") <= F.col("gap")
-        beyond = beyond.where((F.col("rank") > F.col("cut")) & fits & ~F.coalesce(F.array_contains("closing", F.col("doc_id")), F.lit(False)) & F.col("doc_id").isNotNull())
-        pick = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "size")).alias("pick"))
-        closing = closing.join(pick, F.col("s").eqNullSafe(F.col("source")), "left")
-        closing = write_table(closing.select("s", F.when(F.col("pick").isNull(), F.col("gap")).otherwise(F.greatest(F.lit(0.0), F.col("gap") - F.col("pick.size"))).alias("gap"), F.when(F.col("pick").isNull(), F.col("closing")).otherwise(F.concat("closing", F.array("pick.doc_id"))).alias("closing")), "closing")
-    out = plan.join(cut, plan["source"].eqNullSafe(cut["s"]), "left").drop("s", "gap")
-    closing = closing.select(F.col("s").alias("c"), "closing")
-    # where no bin is the edge, the words need all ranks or none
-    return write_table(out.join(closing, out["source"].eqNullSafe(closing["c"]), "left").drop("c").withColumn("cut", F.coalesce("cut", F.when(F.col("need") > 0, 1.0).otherwise(-1.0))), "cuts")
-
-
-def decide(rows: DataFrame, table: DataFrame, seed: int = 42) -> DataFrame:
-    """rows (with doc_id, source) with _mix_words and _mix_target of the source and the row's _mix_copies."""
-    table = table.select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "words", "target", "certain", "p", "cut", "closing")])
-    out = rows.join(table, F.col("source").eqNullSafe(F.col("_mix_source")))
-    extra = (_rank(F.col("doc_id"), F.col("_mix_p"), seed) <= F.col("_mix_cut")) | F.coalesce(F.array_contains("_mix_closing", F.col("doc_id")), F.lit(False))
-    return out.withColumn("_mix_copies", F.col("_mix_certain") + extra.cast("int")).drop("_mix_source", "_mix_certain", "_mix_p", "_mix_cut", "_mix_closing")
+def expectations(sums: DataFrame, cap: float = CAP) -> DataFrame:
+    """sums (source, words, target, classes: array of (bits, words)) with c and need, the words that certain copies leave open."""
+    largest = F.reverse(F.array_sort("classes"))
+    likelier = lambda x: 1 + x["bits"] / 16.0
+    zero = F.lit(0.0)
+    rest = F.aggregate("classes", zero, lambda acc, x: acc + x["words"] * likelier(x))
+
+    def fold(acc: Column, x: Column) -> Column:
+        """From the largest class on, those that would exceed the cap are put at the cap."""
+        over = F.try_divide(F.col("target") - cap * acc["capped"], acc["rest"]) * likelier(x) > cap
+        return F.struct((acc["capped"] + F.when(over, x["words"].cast("double")).otherwise(0.0)).alias("capped"), (acc["rest"] - F.when(over, x["words"] * likelier(x)).otherwise(0.0)).alias("rest"))
+
+    out = sums.withColumn("fold", F.aggregate(largest, F.struct(zero.alias("capped"), rest.alias("rest")), fold))
+    out = out.withColumn("c", F.when(F.col("target") < F.col("words") * cap, F.try_divide(F.col("target") - cap * F.col("fold.capped"), F.col("fold.rest"))))
+    whole = lambda x: F.floor(F.when(F.col("c").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.col("c") * likelier(x))))
+    certain = F.aggregate("classes", F.lit(0).cast("long"), lambda acc, x: acc + x["words"] * whole(x))
+    return out.withColumn("need", F.col("target") - certain).drop("fold", "classes")
+
+
+def _edges(pool: DataFrame, limits: DataFrame) -> DataFrame:
+    """For each source of limits (s, gap): edge, the first rank of pool (doc_id, source, rank, size) that the words of the ranks up
+    to it exceed gap at (2 where none does), and used, the words below it."""
+    state = limits.select("s", "gap", F.lit(0.0).alias("low"), F.lit(2.0).alias("width"), F.lit(0).cast("long").alias("before"))
+    for _ in range(ROUNDS):
+        here = _of_source(pool, state).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("width")))
+        bins = here.groupBy("source", F.floor((F.col("rank") - F.col("low")) / F.col("width") * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        bins = bins.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("bin", "words", "n"))).alias("bins"))  # BINS entries at most
+
+        def walk(acc: Column, x: Column) -> Column:
+            fits = (acc["bin"] < 0) & (acc["upto"] + x["words"] <= F.col("gap"))
+            stops = (acc["bin"] < 0) & ~fits
+            return F.struct((acc["upto"] + F.when(fits, x["words"]).otherwise(0)).alias("upto"), F.when(stops, x["bin"]).otherwise(acc["bin"]).alias("bin"), F.when(stops, x["n"]).otherwise(acc["n"]).alias("n"))
+
+        start = F.struct(F.col("before").alias("upto"), F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("n"))
+        none = F.expr("cast(array() as array<struct<bin: int, words: bigint, n: bigint>>)")
+        state = state.join(bins.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
+        state = state.withColumn("walk", F.aggregate(F.coalesce("bins", none), start, walk))
+        found = F.col("walk.bin") >= 0
+        low = F.when(found, F.col("low") + F.col("walk.bin") * (F.col("width") / BINS)).otherwise(F.col("low") + F.col("width"))
+        state = write_table(state.select("s", "gap", low.alias("low"), F.when(found, F.col("width") / BINS).otherwise(0.0).alias("width"), F.col("walk.upto").alias("before"), F.col("walk.n").alias("n")), "bins")
+        if (state.agg(F.max("n")).first()[0] or 0) <= LEAF:
+            break
+        state = state.drop("n")
+    here = _of_source(pool, state.drop("n")).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("width")))
+    leaf = here.groupBy("source", "rank").agg(F.sum("size").alias("words")).groupBy(F.col("source").alias("t")).agg(F.array_sort(F.collect_list(F.struct("rank", "words"))).alias("leaf"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["edge"].isNull() & (acc["used"] + x["words"] <= F.col("gap"))
+        return F.struct((acc["used"] + F.when(fits, x["words"]).otherwise(0)).alias("used"), F.coalesce(acc["edge"], F.when(~fits, x["rank"])).alias("edge"))
+
+    none = F.expr("cast(array() as array<struct<rank: double, words: bigint>>)")
+    out = state.join(leaf, F.col("s").eqNullSafe(F.col("t")), "left")
+    out = out.withColumn("step", F.aggregate(F.coalesce("leaf", none), F.struct(F.col("before").alias("used"), F.lit(None).cast("double").alias("edge")), step))
+    return write_table(out.select("s", "gap", F.coalesce("step.edge", F.col("low") + F.col("width")).alias("edge"), F.col("step.used").alias("used")), "edges")
+
+
+def plan_sources(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
+    """rows (doc_id, source, size) to one row a source: s, words, target, c, phases (array of from, edge, gap), last_rank, last_size."""
+    classes = rows.groupBy("source", F.length(F.bin("size")).alias("bits")).agg(F.sum("size").alias("words"))
+    sums = classes.groupBy("source").agg(F.sum("words").alias("words"), F.collect_list(F.struct("bits", "words")).alias("classes"))  # 64 classes at most
+    sums = write_table(sums, "sums")
+    shares = targets(sums.select("source", "words"), weights, cap).select(F.col("source").alias("t"), "target")
+    plan = expectations(sums.join(shares, F.col("source").eqNullSafe(F.col("t"))).drop("t"), cap)
+    plan = write_table(plan.withColumnRenamed("source", "s"), "plan")
+    e = _expected(F.col("size"), F.col("c"), cap)
+    ranked = _of_source(rows.where("size > 0"), plan.select("s", "c")).withColumn("p", e - F.floor(e)).where("p > 0")
+    pool = write_table(ranked.select("doc_id", "source", "size", _rank(F.col("doc_id"), F.col("p"), seed).alias("rank")), "ranked")
+    state = plan.select("s", F.col("need").alias("gap"), F.lit(0.0).alias("edge"), F.expr("cast(array() as array<struct<from: double, edge: double, gap: double>>)").alias("phases"))
+    for _ in range(PHASES):
+        left = _of_source(pool, state.select("s", "gap", "edge")).where("rank >= edge and size <= gap").drop("gap", "edge")
+        found = _edges(left, state.select("s", "gap")).select(F.col("s").alias("t"), F.col("edge").alias("next"), "used")
+        both = state.join(found, F.col("s").eqNullSafe(F.col("t")))
+        state = both.select("s", (F.col("gap") - F.col("used")).alias("gap"), F.col("next").alias("edge"), F.concat("phases", F.array(F.struct(F.col("edge").alias("from"), F.col("next").alias("edge"), "gap"))).alias("phases"))
+    state = write_table(state, "phases")
+    left = _of_source(pool, state.select("s", "gap", "edge")).where("rank >= edge").groupBy("source", "rank", "size", "gap").agg(F.sum("size").alias("words"))
+    last = left.where("abs(gap - words) < gap").groupBy(F.col("source").alias("t")).agg(F.min(F.struct(F.abs(F.col("gap") - F.col("words")).alias("off"), "rank", "size")).alias("last"))
+    state = state.join(last, F.col("s").eqNullSafe(F.col("t")), "left").select(F.col("s").alias("u"), "phases", F.col("last.rank").alias("last_rank"), F.col("last.size").alias("last_size"))
+    return write_table(plan.join(state, F.col("s").eqNullSafe(F.col("u"))).drop("u", "need"), "sources")
+
+
+def _copies(doc_id: Column, size: Column, own: Column, cap: float, seed: int) -> Column:
+    """Copies of a row; own: the row of plan_sources of its source."""
+    e = _expected(size, own["c"], cap)
+    p = e - F.floor(e)
+    rank = _rank(doc_id, p, seed)
+    taken = F.exists(own["phases"], lambda x: (rank >= x["from"]) & (rank < x["edge"]) & (size <= x["gap"]))
+    taken = taken | F.coalesce((rank == own["last_rank"]) & (size == own["last_size"]), F.lit(False))
+    return (F.floor(e) + F.when((size > 0) & (p > 0), taken.cast("int")).otherwise(0)).cast("int")
+
+
+def counts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
+    """rows (doc_id, source, size; stored) with source_size, target and copies."""
+    table = plan_sources(rows, weights, cap, seed)
+    out = _of_source(rows, table.select("s", F.struct("words", "target", "c", "phases", "last_rank", "last_size").alias("own")))
+    own = F.col("own")
+    return out.select("doc_id", "source", "size", own["words"].alias("source_size"), own["target"].alias("target"), _copies(F.col("doc_id"), F.col("size"), own, cap, seed).alias("copies"))
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    return write_table(df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")), "sizes")
 
 
 def plan_mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    rows = write_table(df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")), "sizes")
-    out = decide(rows, cuts(rows, weights, cap, seed), seed)
-    return out.select("doc_id", "source", "size", F.col("_mix_words").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_copies").alias("copies"), (F.col("_mix_copies") * F.col("size")).alias("taken"))
+    return counts(_sizes(df), weights, cap, seed).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
-    """The mixed documents: each row of df as often as the mix takes it, columns unchanged.  The texts themselves are not shuffled while there are few sources."""
-    rows = write_table(df.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    out = decide(df, cuts(rows, weights, cap, seed), seed).where("_mix_copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*df.columns)
+    """The mixed documents: each row of df as often as the mix takes it, columns unchanged."""
+    table = plan_sources(_sizes(df), weights, cap, seed)
+    own, times, key = unused(df, "own", "times", "s")
+    table = table.select(F.col("s").alias(key), F.struct("c", "phases", "last_rank", "last_size").alias(own))
+    (salt, other) = unused(df.withColumn(own, F.lit(0)).withColumn(times, F.lit(0)).withColumn(key, F.lit(0)), "salt", "salt_b")
+    table = table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = df.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = out.join(table, out["source"].eqNullSafe(F.col(key)) & (F.col(salt) == F.col(other)))
+    copies = _copies(F.col("doc_id").cast("long"), size_of(F.col("text")), F.col(own), cap, seed)
+    out = out.withColumn(times, copies).where(F.col(times) > 0)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)

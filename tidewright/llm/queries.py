@@ -83,7 +83,51 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
+
+
+def _mixing_sql() -> str:
+    """Targets, expected copies and the Pareto order by windows over whole sources."""
+    phases = ""
+    for k in range(mixing.PHASES):
+        before = f"l{k}" if k else "(select source, need as gap, 0::double as edge from plan)"
+        phases += f"""
+        f{k} as (select r.source, r.rank, x.gap, x.edge, sum(r.size) over (partition by r.source order by r.rank) as upto from ranked r
+            join {before} x on r.source is not distinct from x.source where r.rank >= x.edge and r.size <= x.gap),
+        l{k + 1} as (select x.source, x.edge as from_rank, x.gap as room, coalesce(min(f.rank) filter (f.upto > f.gap), 2) as edge, x.gap - coalesce(max(f.upto) filter (f.upto <= f.gap), 0) as gap
+            from {before} x left join f{k} f on f.source is not distinct from x.source group by x.source, x.edge, x.gap),"""
+    taken = " or ".join(f"(r.rank >= l{k}.from_rank and r.rank < l{k}.edge and r.size <= l{k}.room)" for k in range(1, mixing.PHASES + 1))
+    joins = " ".join(f"join l{k} on r.source is not distinct from l{k}.source" for k in range(1, mixing.PHASES + 1))
+    last = f"l{mixing.PHASES}"
+    return rf"""
+        with n as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+        s as (select source, sum(size)::bigint as words, row_number() over (order by source nulls last) as place from n group by source),
+        w as (select *, case (place - 1) % 3 when 0 then 5 when 1 then 2 else 1 end::double as weight from s),
+        x as (select *, row_number() over (order by 3 * words::double / weight) as k, sum(3 * words::double) over (order by 3 * words::double / weight rows unbounded preceding) as used,
+            sum(weight) over (order by 3 * words::double / weight rows unbounded preceding) as weights, (select sum(words)::double from w) as total, (select sum(weight) from w) as every, 3 * words::double / weight as ratio from w),
+        rates as (select 0 as k, total / every as rate from x union all select k, case when every > weights then (total - used) / (every - weights) end from x),
+        rate as (select rate from rates r where not exists (select 1 from x where x.k = r.k + 1 and x.ratio <= r.rate) order by k limit 1),
+        t as (select source, words, case when words = 0 then 0 else least(3 * words::double, weight * (select rate from rate)) end as target from w),
+        classes as (select source, length(bin(size)) as bits, sum(size)::double as words from n group by all),
+        folds as (select c.source, c.bits, (t.target - 3 * coalesce(sum(c.words) over larger, 0)) / sum(c.words * (1 + c.bits::double / 16)) over smaller as c, t.target < 3 * t.words as below
+            from classes c join t on c.source is not distinct from t.source
+            window larger as (partition by c.source order by c.bits desc rows between unbounded preceding and 1 preceding), smaller as (partition by c.source order by c.bits rows unbounded preceding)),
+        c as (select source, max_by(c, bits) filter (c * (1 + bits::double / 16) <= 3 and below) as c from folds group by source),
+        d as (select n.*, t.words, t.target, case when c.c is null then 3 else least(3, c.c * (1 + length(bin(n.size))::double / 16)) end as e
+            from n join t on n.source is not distinct from t.source join c on n.source is not distinct from c.source),
+        plan as (select source, any_value(target) - sum(floor(e) * size) as need from d group by source),
+        odds as (select doc_id, source, size, e - floor(e) as p, (('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':42'), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double as u from d where size > 0 and e > floor(e)),
+        ranked as (select doc_id, source, size, o / (1 + o) as rank from (select *, (u / (1 - u)) / (p / (1 - p)) as o from odds)),{phases}
+        ends as (select r.source, r.rank, r.size, abs({last}.gap - sum(r.size)) as off from ranked r join {last} on r.source is not distinct from {last}.source where r.rank >= {last}.edge
+            group by r.source, r.rank, r.size, {last}.gap having abs({last}.gap - sum(r.size)) < {last}.gap),
+        closing as (select source, min({{'off': off, 'rank': rank, 'size': size}}) as pick from ends group by source),
+        taken as (select distinct r.doc_id, r.source, r.size from ranked r {joins} left join closing z on r.source is not distinct from z.source
+            where {taken} or (r.rank = z.pick.rank and r.size = z.pick.size))
+        select d.doc_id, d.source, d.size, d.words as source_size, d.target, (floor(d.e) + (k.size is not null)::int)::int as copies, ((floor(d.e) + (k.size is not null)::int) * d.size)::bigint as taken
+        from d left join taken k on k.doc_id is not distinct from d.doc_id and k.source is not distinct from d.source and k.size = d.size"""
+
+
 ORACLE_SQL = {
+    "op9_mixing": _mixing_sql(),
     "op6_exact_dedup": f"""
         with n as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') as t from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from n group by t)
