@@ -38,11 +38,22 @@ def test_small_buckets_double_the_directory(spark):
 
 
 def test_directory_slots_cover_all_prefixes(spark):
-    df = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    deep, slots = exact_dedup.directory(df, capacity=50)
+    df = spark.range(1000).select(F.xxhash64("id").alias("h")).persist()
+    leaves = exact_dedup.directory(df, capacity=50)
+    deep, slots = exact_dedup.slots(leaves)
     assert [s for s, _, _ in slots] == list(range(1 << deep)) and all(b <= s for s, b, _ in slots)
-    same = spark.range(100).select(F.lit(5).cast("long").alias("h"))
-    assert exact_dedup.directory(same, capacity=10)[0] == exact_dedup.MAX_DEPTH  # one key cannot be split
+    unsigned = [r["h"] % (1 << 64) for r in df.collect()]
+    assert all(sum(h >> 64 - d == p for h in unsigned) <= 50 for d, p in leaves if d) and len(leaves) > 20
+    assert exact_dedup.directory(spark.range(1).select(F.lit(5).cast("long").alias("h")), capacity=1) == [(0, 0)]
+
+
+def test_buckets_split_as_deep_as_it_takes(spark):
+    """Keys that agree on 50 leading bits."""
+    df = spark.range(64).select((F.lit(0x1234567 << 32) + F.col("id") * 64).alias("h"))
+    leaves = exact_dedup.directory(df, capacity=2)
+    assert max(d for d, _ in leaves) > 50 and sum((p + 1 << 64 - d) - (p << 64 - d) for d, p in leaves) == 1 << 64
+    placed = exact_dedup._place(df, leaves, 5)
+    assert placed.count() == 64 and placed.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2
 
 
 @pytest.mark.parametrize("digest", [None, lambda c: F.length(c).cast("string")])
@@ -69,6 +80,38 @@ def test_deduplicate_keeps_columns_and_one_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.deduplicate(same_id).collect()) == [(1, "y"), (2, "X")]
 
 
+def test_decisions_are_read_from_the_bucket_of_the_key(spark):
+    """What a document reports is what the entry says that lies in the folder of its key's bucket."""
+    df = docs(spark)
+    own = exact_dedup.index(df, capacity=4)
+    keys = {r["doc_id"]: r["h"] % (1 << 64) for r in own.keys.collect()}
+    entries = {(r["bucket"], r["h"] % (1 << 64)): (r["keep_id"], r["group_size"]) for r in own.entries.collect()}
+    bucket = lambda h: next(k for k, (d, p) in enumerate(own.leaves) if h >> 64 - d == p)
+    want = brute(TEXTS)
+    assert len(own.leaves) > 8 and all(entries[bucket(h), h] == want[k][:2] for k, h in keys.items())
+    plan = own.entries.where("bucket = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_hot_texts_are_folded_before_their_owner(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_COPIES", 3)
+    texts = ["hot"] * 500 + ["Hot"] * 300 + [f"t{k % 90}" for k in range(300)] + [None] * 50
+    assert found(exact_dedup.exact_dedup(docs(spark, texts))) == brute(texts)
+    assert exact_dedup.index(docs(spark, texts)).hot.count() == 32  # "hot", the empty text, and 30 texts of four copies
+
+
+def test_deduplicate_with_clashing_columns_nulls_and_ties(spark):
+    rows = [(1, "a", 5), (1, "A", 6), (None, "n", 1), (None, "n", 2), (2, None, 7), (3, "", 8), (1, "a", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    for name in ("gone_id", "gone_digest", "again", "_gone_id", "h", "norm", "kept", "bucket", "owner", "keep_id", "i", "d"):
+        df = df.withColumn(name, F.col("x"))
+    out = exact_dedup.deduplicate(df)
+    got = out.collect()
+    assert out.columns == df.columns and sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in got) == [(0, "n"), (1, "a"), (3, "")]
+    assert all(r["gone_id"] == r["x"] for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, exact_dedup.deduplicate(df.repartition(5)).collect()))
+
+
 def test_stays_in_the_engine(spark):
     plan = exact_dedup.exact_dedup(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoop"))
