@@ -1,9 +1,13 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into blocks, the runs of text between block-level tags.  A block is described by hashed vectors of its whole
-tag path (the distinct tags, classes, ids and roles of all open elements, at any depth), hashed vectors of its words, and a few shape numbers; a bidirectional LSTM in numpy
-reads the page's whole sequence of blocks in both directions, and a logistic output says for each block whether it
-belongs to the article.
+tag path (the distinct tags, classes, ids and roles of all open elements, at any depth), hashed vectors of all its words,
+and a few shape numbers; a bidirectional LSTM in numpy reads the page's whole sequence of blocks in both directions, and a
+logistic output says for each block whether it belongs to the article.
+
+A page's labels depend on the page alone: sums run element by element in a fixed order, whatever pages are in the batch.
+Pages of like length run together, `CELLS` padded blocks at most, and a longer page alone, so memory grows with the
+longest page and not with its company.
 
 The labeller is trained here, on pages composed by a seeded generator (menus, headers, footers, sidebars, notices,
 adverts, forms, comments around and inside an article, in many spellings), so it learns from structure and needs no
@@ -38,6 +42,8 @@ CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 
 PATH_BUCKETS, WORD_BUCKETS, DIM, WORD_DIM, SHAPES, HIDDEN = 2_048, 2_048, 20, 8, 8, 16
 IN = DIM + WORD_DIM + SHAPES
+#: Padded blocks of pages that run together, pages of them, blocks that are described at a time, and numbers that a stretch of the recurrence holds.
+CELLS, TOGETHER, SLICE, STRETCH = 32_768, 64, 2_048, 1 << 20
 
 
 class Element:
@@ -56,7 +62,7 @@ class Element:
         return tuple(x for marks in reversed(own) for x in marks)
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     element: Element | None
     text: str
@@ -135,6 +141,14 @@ def _bucket(x: str, n: int, known: dict[str, int]) -> int:
     return b
 
 
+def _times(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """x @ weights, summed over the inner numbers one after the other, so a row's result does not depend on other rows."""
+    out = x[..., :1] * weights[0]
+    for k in range(1, len(weights)):
+        out += x[..., k : k + 1] * weights[k]
+    return out
+
+
 class Labeller:
     """Embeddings of path marks and words, one LSTM each way, and the logistic output."""
 
@@ -168,27 +182,42 @@ class Labeller:
             last = (element.above.marks[-1], *last)
         return [*seen, *(_bucket("last" + x, PATH_BUCKETS, self.marks) for x in last)]
 
-    def describe(self, page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Path buckets, word buckets and shape numbers of each block."""
+    def describe(self, page: list[Block], first: int = 0, many: int | None = None) -> tuple[list[list[int]], list[dict[int, int]], np.ndarray]:
+        """Path buckets, word buckets with their counts, and shape numbers of blocks, the first of which is number `first` of `many`."""
+        many = many or len(page)
         paths, words, shapes = [], [], np.zeros((len(page), SHAPES), np.float32)
         for i, b in enumerate(page):
             paths.append(self._path(b.element))
-            w = b.text.lower().split()
-            ends = w if len(w) <= 40 else w[:20] + w[-20:]  # of a long block, its shape numbers tell more than its words
-            words.append([_bucket(x, WORD_BUCKETS, self.words) for x in ends])
-            size = len(b.text)
-            shapes[i] = (np.log1p(size) / 8, min(1, b.linked / size), len(w) < 4, b.text[-1] in ".!?…", i / len(page), min(1, i / 10), "©" in b.text or "copyright" in b.text.lower()[:200], min(1, (len(page) - i) / 10))
+            low = b.text.lower()
+            w = low.split()
+            counts: dict[int, int] = {}
+            for x in w:
+                k = _bucket(x, WORD_BUCKETS, self.words)
+                counts[k] = counts.get(k, 0) + 1
+            words.append(counts)
+            size, at = len(b.text), first + i
+            shapes[i] = (np.log1p(size) / 8, min(1, b.linked / size), len(w) < 4, b.text[-1] in ".!?…", at / many, min(1, at / 10), "©" in low or "copyright" in low, min(1, (many - at) / 10))
         return paths, words, shapes
 
-    def inputs(self, described: tuple[list[list[int]], list[list[int]], np.ndarray]) -> np.ndarray:
+    def inputs(self, described: tuple[list[list[int]], list[dict[int, int]], np.ndarray]) -> np.ndarray:
         paths, words, shapes = described
 
-        def mean(table: np.ndarray, rows: list[list[int]]) -> np.ndarray:
-            n = np.array([len(r) for r in rows])
-            flat = np.concatenate([np.array(r, np.int64) for r in rows])
-            return np.add.reduceat(table[flat], np.cumsum(n) - n, axis=0) / n[:, None].astype(np.float32)
-
-        return np.concatenate([mean(self.w["path"], paths), mean(self.w["word"], words), shapes], axis=1)
+        def mean(table: np.ndarray, rows: list, counts: list) -> np.ndarray:
+            many = np.array([len(r) for r in rows])
+            flat = np.fromiter((x for r in rows for x in r), np.int64, many.sum())
+            times = np.fromiter((x for r in counts for x in r), np.float32, many.sum())
+            begin = np.cumsum(many) - many
+            return np.add.reduceat(table[flat] * times[:, None], begin, axis=0) / np.add.reduceat(times, begin)[:, None]
+
+        ones = [[1] * len(r) for r in paths]
+        return np.concatenate([mean(self.w["path"], paths, ones), mean(self.w["word"], words, [r.values() for r in words]), shapes], axis=1)
+
+    def features(self, page: list[Block]) -> np.ndarray:
+        """The inputs of a whole page, described slice by slice."""
+        out = np.zeros((len(page), IN), np.float32)
+        for at in range(0, len(page), SLICE):
+            out[at : at + SLICE] = self.inputs(self.describe(page[at : at + SLICE], at, len(page)))
+        return out
 
     def _run(self, x: np.ndarray, live: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
         """Hidden states (pages x blocks x HIDDEN); live marks real blocks.  keep gathers what the backward pass needs."""
@@ -210,14 +239,39 @@ class Labeller:
                 keep.append((t, i, f, o, g, m, before_c, before_h, tc))
         return out
 
+    def _states(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Hidden states of both directions (2 x pages x blocks x HIDDEN), the two run side by side."""
+        n, steps, _ = x.shape
+        weights = np.stack([self.w["hf"], self.w["hb"]])[:, :, None]
+        h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        out, part = np.zeros((2, n, steps, HIDDEN), np.float32), np.zeros((2, n, 4 * HIDDEN), np.float32)
+        stretch = max(1, STRETCH // (8 * HIDDEN * n))
+        for at in range(0, steps, stretch):
+            to = min(at + stretch, steps)
+            z = np.stack([_times(x[:, at:to], self.w["xf"]) + self.w["bf"], (_times(x[:, steps - to : steps - at], self.w["xb"]) + self.w["bb"])[:, ::-1]])
+            z = np.ascontiguousarray(z.transpose(2, 0, 1, 3))
+            for t in range(at, to):
+                a = z[t - at]
+                for k in range(HIDDEN):
+                    np.multiply(h[:, :, k : k + 1], weights[:, k], out=part)
+                    a += part
+                gates = 1 / (1 + np.exp(-np.clip(a[:, :, : 3 * HIDDEN], -30, 30)))
+                m = np.stack([live[:, t], live[:, steps - 1 - t]])[:, :, None]
+                c = m * (gates[:, :, HIDDEN : 2 * HIDDEN] * c + gates[:, :, :HIDDEN] * np.tanh(a[:, :, 3 * HIDDEN :])) + (1 - m) * c
+                h = m * (gates[:, :, 2 * HIDDEN :] * np.tanh(c)) + (1 - m) * h
+                out[0, :, t], out[1, :, steps - 1 - t] = h[0], h[1]
+        return out
+
     def chance(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """For each page's inputs, the chance of each block to be article text."""
         steps = max(map(len, pages))
         x, live = np.zeros((len(pages), steps, IN), np.float32), np.zeros((len(pages), steps), np.float32)
         for k, p in enumerate(pages):
             x[k, : len(p)], live[k, : len(p)] = p, 1
-        both = np.concatenate([self._run(x, live, "f"), self._run(x, live, "b"), x], axis=2)
-        p = 1 / (1 + np.exp(-np.clip(both @ self.w["out"] + self.w["shift"], -30, 30)))
+        ahead, back = self._states(x, live)
+        out = self.w["out"][:, None]
+        z = _times(ahead, out[:HIDDEN]) + _times(back, out[HIDDEN : 2 * HIDDEN]) + _times(x, out[2 * HIDDEN :]) + self.w["shift"]
+        p = 1 / (1 + np.exp(-np.clip(z[:, :, 0], -30, 30)))
         return [p[k, : len(q)] for k, q in enumerate(pages)]
 
     def fit(self, pages: list[tuple[list[Block], list[int]]], epochs: int = 6, batch: int = 24, rate: float = 0.02, seed: int = 5) -> Labeller:
@@ -259,9 +313,10 @@ class Labeller:
                 for r, k in enumerate(own):
                     paths, words, _ = described[k]
                     for name, rows, part in (("path", paths, slice(0, DIM)), ("word", words, slice(DIM, DIM + WORD_DIM))):
-                        n = np.array([len(q) for q in rows])
-                        g = np.repeat(d_x[r, : len(rows), part] / n[:, None], n, axis=0)
-                        np.add.at(grad[name], np.concatenate([np.array(q) for q in rows]), g)
+                        times = [list(q.values()) if isinstance(q, dict) else [1] * len(q) for q in rows]
+                        g = d_x[r, : len(rows), part] / np.array([sum(q) for q in times])[:, None]
+                        g = np.repeat(g, [len(q) for q in rows], axis=0) * np.concatenate(times)[:, None]
+                        np.add.at(grad[name], np.concatenate([np.fromiter(q, np.int64) for q in rows]), g)
                 for name, g in grad.items():
                     g = np.clip(g, -1, 1).astype(np.float32)
                     cache[name] = 0.95 * cache[name] + 0.05 * g * g
@@ -441,10 +496,16 @@ def extract_texts(model: Labeller, pages: list[str | None], threshold: float = 0
     cut = [blocks(p) if p else [] for p in pages]
     out = [""] * len(pages)
     order = sorted((k for k in range(len(cut)) if cut[k]), key=lambda k: len(cut[k]))
-    for at in range(0, len(order), 64):  # pages of like length run together
-        own = order[at : at + 64]
-        for k, p in zip(own, model.chance([model.inputs(model.describe(cut[k])) for k in own])):
+    at = 0
+    while at < len(order):  # pages of like length run together
+        to = at + 1
+        while to < len(order) and to - at < TOGETHER and (to - at + 1) * len(cut[order[to]]) <= CELLS:
+            to += 1
+        own = order[at:to]
+        for k, p in zip(own, model.chance([model.features(cut[k]) for k in own])):
             out[k] = " ".join(b.text for b, x in zip(cut[k], p) if x >= threshold)
+            cut[k] = []
+        at = to
     return out
 
 
