@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewright.llm import simhash
 from tidewright.llm.common import components
@@ -72,9 +73,41 @@ def test_index_of_nothing_and_of_equal_values():
     assert len(a) == 49
 
 
-@pytest.mark.parametrize("bucket,levels", [(100_000, 5), (6, 3)])
-def test_documents_against_brute_force(spark, bucket, levels):
-    """A small bucket deals hot buckets again."""
+@pytest.mark.parametrize("seed", range(3))
+def test_two_blocks_are_joined_across_only(seed):
+    rng = random.Random(seed)
+    fps = [rng.getrandbits(64) for _ in range(20)]
+    fps += [x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for x in fps for _ in range(9)]
+    groups = [rng.randrange(2) for _ in fps]
+    a, b = simhash.gray_index_links(np.array(groups), np.array(fps, np.uint64), cross=True)
+    want = [(x, y) for x, y in near(fps) if groups[x] != groups[y]]
+    assert classes(len(fps), zip(a.tolist(), b.tolist())) == classes(len(fps), want)
+    assert len(simhash.gray_index_links(np.ones(5, int), np.zeros(5, np.uint64), cross=True)[0]) == 0
+
+
+def test_node_pairs_keep_all_near_pairs_and_prune(spark):
+    """Blocks that hold a near pair meet; most other pairs of blocks are pruned by the bits their members share."""
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) for _ in range(3000)]
+    fps = list(dict.fromkeys(fps + [x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for x in fps[:1000]]))
+    rank = simhash.gray_rank(np.array(fps, np.uint64))
+    order = [r["o"] for r in spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "k long, f long").orderBy("k").select(simhash._order(F.col("f")).alias("o")).collect()]
+    assert np.array_equal(np.argsort(order), np.argsort(rank))
+    place = np.empty(len(fps), int)
+    place[np.argsort(rank)] = np.arange(len(fps)) // 8
+    df = spark.createDataFrame([(int(b), f - (1 << 64) if f >> 63 else f) for b, f in zip(place, fps)], "block int, fp long")
+    met = {(r["a"], r["b"]) for r in simhash.node_pairs(df).collect()}
+    x = np.array(fps, np.uint64)
+    for k in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(x ^ x[k]) <= 3):
+            assert (min(place[k], place[j]), max(place[k], place[j])) in met
+    blocks = place.max() + 1
+    assert len(met) < 0.5 * blocks * (blocks + 1) / 2
+
+
+@pytest.mark.parametrize("block", [100_000, 6])
+def test_documents_against_brute_force(spark, block):
+    """A small block makes a tree of several levels."""
     rng = random.Random(1)
     base = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(3, 60))) for _ in range(15)]
     texts = [None, "", " ", "x", "X"]
@@ -87,7 +120,7 @@ def test_documents_against_brute_force(spark, bucket, levels):
     ids = list(range(100, 100 + len(texts)))
     rng.shuffle(ids)
     df = spark.createDataFrame(list(zip(ids, texts, ["q"] * len(ids))), "doc_id long, text string, fp string")
-    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(df, bucket=bucket, levels=levels).collect()}
+    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(df, block=block).collect()}
     fps = [plain_fingerprint(t) for t in texts]
     own = classes(len(texts), near(fps))
     least = defaultdict(lambda: 1 << 60)

@@ -1,12 +1,15 @@
 """SimHash near-duplicate detection over a Gray-order hierarchical index.
 
-Fingerprints that differ in at most `distance` bits agree on at least one of distance + 1 bands of their bits, so each
-distinct fingerprint is dealt to one bucket per band.  A bucket that is still too large is dealt again by bands of the
-bits on which it does not agree yet, level by level; after a few levels so many bits agree that a bucket is bounded by
-the values of the few bits left, whatever the data.  Inside a bucket the fingerprints are sorted by their rank in the
-reflected Gray code, and a tree over that order factors the bit patterns that a node's members share; two nodes are
-compared by the bits fixed in both, and whole groups are pruned once those differ in more than `distance` places, or
-once a link chain already joins all members of both.
+The distinct fingerprints are sorted by their rank in the reflected Gray code and cut into blocks of that order.  A block
+is the lowest node of a tree over the whole table; it keeps the bits that its members share (neighbours in Gray order
+share nearly all leading bits, even across a power of two), and upper nodes keep what their children share.  Pairs of
+nodes are followed from the root down: where the bits fixed in both nodes differ in more than `distance` places, the two
+groups are pruned with all that lies below them.  Only pairs of blocks that stay are compared, each in a task of its own,
+by the same tree carried on down to the single fingerprint; there a pair of nodes is also done once a link chain joins
+all members of both.  The tables of nodes and of their pairs stay tables; a task holds two blocks at most.
+
+The tree decides which fingerprints meet: with G blocks a block meets about those whose leading log2(G) bits differ in
+`distance` places or fewer, which is what a block is sent to.  Larger blocks send less and hold more.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a null id is kept and forms a
 component of its own id (null) with equal fingerprints; repeated rows are repeated in the result; an empty table gives
@@ -20,17 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, release_memory, small_batches, write_table
 
 BITS = 64
-#: Distinct fingerprints in one bucket before it is dealt again.
-BUCKET = 100_000
-#: Times that a bucket is dealt again at most: then 49 of the 64 bits agree, and the 15 left have fewer values than a bucket may hold.
-LEVELS = 5
-FANOUT = 4
+#: Distinct fingerprints in one block of the order, and children of a node above the blocks (a power of two, in bits).
+BLOCK, UPPER_BITS = 1 << 17, 3
+FANOUT = 2
+#: Partitions that the pairs of blocks are dealt to at most; a task takes its pairs one after the other.
+TASKS = 1 << 14
 #: Node pairs that are compared at a time.
 CHUNK = 1 << 16
 
@@ -85,17 +88,16 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links (places in the input) that connect, within each group, whatever pairs within `distance` connect.
 
-    With `check` (rows of longer fingerprints), a pair must also differ there in at most `most` bits.  Only links that
-    join two classes come back, so there are fewer of them than fingerprints.
+    With `cross` there are two groups, and only pairs of one of each count.  Only links that join two classes come back,
+    so there are fewer of them than fingerprints.
     """
     if len(fp) < 2:
         return np.array([], int), np.array([], int)
     order = np.lexsort((gray_rank(fp), group))
     group, fp = group[order], fp[order]
-    check = check[order] if check is not None else None
     n = len(fp)
     levels = [(fp, fp, np.arange(n), np.arange(n) + 1)]  # bits in all members, bits in any, first child, end of children
     owner = group
@@ -115,9 +117,15 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check
         lo, hi = spans[-1]
         spans.append((lo[first], hi[end - 1]))
     label = np.arange(n)
+    shared = [(every, every ^ some) for every, some, _, _ in levels]
+    ragged = [bool((end - first != FANOUT).any()) for _, _, first, end in levels]
+    one, other = np.repeat(np.arange(FANOUT), FANOUT), np.tile(np.arange(FANOUT), FANOUT)
     top = len(levels) - 1
     roots = np.flatnonzero(spans[top][1] - spans[top][0] > 1)
-    stack = [(top, roots[i : i + CHUNK], roots[i : i + CHUNK]) for i in range(0, len(roots), CHUNK)]
+    if cross:
+        stack = [(top, np.array([0]), np.array([1]))] if len(levels[top][0]) == 2 else []
+    else:
+        stack = [(top, roots[i : i + CHUNK], roots[i : i + CHUNK]) for i in range(0, len(roots), CHUNK)]
     while stack:
         level, a, b = stack.pop()
         lo, hi = spans[level]
@@ -125,33 +133,29 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check
             same = np.r_[0, np.cumsum(label[1:] != label[:-1])]
             done = (same[lo[a]] == same[hi[a] - 1]) & (same[lo[b]] == same[hi[b] - 1]) & (label[lo[a]] == label[lo[b]])
             a, b = a[~done], b[~done]
-        every, some, first, end = levels[level]
+        _, _, first, end = levels[level]
         if not level:
             near = (a != b) & (label[a] != label[b])
             a, b = a[near], b[near]
             near = np.bitwise_count(fp[a] ^ fp[b]) <= distance
             a, b = a[near], b[near]
-            if check is not None and len(a):
-                near = np.bitwise_count(check[a] ^ check[b]).sum(1, dtype=np.int64) <= most
-                a, b = a[near], b[near]
             if len(a):
                 label = _merge(label, a, b)
             continue
-        below_a, below_b = end[a] - first[a], end[b] - first[b]
-        many = below_a * below_b
-        pair = np.repeat(np.arange(len(a)), many)
-        within = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
-        x, y = first[a][pair] + within // below_b[pair], first[b][pair] + within % below_b[pair]
-        keep = x <= y
+        x = (first[a][:, None] + one).ravel()
+        y = (first[b][:, None] + other).ravel()
+        keep = x <= y  # a node with itself: each pair of its children once
+        if ragged[level]:
+            keep &= (x < np.repeat(end[a], len(one))) & (y < np.repeat(end[b], len(one)))
+        if level == 1:
+            keep &= x != y
         x, y = x[keep], y[keep]
-        every, some, _, _ = levels[level - 1]
-        # bits that all members of a node share are those where `every` and `some` agree
-        fixed = ~((every[x] ^ some[x]) | (every[y] ^ some[y]))
-        keep = np.bitwise_count((every[x] ^ every[y]) & fixed) <= distance
+        # bits that all members of a node share are those where the bits in all and in any agree
+        bits, loose = shared[level - 1]
+        apart = bits[x] ^ bits[y]
+        apart &= ~(loose[x] | loose[y])
+        keep = np.bitwise_count(apart) <= distance
         x, y = x[keep], y[keep]
-        if level == 1:
-            keep = x != y
-            x, y = x[keep], y[keep]
         far = np.argsort(x != y, kind="stable")[::-1]  # a node with itself comes off the stack first
         x, y = x[far], y[far]
         stack += [(level - 1, x[i : i + CHUNK], y[i : i + CHUNK]) for i in range(0, len(x), CHUNK)]
@@ -159,100 +163,75 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, check
     return order[joined], order[label[joined]]
 
 
-def _bands(used: int, level: int, distance: int) -> list[int]:
-    """Masks that split the bits not in `used` into distance + 1 bands of adjacent bits."""
-    free = [i for i in range(BITS) if not used >> i & 1]
-    cut = [len(free) * k // (distance + 1) for k in range(distance + 2)]
-    return [sum(1 << i for i in free[a:b]) for a, b in zip(cut, cut[1:])]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def links(distinct: DataFrame, distance: int = 3, bucket: int = BUCKET, checks: tuple[str, ...] = (), most: int = 0, levels: int = LEVELS) -> DataFrame:
-    """(src, dst) links between ids of distinct fingerprints (rep, fp), enough to connect all that are within `distance`.
-
-    Each task joins what its buckets join and names the smallest id of a class.
-
-    With `checks` (names of further long columns), rows also have a column k, only fingerprints of one k are compared,
-    and linked pairs may differ in at most `most` bits of those columns.
-    """
-    spark = distinct.sparkSession
-    if "k" not in distinct.columns:
-        distinct = distinct.withColumn("k", F.lit(0))
-    payload = ["rep", "fp", "k", *checks]
-    key = ["k", "used", "value"]
+def _order(fp: Column) -> Column:
+    """gray_rank of a signed long, as a signed long of the same order."""
+    rank = fp
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    return rank.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def node_pairs(blocks: DataFrame, distance: int = 3) -> DataFrame:
+    """Pairs (a, b), a <= b, of blocks (block, fp, ...) that the tree's upper nodes do not prune; a stored table."""
+    nodes = write_table(blocks.groupBy(F.col("block").alias("node")).agg(F.bit_and("fp").alias("every"), F.bit_or("fp").alias("some")), "nodes")
+    levels = [nodes]
+    height = (nodes.agg(F.max("node")).first()[0] or 0).bit_length()
+    for _ in range(0, height, UPPER_BITS):
+        above = levels[-1].groupBy(F.shiftright("node", UPPER_BITS).alias("node"))
+        levels.append(write_table(above.agg(F.bit_and("every").alias("every"), F.bit_or("some").alias("some")), "nodes"))
+    pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for below in reversed(levels[:-1]):
+        side = lambda x: below.select(F.shiftright("node", UPPER_BITS).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "every", "some")])  # noqa: B023, E731
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where("node_a <= node_b")
+        loose = F.col("every_a").bitwiseXOR(F.col("some_a")).bitwiseOR(F.col("every_b").bitwiseXOR(F.col("some_b")))
+        apart = F.bit_count(F.col("every_a").bitwiseXOR(F.col("every_b")).bitwiseAND(F.bitwise_not(loose)))
+        pairs = write_table(met.where(apart <= distance).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "node-pairs")
+    return write_table(pairs, "node-pairs")
+
+
+def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
+    """(src, dst) links between ids of distinct fingerprints (rep, fp; stored), enough to connect all that are within `distance`."""
+    parts = max(1, -(-distinct.count() // block))
+    ranged = distinct.select("rep", "fp", _order(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank")
+    blocks = write_table(ranged.select("rep", "fp", F.spark_partition_id().alias("block")), "blocks")
+    pairs = node_pairs(blocks, distance)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches arrive sorted by bucket; a bucket's rows are held until it ends."""
-        held: list[pa.Table] = []
-        rows = 0
+        """Batches arrive sorted by pair of blocks; a pair's rows are held until it ends."""
+        held: list[pa.RecordBatch] = []
+        now = None
 
-        def groups(t: pa.Table) -> np.ndarray:
-            """True where a new bucket begins."""
-            new = np.ones(t.num_rows, bool)
-            cols = [t[c].to_numpy() for c in key]
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            return new
-
-        def out(t: pa.Table) -> pa.RecordBatch:
-            rep, fp = t["rep"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
-            check = np.stack([t[c].to_numpy().view(np.uint64) for c in checks], axis=1) if checks else None
-            a, b = gray_index_links(np.cumsum(groups(t)), fp, distance, check, most)
-            node, place = np.unique(rep, return_inverse=True)  # one node for a document in several buckets
-            label = _merge(np.arange(len(node)), place[a], place[b])
-            at = np.flatnonzero(label != np.arange(len(node)))
-            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["src", "dst"])
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            rep, fp, own = t["rep"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["block"].to_numpy()
+            x, y = gray_index_links(own, fp, distance, cross=now[0] != now[1])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(rep[y])], ["src", "dst"])
+            release_memory()
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-            if rows < 200_000:
-                continue
-            t = pa.concat_tables(held).combine_chunks()
-            cut = int(np.flatnonzero(groups(t))[-1])
-            if cut:
-                yield out(t.slice(0, cut).combine_chunks())
-            held, rows = [t.slice(cut)], t.num_rows - cut
-        if rows:
-            yield out(pa.concat_tables(held).combine_chunks())
-
-    found, todo, level = [], distinct.select(*payload, F.lit(0).cast("long").alias("used")), 0
-    used_masks = [0]
-    while True:
-        steps = [(used, band) for used in used_masks for band in _bands(used, level, distance)]
-        choose = F.array(*[F.struct(F.lit(_signed(u)).alias("was"), F.lit(_signed(u | b)).alias("used")) for u, b in steps])
-        dealt = todo.withColumn("x", F.explode(F.filter(choose, lambda s: s["was"] == F.col("used")))).select(*payload, F.col("x.used").alias("used"))
-        dealt = dealt.withColumn("value", F.col("fp").bitwiseAND(F.col("used")))
-        used_masks = sorted({u | b for u, b in steps})
-        big = None
-        if level < levels - 1:
-            big = write_table(dealt.groupBy(*key).count().where(F.col("count") > bucket).select(*key), "big")
-            if big.isEmpty():
-                big = None
-        small = dealt if big is None else dealt.join(big, key, "left_anti")
-        found.append(small.repartition(*key).sortWithinPartitions(*key).mapInArrow(join, "src long, dst long"))
-        if big is None:
-            break
-        todo = write_table(dealt.join(big, key, "left_semi").select(*payload, "used"), "deal")
-        level += 1
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    # a document has a link to the smallest of its class in each of its buckets, so a bounded number: lay them on one
-    own = out.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("all"))
-    one = F.transform(F.concat(F.array("src"), F.slice("all", 2, F.size("all"))), lambda x: F.struct(x.alias("src"), F.col("all")[0].alias("dst")))
-    return own.select(F.explode(one).alias("x")).select("x.src", "x.dst")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
+            a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else []
+            for at, to in zip(cuts, [*cuts[1:], len(a)]):
+                pair = (int(a[at]), int(b[at]))
+                if pair != now and held:
+                    yield from out()
+                    held = []
+                now = pair
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield from out()
+
+    left = blocks.join(pairs, blocks["block"] == pairs["a"]).select("a", "b", "block", "rep", "fp")
+    right = blocks.join(pairs.where("a <> b"), blocks["block"] == F.col("b")).select("a", "b", "block", "rep", "fp")
+    tasks = max(1, min(TASKS, pairs.count()))
+    return left.unionByName(right).repartition(tasks, "a", "b").sortWithinPartitions("a", "b").mapInArrow(join, "src long, dst long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links of `distance` bits or fewer)."""
     fps = write_table(fingerprints(df, id_col, text_col, width), "fingerprints")
     distinct = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
-    parts = components(links(distinct, distance, bucket, levels=levels))
+    parts = components(links(distinct, distance, block))
     classes = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
