@@ -127,6 +127,15 @@ def _mixing_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op7_embedding_dedup": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(embedding) > 0
+            and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+        l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+            where list_cosine_similarity(a.e, b.e) >= 0.93),
+        r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+        n as (select x, count(*) as n from l group by x), c as (select x, least(x, min(y)) as c from r group by x)
+        select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept
+        from embeddings e left join n on n.x = e.vec_id left join c on c.x = e.vec_id""",
     "op9_mixing": _mixing_sql(),
     "op6_exact_dedup": f"""
         with n as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') as t from documents),
