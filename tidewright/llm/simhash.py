@@ -192,8 +192,10 @@ def node_pairs(blocks: DataFrame, distance: int = 3) -> DataFrame:
 def links(distinct: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     """(src, dst) links between ids of distinct fingerprints (rep, fp; stored), enough to connect all that are within `distance`."""
     parts = max(1, -(-distinct.count() // block))
-    ranged = distinct.select("rep", "fp", _order(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank")
-    blocks = write_table(ranged.select("rep", "fp", F.spark_partition_id().alias("block")), "blocks")
+    ranged, block_of = distinct.select("rep", "fp", _order(F.col("fp")).alias("rank")), F.lit(0)
+    if parts > 1:  # a single range is no exchange by range: its tasks may be any
+        ranged, block_of = ranged.repartitionByRange(parts, "rank"), F.spark_partition_id()
+    blocks = write_table(ranged.select("rep", "fp", block_of.alias("block")), "blocks")
     pairs = node_pairs(blocks, distance)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
