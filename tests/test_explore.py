@@ -36,7 +36,7 @@ def test_even_period_window(spark):
 
 def test_seasonality_found_and_not_found(spark):
     weekly = rows(explore.detect_seasonality(series(spark, linear(200, season=30)), "D"))[0]
-    assert weekly["detected"] and weekly["period"] == 7 and weekly["strengths"]["weekly"] > 0.9
+    assert weekly["detected"] and weekly["period"] == 7 and weekly["periods"]["weekly"]["strength"] > 0.9 and weekly["note"] is None
     none = rows(explore.detect_seasonality(series(spark, linear(20)), "D"))[0]
     assert not none["detected"] and none["period"] is None
     assert not rows(explore.detect_seasonality(series(spark, linear(50)), "YS"))[0]["detected"]

@@ -120,6 +120,8 @@ def trees(n_trees: int = 300, compat: bool = False) -> Model:
 
 
 ETS, ARIMA = Model("ets", _ets), Model("arima", _arima)
+#: Rows that a series needs for boosted trees.
+MIN_TREES = 40
 
 
 def numeric_forecasts(series: DataFrame, folds: DataFrame, models: Iterable[Model]) -> DataFrame:
@@ -132,6 +134,9 @@ def numeric_forecasts(series: DataFrame, folds: DataFrame, models: Iterable[Mode
     plan = folds if "periods" in folds.columns else folds.withColumn("periods", F.expr("cast(array() as array<int>)"))
     names = F.array(*map(F.lit, chosen))
     plan = plan.select("series_id", "fold", "train_end", "size", "frequency", "periods", F.explode(names).alias("model"))
+    if "xgboost" in chosen:  # series that are too short for trees do without
+        short = series.groupBy("series_id").count().where(F.col("count") < MIN_TREES).select("series_id", F.lit("xgboost").alias("model"))
+        plan = plan.join(short, ["series_id", "model"], "left_anti")
     # the training window as a residual condition of an equal join on the series
     rows = own.join(plan, "series_id").where("t < train_end").select("series_id", "fold", "model", "t", "ts", "y", "size", "frequency", "periods")
 
@@ -184,7 +189,7 @@ def leaderboard(scores: DataFrame, metric: str = "smape", total_folds: DataFrame
 def season_lengths(series: DataFrame, frequency: str = "D") -> DataFrame:
     """Per series: the length a seasonal naive forecast uses (the detected season, else 7) and all detected seasons."""
     found = detect_seasonality(series, frequency)
-    periods = F.when(F.col("detected"), F.array(F.col("period"))).otherwise(F.expr("cast(array() as array<int>)"))
+    periods = F.array_sort(F.transform(F.map_values("periods"), lambda x: x["period"]))
     return found.select("series_id", F.coalesce("period", F.lit(7)).alias("season"), periods.alias("periods"))
 
 
@@ -242,8 +247,3 @@ def holt_winters_fixed(series: DataFrame, alpha: float = 0.3, beta: float = 0.1)
         return F.struct(level.alias("level"), (beta * (level - s["level"]) + (1 - beta) * s["slope"]).alias("slope"))
 
     return values.select("series_id", F.aggregate(F.slice("ys", 2, F.size("ys")), start, step).alias("s")).select("series_id", "s.level", "s.slope")
-
-
-def whole(series: DataFrame) -> DataFrame:
-    """Adds n, the length of each series."""
-    return series.withColumn("n", F.count("*").over(whole_series()))

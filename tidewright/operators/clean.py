@@ -75,8 +75,3 @@ def summary(series: DataFrame) -> DataFrame:
         F.max("y").alias("max"),
         F.max_by("y", "ts").alias("recent"),
     )
-
-
-def previous_by_time(series: DataFrame, column: str = "y") -> DataFrame:
-    """Adds prev, the value one row before."""
-    return series.withColumn("prev", F.lag(column).over(Window.partitionBy("series_id").orderBy("ts")))

@@ -18,15 +18,19 @@ def _driver(cond: Column, driver: str, signal: Column, direction: Column) -> Col
 
 
 def driver_list(trend_direction: Column, slope_pct: Column, detected: Column, season: Column, strength: Column, level: Column, recent: Column | None = None, mean: Column | None = None) -> Column:
-    """Trend, season (if detected), volatility, and where asked for the recent value against the mean."""
+    """Trend, season (if detected), volatility, and where asked for the recent value against the mean.
+
+    Rising volatility counts as negative, else it is neutral, and so is the recent value.  In the short list a season is
+    always positive, in the list with the recent value only a strong one.
+    """
     sign = F.when(trend_direction == "increasing", "positive").when(trend_direction == "decreasing", "negative").otherwise("neutral")
     items = [
         _driver(F.lit(True), "trend", F.format_string("%s, %.4f%% of the mean per period", trend_direction, F.coalesce(slope_pct, F.lit(0.0))), sign),
-        _driver(F.coalesce(detected, F.lit(False)), "seasonality", F.format_string("%s season, strength %.3f", season, strength), F.when(strength > 0.3, "positive").otherwise("neutral")),
-        _driver(F.lit(True), "volatility", F.format_string("volatility is %s", level), F.when(level == "increasing", "negative").when(level == "decreasing", "positive").otherwise("neutral")),
+        _driver(F.coalesce(detected, F.lit(False)), "seasonality", F.format_string("%s season, strength %.3f", season, strength), F.lit("positive") if recent is None else F.when(strength > 0.3, "positive").otherwise("neutral")),
+        _driver(F.lit(True), "volatility", F.format_string("volatility is %s", level), F.when(level == "increasing", "negative").otherwise("neutral")),
     ]
     if recent is not None and mean is not None:
-        items.append(_driver(recent.isNotNull(), "recent value", F.format_string("%.2f against a mean of %.2f", recent, mean), F.when(recent > mean, "positive").when(recent < mean, "negative").otherwise("neutral")))
+        items.append(_driver(recent.isNotNull(), "recent value", F.format_string("%.2f against a mean of %.2f", recent, mean), F.lit("neutral")))
     return F.array_compact(F.array(*items)).cast(DRIVER)
 
 
@@ -49,12 +53,22 @@ def top_importances(importances: DataFrame, most: int = 15) -> DataFrame:
     return ranked.where(F.col("rank") <= most)
 
 
-def structured_input(leaderboard: DataFrame, change: DataFrame, means: DataFrame, trend: DataFrame, seasonality: DataFrame, drivers: DataFrame, quality: DataFrame, horizon: int) -> DataFrame:
-    """One compact row per series for the brief: best model with its metrics (an equal join on its name), forecast, range, quality."""
+def structured_input(leaderboard: DataFrame, change: DataFrame, means: DataFrame, trend: DataFrame, seasonality: DataFrame, drivers: DataFrame, quality: DataFrame, horizon: int, ends: DataFrame, volatility: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """One compact row per series for the brief: best model with its metrics (an equal join on its name), forecast, range, season,
+    volatility, anomalies, up to six drivers, quality.  ends: see horizon_ends."""
     best = leaderboard.where("is_best").select("series_id", F.col("model").alias("best_model"), "smape", "wape")
-    q = quality.select("series_id", F.col("score").alias("quality_score"), F.try_element_at("issues", F.lit(1)).getField("message").alias("first_issue"))
+    q = quality.select("series_id", F.col("score").alias("quality_score"), F.try_element_at("issues", F.lit(1)).getField("message").alias("first_issue"), (F.col("missing_targets") + F.col("unparsed_targets")).alias("missing_values"), F.col("outliers").alias("outlier_count"))
     out = best.join(change, "series_id").join(means, "series_id")
-    for part in (trend.select("series_id", F.col("direction").alias("trend")), seasonality.select("series_id", "detected", "seasonality_type"), drivers.select("series_id", "drivers"), q):
+    parts = [
+        ends,
+        trend.select("series_id", F.col("direction").alias("trend")),
+        seasonality.select("series_id", "detected", "seasonality_type", "period", "strength"),
+        volatility.select("series_id", F.col("level").alias("volatility")),
+        anomalies.select("series_id", F.col("count").alias("anomaly_count")),
+        drivers.select("series_id", F.slice("drivers", 1, 6).alias("drivers")),
+        q,
+    ]
+    for part in parts:
         out = out.join(part, "series_id", "left")
     return out.withColumn("horizon", F.lit(horizon))
 
@@ -89,7 +103,8 @@ def parse_sections(text: str) -> dict[str, str]:
 def generate(summary: DataFrame, interpreter: Callable[[str], str] | None = None, enabled: bool = False) -> DataFrame:
     """The rule-based brief, or an external interpreter's sections for each series where one is given and enabled.
 
-    The interpreter gets a series' summary as JSON.  A failure keeps the rules' texts and is told in llm_error.
+    The interpreter gets a series' summary as JSON.  A failure keeps the rules' texts and is told in llm_error.  It is called
+    row by row, since it is a callable for one series that takes far longer than a row's way to Python.
     """
     rules = brief(summary).withColumn("llm_error", F.lit(None).cast("string"))
     if interpreter is None or not enabled:

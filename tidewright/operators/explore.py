@@ -15,6 +15,7 @@ SEASONS = {"D": [("weekly", 7), ("monthly", 30), ("quarterly", 91), ("yearly", 3
 PROFILE = {"D": [("weekly", 7), ("yearly", 365)], "W": [("yearly", 52), ("monthly", 4)], "MS": [("yearly", 12), ("monthly", 12)], "QS": [("yearly", 4)]}
 #: Least strength that counts as a season.
 STRENGTH = 0.10
+NO_SEASON = "no strong season was found"
 #: Scale from the median absolute deviation to a standard deviation.
 MAD = 1.4826
 
@@ -107,15 +108,16 @@ def _strengths(series: DataFrame, candidates: list[tuple[str, int]]) -> DataFram
 
 
 def detect_seasonality(series: DataFrame, frequency: str = "D") -> DataFrame:
-    """Per series: the seasons of strength 0.1 or more, the strongest of them, and whether there is one."""
+    """Per series: the strongest season of strength 0.1 or more, whether there is one, all such seasons (name to period and
+    strength), and a note where there is none."""
     found = _strengths(series, SEASONS.get(frequency, SEASONS["D"] if frequency == "IR" else []))
     ids = series.select("series_id").distinct()
     if found is None:
-        return ids.select("series_id", F.lit(False).alias("detected"), F.lit(None).cast("string").alias("seasonality_type"), F.lit(None).cast("int").alias("period"), F.lit(0.0).alias("strength"), F.expr("map_from_arrays(array(), array())").cast("map<string,double>").alias("strengths"))
+        return ids.select("series_id", F.lit(False).alias("detected"), F.lit(None).cast("string").alias("seasonality_type"), F.lit(None).cast("int").alias("period"), F.lit(0.0).alias("strength"), F.expr("map_from_arrays(array(), array())").cast("map<string,struct<period:int,strength:double>>").alias("periods"), F.lit(NO_SEASON).alias("note"))
     found = found.withColumn("strength", F.round(F.least(F.col("strength"), F.lit(1.0)), 3)).where(F.col("strength") >= STRENGTH)
-    best = found.groupBy("series_id").agg(F.max_by(F.struct("name", "period", "strength"), F.struct("strength", -F.col("place"))).alias("best"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "strength")))).alias("strengths"))
+    best = found.groupBy("series_id").agg(F.max_by(F.struct("name", "period", "strength"), F.struct("strength", -F.col("place"))).alias("best"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct("period", "strength"))))).alias("periods"))
     out = ids.join(best, "series_id", "left")
-    return out.select("series_id", F.col("best").isNotNull().alias("detected"), F.col("best.name").alias("seasonality_type"), F.col("best.period").alias("period"), F.coalesce("best.strength", F.lit(0.0)).alias("strength"), "strengths")
+    return out.select("series_id", F.col("best").isNotNull().alias("detected"), F.col("best.name").alias("seasonality_type"), F.col("best.period").alias("period"), F.coalesce("best.strength", F.lit(0.0)).alias("strength"), F.coalesce("periods", F.expr("map_from_arrays(array(), array())").cast("map<string,struct<period:int,strength:double>>")).alias("periods"), F.when(F.col("best").isNull(), NO_SEASON).alias("note"))
 
 
 def detect_periodicity(series: DataFrame, frequency: str = "D") -> DataFrame:

@@ -53,14 +53,21 @@ def annotate(forecasts: DataFrame) -> DataFrame:
 
 
 def expected_change(forecasts: DataFrame, last: DataFrame) -> DataFrame:
-    """Per series: the last forecast against the last value (last_y): absolute, per cent, direction."""
+    """Per series: the last forecast against the last value (last_y): absolute, per cent of that value, direction."""
     end = forecasts.groupBy("series_id").agg(F.max_by("yhat", "h").alias("end"))
     out = end.join(last.select("series_id", "last_y"), "series_id")
     change = F.col("end") - F.col("last_y")
-    pct = F.when(F.col("last_y") != 0, F.round(change / F.abs("last_y") * 100, 4))
-    direction = F.when(change > 0, "increase").when(change < 0, "decrease").otherwise("stable")
+    pct = F.when(F.col("last_y") != 0, F.round(change / F.col("last_y") * 100, 4))
+    direction = F.when(change > 0, "increase").when(change < 0, "decrease").otherwise("flat")
     return out.select("series_id", F.round(change, 4).alias("absolute"), pct.alias("percent"), F.col("last_y").alias("reference"), direction.alias("direction"))
 
 
+def horizon_ends(forecasts: DataFrame) -> DataFrame:
+    """Per series: first date (ds), last value, last bounds, and how the bounds were made."""
+    last = [F.max_by(c, "h").alias(name) for c, name in (("yhat", "end_value"), ("lower", "lower_end"), ("upper", "upper_end"))]
+    method = F.first("method") if "method" in forecasts.columns else F.lit("gaussian")
+    return forecasts.groupBy("series_id").agg(F.min_by("ds", "h").alias("start_date"), *last, method.alias("uncertainty_method"))
+
+
 def horizon_means(forecasts: DataFrame) -> DataFrame:
     return forecasts.groupBy("series_id").agg(*[F.round(F.avg(c), 2).alias(f"mean_{c}") for c in ("yhat", "lower", "upper")])

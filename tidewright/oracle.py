@@ -101,10 +101,14 @@ best as (select *, row_number() over (partition by series_id order by strength d
 season as (select i.series_id, b.name is not null as detected, b.name as seasonality_type, b.period, coalesce(b.strength, 0) as strength from (select distinct series_id from s) i left join (select * from best where k = 1) b using (series_id))"""
 
 
+#: Two-sided 5 per cent limit of Student's t by its expansion around the normal limit; exact to five places from 30 rows on.
+T_LIMIT = "(1.959964 + 2.372271 / (n - 2.0::double) + 2.822488 / pow(n - 2.0::double, 2) + 2.555850 / pow(n - 2.0::double, 3))"
+
+
 def trend(source: str = "s") -> str:
     return f"""tr1 as (select series_id, count(*) as n, regr_slope(y, t) as slope, regr_intercept(y, t) as intercept, regr_sxx(y, t) as sxx, regr_syy(y, t) as syy, regr_sxy(y, t) as sxy, avg(y) as mean from {source} group by 1),
 tr2 as (select *, slope / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) as t_stat from tr1),
-trend as (select *, case when abs(t_stat) <= 1.961 then 'stable' when slope > 0 then 'increasing' else 'decreasing' end as direction from tr2)"""
+trend as (select *, case when abs(t_stat) <= {T_LIMIT} then 'stable' when slope > 0 then 'increasing' else 'decreasing' end as direction from tr2)"""
 
 
 VOLATILITY = """vw as (select *, greatest(7, least(28, n // 5)) as w from s),
@@ -114,8 +118,8 @@ vol as (select x.series_id, overall, recent, early, recent / early as ratio, cas
   from (select series_id, count(*) as n, stddev_samp(y) as overall from s group by 1) x join ve using (series_id))"""
 QUARTILES = """q as (select series_id, quantile_cont(y, 0.25) as q1, quantile_cont(y, 0.75) as q3 from s group by 1)"""
 DRIVERS = """drv as (select t.series_id, 'trend=' || case t.direction when 'increasing' then 'positive' when 'decreasing' then 'negative' else 'neutral' end
-  || case when z.detected then ',seasonality=' || case when z.strength > 0.3 then 'positive' else 'neutral' end else '' end
-  || ',volatility=' || case v.level when 'increasing' then 'negative' when 'decreasing' then 'positive' else 'neutral' end as drivers,
+  || case when z.detected then ',seasonality=positive' else '' end
+  || ',volatility=' || case v.level when 'increasing' then 'negative' else 'neutral' end as drivers,
   1 + cast(v.level = 'increasing' as int) as n_caveats from trend t join season z using (series_id) join vol v using (series_id))"""
 _ROLL = lambda w: f"over (partition by series_id order by ts rows between {w - 1} preceding and current row)"
 
@@ -177,7 +181,8 @@ ORACLE_SQL = {
     "decompose_p7": f"with {LINES}, {PLACED}, {decomposed(7)} select series_id, ts, " + ", ".join(f"round({c}, 3) + 0.0 as {c}" for c in ("y", "trend", "seasonal", "resid")) + " from dec",
     "decompose_p30": f"with {LINES}, {PLACED}, {decomposed(30)} select series_id, ts, " + ", ".join(f"round({c}, 3) + 0.0 as {c}" for c in ("y", "trend", "seasonal", "resid")) + " from dec",
     "seasonal_strength": f"with {LINES}, {PLACED}, {strengths(SEASONS)} select series_id, period, round(strength, 4) as strength from st",
-    "seasonality_detect": f"{detected(LINES)} select series_id, detected, seasonality_type, period, strength from season",
+    "seasonality_detect": f"""{detected(LINES)}, every as (select series_id, string_agg(name || '=' || period, ',' order by name) as periods from ok group by 1)
+        select series_id, detected, seasonality_type, period, strength, coalesce(periods, '') as periods, case when not detected then 'no strong season was found' end as note from season left join every using (series_id)""",
     "periodicity": f"""with {LINES}, {PLACED}, {strengths([("weekly", 7), ("yearly", 365)], "3")}, r as (select *, row_number() over (partition by series_id order by strength desc, place) as k from st)
         select series_id, max(name) filter (k = 1) as "primary", round(max(strength) filter (name = 'weekly'), 4) as weekly, round(max(strength) filter (name = 'yearly'), 4) as yearly from r group by 1""",
     "decomposition_summary": f"with {LINES}, {PLACED}, {decomposed(7)} select series_id, round(arg_max(trend, t), 3) as trend_last, round(max(abs(seasonal)), 3) as seasonal_max, round(stddev_pop(resid), 3) as resid_std from dec group by 1",
@@ -199,7 +204,7 @@ ORACLE_SQL = {
     "gaussian_band": f"""with {PRIORITY}, g as (select series_id, stddev_pop(y) as sigma, arg_max(y, ts) as yhat from o group by 1), z as (select * from (values (0.8::double, 1.2816), (0.9::double, 1.6449), (0.95::double, 1.96), (0.99::double, 2.5758)) v(coverage, z))
         select series_id, h, coverage, round(yhat, 3) as yhat, round(yhat - z * sigma * sqrt(h), 3) as lower, round(yhat + z * sigma * sqrt(h), 3) as upper from g, z, (select unnest(range(1, 15)) as h) u""",
     "band_annotation": f"{FINAL} select series_id, round(avg(upper - lower), 4) as mean_width, round(arg_min(upper - lower, h), 4) as start_width, round(arg_max(upper - lower, h), 4) as end_width, round(arg_max(upper - lower, h) / arg_min(upper - lower, h), 4) as widening from final group by 1",
-    "expected_change": f"""{FINAL}, x as (select series_id, arg_max(yhat, h) as e from final group by 1) select series_id, round(e - last_y, 4) as absolute, round((e - last_y) / abs(last_y) * 100, 4) as percent, last_y as reference, case when e > last_y then 'increase' when e < last_y then 'decrease' else 'stable' end as direction from x join ends using (series_id)""",
+    "expected_change": f"""{FINAL}, x as (select series_id, arg_max(yhat, h) as e from final group by 1) select series_id, round(e - last_y, 4) as absolute, round((e - last_y) / last_y * 100, 4) as percent, last_y as reference, case when e > last_y then 'increase' when e < last_y then 'decrease' else 'flat' end as direction from x join ends using (series_id)""",
     "horizon_means": f"{FINAL} select series_id, round(avg(yhat), 2) as mean_yhat, round(avg(lower), 2) as mean_lower, round(avg(upper), 2) as mean_upper from final group by 1",
     "residual_diagnostics": f"""with {PRIORITY}, r0 as (select series_id, ts, y - lag(y, 7) over (partition by series_id order by ts) as r from o), r1 as (select * from r0 where r is not null),
         r2 as (select *, r - avg(r) over (partition by series_id) as c, r - lag(r) over (partition by series_id order by ts) as d from r1),
@@ -221,10 +226,24 @@ ORACLE_SQL = {
 _SUMMARY = f"""{detected(PRIORITY)}, {trend()}, {FOLDS}, {STEPS}, {NAIVE}, {SEASONAL}, {SCORES}, {BOARD}, ends as (select series_id, max(n) as n, arg_max(y, ts) as last_y, max(ts) as last_ts from s group by 1),
 final as (select x.series_id, h, b.y as yhat, b.y - 1.96 * e.sigma * sqrt(h) as lower, b.y + 1.96 * e.sigma * sqrt(h) as upper from ends x, lateral (select unnest(range(1, 15)) as h) u
   join s b on b.series_id = x.series_id and b.t = x.n - 7 + (h - 1) % 7 join e on e.series_id = x.series_id and e.t = x.n - 1),
-fin as (select series_id, arg_max(yhat, h) as e, round(avg(yhat), 2) as mean_yhat, round(avg(lower), 2) as mean_lower, round(avg(upper), 2) as mean_upper from final group by 1),
+fin as (select series_id, arg_max(yhat, h) as e, arg_max(lower, h) as lower_end, arg_max(upper, h) as upper_end, round(avg(yhat), 2) as mean_yhat, round(avg(lower), 2) as mean_lower, round(avg(upper), 2) as mean_upper from final group by 1),
 pr as (select series_id, count(*) as n, min(ts) as a, max(ts) as b, quantile_cont(y, 0.25) as q1, quantile_cont(y, 0.75) as q3, min(y) = max(y) as constant from s group by 1),
 ou as (select series_id, count(*) filter (q3 > q1 and (y < q1 - 3 * (q3 - q1) or y > q3 + 3 * (q3 - q1))) as outliers from s join pr using (series_id) group by 1),
-qu as (select pr.series_id, 100 - case when f.frequency = 'D' and pr.n < 0.95 * (date_diff('day', a, b) + 1) then 10 else 0 end - case when f.frequency = 'IR' then 5 else 0 end - case when outliers > 0 then 5 else 0 end - case when constant then 20 else 0 end as quality_score from pr join ou using (series_id) join {frequencies("s")} f using (series_id))
-select board.series_id, board.model as best_model, board.smape, board.wape, round((fin.e - last_y) / abs(last_y) * 100, 4) as percent, case when fin.e > last_y then 'increase' when fin.e < last_y then 'decrease' else 'stable' end as direction, mean_yhat, mean_lower, mean_upper, trend.direction as trend, detected, quality_score, 14 as horizon
-from board join fin using (series_id) join ends using (series_id) join trend using (series_id) join season using (series_id) join qu using (series_id) where is_best"""
-ORACLE_SQL["structured_summary"] = _SUMMARY
+qu as (select pr.series_id, ou.outliers, case when f.frequency = 'D' and pr.n < 0.95 * (date_diff('day', a, b) + 1) then (date_diff('day', a, b) + 1 - pr.n) || ' days are missing' when f.frequency = 'IR' then 'the spacing of dates is irregular' when outliers > 0 then outliers || ' values beyond 3 times the interquartile range' when constant then 'the target is constant' end as first_issue, 100 - case when f.frequency = 'D' and pr.n < 0.95 * (date_diff('day', a, b) + 1) then 10 else 0 end - case when f.frequency = 'IR' then 5 else 0 end - case when outliers > 0 then 5 else 0 end - case when constant then 20 else 0 end as quality_score from pr join ou using (series_id) join {frequencies("s")} f using (series_id)),
+an as (select series_id, count(*) filter (q3 > q1 and (y < q1 - 3 * (q3 - q1) or y > q3 + 3 * (q3 - q1))) as anomaly_count from s join pr using (series_id) group by 1),
+{VOLATILITY}, {DRIVERS},
+su as (select board.series_id, board.model as best_model, board.smape, board.wape, round(fin.e - last_y, 4) as absolute, round((fin.e - last_y) / last_y * 100, 4) as percent, case when fin.e > last_y then 'increase' when fin.e < last_y then 'decrease' else 'flat' end as direction, mean_yhat, mean_lower, mean_upper,
+  cast(last_ts + 1 as date) as start_date, round(fin.e, 3) as end_value, round(lower_end, 3) as lower_end, round(upper_end, 3) as upper_end, 'gaussian' as uncertainty_method, trend.direction as trend, detected, seasonality_type, period, strength, vol.level as volatility, anomaly_count, drv.drivers, quality_score, first_issue, 0 as missing_values, outliers as outlier_count, 14 as horizon
+from board join fin using (series_id) join ends using (series_id) join trend using (series_id) join season using (series_id) join qu using (series_id) join an using (series_id) join vol using (series_id) join drv using (series_id) where is_best)"""
+ORACLE_SQL["structured_summary"] = f"{_SUMMARY} select * exclude (drivers, first_issue) from su"
+ORACLE_SQL["brief_text"] = f"""{_SUMMARY}, w as (select *, case direction when 'increase' then 'rise by ' when 'decrease' then 'fall by ' end as verb, printf('%.1f%%', round(abs(coalesce(percent, 0)), 1)) as pct, printf('%.0f', round(mean_lower)) as low, printf('%.0f', round(mean_upper)) as high,
+  array_to_string([split_part(x, '=', 1) for x in string_split(drivers, ',') if x like '%=positive'], ', ') as plus, array_to_string([split_part(x, '=', 1) for x in string_split(drivers, ',') if x like '%=negative'], ', ') as minus from su)
+select series_id, 'Over the next ' || horizon || ' periods the target ' || case when verb is null then 'is expected to stay about level' else 'is expected to ' || verb || pct end || ', between ' || low || ' and ' || high || ' on average. The forecast comes from ' || best_model || coalesce(printf(', whose error in backtests was %.1f%%', round(smape, 1)), '') || '.' as executive_summary,
+  concat_ws(' ', case when plus <> '' then 'Pushing up: ' || plus || '.' end, case when minus <> '' then 'Pulling down: ' || minus || '.' end, case when plus = '' and minus = '' then 'No strong driver stands out.' end, case when detected then 'The series has a ' || seasonality_type || ' season.' end) as drivers_text,
+  concat_ws(' ', printf('Data quality scores %d of 100.', quality_score), 'First issue: ' || first_issue || '.', case when abs((mean_upper - mean_lower) / mean_yhat) > 0.5 then 'The range is wide, so plans need slack.' end) as risks,
+  case direction when 'increase' then 'Prepare for higher demand and check capacity early.' when 'decrease' then 'Plan for lower demand and avoid excess stock.' else 'Keep the present plan and watch for change.' end || ' Plan for values from ' || low || ' to ' || high || '.' as recommendation, 'rules' as generated_by from w"""
+_U = lambda k: f"((('0x' || substr(md5('42:0:' || i || ':{k}'), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double)"
+ORACLE_SQL["sample_generator"] = f"""with r as (select i, date '2021-01-01' + cast(i as int) as date from (select unnest(range(1095)) as i)),
+  v as (select i, date, greatest(800 + 120 * i / 365.0::double + 140 * sin(2 * pi() * i / 365.0::double + 1) + case when isodow(date) < 6 then 40 * sin((isodow(date) - 1) * pi() / 5) + 30 else -120 end + 25 * sin(2 * pi() * (day(date) - 1) / 30.0::double)
+    + case when month(date) = 11 then 180 else 0 end + sqrt(-2 * ln({_U(1)})) * cos(2 * pi() * {_U(2)}) * 55, 100) as value from r)
+  select date, round(greatest(value + case when {_U(3)} < 0.015::double then case when {_U(4)} < 0.5 then -1 else 1 end * (250 + 250 * {_U(5)}) else 0 end, 100), 2) as target from v"""

@@ -15,7 +15,7 @@ from ..operators import clean, explain, explore, intervals, validate
 from ..series import at_least, short_series
 from ..sources import readers
 
-MIN_PIPELINE, MIN_API, MIN_TREES = 30, 40, 40
+MIN_PIPELINE, MIN_API = 30, 40
 
 
 @dataclass(frozen=True)
@@ -80,11 +80,12 @@ def run(spark: SparkSession, df: DataFrame, config: PipelineConfig | None = None
     models += c.custom_models
     tested = bt.backtest(series, frequency, c.folds, c.train_frac, c.fold_horizon, c.metric, models, c.n_trees)
     board = tested["leaderboard"].persist(StorageLevel.MEMORY_AND_DISK)
-    forecast = refit(series, board, frequency, c)
+    forecast = refit(series, board, frequency, c).persist(StorageLevel.MEMORY_AND_DISK)  # read by the change, the means and the ends
     last = series.groupBy("series_id").agg(F.max_by("y", "ts").alias("last_y"), F.max("ts").alias("last_ts"))
     change = intervals.expected_change(forecast, last)
     drivers = explain.explain(trend, season, volatility, stats)
-    summary = explain.structured_input(board, change, intervals.horizon_means(forecast), trend, season, drivers, quality, c.horizon)
+    anomalies = explore.anomaly_digest(explore.iqr_anomalies(series))
+    summary = explain.structured_input(board, change, intervals.horizon_means(forecast), trend, season, drivers, quality, c.horizon, intervals.horizon_ends(forecast), volatility, anomalies)
     return PipelineResult(quality, series, short_series(cleaned, c.min_rows), explore.explore(spark, series, frequency), tested["folds"], tested["scores"], board, forecast, change, drivers, summary, explain.brief(summary))
 
 

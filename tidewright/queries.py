@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,8 +185,9 @@ def seasonal_strength(spark, d):
 
 
 def seasonality_detect(spark, d):
-    out = explore.detect_seasonality(lineitem_daily(spark, d), "D")
-    return out.select("series_id", "detected", "seasonality_type", "period", "strength")
+    out = explore.detect_seasonality(lineitem_daily(spark, d).persist(StorageLevel.MEMORY_AND_DISK), "D")
+    periods = F.array_join(F.transform(F.map_entries("periods"), lambda x: F.concat(x["key"], F.lit("="), x["value"]["period"].cast("string"))), ",")
+    return out.select("series_id", "detected", "seasonality_type", "period", "strength", periods.alias("periods"), "note")
 
 
 def periodicity(spark, d):
@@ -307,20 +309,24 @@ def drivers(spark, d):
 
 
 def _summary(spark, d):
-    series, plan = _folds(spark, d)
+    series = orders_by_priority(spark, d).persist(StorageLevel.MEMORY_AND_DISK)  # read once, not once for each part
+    plan = bt.plan_folds(series.withColumn("frequency", F.lit("D")))
     made = bt.naive_forecasts(series, plan).unionByName(bt.seasonal_naive_forecasts(series, plan))
     board = bt.leaderboard(bt.score_folds(series, plan, made))
     forecast = bt.seasonal_naive_forecasts(series, bt.final_fold(series, HORIZON))
-    last = series.groupBy("series_id").agg(F.max_by("y", "ts").alias("last_y"))
-    trend, season = explore.trend(series), explore.detect_seasonality(series, "D")
-    told = explain.explain(trend, season, explore.volatility(series))
+    last = series.groupBy("series_id").agg(F.max_by("y", "ts").alias("last_y"), F.max("ts").alias("last_ts"))
+    ahead = forecast.join(last, "series_id").withColumn("ds", F.date_add("last_ts", F.col("h").cast("int")))
+    trend, season, volatility = explore.trend(series), explore.detect_seasonality(series, "D"), explore.volatility(series)
+    told = explain.explain(trend, season, volatility)
+    anomalies = explore.anomaly_digest(explore.iqr_anomalies(series))
     raw = series.withColumnRenamed("ts", "date").withColumnRenamed("y", "target")
     quality = validate.quality_report(raw, series_col="series_id")
-    return explain.structured_input(board, intervals.expected_change(forecast, last), intervals.horizon_means(forecast), trend, season, told, quality, HORIZON)
+    return explain.structured_input(board, intervals.expected_change(forecast, last), intervals.horizon_means(forecast), trend, season, told, quality, HORIZON, intervals.horizon_ends(ahead), volatility, anomalies)
 
 
 def structured_summary(spark, d):
-    return _summary(spark, d).select("series_id", "best_model", "smape", "wape", "percent", "direction", "mean_yhat", "mean_lower", "mean_upper", "trend", "detected", "quality_score", "horizon")
+    out = _summary(spark, d).drop("drivers", "first_issue", "reference")
+    return out.withColumns({c: F.round(c, 3) for c in ("end_value", "lower_end", "upper_end")}).withColumn("missing_values", F.col("missing_values").cast("int"))
 
 
 def brief_text(spark, d):

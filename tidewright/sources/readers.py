@@ -101,14 +101,16 @@ def infer_columns(df: DataFrame, date_col: str | None = None, target_col: str |
 def business_demand(spark: SparkSession, n_days: int = 1095, start: str = "2021-01-01", seed: int = 42, base: float = 800.0, trend_per_year: float = 120.0, noise_scale: float = 55.0, anomaly_prob: float = 0.015, n_series: int = 1) -> DataFrame:
     """date, target (and series_id): trend, yearly and weekly season, day-of-month wave, November promotion, noise, anomalies.
 
-    Noise is a hash of seed, series and day, so any partitioning gives the same rows.
+    Random numbers are hashes of seed, series and day, so any partitioning gives the same rows.
     """
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "s", "i", F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    bits = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "s", "i", F.lit(k))), 1, 13), 16, 10)
+    u = lambda k: (bits(k).cast("double") + 0.5) / float(1 << 52)
     rows = spark.range(n_days * n_series).select((F.col("id") % n_days).alias("i"), F.floor(F.col("id") / n_days).alias("s"))
     rows = rows.withColumn("date", F.date_add(F.lit(start).cast("date"), F.col("i").cast("int")))
-    weekly = F.element_at(F.array(*map(F.lit, (0.0, 20.0, 30.0, 25.0, 60.0, -80.0, -110.0))), F.weekday("date") + 1)  # Fixed values: weekday profile
+    # Sizes, phases and periods of the waves
+    weekly = F.when(F.weekday("date") < 5, 40 * F.sin(F.weekday("date") * F.pi() / 5) + 30).otherwise(-120.0)
     noise = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2)) * noise_scale
-    smooth = base + trend_per_year * F.col("i") / 365.25 + 140 * F.sin(2 * F.pi() * F.dayofyear("date") / 365.25 + 1.0) + weekly + 25 * F.sin(2 * F.pi() * F.dayofmonth("date") / 30.0) + F.when(F.month("date") == 11, 180.0).otherwise(0.0)
+    smooth = base + trend_per_year * F.col("i") / 365.0 + 140 * F.sin(2 * F.pi() * F.col("i") / 365.0 + 1.0) + weekly + 25 * F.sin(2 * F.pi() * (F.dayofmonth("date") - 1) / 30.0) + F.when(F.month("date") == 11, 180.0).otherwise(0.0)
     value = F.greatest(smooth + noise, F.lit(100.0))
     shock = F.when(u(3) < anomaly_prob, F.when(u(4) < 0.5, -1.0).otherwise(1.0) * (250 + 250 * u(5))).otherwise(0.0)
     out = rows.withColumn("target", F.round(F.greatest(value + shock, F.lit(100.0)), 2))
