@@ -235,3 +235,35 @@ def test_bucket_pairs_connect_and_cover():
     assert classes(300, zip(*(x.tolist() for x in own))) == classes(300, near)
     every = simhash.bucket_pairs(key, check, 2, part)
     assert sorted(zip(*(x.tolist() for x in every))) == [(a, b) for a, b in near if part[a] != part[b]]
+
+
+def test_hot_buckets_are_cut_and_lose_no_pair(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    base = words(80)
+    texts = [f"{base} {words(3)}" for _ in range(60)] + [words(70) for _ in range(40)]
+    signed = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(simhash.Signer().sign(texts))], "rep long, s array<long>").persist()
+    parted = signed.withColumn("part", F.col("rep"))
+    most = simhash.bits_at(0.8)
+    whole, cut = ({(r["a"], r["b"]) for r in simhash.candidates(parted, most, hot).collect()} for hot in (50_000, 7))
+    assert whole == cut and len(whole) >= 60 * 59 // 2
+    joined = [classes(100, [(r["a"], r["b"]) for r in simhash.candidates(signed, most, hot).collect()]) for hot in (50_000, 7)]
+    assert joined[0] == joined[1]
+
+
+def test_keep_one_with_clashing_columns_nulls_and_repeats(spark):
+    t = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, t, 1), (2, t + " x", 2), (3, None, 3), (4, "", 4), (None, t, 5), (None, None, 6), (5, "other text of few words", 7), (5, "other text of few words", 7), (2, t + " x", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    for name in ("gone_id", "gone_hash", "_gone_id", "_gone_hash", "rep", "s", "part", "key", "text_hash", "component_id"):
+        df = df.withColumn(name, F.col("x"))
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and sorted(r["x"] for r in out.collect()) == [1, 3, 5, 6, 7, 7]
+    assert all(r["gone_id"] == r["component_id"] == r["x"] for r in out.collect())
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{k % 9973}" for k in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 3_000_000)], "doc_id long, text string")
+    assert [r["component_id"] for r in simhash.near_duplicates(df).orderBy("doc_id").collect()][:2] == [1, 1]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [1, 3]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release_memory, small_batches, write_table
+from .common import components, release_memory, small_batches, unused, write_table
 
 BITS = 64
 #: Distinct fingerprints in one block of the order, and children of a node above the blocks (a power of two, in bits).
@@ -244,6 +244,8 @@ PRINTS, PRINT = 72, 16
 CHECKS = 2
 #: Buckets up to this size are compared place by place, all of them together.
 SMALL = 64
+#: Documents of one bucket that a task holds; larger buckets are cut.
+HOT = 50_000
 #: Shape of the sketch that a document's shingles are counted in.
 SKETCH = (32, 64)
 
@@ -355,8 +357,12 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def candidates(signed: DataFrame, most: int) -> DataFrame:
-    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part): see bucket_pairs."""
+def candidates(signed: DataFrame, most: int, hot: int = HOT) -> DataFrame:
+    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part): see bucket_pairs.
+
+    A key with more than `hot` documents is cut into parts of about that many, and every two parts meet in a task, so a
+    task holds two parts at most and no pair is lost.
+    """
     parted = "part" in signed.columns
     names = ["key", "rep", *(f"c{k}" for k in range(CHECKS)), *(["part"] if parted else [])]
 
@@ -376,10 +382,15 @@ def candidates(signed: DataFrame, most: int) -> DataFrame:
         held: list[pa.Table] = []
         rows = 0
 
+        def places(t: pa.Table) -> np.ndarray:
+            """A number for each run of rows of one task's bucket."""
+            cols = [t[c].to_numpy() for c in ("key", "low", "high")]
+            return np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             rep = t["rep"].to_numpy()
             check = np.stack([t[f"c{k}"].to_numpy().view(np.uint64) for k in range(CHECKS)], axis=1)
-            x, y = bucket_pairs(t["key"].to_numpy(), check, most, t["part"].to_numpy() if parted else None)
+            x, y = bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None)
             pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] < pairs[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -392,7 +403,7 @@ def candidates(signed: DataFrame, most: int) -> DataFrame:
             if rows < 200_000:
                 continue
             t = pa.concat_tables(held).combine_chunks()
-            key = t["key"].to_numpy()
+            key = places(t)
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
                 yield from out(t.slice(0, cut))
@@ -402,7 +413,16 @@ def candidates(signed: DataFrame, most: int) -> DataFrame:
 
     schema = "key int, rep long, " + ", ".join(f"c{k} long" for k in range(CHECKS)) + (", part long" if parted else "")
     dealt = signed.select("rep", "s", *(["part"] if parted else [])).mapInArrow(deal, schema)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
+    sizes = dealt.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("cuts"))
+    sizes = write_table(sizes, "hot-keys")
+    dealt = dealt.withColumns({"low": F.lit(0), "high": F.lit(0)})
+    if not sizes.isEmpty():  # a hot bucket is cut, and each pair of its cuts is a task's
+        own = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
+        cut = dealt.drop("low", "high").join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        cut = cut.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("cuts", "own", "other")
+        dealt = dealt.join(sizes, "key", "left_anti").unionByName(cut)
+    tasks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return tasks.mapInArrow(join, "a long, b long").distinct()
 
 
 def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -433,6 +453,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates are pairs that agree on one of PRINTS SimHash fingerprints of their shingles and that the longer fingerprint
     does not rule out; each is linked only when its texts have the similarity.  First come as many candidates as connect
     all of them; then all those that these links left in different classes.
+
+    Null texts count as empty; rows with a null id are reported with the class of equal texts but link nothing; repeated
+    rows are repeated; an empty table gives an empty result; other columns are ignored.
     """
 
     @F.pandas_udf("array<bigint>")
@@ -464,7 +487,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df with one document of each class of near duplicates, the one with the smallest id; columns unchanged."""
+    """df with one document of each class of near duplicates, the one with the smallest id; columns unchanged.
+
+    Null and empty texts are equal and so one class; rows with a null id stay; rows that repeat id and text stay or go
+    together; ties cannot arise, since ids of one class differ or name equal rows; an empty table stays empty.
+    """
+    gone_id, gone_hash = unused(df, "gone_id", "gone_hash")
     found = write_table(similar_documents(df, id_col, text_col, width, similarity), "similar")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    return df.join(gone, (df[id_col] == F.col("_gone_id")) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("_gone_hash")), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    return df.join(gone, (df[id_col] == F.col(gone_id)) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col(gone_hash)), "left_anti")
