@@ -46,6 +46,23 @@ def test_tokens_round_trip(spark, shards):
     assert few[100].tolist() == plain_ids(TEXTS[6]) and few[3].tolist() == [0] and set(few) == {3, 100}
 
 
+def test_readers_open_only_what_they_need(spark, monkeypatch):
+    manifest = tokens.write_tokens(docs(spark), BPE, shards=5)
+    rows = sorted(manifest.collect())
+    known = [(r["low"], r["high"]) for r in rows if r["low"] is not None]
+    assert known == sorted(known) and known[0][0] == 1 and known[-1][1] == 100
+    opened, plain = [], tokens._open
+    monkeypatch.setattr(tokens, "_open", lambda uri, mode: opened.append(uri) or plain(uri, mode))
+    assert set(tokens.read_documents(manifest, [100])) == {100} and len(opened) == 1
+    assert tokens.read_documents(manifest, [55, 4]) == {} and tokens.read_documents(manifest, []) == {}
+    monkeypatch.undo()
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 10_000)
+    many = tokens.write_tokens(docs(spark), BPE)
+    assert many.agg(F.sum("n_docs")).first()[0] == len(TEXTS)
+    with pytest.raises(ValueError, match="pyarrow can open"):
+        tokens._open("nowhere://x/y", "r")
+
+
 def test_tokens_of_an_empty_table(spark):
     assert tokens.read_tokens(tokens.write_tokens(docs(spark).limit(0), BPE)).isEmpty()
 

@@ -7,7 +7,9 @@ reader fetches the two tables, seeks to the frames of the documents it wants, de
 checksums.  Any zstandard tool can decompress the whole file, which yields the ids as little-endian unsigned 32-bit
 integers, each document closed by the end id.
 
-Documents are range-partitioned by id and sorted, one shard per partition.  A task writes under a name of its own, and
+Documents are range-partitioned by id and sorted, one shard per partition; there are as many as `SHARD_BYTES` of text each
+ask for, and no fewer than the session's shuffle partitions.  The manifest tells each shard's ids, so a reader of a few
+documents opens only shards that can hold them.  A task writes under a name of its own, and
 only files named by a finished task's row enter the manifest, so retried or speculative tasks do no harm.
 
 Defined results: null and empty texts are one end id; rows that repeat an id are all written, in text order; null ids
@@ -39,8 +41,10 @@ FRAME_IDS = 1 << 24
 #: the older half goes when the newer one is full.
 REMEMBER, STEMS = 500_000, 600_000
 END_ID = 0
-#: Characters of texts that are encoded together.
-BATCH_CHARS = 3_000_000
+#: Characters of texts that are encoded together, bytes of text in a shard, and bytes of ids that a reader holds.
+BATCH_CHARS, SHARD_BYTES, READ_BYTES = 3_000_000, 256 << 20, 8 << 20
+# Names that Spark's readers give to schemes of object stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 _TWO_SPACES, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -215,7 +219,11 @@ def encoder(path: str) -> Encoder:
 def _open(uri: str, mode: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    try:
+        system, path = fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"token files need a folder that pyarrow can open, not {uri}: {e}") from e
     if mode == "w":
         system.create_dir(path.rpartition("/")[0], recursive=True)
         return system.open_output_stream(path, compression=None)
@@ -282,10 +290,13 @@ class Shard:
 
 
 def write_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shards: int | None = None) -> DataFrame:
-    """Write all documents in ascending id order; returns the manifest: shard, path, n_docs, n_tokens, start (ids before the shard)."""
+    """Write all documents in ascending id order; returns the manifest: shard, path, n_docs, n_tokens, low and high (smallest and
+    largest id, null without), start (ids before the shard)."""
     spark = df.sparkSession
     folder = new_path(spark, "tokens")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,9 +307,13 @@ def write_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         if first is None:
             return
 
+        ends: list[int] = []
+
         def docs():
             for b in (x for y in ([first], batches) for x in y):
                 known, ids, texts = b["id"].notna().tolist(), b["id"].tolist(), b["text"].tolist()
+                own = [int(x) for x, k in zip(ids, known) if k]
+                ends[:] = [min(ends + own), max(ends + own)] if ends or own else []
                 at = 0
                 while at < len(texts):
                     to, size = at, 0
@@ -313,16 +328,17 @@ def write_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         with _open(path, "w") as out:
             n, total = write_shard(out, docs())
         release_memory()
-        yield pd.DataFrame({"shard": [part], "path": [path], "n_docs": [n], "n_tokens": [total]})
+        low, high = ends or (None, None)
+        yield pd.DataFrame({"shard": [part], "path": [path], "n_docs": [n], "n_tokens": [total], "low": pd.array([low], "Int64"), "high": pd.array([high], "Int64")})
 
     rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    done = write_table(ranged.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    done = write_table(ranged.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long, low long, high long"), "manifest")
     before, out = 0, []
-    for shard, path, n, total in sorted(done.collect()):  # one row per shard file
-        out.append((shard, path, n, total, before))
+    for shard, path, n, total, low, high in sorted(done.collect()):  # one row per shard file
+        out.append((shard, path, n, total, low, high, before))
         before += total
-    return spark.createDataFrame(out, "shard int, path string, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame(out, "shard int, path string, n_docs long, n_tokens long, low long, high long, start long")
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -334,13 +350,16 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 with _open(path, "r") as file:
                     s = Shard(file)
                     starts = start + np.r_[0, np.cumsum(s.docs["n"])]
-                    for at in range(0, len(s.docs), 2_000):
-                        places = range(at, min(at + 2_000, len(s.docs)))
+                    at = 0
+                    while at < len(s.docs):
+                        held = 4 * np.cumsum(s.docs["n"][at : at + 2_000])
+                        places = range(at, at + max(1, int(np.searchsorted(held, READ_BYTES))))
                         ids = [s.read(k) for k in places]
                         out = {"doc_id": pd.array([int(s.docs["id"][k]) if s.docs["known"][k] else None for k in places], "Int64"), "start": starts[at : at + len(places)], "n_tokens": s.docs["n"][at : at + len(places)], "ids_crc32": [zlib.crc32(x) for x in ids], "shard": shard, "place": list(places)}
                         if with_ids:
                             out["ids"] = [np.frombuffer(x, "<u4").astype(np.int64) for x in ids]
                         yield pd.DataFrame(out)
+                        at = places.stop
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, place long" + ", ids array<long>" * with_ids
     n = max(1, manifest.count())
@@ -350,7 +369,12 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 def read_documents(manifest: DataFrame, doc_ids: Iterable[int]) -> dict[int, np.ndarray]:
     """The ids of the requested documents only, by seeking; for tools that need a few."""
     wanted, out = set(doc_ids), {}
-    for row in manifest.collect():
+    if not wanted:
+        return out
+    low, high = min(wanted), max(wanted)
+    for row in manifest.where((F.col("low") <= high) & (F.col("high") >= low)).collect():
+        if not any(row["low"] <= x <= row["high"] for x in wanted):
+            continue
         with _open(row["path"], "r") as file:
             s = Shard(file)
             for k in np.flatnonzero(np.isin(s.docs["id"], list(wanted)) & s.docs["known"]):
