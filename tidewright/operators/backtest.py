@@ -156,7 +156,9 @@ def numeric_forecasts(series: DataFrame, folds: DataFrame, models: Iterable[Mode
         except Exception as e:  # one model on one window; the others go on
             return pd.DataFrame({**key, "h": [0], "yhat": [None], "lower": [None], "upper": [None], "error": [str(e)[:200]], "meta": [None]})
 
-    return rows.groupBy("series_id", "fold", "model").applyInPandas(run, FORECAST_SCHEMA)
+    # fits are long and their rows few, so groups are dealt to more tasks than their bytes would ask for
+    tasks = 4 * int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "series_id", "fold", "model").groupBy("series_id", "fold", "model").applyInPandas(run, FORECAST_SCHEMA)
 
 
 def score_folds(series: DataFrame, folds: DataFrame, forecasts: DataFrame) -> DataFrame:

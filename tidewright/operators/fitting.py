@@ -290,17 +290,34 @@ class Boosted:
         self.base, self.trees, self.importance = float(y.mean()), [], np.zeros(k)
         pred = np.full(n, self.base)
         for _ in range(self.n_trees):
-            use = rng.random(n) < self.rows
+            use = np.flatnonzero(rng.random(n) < self.rows)
             cols = np.sort(rng.choice(k, max(1, int(round(self.columns * k))), replace=False))
-            g = np.where(use, y - pred, 0.0)
+            g, c = (y - pred)[use], len(cols)
+            places = binned[use][:, cols] + np.arange(c) * self.bins  # each row's place in a node's histogram, column by column
             feature, cut = np.full(2**self.depth - 1, -1), np.zeros(2**self.depth - 1, int)
             node = np.zeros(n, int)
+
+            def histograms(rows: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+                """Sums and counts (groups x columns x bins) of some of the rows in use."""
+                key = (group[:, None] * (c * self.bins) + places[rows]).ravel()
+                size, shape = groups * c * self.bins, (groups, c, self.bins)
+                return np.bincount(key, np.repeat(g[rows], c), size).reshape(shape), np.bincount(key, minlength=size).reshape(shape)
+
             for level in range(self.depth):
                 first, width = 2**level - 1, 2**level
-                local = node - first
-                key = (local[:, None] * len(cols) + np.arange(len(cols))) * self.bins + binned[:, cols]
-                sums = np.bincount(key.ravel(), np.repeat(g, len(cols)), width * len(cols) * self.bins).reshape(width, len(cols), self.bins)
-                many = np.bincount(key.ravel(), np.repeat(use.astype(float), len(cols)), width * len(cols) * self.bins).reshape(width, len(cols), self.bins)
+                local = node[use] - first
+                if not level:
+                    sums, many = histograms(np.arange(len(use)), local, 1)
+                else:  # the smaller child is counted, the other is what its parent has more
+                    size = np.bincount(local, minlength=width).reshape(-1, 2)
+                    small = 2 * np.arange(width // 2) + (size[:, 1] < size[:, 0])
+                    rows = np.flatnonzero(small[local // 2] == local)
+                    less, few = histograms(rows, local[rows] // 2, width // 2)
+                    both, all_ = np.empty((width, c, self.bins)), np.empty((width, c, self.bins), many.dtype)
+                    both[small], both[small ^ 1] = less, sums - less
+                    all_[small], all_[small ^ 1] = few, many - few
+                    both[all_ == 0] = 0  # not what rounding leaves, so empty bins tie
+                    sums, many = both, all_
                 sl, nl = sums.cumsum(2), many.cumsum(2)
                 st, nt = sl[:, :, -1:], nl[:, :, -1:]
                 gain = sl**2 / (nl + 1) + (st - sl) ** 2 / (nt - nl + 1) - st**2 / (nt + 1)
@@ -315,7 +332,7 @@ class Boosted:
                 right = (f >= 0) & (binned[np.arange(n), np.maximum(f, 0)] > cut[node])
                 node = 2 * node + 1 + right
             leaf = node - (2**self.depth - 1)
-            total, count = np.bincount(leaf, g, 2**self.depth), np.bincount(leaf, use.astype(float), 2**self.depth)
+            total, count = np.bincount(leaf[use], g, 2**self.depth), np.bincount(leaf[use], minlength=2**self.depth)
             value = self.rate * total / (count + 1)
             pred += value[leaf]
             self.trees.append((feature, cut, value))
