@@ -247,3 +247,8 @@ ORACLE_SQL["sample_generator"] = f"""with r as (select i, date '2021-01-01' + ca
   v as (select i, date, greatest(800 + 120 * i / 365.0::double + 140 * sin(2 * pi() * i / 365.0::double + 1) + case when isodow(date) < 6 then 40 * sin((isodow(date) - 1) * pi() / 5) + 30 else -120 end + 25 * sin(2 * pi() * (day(date) - 1) / 30.0::double)
     + case when month(date) = 11 then 180 else 0 end + sqrt(-2 * ln({_U(1)})) * cos(2 * pi() * {_U(2)}) * 55, 100) as value from r)
   select date, round(greatest(value + case when {_U(3)} < 0.015::double then case when {_U(4)} < 0.5 then -1 else 1 end * (250 + 250 * {_U(5)}) else 0 end, 100), 2) as target from v"""
+_SERVED = "('events', 'lineitem', 'orders')"
+_IS_NUMBER = "(data_type in ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') or data_type like 'DECIMAL%')"
+ORACLE_SQL["column_inference"] = f"""select table_name as dataset, min_by(column_name, ordinal_position) filter (data_type like 'TIMESTAMP%' or data_type = 'DATE') as date_col,
+  min_by(column_name, ordinal_position) filter ({_IS_NUMBER}) as target_col, string_agg(column_name, ',' order by ordinal_position) filter ({_IS_NUMBER}) as numeric_cols from information_schema.columns where table_name in {_SERVED} group by 1"""
+ORACLE_SQL["dataset_catalog"] = " union all ".join(f"select '{t}' as dataset, count(*) as n_rows, (select count(*) from information_schema.columns where table_name = '{t}') as n_columns from {t}" for t in ("events", "lineitem", "orders"))

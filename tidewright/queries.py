@@ -12,7 +12,7 @@ from .operators import clean, explain, explore, features, intervals, metrics, va
 from .oracle import ORACLE_SQL
 from .plans import pipeline
 from .series import at_least, short_series, to_series, with_position
-from .sources.readers import business_demand
+from .sources.readers import business_demand, infer_columns, list_datasets, put, resolve
 from .streaming.live import bucket_stream
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -348,6 +348,24 @@ def event_buckets(spark, d):
     return bucket_stream(table(spark, d, "events"), key=F.col("event_type"), every="6 hours").select("series_id", "ts", F.round("y", 3).alias("y"), "n")
 
 
+def column_inference(spark, d):
+    """What the date column, the target and the numeric candidates of each table are taken to be."""
+    found = [(t, *infer_columns(table(spark, d, t))) for t in SERVED]
+    return spark.createDataFrame([(t, date, target, ",".join(numeric)) for t, date, target, numeric in found], "dataset string, date_col string, target_col string, numeric_cols string")
+
+
+def dataset_catalog(spark, d):
+    """Tables put into the catalogue of named datasets, and what it lists and resolves."""
+    for t in SERVED:
+        put(spark, t, table(spark, d, t))
+    out = None
+    for name in [n for n in list_datasets(spark) if n in SERVED]:
+        one = resolve(spark, name)
+        one = one.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("dataset"), "n_rows", F.lit(len(one.columns)).cast("long").alias("n_columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # Numeric models and random draws have no SQL form
 
 
@@ -393,9 +411,13 @@ def sample_generator(spark, d):
 
 
 def full_pipeline(spark, d):
-    demand = business_demand(spark, n_days=420, n_series=3)
-    return pipeline.run(spark, demand, pipeline.PipelineConfig(series_col="series_id", n_trees=60)).brief
+    """The whole analysis of the daily orders with its default settings."""
+    raw = orders_daily(spark, d).withColumnsRenamed({"ts": "date", "y": "target"})
+    return pipeline.run(spark, raw, pipeline.PipelineConfig(series_col="series_id")).brief
+
 
+#: Tables that the service queries serve as datasets.
+SERVED = ("events", "lineitem", "orders")
 
 QUERIES = {
     f.__name__: f
@@ -405,6 +427,6 @@ QUERIES = {
         periodicity, decomposition_summary, iqr_anomalies, rolling_mad, anomaly_digest, folds, naive_forecasts, seasonal_naive_forecasts, metrics_by_fold,
         leaderboard, mase, holdout_mae, horizon_dates, gaussian_band, band_annotation, expected_change, horizon_means, residual_diagnostics, hw_fixed_params,
         drivers, structured_summary, brief_text, append_forecast, model_catalog, event_buckets, ets_backtest, arima_backtest, gbt_backtest,
-        all_models_leaderboard, feature_importance, empirical_band, sample_generator, full_pipeline,
+        all_models_leaderboard, feature_importance, empirical_band, sample_generator, full_pipeline, column_inference, dataset_catalog,
     )
 } | {"decompose_p7": _decomposed(7), "decompose_p30": _decomposed(30)}
