@@ -174,22 +174,31 @@ def plan_sources(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: flo
     return write_table(plan.join(state, F.col("s").eqNullSafe(F.col("u"))).drop("u", "need"), "sources")
 
 
-def _copies(doc_id: Column, size: Column, own: Column, cap: float, seed: int) -> Column:
-    """Copies of a row; own: the row of plan_sources of its source."""
-    e = _expected(size, own["c"], cap)
-    p = e - F.floor(e)
-    rank = _rank(doc_id, p, seed)
-    taken = F.exists(own["phases"], lambda x: (rank >= x["from"]) & (rank < x["edge"]) & (size <= x["gap"]))
-    taken = taken | F.coalesce((rank == own["last_rank"]) & (size == own["last_size"]), F.lit(False))
-    return (F.floor(e) + F.when((size > 0) & (p > 0), taken.cast("int")).otherwise(0)).cast("int")
+def _once(value: Column) -> Column:
+    """value as a generated row of its own: the optimizer does not carry it into filters and join conditions, where it would be
+    computed again for each place it is used in."""
+    return F.explode(F.array(value))
+
+
+def _with_copies(rows: DataFrame, doc_id: Column, size: str, own: str, copies: str, cap: float, seed: int) -> DataFrame:
+    """rows with their copies; own: the row of plan_sources of their source."""
+    e, rank, told = unused(rows, "expected", "rank", "told")
+    own, chance = F.col(own), F.col(e) - F.floor(F.col(e))
+    rows = rows.withColumn(e, _expected(F.col(size), own["c"], cap))
+    rows = rows.withColumn(rank, F.when((F.col(size) > 0) & (chance > 0), _rank(doc_id, chance, seed)))
+    rows = rows.withColumn(told, _once(F.struct(F.col(e).alias("e"), F.col(rank).alias("rank")))).drop(e, rank)
+    rank = F.col(told)["rank"]
+    taken = F.exists(own["phases"], lambda x: (rank >= x["from"]) & (rank < x["edge"]) & (F.col(size) <= x["gap"]))
+    taken = F.coalesce(taken, F.lit(False)) | F.coalesce((rank == own["last_rank"]) & (F.col(size) == own["last_size"]), F.lit(False))
+    return rows.withColumn(copies, (F.floor(F.col(told)["e"]) + taken.cast("int")).cast("int")).drop(told)
 
 
 def counts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
     """rows (doc_id, source, size; stored) with source_size, target and copies."""
     table = plan_sources(rows, weights, cap, seed)
     out = _of_source(rows, table.select("s", F.struct("words", "target", "c", "phases", "last_rank", "last_size").alias("own")))
-    own = F.col("own")
-    return out.select("doc_id", "source", "size", own["words"].alias("source_size"), own["target"].alias("target"), _copies(F.col("doc_id"), F.col("size"), own, cap, seed).alias("copies"))
+    out = _with_copies(out, F.col("doc_id"), "size", "own", "copies", cap, seed)
+    return out.select("doc_id", "source", "size", F.col("own.words").alias("source_size"), F.col("own.target").alias("target"), "copies")
 
 
 def _sizes(df: DataFrame) -> DataFrame:
@@ -204,12 +213,10 @@ def plan_mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
 def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
     """The mixed documents: each row of df as often as the mix takes it, columns unchanged."""
     table = plan_sources(_sizes(df), weights, cap, seed)
-    own, times, key = unused(df, "own", "times", "s")
+    own, times, key, salt, other, size = unused(df, "own", "times", "s", "salt", "salt_b", "size")
     table = table.select(F.col("s").alias(key), F.struct("c", "phases", "last_rank", "last_size").alias(own))
-    (salt, other) = unused(df.withColumn(own, F.lit(0)).withColumn(times, F.lit(0)).withColumn(key, F.lit(0)), "salt", "salt_b")
     table = table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = df.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = out.join(table, out["source"].eqNullSafe(F.col(key)) & (F.col(salt) == F.col(other)))
-    copies = _copies(F.col("doc_id").cast("long"), size_of(F.col("text")), F.col(own), cap, seed)
-    out = out.withColumn(times, copies).where(F.col(times) > 0)
+    out = out.join(table, out["source"].eqNullSafe(F.col(key)) & (F.col(salt) == F.col(other))).withColumn(size, _once(size_of(F.col("text"))))
+    out = _with_copies(out, F.col("doc_id").cast("long"), size, own, times, cap, seed).where(F.col(times) > 0)
     return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)

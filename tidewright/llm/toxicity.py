@@ -258,9 +258,13 @@ class Classifier:
         return self
 
     def _calibrate(self, docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], feats: np.ndarray) -> None:
-        used, back = np.unique(np.concatenate(docs), return_inverse=True)
-        cut = np.cumsum([len(d) for d in docs])[:-1]
-        z = self.logits(np.split(back.astype(np.int32), cut), self.answers(feats[used]))
+        parts = []
+        for at in range(0, len(docs), 100):  # the answers to a bounded number of words at a time
+            own = docs[at : at + 100]
+            used, back = np.unique(np.concatenate(own), return_inverse=True)
+            cut = np.cumsum([len(d) for d in own])[:-1]
+            parts.append(self.logits(np.split(back.astype(np.int32), cut), self.answers(feats[used])))
+        z = np.concatenate(parts)
         a, b = 1.0, 0.0
         soft = np.where(labels > 0, (labels.sum() + 1) / (labels.sum() + 2), 1 / (len(labels) - labels.sum() + 2))
         for _ in range(500):
@@ -337,13 +341,18 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, limit: int = MAX_LAB
     rows = labelled(docs, labels, "toxic", keep, limit).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "y")
     rows = write_table(small_batches(rows).mapInPandas(number, "doc_id long, lang string, y int, n long, places binary, parts binary"), "labelled")
     rows = within(rows, "n", most).toPandas().sort_values("doc_id")
+    y, lang = rows["y"].to_numpy(), [x if isinstance(x, str) else None for x in rows["lang"]]
     own = [np.frombuffer(x, "<u2").reshape(-1, PARTS) for x in rows["parts"]]
+    begin = np.cumsum([0, *map(len, own)])
     every = np.concatenate([np.zeros((0, PARTS), "<u2"), *own])
+    places = [np.frombuffer(x, "<i4") for x in rows["places"]]
+    del own, rows
     _, first, back = np.unique(every.view(f"V{2 * PARTS}").ravel(), return_index=True, return_inverse=True)
-    begin = np.cumsum([0, *map(len, own)])
-    words = [back[a + np.frombuffer(x, "<i4")].astype(np.int32) for a, x in zip(begin, rows["places"])]
-    lang = [x if isinstance(x, str) else None for x in rows["lang"]]
-    return Classifier().fit_rows(words, every[first].astype(np.int32), rows["y"].to_numpy(), lang)
+    feats, back = every[first].astype(np.int32), back.astype(np.int32)
+    words = [back[a + x] for a, x in zip(begin, places)]
+    del every, first, back, places
+    release_memory()
+    return Classifier().fit_rows(words, feats, y, lang)
 
 
 def scorer(model: Classifier) -> Callable[[pd.Series], pd.Series]:
