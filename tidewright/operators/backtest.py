@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def season_lengths(series: DataFrame, frequency: str = "D") -> DataFrame:
 def backtest(series: DataFrame, frequency: str = "D", folds: int = 4, train_frac: float = 0.6, horizon: int | None = None, metric: str = "smape", models: Iterable[str | Model] = ("naive", "seasonal_naive", "ets", "arima", "xgboost"), n_trees: int = 300) -> dict[str, DataFrame]:
     """folds, forecasts, scores and leaderboard of all series and models."""
     plan = plan_folds(series.withColumn("frequency", F.lit(frequency)), folds, train_frac, horizon)
-    plan = plan.join(season_lengths(series, frequency), "series_id")
+    plan = plan.join(season_lengths(series, frequency), "series_id").persist(StorageLevel.MEMORY_AND_DISK)  # a few rows a series, read by every model
     built = {"ets": ETS, "arima": ARIMA, "xgboost": trees(n_trees)}
     parts, numeric = [], []
     for m in models:

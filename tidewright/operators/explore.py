@@ -45,7 +45,7 @@ def volatility(series: DataFrame) -> DataFrame:
     n = F.count("*").over(whole_series())
     window = F.greatest(F.lit(7), F.least(F.lit(28), F.floor(n / 5)))
     own = with_position(series).withColumns({"n": n, "w": window.cast("int")})
-    # the frame's width depends on the series: moments from running sums, differenced w rows back
+    # the frame's width depends on the series: the last 28 values are held and the last w of them taken
     centre = F.col("y") - F.avg("y").over(whole_series())
     own = own.withColumn("c", centre)
     run = by_time().rowsBetween(-27, 0)

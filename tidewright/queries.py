@@ -370,8 +370,8 @@ def dataset_catalog(spark, d):
 
 
 def _numeric(spark, d, models):
-    series, plan = _folds(spark, d)
-    plan = plan.join(bt.season_lengths(series), "series_id")
+    series = orders_by_priority(spark, d).persist(StorageLevel.MEMORY_AND_DISK)  # read once, not once for each part
+    plan = bt.plan_folds(series.withColumn("frequency", F.lit("D"))).join(bt.season_lengths(series), "series_id").persist(StorageLevel.MEMORY_AND_DISK)
     made = bt.numeric_forecasts(series, plan, models)
     return bt.score_folds(series, plan, made.where("error is null")).select("series_id", "model", "fold", *_r(*metrics.METRICS), "n")
 
@@ -389,7 +389,7 @@ def gbt_backtest(spark, d):
 
 
 def all_models_leaderboard(spark, d):
-    return bt.backtest(orders_daily(spark, d), "D")["leaderboard"]
+    return bt.backtest(orders_daily(spark, d).persist(StorageLevel.MEMORY_AND_DISK), "D")["leaderboard"]
 
 
 def feature_importance(spark, d):
