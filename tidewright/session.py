@@ -14,6 +14,9 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # plans of long analyses are large, and a session would keep the last thousand of them as text
+        "spark.sql.ui.retainedExecutions": "2",
+        "spark.sql.maxPlanStringLength": "100000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for k, v in conf.items():
