@@ -352,7 +352,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, limit: int = MAX_LAB
     words = [back[a + x] for a, x in zip(begin, places)]
     del every, first, back, places
     release_memory()
-    return Classifier().fit_rows(words, feats, y, lang)
+    model = Classifier().fit_rows(words, feats, y, lang)
+    del words, feats
+    release_memory()
+    return model
 
 
 def scorer(model: Classifier) -> Callable[[pd.Series], pd.Series]:
