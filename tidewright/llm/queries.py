@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, licenses, mixing, pieces, quality, simhash, tokens, toxicity, vectors
-from .common import UPPER, documents, write_table
+from . import exact_dedup, html_text, licenses, mixing, pieces, quality, rules, runs, simhash, tokens, toxicity, vectors, whitening
+from .common import SPACE, UPPER, documents, write_table
 
 
 def vocabulary(name: str) -> str:
@@ -70,6 +70,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in one of ten documents, chosen by crc32 of the id, the words from place a on repeat with period p."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), f"{SPACE}+"), "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"), words.alias("w"))
+    rows = rows.withColumns({"n": F.size("w").cast("long"), "g": F.floor(F.col("h") / 10)}).withColumn("a", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(planted).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(with_planted_runs(documents(spark, sf_dir))).withColumn("best", runs.longest(F.col("runs")))
+    best = F.col("best")
+    milli = F.floor(best["length"] * 1000 / best["period"])
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), milli.alias("exponent_milli"), F.sha2(runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = rules.ledger(documents(spark, sf_dir).select("doc_id", "text"))
+    base, kept = rules.BASE.keeps(), rules.CURRENT.keeps()
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & kept).alias("kept"), "failed")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html_extraction": op2_html_extraction,
@@ -81,6 +110,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_whitening": op11_whitening,
+    "op12_runs": op12_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 
@@ -126,7 +158,25 @@ def _mixing_sql() -> str:
         from d left join taken k on k.doc_id is not distinct from d.doc_id and k.source is not distinct from d.source and k.size = d.size"""
 
 
+def _rules_sql() -> str:
+    """The ledger: windows of three words are numbered, and the places that repeated ones cover are counted."""
+    failed = " + ".join(f"case when {r.fails} then {1 << k} else 0 end" for k, r in enumerate(rules.RULES))
+    return rf"""
+        with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+        w as (select *, regexp_extract_all(text, '{rules.NOT_SPACE}+') as w, [x for x in string_split(text, chr(10)) if regexp_matches(x, '{rules.NOT_SPACE}')] as lines from t),
+        g as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select r, w, unnest(range(1, len(w) - 1)) as i from w)),
+        c as (select distinct r, unnest([i, i + 1, i + 2]) as place from (select *, count(*) over (partition by r, s) as k from g) where k > 1),
+        n as (select r, count(*) as n_repeat_words from c group by r),
+        m as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '{rules.SYMBOLS}')) as n_symbols, len(lines) as n_lines,
+            len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len([x for x in w if regexp_matches(x, '\p{{L}}')]) as n_letter_words,
+            len(regexp_extract_all(text, '\p{{Lu}}')) as n_capitals, len(regexp_extract_all(text, '[0-9]')) as n_digits,
+            len([x for x in lines if regexp_matches(x, '^{SPACE}*[-*•]')]) as n_bullets, len([x for x in lines if regexp_matches(x, '(\.\.\.|…){SPACE}*$')]) as n_ellipses from w left join n using (r)),
+        f as (select *, ({failed})::bigint as failed from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {rules.BASE.mask} <> 0 as base_failed, failed & {rules.BASE.mask | rules.CURRENT.mask} = 0 as kept, failed from f"""
+
+
 ORACLE_SQL = {
+    "op13_quality_rules": _rules_sql(),
     "op7_embedding_dedup": """
         with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(embedding) > 0
             and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
