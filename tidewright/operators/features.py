@@ -1,64 +1,85 @@
-"""Lags, rolling statistics, momentum and the feature frame: one window order, so one sort per series."""
+"""Lags, rolling statistics, momentum and the feature frame: one window order, so one sort per series.
+
+The functions that take `rows` cut long series into blocks of so many rows (see halo); without it a series is one task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, default_lags, default_windows
 from ..series import by_time
+from .halo import windows as over
 
 
-def lag_columns(lags: list[int], y: str = "y") -> dict[str, Column]:
-    return {f"lag_{k}": F.lag(y, k).over(by_time()) for k in lags}
+def lag_columns(lags: list[int], y: str = "y", order: WindowSpec | None = None) -> dict[str, Column]:
+    return {f"lag_{k}": F.lag(y, k).over(order or by_time()) for k in lags}
 
 
 def min_periods(window: int) -> int:
     return max(1, min(window, 14))
 
 
-def trailing(aggregate: Column, window: int, least: int, y: str = "y") -> Column:
+def trailing(aggregate: Column, window: int, least: int, y: str = "y", order: WindowSpec | None = None) -> Column:
     """An aggregate over the last `window` rows with the current one, null below `least` values."""
-    frame = by_time().rowsBetween(-(window - 1), 0)
+    frame = (order or by_time()).rowsBetween(-(window - 1), 0)
     return F.when(F.count(y).over(frame) >= least, aggregate.over(frame))
 
 
-def rolling_columns(windows: list[int], y: str = "y", std: bool = True, extremes: bool = True, least: int | None = None) -> dict[str, Column]:
+def rolling_columns(windows: list[int], y: str = "y", std: bool = True, extremes: bool = True, least: int | None = None, order: WindowSpec | None = None) -> dict[str, Column]:
     out = {}
     for w in windows:
         n = least or min_periods(w)
-        out[f"rolling_mean_{w}"] = trailing(F.avg(y), w, n, y)
+        out[f"rolling_mean_{w}"] = trailing(F.avg(y), w, n, y, order)
         if std:
-            out[f"rolling_std_{w}"] = trailing(F.stddev_samp(y), w, n, y)
+            out[f"rolling_std_{w}"] = trailing(F.stddev_samp(y), w, n, y, order)
         if extremes:
-            out[f"rolling_min_{w}"] = trailing(F.min(y), w, n, y)
-            out[f"rolling_max_{w}"] = trailing(F.max(y), w, n, y)
+            out[f"rolling_min_{w}"] = trailing(F.min(y), w, n, y, order)
+            out[f"rolling_max_{w}"] = trailing(F.max(y), w, n, y, order)
     return out
 
 
-def add_momentum(df: DataFrame, mean_col: str) -> DataFrame:
+def rolling(series: DataFrame, windows: list[int], rows: int | None = None) -> DataFrame:
+    """series with the rolling statistics of each window."""
+    return over(series, lambda df, order: df.withColumns(rolling_columns(windows, order=order)), max(windows) - 1, rows=rows)
+
+
+def add_momentum(df: DataFrame, mean_col: str, order: WindowSpec | None = None) -> DataFrame:
     """Relative change of a rolling mean; missing means are carried forward, a change from zero is infinite."""
-    filled = df.withColumn("_m", F.last(mean_col, True).over(by_time()))
-    before = F.lag("_m").over(by_time())
+    order = order or by_time()
+    filled = df.withColumn("_m", F.last(mean_col, True).over(order))
+    before = F.lag("_m").over(order)
     change = F.when(before != 0, F.col("_m") / before - 1).when(F.col("_m") != 0, F.signum("_m") * float("inf"))
     return filled.withColumn("momentum", change).drop("_m")
 
 
-def feature_frame(series: DataFrame, frequency: str = "D", lags: list[int] | None = None, windows: list[int] | None = None, calendar: bool = True, rolling: bool = True) -> DataFrame:
-    """Calendar features, lags, rolling statistics and momentum; rows of the warm-up keep their nulls."""
+def feature_frame(series: DataFrame, frequency: str = "D", lags: list[int] | None = None, windows: list[int] | None = None, calendar: bool = True, rolling: bool = True, rows: int | None = None) -> DataFrame:
+    """Calendar features, lags, rolling statistics and momentum; rows of the warm-up keep their nulls.
+
+    In blocks, a mean that is missing since before the halo is not carried forward; a cleaned series has none but its first.
+    """
     lags = default_lags(frequency) if lags is None else lags
     windows = default_windows(frequency) if windows is None else windows
     out = series.withColumns(calendar_columns(F.col("ts"))) if calendar else series
-    out = out.withColumns(lag_columns(lags) | (rolling_columns(windows) if rolling else {}))
-    return add_momentum(out, f"rolling_mean_{windows[0]}") if rolling and windows else out
 
+    def make(df: DataFrame, order: WindowSpec) -> DataFrame:
+        df = df.withColumns(lag_columns(lags, order=order) | (rolling_columns(windows, order=order) if rolling else {}))
+        return add_momentum(df, f"rolling_mean_{windows[0]}", order) if rolling and windows else df
 
-def differences(series: DataFrame, season: int = 7) -> DataFrame:
+    return over(out, make, max([*lags, *[w + 1 for w in windows], 0]), rows=rows)
+
+
+def differences(series: DataFrame, season: int = 7, rows: int | None = None) -> DataFrame:
     """First and seasonal differences."""
-    return series.withColumns({"diff_1": F.col("y") - F.lag("y", 1).over(by_time()), f"diff_{season}": F.col("y") - F.lag("y", season).over(by_time())})
+    return over(series, lambda df, order: df.withColumns({"diff_1": F.col("y") - F.lag("y", 1).over(order), f"diff_{season}": F.col("y") - F.lag("y", season).over(order)}), season, rows=rows)
 
 
-def rolling_band(series: DataFrame, window: int = 28, width: float = 2.0) -> DataFrame:
+def rolling_band(series: DataFrame, window: int = 28, width: float = 2.0, rows: int | None = None) -> DataFrame:
     """Mean and standard deviation of full windows and a band around the mean."""
-    mean, std = trailing(F.avg("y"), window, window), trailing(F.stddev_samp("y"), window, window)
-    return series.withColumns({"roll_mean": mean, "roll_std": std}).withColumns({"band_low": F.col("roll_mean") - width * F.col("roll_std"), "band_high": F.col("roll_mean") + width * F.col("roll_std")})
+
+    def make(df: DataFrame, order: WindowSpec) -> DataFrame:
+        return df.withColumns({"roll_mean": trailing(F.avg("y"), window, window, order=order), "roll_std": trailing(F.stddev_samp("y"), window, window, order=order)})
+
+    out = over(series, make, window - 1, rows=rows)
+    return out.withColumns({"band_low": F.col("roll_mean") - width * F.col("roll_std"), "band_high": F.col("roll_mean") + width * F.col("roll_std")})

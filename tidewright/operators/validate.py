@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..series import by_time
 from .clean import coerce, keep_last
+from .quantiles import exact_quantiles
 
 # Days between points that make a frequency, tested in this order within 15 per cent.
 STEPS = [("D", 1.0), ("W", 7.0), ("MS", 30.0), ("MS", 30.5), ("QS", 90.0), ("YS", 365.0)]
@@ -33,9 +34,15 @@ def detect_frequency(series: DataFrame) -> DataFrame:
     return median.withColumn("frequency", F.coalesce(label_of(F.col("median_seconds")), F.lit("IR")))
 
 
-def iqr_bounds(series: DataFrame, multiple: float = 3.0) -> DataFrame:
-    """Per series: quartiles (linear interpolation) and the bounds beyond which a value is an outlier."""
-    q = series.groupBy("series_id").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+def iqr_bounds(series: DataFrame, multiple: float = 3.0, bounded: bool = False) -> DataFrame:
+    """Per series: quartiles (linear interpolation) and the bounds beyond which a value is an outlier.
+
+    bounded: by exact_quantiles, for series whose distinct values do not fit into one task's memory.
+    """
+    if bounded:
+        q = exact_quantiles(series, [0.25, 0.75])
+    else:
+        q = series.groupBy("series_id").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     iqr = F.col("q")[1] - F.col("q")[0]
     return q.select("series_id", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[0] - multiple * iqr).alias("low"), (F.col("q")[1] + multiple * iqr).alias("high"), (iqr == 0).alias("flat"))
 

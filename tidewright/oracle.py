@@ -252,3 +252,14 @@ _IS_NUMBER = "(data_type in ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT'
 ORACLE_SQL["column_inference"] = f"""select table_name as dataset, min_by(column_name, ordinal_position) filter (data_type like 'TIMESTAMP%' or data_type = 'DATE') as date_col,
   min_by(column_name, ordinal_position) filter ({_IS_NUMBER}) as target_col, string_agg(column_name, ',' order by ordinal_position) filter ({_IS_NUMBER}) as numeric_cols from information_schema.columns where table_name in {_SERVED} group by 1"""
 ORACLE_SQL["dataset_catalog"] = " union all ".join(f"select '{t}' as dataset, count(*) as n_rows, (select count(*) from information_schema.columns where table_name = '{t}') as n_columns from {t}" for t in ("events", "lineitem", "orders"))
+
+# Series of any length: every event by its time
+EVENTS = "o as (select 'all' as series_id, ts, cast(sum(cast(round(value, 2) as decimal(18,2))) as double) as y from events group by 2)"
+ORACLE_SQL["long_rolling"] = f"with {EVENTS} select series_id, ts, " + ", ".join(_rolled(a, w, min(w, 14), f"rolling_{s}_{w}", 6) for w in (7, 28) for s, a in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))) + " from o"
+ORACLE_SQL["long_features"] = f"""with {EVENTS}, r as (select *, case when count(y) {_ROLL(7)} >= 7 then avg(y) {_ROLL(7)} end as m7 from o), p as (select *, lag(m7) over (partition by series_id order by ts) as b from r)
+    select series_id, ts, {", ".join(f"lag(y, {k}) over (partition by series_id order by ts) as lag_{k}" for k in (1, 7, 365))}, {_rolled("avg", 7, 7, "rolling_mean_7", 6)}, {_rolled("avg", 90, 14, "rolling_mean_90", 6)}, round(case when b <> 0 then m7 / b - 1 when m7 <> 0 then sign(m7) * 'inf'::double end, 6) as momentum from p"""
+ORACLE_SQL["long_rolling_mad"] = f"""with {EVENTS}, r as (select *, case when count(y) {_ROLL(28)} >= 14 then median(y) {_ROLL(28)} end as med from o), a as (select *, abs(y - med) as off from r), b as (select *, case when count(off) {_ROLL(28)} >= 14 then median(off) {_ROLL(28)} end as mad from a)
+    select series_id, ts, y, {rounded("med", "mad", digits=6)}, coalesce(off > 3 * 1.4826 * nullif(mad, 0), false) as is_anomaly from b"""
+ORACLE_SQL["long_quantiles"] = "select l_returnflag as series_id, count(*) as n, " + ", ".join(f"round(quantile_cont(l_extendedprice, 0.{k}), 6) as q{k}" for k in ("01", "25", "50", "75", "99")) + " from lineitem group by 1"
+ORACLE_SQL["long_summary"] = ORACLE_SQL["summary_stats"].replace(PRIORITY, EVENTS)
+ORACLE_SQL["long_iqr"] = f"with {EVENTS}, {PLACED}, {QUARTILES} select series_id, ts, y, round(q1 - 1.5 * (q3 - q1), 6) as low, round(q3 + 1.5 * (q3 - q1), 6) as high, q3 > q1 and (y < q1 - 1.5 * (q3 - q1) or y > q3 + 1.5 * (q3 - q1)) as is_anomaly from s join q using (series_id)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions.calendar import calendar_columns, future_dates
 from .operators import backtest as bt
-from .operators import clean, explain, explore, features, intervals, metrics, validate
+from .operators import clean, explain, explore, features, intervals, metrics, quantiles, validate
 from .oracle import ORACLE_SQL
 from .plans import pipeline
 from .series import at_least, short_series, to_series, with_position
@@ -177,15 +177,12 @@ def _decomposed(period: int):
 
 
 def seasonal_strength(spark, d):
-    out = None
-    for period in (7, 30, 91, 365):
-        one = explore.seasonal_strength(lineitem_daily(spark, d), period).select("series_id", "period", *_r("strength"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = explore.seasonal_strengths(lineitem_daily(spark, d), explore.SEASONS["D"]).where("name is not null")
+    return out.select("series_id", "period", *_r("strength"))
 
 
 def seasonality_detect(spark, d):
-    out = explore.detect_seasonality(lineitem_daily(spark, d).persist(StorageLevel.MEMORY_AND_DISK), "D")
+    out = explore.detect_seasonality(lineitem_daily(spark, d), "D")
     periods = F.array_join(F.transform(F.map_entries("periods"), lambda x: F.concat(x["key"], F.lit("="), x["value"]["period"].cast("string"))), ",")
     return out.select("series_id", "detected", "seasonality_type", "period", "strength", periods.alias("periods"), "note")
 
@@ -212,6 +209,49 @@ def anomaly_digest(spark, d):
     return out.withColumn("dates", F.array_join(F.transform("dates", lambda x: x.cast("string")), ","))
 
 
+# Series of any length: one series of every event, cut into blocks of LONG_ROWS rows; quantiles in bounded memory
+
+LONG_ROWS = 4096
+
+
+def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series by their exact time."""
+    return to_series(table(spark, sf_dir, "events"), F.col("ts"), F.round("value", 2).cast("decimal(18,2)"))
+
+
+def long_rolling(spark, d):
+    out = features.rolling(events_series(spark, d), [7, 28], rows=LONG_ROWS)
+    exact = [c for c in out.columns if c.startswith(("rolling_min", "rolling_max"))]
+    return out.select("series_id", "ts", *exact, *_r(*[c for c in out.columns if c.startswith(("rolling_mean", "rolling_std"))], digits=6))
+
+
+def long_features(spark, d):
+    out = features.feature_frame(events_series(spark, d), "D", lags=[1, 7, 365], windows=[7, 90], calendar=False, rows=LONG_ROWS)
+    return out.select("series_id", "ts", "lag_1", "lag_7", "lag_365", *_r("rolling_mean_7", "rolling_mean_90", "momentum", digits=6))
+
+
+def long_rolling_mad(spark, d):
+    out = explore.rolling_anomalies(events_series(spark, d), rows=LONG_ROWS)
+    return out.select("series_id", "ts", "y", *_r("med", "mad", digits=6), "is_anomaly")
+
+
+def long_quantiles(spark, d):
+    """Exact quantiles of all prices of each return flag."""
+    lines = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("series_id"), F.col("l_extendedprice").alias("y"))
+    out = quantiles.exact_quantiles(lines, (0.01, 0.25, 0.5, 0.75, 0.99))
+    return out.select("series_id", "n", *[F.round(F.col("q")[k], 6).alias(name) for k, name in enumerate(("q01", "q25", "q50", "q75", "q99"))])
+
+
+def long_summary(spark, d):
+    out = explore.summary_stats(events_series(spark, d), bounded=True)
+    return out.select("series_id", "min", "max", "first", "recent", "latest_change_pct", *_r("mean", "std", digits=3), F.round("median", 6).alias("median"))
+
+
+def long_iqr(spark, d):
+    out = explore.iqr_anomalies(events_series(spark, d), 1.5, bounded=True)
+    return out.select("series_id", "ts", "y", *_r("low", "high", digits=6), "is_anomaly")
+
+
 def _folds(spark, d, by=orders_by_priority):
     series = by(spark, d)
     return series, bt.plan_folds(series.withColumn("frequency", F.lit("D")))
@@ -428,5 +468,6 @@ QUERIES = {
         leaderboard, mase, holdout_mae, horizon_dates, gaussian_band, band_annotation, expected_change, horizon_means, residual_diagnostics, hw_fixed_params,
         drivers, structured_summary, brief_text, append_forecast, model_catalog, event_buckets, ets_backtest, arima_backtest, gbt_backtest,
         all_models_leaderboard, feature_importance, empirical_band, sample_generator, full_pipeline, column_inference, dataset_catalog,
+        long_rolling, long_features, long_rolling_mad, long_quantiles, long_summary, long_iqr,
     )
 } | {"decompose_p7": _decomposed(7), "decompose_p30": _decomposed(30)}
