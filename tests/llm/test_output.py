@@ -22,9 +22,7 @@ def docs(spark, texts=TEXTS):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def plain_ids(text):
@@ -35,7 +33,8 @@ def plain_ids(text):
 def test_tokens_round_trip(spark, shards):
     manifest = tokens.write_tokens(docs(spark), BPE, shards=shards)
     got = [r for r in tokens.read_tokens(manifest, with_ids=True).orderBy("start").collect()]
-    order = sorted(docs(spark).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    placed = docs(spark).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = sorted(placed.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
     start = 0
     for r, d in zip(got, order, strict=True):
         ids = plain_ids(d["text"])
@@ -46,6 +45,24 @@ def test_tokens_round_trip(spark, shards):
     assert few[100].tolist() == plain_ids(TEXTS[6]) and few[3].tolist() == [0] and set(few) == {3, 100}
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "end <|endoftext|>", "<|endoftext|> begin", "in<|endoftext|>side", "two  <|endoftext|>  spaces", "<|endoftext|", "<|endoftext |> is text"])
+def test_added_tokens_as_the_library_reads_them(text):
+    enc = tokens.Encoder(BPE)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == library().encode(text, add_special_tokens=False).ids
+    assert (50256 in np.frombuffer(enc.encode(text), "<u4")) == ("<|endoftext|>" in text)
+
+
+def test_a_repeated_id_fills_several_shards(spark):
+    rows = [(5, f"text number {k} of many") for k in range(400)] + [(4, "first"), (6, "last")]
+    manifest = tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BPE, shards=4)
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert len(sizes) == 4 and max(sizes) < 200
+    out = tokens.read_tokens(manifest, with_ids=True).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [4] + [5] * 400 + [6]
+    assert sorted(map(tuple, (r["ids"] for r in out))) == sorted(tuple(plain_ids(t)) for _, t in rows)
+    assert set(tokens.read_documents(manifest, [6])) == {6}
+
+
 def test_readers_open_only_what_they_need(spark, monkeypatch):
     manifest = tokens.write_tokens(docs(spark), BPE, shards=5)
     rows = sorted(manifest.collect())

@@ -12,8 +12,8 @@ ask for, and no fewer than the session's shuffle partitions.  The manifest tells
 documents opens only shards that can hold them.  A task writes under a name of its own, and
 only files named by a finished task's row enter the manifest, so retried or speculative tasks do no harm.
 
-Defined results: null and empty texts are one end id; rows that repeat an id are all written, in text order; null ids
-come first; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts are one end id; rows that repeat an id are all written, by a hash of the text and then the
+text, and may fill several shards; null ids come first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,15 +56,17 @@ class Encoder:
 
     The pre-tokenizer always starts a new piece at a single space between two other characters, so the text is cut
     there and a piece already seen is not encoded again.  New pieces are encoded as one text; the ids' byte lengths tell
-    where each piece ends.  Special tokens' strings in a text are ordinary text.
+    where each piece ends.  A text that holds the string of an added token (an end mark, say) goes to the library as a whole,
+    which reads that string as the token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # byte-level: a character of a token's string stands for one byte
@@ -160,7 +162,9 @@ class Encoder:
         out = [b""] * len(texts)
         plain = []
         for i, text in enumerate(texts):
-            if _TWO_SPACES.search(text):
+            if self.added and self.added.search(text):
+                out[i] = self._raw(text)
+            elif _TWO_SPACES.search(text):
                 head, *rest = _CUT.split(text)
                 found = self._find(list(dict.fromkeys(rest)), True)
                 ids = dict(zip(dict.fromkeys(rest), found))
@@ -332,7 +336,7 @@ def write_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         yield pd.DataFrame({"shard": [part], "path": [path], "n_docs": [n], "n_tokens": [total], "low": pd.array([low], "Int64"), "high": pd.array([high], "Int64")})
 
     rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    ranged = rows.repartitionByRange(shards, F.col("id"), F.xxhash64("text")).sortWithinPartitions(F.col("id"), F.xxhash64("text"), F.col("text"))
     done = write_table(ranged.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long, low long, high long"), "manifest")
     before, out = 0, []
     for shard, path, n, total, low, high in sorted(done.collect()):  # one row per shard file
