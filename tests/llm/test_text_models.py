@@ -3,6 +3,7 @@ import json
 import re
 import subprocess
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -33,6 +34,21 @@ def test_blocks_decode_and_trim():
     assert [x.text for x in html_text.blocks('<p title="a>b">c</p><p')] == ["c", "<p"]
 
 
+@pytest.mark.parametrize("part,tail", [("<script x ", ""), ("<a b", ""), ("<svg a='1' b ", ""), ("<a x", '">'), ('<a "', ">"), ("<!x ", ""), ("< ", "")])
+def test_broken_markup_takes_linear_time(part, tail):
+    start = time.process_time()
+    html_text.blocks(part * (1_000_000 // len(part)) + tail)
+    assert time.process_time() - start < 10
+
+
+def test_broken_tags_are_text():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts("a < b <p>c") == ["a < b", "c"]
+    assert texts("<p title='x>y'>one</p><p title='z>two") == ["one", "<p title='z>two"]
+    assert texts("x<script>no</SCRIPT >y<style>gone") == ["xy"]
+    assert texts("x<!-- <p>no --><!doctype a>y<!-- gone") == ["xy"]
+
+
 def test_labeller_on_pages_it_has_not_seen(labeller):
     hit = total = 0
     for b, y in html_text.made_pages(120, seed=4711):

@@ -19,6 +19,7 @@ are extracted each; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|object)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S | re.I)
+_NAMED = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+_RAW = re.compile(r"<(script|style|noscript|template|textarea|svg|iframe|select|object)\b", re.I)
+_ENDS = re.compile("""[>"']""")
 _MARKS = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
 # Tags inside a line of text, tags without content, and tags that a paragraph ends at.
@@ -74,6 +77,56 @@ class Block:
         return self.element.path() if self.element else ()
 
 
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """The places of >, " and ' in a page, and for each where a tag ends that is outside of quotes there: after the next > that no
+    quotes hold, or -1 where there is none.  One pass from the end, since what follows a place is the same for all tags before it."""
+    at = [m.start() for m in _ENDS.finditer(page)]
+    ends = [-1] * (len(at) + 1)
+    following = {'"': -1, "'": -1}  # the next one of each quote
+    for k in range(len(at) - 1, -1, -1):
+        c = page[at[k]]
+        if c == ">":
+            ends[k] = at[k] + 1
+        else:
+            if following[c] >= 0:
+                ends[k] = ends[following[c] + 1]
+            following[c] = k
+    return at, ends
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str | None, str]]:
+    """Markup in order: (start, end, "/" of a closing tag, name, attributes); comments, declarations, and elements whose content
+    is no text have no name.  A < that begins none of these is text.  The time is linear in the page, however it is broken."""
+    places, ends = _tag_ends(page)
+    closing: dict[str, re.Pattern] = {}
+    declared = True  # whether a > may still follow
+    at = page.find("<")
+    while at >= 0:
+        end, close, name, attributes = -1, "", None, ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at + 2) + 1 if declared else 0
+            declared = end > 0
+            end = end or -1
+        elif m := _NAMED.match(page, at):
+            end = ends[bisect.bisect_left(places, m.end())]
+            if end > 0 and (raw := _RAW.match(page, at)):
+                kind = raw[1].lower()
+                if kind not in closing:
+                    closing[kind] = re.compile(rf"</{kind}\s*>", re.I)
+                last = closing[kind].search(page, end)
+                end = last.end() if last else len(page)
+            elif end > 0:
+                close, name, attributes = m[1], m[2], page[m.end() : end - 1]
+        if end > 0:
+            yield at, end, close, name, attributes
+            at = page.find("<", end)
+        else:
+            at = page.find("<", at + 1)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; scripts, styles and markup are gone, character references decoded, white space plain."""
     out: list[Block] = []
@@ -90,13 +143,12 @@ def blocks(page: str) -> list[Block]:
             held.clear()
         linked = 0
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
+    for start, end, close, name, attributes in _tags(page):
+        if start > at:
+            held.append(page[at:start])
             if link_depth:
-                linked += m.start() - at
-        at = m.end()
-        close, name = m[2], m[3]
+                linked += start - at
+        at = end
         if name is None:
             continue
         name = name.lower()
@@ -122,9 +174,9 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].name == name and name in CLOSES_ITSELF:
                     del stack[k:]
                     break
-            if name not in VOID and not m[4].rstrip().endswith("/"):
+            if name not in VOID and not attributes.rstrip().endswith("/"):
                 marks = [name]
-                for _, value in _MARKS.findall(m[4]):
+                for _, value in _MARKS.findall(attributes):
                     marks += ["." + x for x in _NAME.findall(value.lower())]
                 stack.append(Element(name, tuple(marks), stack[-1] if stack else None))
     if at < len(page):
