@@ -72,6 +72,19 @@ def test_large_and_small_numbers(spark):
     assert out == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5)}
 
 
+def test_links_that_no_beam_reaches_are_found(monkeypatch):
+    """Half of the graph is out of reach: no beam finds it, so the pair is compared exactly."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(2, 16)), 300, axis=0) + rng.normal(0, 0.05, (600, 16))
+    near = vectors.Graph.near
+    monkeypatch.setattr(vectors.Graph, "near", lambda *a: (hits := near(*a))[hits[:, 1] < 300])
+    blob = vectors.build_shard(np.arange(600), np.ones(600, int), x)
+    r, c, *_, recall, _ = vectors.shard_links(blob, blob, True)
+    unit = vectors._unit(x)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.93, 1))
+    assert set(zip(r.tolist(), c.tolist())) == set(zip(a.tolist(), b.tolist())) and len(a) > 10_000 and recall < 1
+
+
 def test_graph_recall():
     x = vectors._unit(data(1800, 16, 5).astype(float)).astype(np.float32)
     g = vectors.Graph.build(x)

@@ -262,7 +262,10 @@ def shard_links(a: bytes, b: bytes, same: bool, threshold: float = THRESHOLD, be
                 rows = np.arange(len(ids_a))
                 want = exact(rows)
         recall = float(np.isin(want, key).mean()) if len(want) else 1.0
+        key = np.union1d(key, want)  # what the audit knows is no less a link
         if recall >= RECALL or beam >= n:
+            if recall < RECALL:  # no beam reaches the rest of the graph
+                key = exact(np.arange(len(ids_a)))
             r, c = key // n, key % n
             return r, c, ids_a, ids_b, np.stack([many_a[r], many_b[c]]) if len(r) else np.zeros((2, 0), np.int64), recall, (len(rows), len(want), beam)
         beam *= 2
