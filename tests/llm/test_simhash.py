@@ -231,10 +231,12 @@ def test_bucket_pairs_connect_and_cover():
     check = rng.integers(0, 1 << 12, (300, 1)).astype(np.uint64)
     part = rng.integers(0, 3, 300)
     near = [(a, b) for a in range(300) for b in range(a + 1, 300) if key[a] == key[b] and int(check[a, 0] ^ check[b, 0]).bit_count() <= 2]
-    own = simhash.bucket_pairs(key, check, 2)
-    assert classes(300, zip(*(x.tolist() for x in own))) == classes(300, near)
-    every = simhash.bucket_pairs(key, check, 2, part)
-    assert sorted(zip(*(x.tolist() for x in every))) == [(a, b) for a, b in near if part[a] != part[b]]
+    pairs = lambda chunks: [p for x, y in chunks for p in zip(x.tolist(), y.tolist())]
+    assert classes(300, pairs(simhash.bucket_pairs(key, check, 2))) == classes(300, near)
+    for held in (1 << 20, 10):
+        assert sorted(pairs(simhash.bucket_pairs(key, check, 2, part, held))) == [(a, b) for a, b in near if part[a] != part[b]]
+    chunks = list(simhash.bucket_pairs(np.zeros(3000, int), np.zeros((3000, 2), np.uint64), 2, np.arange(3000), 50_000))
+    assert sum(len(x) for x, _ in chunks) == 3000 * 2999 // 2 and max(len(x) for x, _ in chunks) < 60_000
 
 
 def test_hot_buckets_are_cut_and_lose_no_pair(spark):

@@ -246,6 +246,8 @@ CHECKS = 2
 SMALL = 64
 #: Documents of one bucket that a task holds; larger buckets are cut.
 HOT = 50_000
+#: Pairs that a task holds before it gives them out.
+PAIRS = 1 << 20
 #: Shape of the sketch that a document's shingles are counted in.
 SKETCH = (32, 64)
 
@@ -309,15 +311,19 @@ def bits_at(similarity: float, bits: int = BITS * CHECKS) -> int:
     return int(np.ceil(bits * p + 4.5 * np.sqrt(bits * p * (1 - p))))
 
 
-def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray | None = None, held: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (places in the input) of one key, which is sorted, whose `check` rows differ in at most `most` bits.
 
-    Without `part`, only pairs that connect what all such pairs connect; with it, all pairs of different parts.
+    Without `part`, only pairs that connect what all such pairs connect; with it, all pairs of different parts, given out
+    whenever `held` of them have gathered, so memory does not grow with their number.
     """
     n = len(key)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.array([], int)
     size = np.diff(np.r_[start, n])
-    label, found = np.arange(n), [(np.array([], int), np.array([], int))]
+    label, found, waiting = np.arange(n), [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(side) for side in zip(*found)) if found else (np.array([], int), np.array([], int))
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(check[a] ^ check[b]).sum(-1, dtype=np.int64) <= most
@@ -334,6 +340,10 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
             label = _merge(label, x, x + step)
         else:
             found.append((x, x + step))
+            waiting += len(x)
+            if waiting >= held:
+                yield joined()
+                found, waiting = [], 0
     for at, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
         rest = np.arange(at, at + m)
         if part is None:  # reach from place to place; what is reached is not compared again
@@ -351,10 +361,14 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
                 y = y[part[y] != part[x]]
                 y = y[near(x, y)]
                 found.append((np.full(len(y), x), y))
+                waiting += len(y)
+                if waiting >= held:
+                    yield joined()
+                    found, waiting = [], 0
     if part is None:
-        joined = np.flatnonzero(label != np.arange(n))
-        found.append((label[joined], joined))
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        at = np.flatnonzero(label != np.arange(n))
+        found.append((label[at], at))
+    yield joined()
 
 
 def candidates(signed: DataFrame, most: int, hot: int = HOT) -> DataFrame:
@@ -390,10 +404,10 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT) -> DataFrame:
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             rep = t["rep"].to_numpy()
             check = np.stack([t[f"c{k}"].to_numpy().view(np.uint64) for k in range(CHECKS)], axis=1)
-            x, y = bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None)
-            pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            for x, y in bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None):
+                pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
+                pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
