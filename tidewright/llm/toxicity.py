@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -325,8 +326,28 @@ def within(rows: DataFrame, size: str, most: int) -> DataFrame:
     return rows.join(rows.sparkSession.createDataFrame(chosen, "doc_id long"), "doc_id", "left_semi")
 
 
+def fit_numbered(rows: pd.DataFrame) -> Classifier:
+    """A classifier fitted on labelled texts (doc_id, lang, y, places, parts) whose words are numbers already."""
+    rows = rows.sort_values("doc_id")
+    y, lang = rows["y"].to_numpy(np.int64), [x if isinstance(x, str) else None for x in rows["lang"]]
+    own = [np.frombuffer(x, "<u2").reshape(-1, PARTS) for x in rows["parts"]]
+    begin = np.cumsum([0, *map(len, own)])
+    every = np.concatenate([np.zeros((0, PARTS), "<u2"), *own])
+    places = [np.frombuffer(x, "<i4") for x in rows["places"]]
+    del own, rows
+    _, first, back = np.unique(every.view(f"V{2 * PARTS}").ravel(), return_index=True, return_inverse=True)
+    feats, back = every[first].astype(np.int32), back.astype(np.int32)
+    words = [back[a + x] for a, x in zip(begin, places)]
+    del every, first, back, places
+    release_memory()
+    return Classifier().fit_rows(words, feats, y, lang)
+
+
 def train(docs: DataFrame, labels: DataFrame, keep: Column, limit: int = MAX_LABELS, most: int = MAX_WORDS) -> Classifier:
-    """A classifier fitted on the labelled rows of `labels` that `keep` lets through."""
+    """A classifier fitted on the labelled rows of `labels` that `keep` lets through.
+
+    One task fits it, on `limit` texts of `most` words in all at most; the driver gets the weights only.
+    """
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each text as places in a list of feature buckets of its own."""
@@ -340,22 +361,14 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, limit: int = MAX_LAB
 
     rows = labelled(docs, labels, "toxic", keep, limit).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "y")
     rows = write_table(small_batches(rows).mapInPandas(number, "doc_id long, lang string, y int, n long, places binary, parts binary"), "labelled")
-    rows = within(rows, "n", most).toPandas().sort_values("doc_id")
-    y, lang = rows["y"].to_numpy(), [x if isinstance(x, str) else None for x in rows["lang"]]
-    own = [np.frombuffer(x, "<u2").reshape(-1, PARTS) for x in rows["parts"]]
-    begin = np.cumsum([0, *map(len, own)])
-    every = np.concatenate([np.zeros((0, PARTS), "<u2"), *own])
-    places = [np.frombuffer(x, "<i4") for x in rows["places"]]
-    del own, rows
-    _, first, back = np.unique(every.view(f"V{2 * PARTS}").ravel(), return_index=True, return_inverse=True)
-    feats, back = every[first].astype(np.int32), back.astype(np.int32)
-    words = [back[a + x] for a, x in zip(begin, places)]
-    del every, first, back, places
-    release_memory()
-    model = Classifier().fit_rows(words, feats, y, lang)
-    del words, feats
-    release_memory()
-    return model
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = pickle.dumps(fit_numbered(pd.concat(list(batches))))
+        release_memory()
+        yield pd.DataFrame({"model": [model]})
+
+    fitted = write_table(within(rows, "n", most).repartition(1).mapInPandas(fit, "model binary"), "model").first()
+    return pickle.loads(fitted["model"]) if fitted else fit_numbered(rows.limit(0).toPandas())  # without any labelled text
 
 
 def scorer(model: Classifier) -> Callable[[pd.Series], pd.Series]:
