@@ -115,3 +115,12 @@ def test_deduplicate_with_clashing_columns_nulls_and_ties(spark):
 def test_stays_in_the_engine(spark):
     plan = exact_dedup.exact_dedup(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoop"))
+
+
+def test_owners_grow_with_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "OWNER_BYTES", 1_000)
+    seen, plain = [], exact_dedup._place
+    monkeypatch.setattr(exact_dedup, "_place", lambda rows, leaves, owners: seen.append(owners) or plain(rows, leaves, owners))
+    df = spark.createDataFrame([(k, f"{k % 50} " * 40) for k in range(300)], "doc_id long, text string")
+    out = exact_dedup.exact_dedup(df).collect()
+    assert max(seen) > 20 and {(r["doc_id"], r["keep_id"], r["group_size"]) for r in out} == {(k, 250 + k % 50, 6) for k in range(300)}

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import fold_ascii, new_path, unused, write_table
 
-#: Keys that a bucket of the index may hold before it is split, and the buckets that a full table may have, about.
+#: Keys that a bucket of the index may hold before it is split: at least CAPACITY, and as many as keep the buckets at about BUCKETS.
 CAPACITY, BUCKETS = 65_536, 1 << 15
+#: Bytes of text that an owner compares, about; there are no fewer owners than shuffle partitions.
+OWNER_BYTES = 256 << 20
 #: Bits that one look at the counts covers.
 STEP = 4
 #: Copies from which a key counts as hot, and the share of all rows (one in so many) that it must exceed.
@@ -96,17 +98,17 @@ class Index:
         self.entries, self.leaves, self.hot, self.keys = entries, leaves, hot, keys
 
 
-def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = _sha) -> Index:
+def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = _sha) -> Index:
     """Entries: bucket, h (key), chain (place among the texts of that key), digest, keep_id, group_size, clash (whether the key has
-    several texts) and norm (the text, of those only).  keys: (doc_id, h) of every row."""
+    several texts) and norm (the text, of those only).  keys: (doc_id, h) of every row.  capacity: None grows with the table."""
     spark = df.sparkSession
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("keep_id"), fold_ascii(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("h", key(F.col("norm")))
-    keys = write_table(rows.select(F.col("keep_id").alias("doc_id"), "h"), "keys")
-    counts = write_table(keys.groupBy("h").count(), "key-counts")
-    n_keys, n_rows = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    leaves = directory(counts, max(capacity, n_keys // BUCKETS) if capacity == CAPACITY else capacity)
+    keys = write_table(rows.select(F.col("keep_id").alias("doc_id"), "h", F.octet_length("norm").alias("size")), "keys")
+    counts = write_table(keys.groupBy("h").agg(F.count("*").alias("count"), F.sum("size").alias("bytes")), "key-counts")
+    n_keys, n_rows, n_bytes = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // OWNER_BYTES))
+    leaves = directory(counts, max(CAPACITY, n_keys // BUCKETS) if capacity is None else capacity)
     hot = write_table(counts.where(F.col("count") > max(HOT_COPIES, n_rows // HOT_SHARE)).select("h"), "hot")
     marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "h", "left")  # at most HOT_SHARE keys
     cold = marked.where("hot is null").select("h", "norm", "keep_id", F.lit(1).cast("long").alias("group_size"))
@@ -118,15 +120,15 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacit
     out = chained.select("bucket", "h", "chain", digest(F.col("norm")).alias("digest"), "keep_id", "group_size", "clash", F.when(F.col("clash"), F.col("norm")).alias("norm"))
     out.sortWithinPartitions("bucket", "h", "chain").write.partitionBy("bucket").parquet(path)
     entries = spark.read.schema("h long, chain int, digest string, keep_id long, group_size long, clash boolean, norm string, bucket int").parquet(path)
-    return Index(entries, leaves, hot, keys)
+    return Index(entries, leaves, hot, keys.drop("size"))
 
 
-def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = _sha) -> DataFrame:
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = _sha) -> DataFrame:
     """The entries of the index."""
     return index(df, id_col, text_col, capacity, key, digest).entries
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = _sha) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None, key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = _sha) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, digest.  key and digest can be weakened to test collisions."""
     own = index(df, id_col, text_col, capacity, key, digest)
     entries, found = own.entries, ["doc_id", "keep_id", "group_size", "digest"]
