@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import dates, linear, rows, series
 from tidewright.errors import UnknownModel
 from tidewright.operators import backtest as bt
-from tidewright.operators import fitting
+from tidewright.operators import fitting, smoothing
 
 
 def demand(n=200):
@@ -21,7 +23,7 @@ def ahead(spark, y, model, h=14, **context):
     if model == "seasonal_naive":
         return rows(bt.seasonal_naive_forecasts(s, plan), "h")
     plan = plan.withColumn("periods", F.array(F.lit(7)))
-    return rows(bt.numeric_forecasts(s, plan, [{"ets": bt.ETS, "arima": bt.ARIMA, "xgboost": bt.trees(60)}[model]]), "h")
+    return rows(bt.model_forecasts(s, plan, [model], 60), "h")
 
 
 @pytest.mark.parametrize("model", ["naive", "seasonal_naive", "ets", "arima", "xgboost"])
@@ -51,26 +53,58 @@ def test_seasonal_models_beat_naive():
     off = lambda f: np.abs(f - test).mean()
     naive = off(np.full(14, train[-1]))
     days = np.array(dates(386), "datetime64[D]").astype("datetime64[ns]")
-    assert off(fitting.fit_ets(train, 14, 7)[0]) < 0.5 * naive
     assert off(fitting.fit_arima(train, 14, "D")[0]) < 0.7 * naive
     assert off(fitting.fit_trees(train, days, 14, "D", 150)[0]) < 0.7 * naive
 
 
-def test_ets_falls_back():
-    assert fitting.fit_ets(np.arange(20.0), 3, 30)[3]["method"] == "ets_simple"
-    assert fitting.ets_period(100, [30, 7]) == 7 and fitting.ets_period(20, [7]) == 0 and fitting.ets_period(100, []) == 0
+def plain_smoothing(y, p, a, b, g):
+    """The recursion in Python: forecasts' level, slope and season, and the one-step errors."""
+    if p:
+        first, second = np.mean(y[:p]), np.mean(y[p : 2 * p])
+        level, slope, season = first, (second - first) / p, [v - first for v in y[:p]]
+    else:
+        level, slope, season = y[0], (y[1] - y[0] if len(y) > 1 else 0.0), [0.0]
+    errors = []
+    for v in y:
+        s = season.pop(0)
+        e = v - level - slope - s
+        level, slope = level + slope + a * e, slope + a * b * e
+        season.append(s + g * e)
+        errors.append(e)
+    return level, slope, season, np.array(errors)
+
+
+@pytest.mark.parametrize("n,periods,p", [(200, [7], 7), (200, [30, 7], 7), (95, [30], 30), (20, [7], 0), (60, [], 0), (60, [9], 7), (1, [], 0)])
+def test_smoothing_is_the_recursion_with_good_weights(spark, n, periods, p):
+    y = demand(max(n, 2))[:n]
+    s = series(spark, y)
+    out = rows(smoothing.ets_forecasts(s, bt.final_fold(s, 9).withColumn("periods", F.array(*map(F.lit, periods)).cast("array<int>"))), "h")
+    meta = json.loads(out[0]["meta"])
+    assert meta.get("seasonal_period", 0) == p and meta["method"] == ("ets" if p else "ets_simple")
+    level, slope, season, errors = plain_smoothing(y, p, meta["alpha"], meta["beta"], meta["gamma"])
+    want = [level + slope * h + season[(h - 1) % len(season)] for h in range(1, 10)]
+    assert np.allclose([r["yhat"] for r in out], want) and np.allclose([r["upper"] - r["yhat"] for r in out], 1.96 * errors.std() * np.sqrt(np.arange(1, 10)))
+    rng = np.random.default_rng(3)
+    tried = [plain_smoothing(y, p, *w)[3] for w in rng.uniform(0.01, 0.99, (60, 3)) * (1, 1, 1 if p else 0)]
+    assert errors @ errors <= min(e @ e for e in tried) * 1.02
+
+
+def test_smoothing_beats_naive(spark):
+    y = demand(400)
+    s = series(spark, y[:386])
+    out = rows(smoothing.ets_forecasts(s, bt.final_fold(s, 14).withColumn("periods", F.array(F.lit(7)))), "h")
+    assert np.abs([r["yhat"] for r in out] - y[386:]).mean() < 0.5 * np.abs(y[385] - y[386:]).mean()
 
 
 def test_holt_recursion_matches_sql(spark):
     y = demand(60)
-    level, slope, _, _ = fitting.smooth(y, 0.3, 0.1, 0.0, 0)
-    r = rows(bt.holt_winters_fixed(series(spark, y), 0.3, 0.3 * 0.1 / 0.3))[0]
-    l, b = y[0], 0.0
+    r = rows(bt.holt_winters_fixed(series(spark, y), 0.3, 0.1))[0]
+    level, slope = y[0], 0.0
     for v in y[1:]:
-        new = 0.3 * v + 0.7 * (l + b)
-        b = 0.1 * (new - l) + 0.9 * b
-        l = new
-    assert abs(r["level"] - l) < 1e-9 and abs(r["slope"] - b) < 1e-9 and np.isfinite(level + slope)
+        new = 0.3 * v + 0.7 * (level + slope)
+        slope = 0.1 * (new - level) + 0.9 * slope
+        level = new
+    assert abs(r["level"] - level) < 1e-9 and abs(r["slope"] - slope) < 1e-9
 
 
 def test_arima_recovers_an_autoregression():

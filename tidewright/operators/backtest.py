@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import UnknownModel
 from ..series import by_time, whole_series, with_position
 from . import fitting
+from .smoothing import ets_forecasts
 from .explore import detect_seasonality
 from .metrics import METRICS, metric_columns
 
@@ -105,10 +107,6 @@ def seasonal_naive_forecasts(series: DataFrame, folds: DataFrame, season: int |
     return out.select("series_id", F.lit("seasonal_naive").alias("model"), "fold", "h", "yhat", (F.col("yhat") - F.col("half")).alias("lower"), (F.col("yhat") + F.col("half")).alias("upper"))
 
 
-def _ets(y: np.ndarray, days: np.ndarray, horizon: int, context: dict):
-    return fitting.fit_ets(y, horizon, fitting.ets_period(len(y), context["periods"]))
-
-
 def _arima(y: np.ndarray, days: np.ndarray, horizon: int, context: dict):
     return fitting.fit_arima(y, horizon, context["frequency"])
 
@@ -120,7 +118,7 @@ def trees(n_trees: int = 300, compat: bool = False) -> Model:
     return Model("xgboost", fit)
 
 
-ETS, ARIMA = Model("ets", _ets), Model("arima", _arima)
+ARIMA = Model("arima", _arima)
 #: Rows that a series needs for boosted trees.
 MIN_TREES = 40
 
@@ -196,31 +194,37 @@ def season_lengths(series: DataFrame, frequency: str = "D") -> DataFrame:
     return found.select("series_id", F.coalesce("period", F.lit(7)).alias("season"), periods.alias("periods"))
 
 
-def backtest(series: DataFrame, frequency: str = "D", folds: int = 4, train_frac: float = 0.6, horizon: int | None = None, metric: str = "smape", models: Iterable[str | Model] = ("naive", "seasonal_naive", "ets", "arima", "xgboost"), n_trees: int = 300) -> dict[str, DataFrame]:
-    """folds, forecasts, scores and leaderboard of all series and models."""
-    plan = plan_folds(series.withColumn("frequency", F.lit(frequency)), folds, train_frac, horizon)
-    plan = plan.join(season_lengths(series, frequency), "series_id").persist(StorageLevel.MEMORY_AND_DISK)  # a few rows a series, read by every model
-    built = {"ets": ETS, "arima": ARIMA, "xgboost": trees(n_trees)}
+def model_forecasts(series: DataFrame, folds: DataFrame, models: Iterable[str | Model], n_trees: int = 300) -> DataFrame:
+    """Forecasts (FORECAST_SCHEMA) of models by name or of one's own, for each of the folds.
+
+    The baselines and exponential smoothing are relations; the others are fitted in Arrow groups.  The seasonal naive forecast takes
+    the season of folds' column season, else 7.
+    """
+    season = "season" if "season" in folds.columns else 7
+    made = {"naive": lambda: naive_forecasts(series, folds), "seasonal_naive": lambda: seasonal_naive_forecasts(series, folds, season), "ets": lambda: ets_forecasts(series, folds)}
+    fitted = {"arima": lambda: ARIMA, "xgboost": lambda: trees(n_trees)}
+    none = F.lit(None).cast("string")
     parts, numeric = [], []
     for m in models:
         if isinstance(m, Model):
             numeric.append(m)
-        elif m == "naive":
-            parts.append(naive_forecasts(series, plan))
-        elif m == "seasonal_naive":
-            parts.append(seasonal_naive_forecasts(series, plan, "season"))
-        elif m in built:
-            numeric.append(built[m])
+        elif m in made:
+            part = made[m]()
+            parts.append(part if "meta" in part.columns else part.withColumns({"error": none, "meta": none}))
+        elif m in fitted:
+            numeric.append(fitted[m]())
         else:
             raise UnknownModel(m)
-    none = F.lit(None).cast("string")
-    forecasts = None
-    for p in parts:
-        p = p.withColumns({"error": none, "meta": none})
-        forecasts = p if forecasts is None else forecasts.unionByName(p)
     if numeric:
-        n = numeric_forecasts(series, plan, numeric)
-        forecasts = n if forecasts is None else forecasts.unionByName(n)
+        parts.append(numeric_forecasts(series, folds, numeric))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def backtest(series: DataFrame, frequency: str = "D", folds: int = 4, train_frac: float = 0.6, horizon: int | None = None, metric: str = "smape", models: Iterable[str | Model] = ("naive", "seasonal_naive", "ets", "arima", "xgboost"), n_trees: int = 300) -> dict[str, DataFrame]:
+    """folds, forecasts, scores and leaderboard of all series and models."""
+    plan = plan_folds(series.withColumn("frequency", F.lit(frequency)), folds, train_frac, horizon)
+    plan = plan.join(season_lengths(series, frequency), "series_id").persist(StorageLevel.MEMORY_AND_DISK)  # a few rows a series, read by every model
+    forecasts = model_forecasts(series, plan, models, n_trees)
     scores = score_folds(series, plan, forecasts.where("error is null"))
     totals = plan.groupBy("series_id").agg(F.count("*").alias("n_folds_total"))
     return {"folds": plan, "forecasts": forecasts, "scores": scores, "leaderboard": leaderboard(scores, metric, totals)}

@@ -72,13 +72,14 @@ def volatility(series: DataFrame) -> DataFrame:
     return out.select("series_id", r4("overall").alias("overall"), r4("recent").alias("recent"), r4("early").alias("early"), r4(ratio).alias("ratio"), level.alias("level"))
 
 
-def _trends(series: DataFrame, periods: list[int]) -> DataFrame:
+def _trends(series: DataFrame, periods: list[int], running: bool = True) -> DataFrame:
     """series with t, n, and for each period p the column trend_p: a centred moving average whose ends are filled by a line, null
     below two periods of rows.
 
     All averages are differences of one running sum (of what is above the mean, so it stays small), read `p // 2` rows ahead and
     behind; an even period weighs the two ends of its window by half.  The ends are filled from least-squares lines through p
     rows: the first ones with a trend, and those before the last one with a trend.  All of it shares one order of the rows.
+    Without `running` each window is summed by itself: slower by its width, without the last rounding of a difference of sums.
     """
     order, whole = by_time(), whole_series()
     own = series.withColumns({"t": F.row_number().over(order) - 1, "n": F.count("*").over(whole), "_mean": F.avg("y").over(whole)})
@@ -86,11 +87,14 @@ def _trends(series: DataFrame, periods: list[int]) -> DataFrame:
     averages = {}
     for p in periods:
         half = p // 2
-        total = F.lead("_sum", half).over(order) - F.lag("_sum", half + 1, 0.0).over(order)
+        if running:
+            total = F.lead("_sum", half).over(order) - F.lag("_sum", half + 1, 0.0).over(order) + F.col("_mean") * (2 * half + 1)
+        else:
+            total = F.sum("y").over(order.rowsBetween(-half, half))
         if p % 2 == 0:
-            total = total - 0.5 * (F.lag("y", half).over(order) + F.lead("y", half).over(order)) + F.col("_mean")
+            total = total - 0.5 * (F.lag("y", half).over(order) + F.lead("y", half).over(order))
         inside = (F.col("n") >= 2 * p) & (F.col("t") >= half) & (F.col("t") < F.col("n") - half)
-        averages[f"_ma_{p}"] = F.when(inside, total / p + F.col("_mean"))
+        averages[f"_ma_{p}"] = F.when(inside, total / p)
     own = own.withColumns(averages)
     lines = {}
     for p in periods:
@@ -107,7 +111,7 @@ def _trends(series: DataFrame, periods: list[int]) -> DataFrame:
 
 def decompose(series: DataFrame, period: int) -> DataFrame:
     """Additive decomposition: trend (see _trends), seasonal, resid.  Series below two periods are left out."""
-    own = _trends(series, [period]).where(F.col("n") >= 2 * period).withColumnRenamed(f"trend_{period}", "trend")
+    own = _trends(series, [period], running=False).where(F.col("n") >= 2 * period).withColumnRenamed(f"trend_{period}", "trend")
     slot = Window.partitionBy("series_id", F.col("t") % period)
     own = own.withColumn("_raw", F.avg(F.col("y") - F.col("trend")).over(slot))
     first = F.avg(F.when(F.col("t") < period, F.col("_raw"))).over(whole_series())  # each slot once
@@ -145,7 +149,7 @@ def detect_seasonality(series: DataFrame, frequency: str = "D") -> DataFrame:
     if not candidates:
         return series.select("series_id").distinct().select("series_id", F.lit(False).alias("detected"), F.lit(None).cast("string").alias("seasonality_type"), F.lit(None).cast("int").alias("period"), F.lit(0.0).alias("strength"), F.expr("map_from_arrays(array(), array())").cast("map<string,struct<period:int,strength:double>>").alias("periods"), F.lit(NO_SEASON).alias("note"))
     found = seasonal_strengths(series, candidates, 3).withColumn("strength", F.round(F.least(F.col("strength"), F.lit(1.0)), 3))
-    ok = F.col("strength") >= STRENGTH
+    ok = F.col("name").isNotNull() & (F.col("strength") >= STRENGTH)
     best = F.max_by(F.struct("name", "period", "strength"), F.when(ok, F.struct("strength", -F.col("place"))))
     entries = F.collect_list(F.when(ok, F.struct("name", F.struct("period", "strength").alias("x"))))  # a few seasons
     out = found.groupBy("series_id").agg(best.alias("best"), F.map_from_entries(F.array_sort(entries)).alias("periods"))

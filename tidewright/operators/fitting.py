@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 
 from ..functions.calendar import default_lags, tree_windows
@@ -15,97 +13,6 @@ PREFERRED_SEASON = {"D": 7, "W": 12, "MS": 12, "M": 12, "QS": 4}
 SEASON_LIST = [7, 12, 30, 52, 91, 365]
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float = 0.15, rounds: int = 150) -> np.ndarray:
-    """Minimise f by the simplex method, a bounded number of rounds."""
-    n = len(x0)
-    points = np.vstack([x0, *(x0 + step * np.eye(n)[k] for k in range(n))])
-    values = np.array([f(p) for p in points])
-    for _ in range(rounds):
-        order = np.argsort(values, kind="stable")
-        points, values = points[order], values[order]
-        if values[-1] - values[0] < 1e-8 * (abs(values[0]) + 1e-12):
-            break
-        centre = points[:-1].mean(0)
-        mirrored = centre + (centre - points[-1])
-        v = f(mirrored)
-        if v < values[0]:
-            further = centre + 2 * (centre - points[-1])
-            w = f(further)
-            points[-1], values[-1] = (further, w) if w < v else (mirrored, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = mirrored, v
-        else:
-            closer = centre + 0.5 * ((mirrored if v < values[-1] else points[-1]) - centre)
-            w = f(closer)
-            if w < min(v, values[-1]):
-                points[-1], values[-1] = closer, w
-            else:
-                points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                values[1:] = [f(p) for p in points[1:]]
-    return points[np.argmin(values)]
-
-
-# Exponential smoothing
-
-
-def smooth(y: np.ndarray, alpha: float, beta: float, gamma: float, period: int) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """Additive Holt-Winters with given weights: level, trend, the last season and the one-step residuals.  period 0: no season."""
-    n = len(y)
-    if period:
-        first, second = y[:period].mean(), y[period : 2 * period].mean()
-        level, slope = first, (second - first) / period
-        season = list(y[:period] - first)
-    else:
-        level, slope, season = y[0], (y[1] - y[0] if n > 1 and beta > 0 else 0.0), []
-    resid = np.empty(n)
-    for t, v in enumerate(y.tolist()):
-        s = season[t] if period else 0.0
-        ahead = level + slope
-        e = v - ahead - s
-        resid[t] = e
-        new = ahead + alpha * e
-        slope += alpha * beta * e
-        level = new
-        if period:
-            season.append(s + gamma * (v - ahead - s))
-    return level, slope, np.array(season[-period:]) if period else np.zeros(0), resid
-
-
-def ets_period(n: int, detected: list[int]) -> int:
-    """The smallest supported detected season that three periods of data support, else the first such of the list; 0: none."""
-    for p in [*sorted(set(detected) & set(SEASON_LIST)), *(SEASON_LIST if detected else [])]:
-        if n >= 3 * p:
-            return p
-    return 0
-
-
-def fit_ets(y: np.ndarray, horizon: int, period: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-    """Forecast, lower, upper and metadata; a season that cannot be fitted falls back to trend only, then to the level."""
-    squash = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for kind, p in (("ets", period), ("ets_simple", 0), ("ets_fallback", 0)):
-        if kind == "ets" and (not period or len(y) < 2 * period):
-            continue
-        size = {"ets": 3, "ets_simple": 2, "ets_fallback": 1}[kind]
-
-        def weights(x: np.ndarray) -> tuple[float, float, float]:
-            a = squash(x)
-            return float(a[0]), float(a[1]) if size > 1 else 0.0, float(a[2]) if size > 2 else 0.0
-
-        def loss(x: np.ndarray) -> float:
-            r = smooth(y, *weights(x), p)[3]
-            return float(r @ r)
-
-        starts = [np.array([-1.0, -4.0, -2.0])[:size], np.array([0.5, -5.0, -4.0])[:size]]
-        best = min((nelder_mead(loss, s, 0.8, 60) for s in starts), key=loss)
-        level, slope, season, resid = smooth(y, *weights(best), p)
-        steps = np.arange(1, horizon + 1)
-        fc = level + (slope * steps if size > 1 else 0.0) + (season[(steps - 1) % p] if p else 0.0)
-        if np.isfinite(fc).all():
-            half = 1.96 * resid.std() * np.sqrt(steps)
-            return fc, fc - half, fc + half, {"method": kind, "seasonal_period": p or None, "trend": "add" if size > 1 else None, "residuals": resid}
-    raise ValueError("exponential smoothing did not converge")
-
-
 # ARIMA
 
 

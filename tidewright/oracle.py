@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .operators.backtest import CATALOG
+from .operators.smoothing import FACTORS, LEVELS, SEASONALS, SUPPORTED, TOP, TRENDS
 from .operators.validate import PENALTY
 
 ORDERS = """o as (select 'all' as series_id, cast(o_orderdate as date) as ts, cast(sum(cast(o_totalprice as decimal(18,2))) as double) / 1000 as y from orders group by 2)"""
@@ -263,3 +264,37 @@ ORACLE_SQL["long_rolling_mad"] = f"""with {EVENTS}, r as (select *, case when co
 ORACLE_SQL["long_quantiles"] = "select l_returnflag as series_id, count(*) as n, " + ", ".join(f"round(quantile_cont(l_extendedprice, 0.{k}), 6) as q{k}" for k in ("01", "25", "50", "75", "99")) + " from lineitem group by 1"
 ORACLE_SQL["long_summary"] = ORACLE_SQL["summary_stats"].replace(PRIORITY, EVENTS)
 ORACLE_SQL["long_iqr"] = f"with {EVENTS}, {PLACED}, {QUARTILES} select series_id, ts, y, round(q1 - 1.5 * (q3 - q1), 6) as low, round(q3 + 1.5 * (q3 - q1), 6) as high, q3 > q1 and (y < q1 - 1.5 * (q3 - q1) or y > q3 + 1.5 * (q3 - q1)) as is_anomaly from s join q using (series_id)"
+
+
+def smoothed(windows: str) -> str:
+    """CTEs up to `ets`: forecasts (series_id, fold, h, train_end, yhat, half) of each row series_id, fold, train_end, size, p, y (list) of a
+    relation.  The grid is a relation of rows here, one fold over the values for each of them."""
+    e = "(x.y - (s.level + s.slope) - s.season[1])"
+    state = f"{{'level': s.level + s.slope + a * {e}, 'slope': s.slope + a * b * {e}, 'season': list_append(s.season[2:], s.season[1] + g * {e}), 'e': s.e + {e}, 'ee': s.ee + {e} * {e}, 'y': x.y}}"
+    fold = f"list_reduce(items, lambda s, x: {state})"
+    mean = lambda part: f"list_sum({part}) / p"
+    first = f"""case when p > 0 then {{'level': {mean("y[1:p]")}, 'slope': ({mean("y[p + 1:2 * p]")} - {mean("y[1:p]")}) / p, 'season': [v - {mean("y[1:p]")} for v in y[1:p]], 'e': 0.0::double, 'ee': 0.0::double, 'y': 0.0::double}}
+        else {{'level': y[1], 'slope': coalesce(y[2] - y[1], 0), 'season': [0.0::double], 'e': 0.0::double, 'ee': 0.0::double, 'y': 0.0::double}} end"""
+    lits = lambda xs: "[" + ", ".join(f"{x}::double" for x in xs) + "]"
+    around = lambda c, f: f"unnest([{c} / {f}::double, {c}, least({c} * {f}::double, {TOP}::double)]) as {c}"
+    out = f"""w0 as (select *, {first} as first from ({windows})),
+w1 as (select series_id, fold, train_end, size, p, list_prepend(first, [{{'level': 0.0::double, 'slope': 0.0::double, 'season': []::double[], 'e': 0.0::double, 'ee': 0.0::double, 'y': v}} for v in y]) as items from w0),
+g0 as (select series_id, fold, a, b, g from w1, (select unnest({lits(LEVELS)}) as a), (select unnest({lits(TRENDS)}) as b), (select unnest({lits(SEASONALS)}) as g) where p > 0
+  union all select series_id, fold, a, b, 0.0::double from w1, (select unnest({lits(LEVELS)}) as a), (select unnest({lits(TRENDS)}) as b) where p = 0),"""
+    for k in range(len(FACTORS) + 1):
+        out += f"\nb{k} as (select series_id, fold, min({{'ee': ee, 'a': a, 'b': b, 'g': g}}) as w from (select series_id, fold, a, b, g, {fold}.ee as ee from g{k} join w1 using (series_id, fold)) group by 1, 2),"
+        if k < len(FACTORS):
+            part = f"select series_id, fold, {around('a', FACTORS[k])}, b, g from (select series_id, fold, w.a as a, w.b as b, w.g as g from b{k})"
+            part = f"select series_id, fold, a, {around('b', FACTORS[k])}, g from ({part})"
+            out += f"\ng{k + 1} as (select distinct series_id, fold, a, b, {around('g', FACTORS[k])} from ({part})),"
+    return out + f"""
+fin0 as (select *, {fold} as s from (select w1.*, w.a as a, w.b as b, w.g as g from w1 join b{len(FACTORS)} using (series_id, fold))),
+ets as (select series_id, fold, h, train_end, s.level + s.slope * h + s.season[(h - 1) % len(s.season) + 1] as yhat, 1.96 * sqrt(greatest(s.ee / train_end - pow(s.e / train_end, 2), 0)) * sqrt(h) as half
+  from fin0, lateral (select unnest(range(1, size + 1)) as h) u)"""
+
+
+_EVERY = "[" + ", ".join(map(str, SUPPORTED)) + "]"
+ETS_WINDOWS = f"""select f.series_id, fold, train_end, size, l.ys[1:train_end] as y, coalesce([p for p in list_sort(list_intersect(coalesce(periods, []), {_EVERY})) || case when len(periods) > 0 then {_EVERY} else [] end if train_end >= 3 * p][1], 0) as p
+  from folds f join (select series_id, list(y order by t) as ys from s group by 1) l using (series_id) left join (select series_id, list(period) as periods from ok group by 1) d using (series_id)"""
+ORACLE_SQL["ets_backtest"] = f"""{detected(PRIORITY)}, {FOLDS}, {smoothed(ETS_WINDOWS)}, naive as (select series_id, 'ets' as model, fold, h, train_end, yhat from ets), snaive as (select * from naive where false), {SCORES}
+select series_id, model, fold, {rounded("mae", "rmse", "mape", "smape", "wape")}, n from scores"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientHistory
+from ..functions.calendar import step
 from ..operators import backtest as bt
 from ..operators import clean, explain, explore, intervals, validate
 from ..series import at_least, short_series
@@ -94,22 +96,11 @@ def refit(series: DataFrame, board: DataFrame, frequency: str, c: PipelineConfig
     best = board.where("is_best").select("series_id", "model")
     fold = bt.final_fold(series, c.horizon, frequency).join(bt.season_lengths(series, frequency), "series_id").join(best, "series_id").persist(StorageLevel.MEMORY_AND_DISK)
     names = {r[0] for r in fold.select("model").distinct().collect()}  # names of models, a handful
-    parts = []
-    own = lambda name: fold.where(F.col("model") == name).drop("model")
-    if "naive" in names:
-        parts.append(bt.naive_forecasts(series, own("naive")))
-    if "seasonal_naive" in names:
-        parts.append(bt.seasonal_naive_forecasts(series, own("seasonal_naive"), "season"))
-    built = {"ets": bt.ETS, "arima": bt.ARIMA, "xgboost": bt.trees(c.n_trees)} | {m.name: m for m in c.custom_models}
+    custom = {m.name: m for m in c.custom_models}
+    parts = [bt.model_forecasts(series, fold.where(F.col("model") == name).drop("model"), [custom.get(name, name)], c.n_trees) for name in sorted(names)]
     cols = ["series_id", "model", "fold", "h", "yhat", "lower", "upper"]
-    for name in sorted(names & set(built)):
-        parts.append(bt.numeric_forecasts(series, own(name), [built[name]]).where("error is null").select(*cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = functools.reduce(DataFrame.unionByName, parts).where("error is null").select(*cols)
     last = series.groupBy("series_id").agg(F.max("ts").alias("last_ts"))
-    from ..functions.calendar import step
-
     return out.join(last, "series_id").select("series_id", "model", "h", step(F.col("last_ts"), F.col("h"), F.lit(frequency)).alias("ds"), "yhat", "lower", "upper")
 
 
@@ -157,18 +148,7 @@ def train_summary(spark: SparkSession, name: str | None = None, config: Pipeline
 
 
 def holdout_mae(series: DataFrame, fold: DataFrame, models: Iterable[str]) -> DataFrame:
-    parts, numeric = [], []
-    for m in models:
-        if m == "naive":
-            parts.append(bt.naive_forecasts(series, fold))
-        elif m == "seasonal_naive":
-            parts.append(bt.seasonal_naive_forecasts(series, fold, "season" if "season" in fold.columns else 7))
-        else:
-            numeric.append({"ets": bt.ETS, "arima": bt.ARIMA, "xgboost": bt.trees()}[m])
-    none = F.lit(None).cast("string")
-    out = None
-    for p in [x.withColumn("error", none) for x in parts] + ([bt.numeric_forecasts(series, fold, numeric).drop("meta")] if numeric else []):
-        out = p if out is None else out.unionByName(p)
+    out = bt.model_forecasts(series, fold, models)
     scores = bt.score_folds(series, fold, out.where("error is null")).select("series_id", "model", F.round("mae", 4).alias("holdout_mae"))
     errors = out.where("error is not null").select("series_id", "model", "error").distinct()
     return scores.join(errors, ["series_id", "model"], "full")

@@ -412,20 +412,20 @@ def dataset_catalog(spark, d):
 def _numeric(spark, d, models):
     series = orders_by_priority(spark, d).persist(StorageLevel.MEMORY_AND_DISK)  # read once, not once for each part
     plan = bt.plan_folds(series.withColumn("frequency", F.lit("D"))).join(bt.season_lengths(series), "series_id").persist(StorageLevel.MEMORY_AND_DISK)
-    made = bt.numeric_forecasts(series, plan, models)
+    made = bt.model_forecasts(series, plan, models)
     return bt.score_folds(series, plan, made.where("error is null")).select("series_id", "model", "fold", *_r(*metrics.METRICS), "n")
 
 
 def ets_backtest(spark, d):
-    return _numeric(spark, d, [bt.ETS])
+    return _numeric(spark, d, ["ets"])
 
 
 def arima_backtest(spark, d):
-    return _numeric(spark, d, [bt.ARIMA])
+    return _numeric(spark, d, ["arima"])
 
 
 def gbt_backtest(spark, d):
-    return _numeric(spark, d, [bt.trees()])
+    return _numeric(spark, d, ["xgboost"])
 
 
 def all_models_leaderboard(spark, d):
