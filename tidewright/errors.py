@@ -21,5 +21,9 @@ class UnknownDataset(EngineError, KeyError):
     """No dataset of that name."""
 
 
+class ConflictingWrite(EngineError, RuntimeError):
+    """Another writer changed the dataset."""
+
+
 class UnknownModel(EngineError, KeyError):
     """No model of that name."""

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import LoadError, UnknownDataset
+from ..errors import LoadError
+from .catalogue import Catalogue
+from .workbook import read_workbook
 
 # Column names that are taken for dates, and words in names of targets.
 DATE_NAMES = ("date", "datetime", "timestamp", "time", "ds", "day", "period")
@@ -50,17 +52,15 @@ def load(spark: SparkSession, source: DataFrame | dict | list | str | Path | Non
                 return spark.read.options(**options).format(kind).load(path)
             except Exception as e:
                 raise LoadError(f"cannot read {path}: {str(e)[:200]}") from e
-        if kind in ("xls", "xlsx"):
-            return load_excel(spark, path)
+        if kind == "xlsx":
+            return load_excel(spark, path, **options)
     raise LoadError(f"cannot load from {type(source).__name__}")
 
 
-def load_excel(spark: SparkSession, path: str) -> DataFrame:
-    """A spreadsheet, read on the driver (needs openpyxl)."""
-    import pandas as pd
-
+def load_excel(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The first sheet of a workbook, in tasks of row ranges (see workbook)."""
     try:
-        return spark.createDataFrame(pd.read_excel(path))
+        return read_workbook(spark, path, **options)
     except Exception as e:
         raise LoadError(f"cannot read {path}: {str(e)[:200]}") from e
 
@@ -131,29 +131,36 @@ def ensure_sample(spark: SparkSession, path: str) -> DataFrame:
     return load_csv(spark, path, "date date, target double")
 
 
-# The catalogue of named datasets: views of the session
+# The catalogue of named datasets: views of the session, and the durable ones of the shared folder
 
 
 def _view(name: str) -> str:
     return PREFIX + re.sub(r"\W", "_", name)
 
 
-def put(spark: SparkSession, name: str, df: DataFrame) -> None:
-    df.createOrReplaceTempView(_view(name))
+def put(spark: SparkSession, name: str, df: DataFrame, durable: bool = False) -> None:
+    """Name df in this session; durable: write it as the next version of a dataset that outlives the session (see Catalogue)."""
+    if durable:
+        Catalogue(spark).put(name, df)
+    else:
+        df.createOrReplaceTempView(_view(name))
 
 
 def get(spark: SparkSession, name: str) -> DataFrame:
-    if not spark.catalog.tableExists(_view(name)):
-        raise UnknownDataset(name)
-    return spark.table(_view(name))
+    """A dataset of the session, else the latest version of a durable one."""
+    if spark.catalog.tableExists(_view(name)):
+        return spark.table(_view(name))
+    return Catalogue(spark).get(name)
 
 
 def drop(spark: SparkSession, name: str) -> bool:
-    return spark.catalog.dropTempView(_view(name))
+    """Forget a dataset of the session, else drop a durable one."""
+    return spark.catalog.dropTempView(_view(name)) or Catalogue(spark).drop(name)
 
 
 def list_datasets(spark: SparkSession) -> list[str]:
-    return sorted(t.name.removeprefix(PREFIX) for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith(PREFIX))
+    own = {t.name.removeprefix(PREFIX) for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith(PREFIX)}
+    return sorted(own | set(Catalogue(spark).names()))
 
 
 def resolve(spark: SparkSession, name: str | None) -> DataFrame:
