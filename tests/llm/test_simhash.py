@@ -233,9 +233,13 @@ def test_bucket_pairs_connect_and_cover():
     near = [(a, b) for a in range(300) for b in range(a + 1, 300) if key[a] == key[b] and int(check[a, 0] ^ check[b, 0]).bit_count() <= 2]
     pairs = lambda chunks: [p for x, y in chunks for p in zip(x.tolist(), y.tolist())]
     assert classes(300, pairs(simhash.bucket_pairs(key, check, 2))) == classes(300, near)
+    own = {p: [k for k in range(300) if (key[k], part[k]) == p] for p in zip(key, part)}
+    same = [(v[0], x) for v in own.values() for x in v[1:]]
+    apart = pairs(simhash.bucket_pairs(key, check, 2, part))
+    assert classes(300, apart + same) == classes(300, near + same) and all(part[a] != part[b] for a, b in apart) and len(apart) <= len(pairs(simhash.bucket_pairs(key, check, 2)))
     for held in (1 << 20, 10):
-        assert sorted(pairs(simhash.bucket_pairs(key, check, 2, part, held))) == [(a, b) for a, b in near if part[a] != part[b]]
-    chunks = list(simhash.bucket_pairs(np.zeros(3000, int), np.zeros((3000, 2), np.uint64), 2, np.arange(3000), 50_000))
+        assert sorted(pairs(simhash.bucket_pairs(key, check, 2, part, held, every=True))) == [(a, b) for a, b in near if part[a] != part[b]]
+    chunks = list(simhash.bucket_pairs(np.zeros(3000, int), np.zeros((3000, 2), np.uint64), 2, None, 50_000, every=True))
     assert sum(len(x) for x, _ in chunks) == 3000 * 2999 // 2 and max(len(x) for x, _ in chunks) < 60_000
 
 
@@ -247,7 +251,7 @@ def test_hot_buckets_are_cut_and_lose_no_pair(spark):
     signed = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(simhash.Signer().sign(texts))], "rep long, s array<long>").persist()
     parted = signed.withColumn("part", F.col("rep"))
     most = simhash.bits_at(0.8)
-    whole, cut = ({(r["a"], r["b"]) for r in simhash.candidates(parted, most, hot).collect()} for hot in (50_000, 7))
+    whole, cut = ({(r["a"], r["b"]) for r in simhash.candidates(parted, most, hot, every=True).collect()} for hot in (50_000, 7))
     assert whole == cut and len(whole) >= 60 * 59 // 2
     joined = [classes(100, [(r["a"], r["b"]) for r in simhash.candidates(signed, most, hot).collect()]) for hot in (50_000, 7)]
     assert joined[0] == joined[1]

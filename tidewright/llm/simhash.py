@@ -311,12 +311,15 @@ def bits_at(similarity: float, bits: int = BITS * CHECKS) -> int:
     return int(np.ceil(bits * p + 4.5 * np.sqrt(bits * p * (1 - p))))
 
 
-def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray | None = None, held: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray | None = None, held: int = PAIRS, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (places in the input) of one key, which is sorted, whose `check` rows differ in at most `most` bits.
 
-    Without `part`, only pairs that connect what all such pairs connect; with it, all pairs of different parts, given out
-    whenever `held` of them have gathered, so memory does not grow with their number.
+    Without `every`, what such pairs connect is joined by pairs with its first place, one for each part but that place's own
+    (each place is a part of its own without `part`).  With it, all pairs of different parts, given out whenever `held` of
+    them have gathered, so memory does not grow with their number.
     """
+    if every and part is None:
+        part = np.arange(len(key))
     n = len(key)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.array([], int)
     size = np.diff(np.r_[start, n])
@@ -334,9 +337,9 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
         a = a[a + step < last[a]]
         if not len(a):
             break
-        x = a if part is None else a[part[a] != part[a + step]]
+        x = a[part[a] != part[a + step]] if every else a
         x = x[near(x, x + step)]
-        if part is None:
+        if not every:
             label = _merge(label, x, x + step)
         else:
             found.append((x, x + step))
@@ -346,7 +349,7 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
                 found, waiting = [], 0
     for at, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
         rest = np.arange(at, at + m)
-        if part is None:  # reach from place to place; what is reached is not compared again
+        if not every:  # reach from place to place; what is reached is not compared again
             while len(rest):
                 queue, rest = [rest[0]], rest[1:]
                 while queue and len(rest):
@@ -365,14 +368,18 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
                 if waiting >= held:
                     yield joined()
                     found, waiting = [], 0
-    if part is None:
+    if not every:
         at = np.flatnonzero(label != np.arange(n))
+        if part is not None:
+            at = at[part[label[at]] != part[at]]
+            at = at[np.unique(np.stack([label[at], part[at]]), axis=1, return_index=True)[1]] if len(at) else at
         found.append((label[at], at))
     yield joined()
 
 
-def candidates(signed: DataFrame, most: int, hot: int = HOT) -> DataFrame:
-    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part): see bucket_pairs.
+def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False) -> DataFrame:
+    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part): see bucket_pairs.  The places of a bucket are in order of rep,
+    so buckets that share documents join them to the same few first ones.
 
     A key with more than `hot` documents is cut into parts of about that many, and every two parts meet in a task, so a
     task holds two parts at most and no pair is lost.
@@ -404,7 +411,7 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT) -> DataFrame:
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             rep = t["rep"].to_numpy()
             check = np.stack([t[f"c{k}"].to_numpy().view(np.uint64) for k in range(CHECKS)], axis=1)
-            for x, y in bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None):
+            for x, y in bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None, every=every):
                 pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
                 pairs = pairs[pairs[:, 0] < pairs[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -435,7 +442,7 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT) -> DataFrame:
         cut = dealt.drop("low", "high").join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         cut = cut.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("cuts", "own", "other")
         dealt = dealt.join(sizes, "key", "left_anti").unionByName(cut)
-    tasks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    tasks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
     return tasks.mapInArrow(join, "a long, b long").distinct()
 
 
@@ -465,8 +472,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their shingles of `width` words, or more, connect.
 
     Candidates are pairs that agree on one of PRINTS SimHash fingerprints of their shingles and that the longer fingerprint
-    does not rule out; each is linked only when its texts have the similarity.  First come as many candidates as connect
-    all of them; then all those that these links left in different classes.
+    does not rule out; each is linked only when its texts have the similarity.  First every document is compared with a few
+    first ones of its buckets, then so are the classes that this left apart, and then all candidates of different classes.
 
     Null texts count as empty; rows with a null id are reported with the class of equal texts but link nothing; repeated
     rows are repeated; an empty table gives an empty result; other columns are ignored.
@@ -485,16 +492,27 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
     distinct = write_table(rows.where("doc_id is not null").groupBy("s").agg(first).select("s", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash")), "signed")
 
+    def few(pairs: DataFrame) -> DataFrame:
+        """Of the pairs of each b, up to four: with the smallest and largest a, and two by a hash."""
+        mixed = F.xxhash64("a", "b")
+        some = pairs.groupBy("b").agg(F.min("a"), F.max("a"), F.min_by("a", mixed), F.max_by("a", mixed)).toDF("b", "w", "x", "y", "z")
+        return some.select(F.explode(F.array_distinct(F.array("w", "x", "y", "z"))).alias("a"), "b")
+
+    def classed() -> DataFrame:
+        parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        return met.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "s", F.coalesce("component", "rep").alias("part"))
+
     pairs = write_table(candidates(distinct, most), "candidates")
     met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     met = write_table(distinct.join(met, "rep"), "met")
     own = met.select(F.col("rep").alias("doc_id"), "text_hash").distinct()
     texts = write_table(docs.join(own, ["doc_id", "text_hash"]).select(F.col("doc_id").alias("rep"), "text").distinct(), "near-texts")
-    linked = write_table(alike(pairs, texts, width, similarity), "alike")
-    parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    left = met.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "s", F.coalesce("component", "rep").alias("part"))
-    more = write_table(candidates(left, most).join(pairs, ["a", "b"], "left_anti"), "candidates")
-    linked = linked.unionByName(alike(more, texts, width, similarity))
+    compared = write_table(few(pairs), "few")
+    linked = write_table(alike(compared, texts, width, similarity), "alike")
+    again = write_table(few(candidates(classed(), most).join(compared, ["a", "b"], "left_anti")), "few")
+    compared, linked = compared.unionByName(again), linked.unionByName(write_table(alike(again, texts, width, similarity), "alike"))
+    rest = write_table(candidates(classed(), most, every=True).join(compared, ["a", "b"], "left_anti"), "candidates")
+    linked = linked.unionByName(alike(rest, texts, width, similarity))
     parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(classes, "s", "left").select("doc_id", "text_hash", "component_id")
