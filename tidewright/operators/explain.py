@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import METRICS
+
 DRIVER = "array<struct<driver:string,signal:string,direction:string>>"
 # Headings of the four sections of a brief, in order.
 SECTIONS = ("Executive summary", "Drivers", "Risks", "Recommendation")
@@ -54,16 +56,16 @@ def top_importances(importances: DataFrame, most: int = 15) -> DataFrame:
 
 
 def structured_input(leaderboard: DataFrame, change: DataFrame, means: DataFrame, trend: DataFrame, seasonality: DataFrame, drivers: DataFrame, quality: DataFrame, horizon: int, ends: DataFrame, volatility: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """One compact row per series for the brief: best model with its metrics (an equal join on its name), forecast, range, season,
-    volatility, anomalies, up to six drivers, quality.  ends: see horizon_ends."""
-    best = leaderboard.where("is_best").select("series_id", F.col("model").alias("best_model"), "smape", "wape")
+    """One compact row per series for the brief: best model with its five metrics (an equal join on its name), forecast, range, trend,
+    season and volatility with their numbers, anomalies, up to six drivers, quality.  ends: see horizon_ends."""
+    best = leaderboard.where("is_best").select("series_id", F.col("model").alias("best_model"), *METRICS)
     q = quality.select("series_id", F.col("score").alias("quality_score"), F.try_element_at("issues", F.lit(1)).getField("message").alias("first_issue"), (F.col("missing_targets") + F.col("unparsed_targets")).alias("missing_values"), F.col("outliers").alias("outlier_count"))
     out = best.join(change, "series_id").join(means, "series_id")
     parts = [
         ends,
-        trend.select("series_id", F.col("direction").alias("trend")),
+        trend.select("series_id", F.col("direction").alias("trend"), *[F.col(c).alias(f"trend_{c}") for c in ("slope", "slope_pct", "p_value")]),
         seasonality.select("series_id", "detected", "seasonality_type", "period", "strength"),
-        volatility.select("series_id", F.col("level").alias("volatility")),
+        volatility.select("series_id", F.col("level").alias("volatility"), *[F.col(c).alias(f"volatility_{c}") for c in ("overall", "early", "recent", "ratio")]),
         anomalies.select("series_id", F.col("count").alias("anomaly_count")),
         drivers.select("series_id", F.slice("drivers", 1, 6).alias("drivers")),
         q,

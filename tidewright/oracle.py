@@ -298,3 +298,47 @@ ETS_WINDOWS = f"""select f.series_id, fold, train_end, size, l.ys[1:train_end] a
   from folds f join (select series_id, list(y order by t) as ys from s group by 1) l using (series_id) left join (select series_id, list(period) as periods from ok group by 1) d using (series_id)"""
 ORACLE_SQL["ets_backtest"] = f"""{detected(PRIORITY)}, {FOLDS}, {smoothed(ETS_WINDOWS)}, naive as (select series_id, 'ets' as model, fold, h, train_end, yhat from ets), snaive as (select * from naive where false), {SCORES}
 select series_id, model, fold, {rounded("mae", "rmse", "mape", "smape", "wape")}, n from scores"""
+
+
+# The service functions: two baselines, the seasonal one with the detected season
+def _baselines(steps: str, tag: str = "") -> str:
+    return f"""naive{tag} as (select p.series_id, 'naive' as model, p.fold, p.h, p.train_end, g.y as yhat, g.y - 1.96 * g.sigma * sqrt(p.h) as lower, g.y + 1.96 * g.sigma * sqrt(p.h) as upper from {steps} p join g on g.series_id = p.series_id and g.t = p.train_end - 1),
+snaive{tag} as (select p.series_id, 'seasonal_naive' as model, p.fold, p.h, p.train_end, b.y as yhat, b.y - 1.96 * e.sigma * sqrt(p.h) as lower, b.y + 1.96 * e.sigma * sqrt(p.h) as upper
+  from {steps} p join ls using (series_id) join s b on b.series_id = p.series_id and b.t = case when p.train_end >= L then p.train_end - L + (p.h - 1) % L else p.train_end - 1 end join e on e.series_id = p.series_id and e.t = p.train_end - 1)"""
+
+
+_SPREADS = """d as (select *, y - lag(y) over (partition by series_id order by t) as d1 from s), g as (select *, coalesce(stddev_pop(d1) over (partition by series_id order by t), 0) as sigma from d),
+ls as (select series_id, coalesce(period, 7) as L from season),
+e as (select a.series_id, a.t, coalesce(stddev_pop(a.y - b.y) over (partition by a.series_id order by a.t), 0) as sigma from s a join ls using (series_id) left join s b on a.series_id = b.series_id and b.t = a.t - L)"""
+_SERVED_BOARD = f"{detected(PRIORITY)}, {_SPREADS}, {FOLDS}, {STEPS}, {_baselines('steps')}, {SCORES}, {BOARD}"
+_SERVED_FINAL = f"""{_SERVED_BOARD}, ahead as (select series_id, 0 as fold, max(n) as train_end, unnest(range(1, 15)) as h from s group by 1), {_baselines("ahead", "_ahead")},
+ends as (select series_id, max(n) as n, arg_max(y, ts) as last_y, max(ts) as last_ts from s group by 1),
+final as (select f.*, cast(last_ts + cast(h as int) as date) as ds from (select * from naive_ahead union all select * from snaive_ahead) f join board b on b.series_id = f.series_id and b.model = f.model and b.is_best join ends on ends.series_id = f.series_id)"""
+_RECENT_DRIVERS = DRIVERS.replace("case when z.detected then ',seasonality=positive' else '' end", "case when z.detected then ',seasonality=' || case when z.strength > 0.3 then 'positive' else 'neutral' end else '' end").replace("else 'neutral' end as drivers", "else 'neutral' end || ',recent value=neutral' as drivers")
+ORACLE_SQL["service_validate"] = f"""with {PRIORITY}, {PLACED}, pr as (select series_id, count(*) as n, min(ts) as a, max(ts) as b, quantile_cont(y, 0.25) as q1, quantile_cont(y, 0.75) as q3, min(y) = max(y) as constant from s group by 1),
+  ou as (select series_id, count(*) filter (q3 > q1 and (y < q1 - 3 * (q3 - q1) or y > q3 + 3 * (q3 - q1))) as outliers from s join pr using (series_id) group by 1),
+  z as (select pr.*, outliers, frequency, case when frequency = 'D' and n < 0.95 * (date_diff('day', a, b) + 1) then date_diff('day', a, b) + 1 - n else 0 end as missing_days from pr join ou using (series_id) join {frequencies("s")} f using (series_id))
+  select series_id, n as rows_in, n, frequency, missing_days, outliers, 100 - {_OFF("missing_days > 0", "gaps")} - {_OFF("frequency = 'IR'", "irregular")} - {_OFF("outliers > 0", "outliers")} - {_OFF("constant", "constant")} as score, true as is_valid from z"""
+ORACLE_SQL["service_explore"] = f"""{detected(PRIORITY)}, {trend()}, {VOLATILITY}, {QUARTILES}, an as (select series_id, count(*) filter (q3 > q1 and (y < q1 - 3 * (q3 - q1) or y > q3 + 3 * (q3 - q1))) as n_anomalies from s join q using (series_id) group by 1),
+  st2 as (select series_id, round(avg(y), 3) as mean, round(median(y), 3) as median from s group by 1), dl as (select series_id, round(arg_max(trend, t), 3) as trend_last from dec_7 group by 1)
+  select series_id, st2.mean, median, trend_last, trend.direction as trend, vol.level as volatility, detected, n_anomalies from st2 left join dl using (series_id) join trend using (series_id) join vol using (series_id) join season using (series_id) join an using (series_id)"""
+ORACLE_SQL["service_train"] = f"""{detected(PRIORITY)}, {_SPREADS}, folds as (select series_id, 1 as fold, max(n) - least(7, greatest(1, cast(floor(max(n) * 0.1) as int))) as train_end, least(7, greatest(1, cast(floor(max(n) * 0.1) as int))) as size from s group by 1),
+  {STEPS}, {_baselines("steps")}, {SCORES} select series_id, model, round(mae, 4) as holdout_mae, cast(null as varchar) as error from scores"""
+ORACLE_SQL["service_evaluate"] = f"{_SERVED_BOARD} select series_id, model, mae, rmse, mape, smape, wape, n_folds_valid, rank, n_folds_total, is_best from board"
+ORACLE_SQL["service_forecast"] = f"{_SERVED_FINAL} select series_id, model, h, ds, {rounded('yhat', 'lower', 'upper', digits=3)} from final"
+ORACLE_SQL["service_explain"] = f"{detected(PRIORITY)}, {trend()}, {VOLATILITY}, {_RECENT_DRIVERS} select * from drv"
+_SERVED_SUMMARY = _SUMMARY[_SUMMARY.index("fin as (") :].replace(DRIVERS, _RECENT_DRIVERS)
+ORACLE_SQL["service_recommend"] = ORACLE_SQL["brief_text"].replace(_SUMMARY, f"{_SERVED_FINAL}, {trend()}, {_SERVED_SUMMARY}")
+ORACLE_SQL["service_upload"] = f"with {ORDERS} select ts, y from o"
+ORACLE_SQL["csv_round_trip"] = "select event_type as series_id, count(*) as n, round(cast(sum(cast(round(v, 2) as decimal(18,2))) as double), 2) as total from (select event_type, ts, arg_max(value, event_id) as v from events group by 1, 2) group by 1"
+ORACLE_SQL["catalogue_versions"] = "select event_type, count(*) as n, 1 as version from events where event_id % 2 = 0 group by 1 union all select event_type, count(*), 2 from events group by 1"
+ORACLE_SQL["future_calendar"] = f"""with {PRIORITY}, l as (select series_id, max(ts) as d from o group by 1), g as (select series_id, h, cast(d + cast(h as int) as date) as ds from l, (select unnest(range(1, 15)) as h))
+  select series_id, h, ds, year(ds) as year, month(ds) as month, quarter(ds) as quarter, week(ds) as week, isodow(ds) - 1 as dayofweek, cast(isodow(ds) >= 6 as int) as is_weekend, day(last_day(ds)) as days_in_month, dayofyear(ds) as day_of_year,
+  round(sin(2 * pi() * (isodow(ds) - 1) / 7), 6) as sin_week, round(cos(2 * pi() * month(ds) / 12), 6) as cos_month from g"""
+ORACLE_SQL["summary_numbers"] = f"""{BACKTEST}, {trend()}, {VOLATILITY} select board.series_id, board.model as best_model, board.mae, board.rmse, board.mape, board.smape, board.wape, round(round(slope, 6), 3) + 0.0 as trend_slope, round(round(slope / mean * 100, 4), 3) + 0.0 as trend_slope_pct,
+  {{p_value}} as trend_p_value, round(round(overall, 4), 3) as volatility_overall, round(round(early, 4), 3) as volatility_early, round(round(recent, 4), 3) as volatility_recent, round(round(ratio, 4), 3) as volatility_ratio from board join trend using (series_id) join vol using (series_id) where is_best"""
+# Two-sided tail of Student's t for many rows: the normal tail at the expansion of t around it (Fisher), of which three terms give four places
+_Z = "(abs(t_stat) * (1 - 1 / (4.0::double * (n - 2))) / sqrt(1 + t_stat * t_stat / (2.0::double * (n - 2))))"
+_T = f"(1 / (1 + 0.3275911::double * {_Z} / sqrt(2)))"
+_TAIL = f"({_T} * (0.254829592::double + {_T} * (-0.284496736::double + {_T} * (1.421413741::double + {_T} * (-1.453152027::double + {_T} * 1.061405429::double)))) * exp(-{_Z} * {_Z} / 2))"
+ORACLE_SQL["summary_numbers"] = ORACLE_SQL["summary_numbers"].replace("{p_value}", f"round({_TAIL}, 3)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,7 @@ class PipelineConfig:
     fold_horizon: int | None = None
     train_frac: float = 0.6
     metric: str = "smape"
+    models: tuple[str, ...] = ("naive", "seasonal_naive", "ets", "arima")
     include_xgboost: bool = True
     n_trees: int = 300
     coverage: float = 0.95
@@ -63,6 +64,24 @@ class PipelineResult:
     explanation: DataFrame
     summary: DataFrame
     brief: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back the storage of what later parts were read from; the DataFrames still work, by computing it again."""
+        for df in self.held:
+            df.unpersist()
+
+
+def _models(c: PipelineConfig) -> list[str | bt.Model]:
+    return [*c.models, *["xgboost"] * c.include_xgboost, *c.custom_models]
+
+
+def frequency_of(series: DataFrame, c: PipelineConfig) -> str:
+    """The configured frequency, else the commonest one of the series; D for no series at all."""
+    if c.frequency:
+        return c.frequency
+    first = validate.detect_frequency(series).groupBy("frequency").count().orderBy(F.desc("count"), "frequency").first()
+    return first[0] if first else "D"
 
 
 def run(spark: SparkSession, df: DataFrame, config: PipelineConfig | None = None) -> PipelineResult:
@@ -73,14 +92,10 @@ def run(spark: SparkSession, df: DataFrame, config: PipelineConfig | None = None
     series = at_least(cleaned, c.min_rows).persist(StorageLevel.MEMORY_AND_DISK)
     if series.isEmpty():
         raise InsufficientHistory(f"needs at least {c.min_rows} rows")
-    frequency = c.frequency or validate.detect_frequency(series).groupBy("frequency").count().orderBy(F.desc("count"), "frequency").first()[0]
+    frequency = frequency_of(series, c)
     trend, season, volatility = explore.trend(series), explore.detect_seasonality(series, frequency), explore.volatility(series)
     stats = explore.summary_stats(series)
-    models: list[str | bt.Model] = ["naive", "seasonal_naive", "ets", "arima"]
-    if c.include_xgboost:
-        models.append("xgboost")
-    models += c.custom_models
-    tested = bt.backtest(series, frequency, c.folds, c.train_frac, c.fold_horizon, c.metric, models, c.n_trees)
+    tested = bt.backtest(series, frequency, c.folds, c.train_frac, c.fold_horizon, c.metric, _models(c), c.n_trees)
     board = tested["leaderboard"].persist(StorageLevel.MEMORY_AND_DISK)
     forecast = refit(series, board, frequency, c).persist(StorageLevel.MEMORY_AND_DISK)  # read by the change, the means and the ends
     last = series.groupBy("series_id").agg(F.max_by("y", "ts").alias("last_y"), F.max("ts").alias("last_ts"))
@@ -88,7 +103,7 @@ def run(spark: SparkSession, df: DataFrame, config: PipelineConfig | None = None
     drivers = explain.explain(trend, season, volatility, stats)
     anomalies = explore.anomaly_digest(explore.iqr_anomalies(series))
     summary = explain.structured_input(board, change, intervals.horizon_means(forecast), trend, season, drivers, quality, c.horizon, intervals.horizon_ends(forecast), volatility, anomalies)
-    return PipelineResult(quality, series, short_series(cleaned, c.min_rows), explore.explore(spark, series, frequency), tested["folds"], tested["scores"], board, forecast, change, drivers, summary, explain.brief(summary))
+    return PipelineResult(quality, series, short_series(cleaned, c.min_rows), explore.explore(spark, series, frequency), tested["folds"], tested["scores"], board, forecast, change, drivers, summary, explain.brief(summary), (series, tested["folds"], board, forecast))
 
 
 def refit(series: DataFrame, board: DataFrame, frequency: str, c: PipelineConfig) -> DataFrame:
@@ -135,14 +150,15 @@ def _series(spark: SparkSession, name: str | None, c: PipelineConfig, least: int
 
 def explore_dataset(spark: SparkSession, name: str | None = None, config: PipelineConfig | None = None) -> DataFrame:
     c = config or PipelineConfig()
-    return explore.explore(spark, _series(spark, name, c), c.frequency or "D")
+    series = _series(spark, name, c)
+    return explore.explore(spark, series, frequency_of(series, c))
 
 
 def train_summary(spark: SparkSession, name: str | None = None, config: PipelineConfig | None = None, models: Iterable[str] = ("naive", "seasonal_naive", "ets", "arima")) -> DataFrame:
     """Each model fitted without the last rows and its mean absolute error there; a failing model tells its error."""
     c = config or PipelineConfig()
     series = _series(spark, name, c, MIN_API)
-    frequency = c.frequency or "D"
+    frequency = frequency_of(series, c)
     fold = bt.holdout_folds(series, frequency).join(bt.season_lengths(series, frequency), "series_id")
     return holdout_mae(series, fold, models)
 
@@ -156,15 +172,14 @@ def holdout_mae(series: DataFrame, fold: DataFrame, models: Iterable[str]) -> Da
 
 def evaluate(spark: SparkSession, name: str | None = None, config: PipelineConfig | None = None) -> DataFrame:
     c = config or PipelineConfig()
-    models = ["naive", "seasonal_naive", "ets", "arima"] + ["xgboost"] * c.include_xgboost
-    return bt.backtest(_series(spark, name, c, MIN_API), c.frequency or "D", c.folds, c.train_frac, c.fold_horizon, c.metric, models, c.n_trees)["leaderboard"]
+    series = _series(spark, name, c, MIN_API)
+    return bt.backtest(series, frequency_of(series, c), c.folds, c.train_frac, c.fold_horizon, c.metric, _models(c), c.n_trees)["leaderboard"]
 
 
 def forecast(spark: SparkSession, name: str | None = None, config: PipelineConfig | None = None) -> PipelineResult:
+    """The whole analysis of a named dataset; series of fewer than 40 rows are left out, and without any other that is an error."""
     c = config or PipelineConfig()
-    df = readers.resolve(spark, name)
-    _series(spark, name, c, MIN_API)
-    return run(spark, df, c)
+    return run(spark, readers.resolve(spark, name), replace(c, min_rows=max(c.min_rows, MIN_API)))
 
 
 def explain_dataset(spark: SparkSession, name: str | None = None, config: PipelineConfig | None = None) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.calendar import calendar_columns, future_dates
+from .functions.calendar import calendar_columns, future_dates, future_features
 from .operators import backtest as bt
 from .operators import clean, explain, explore, features, intervals, metrics, quantiles, validate
 from .oracle import ORACLE_SQL
 from .plans import pipeline
 from .series import at_least, short_series, to_series, with_position
-from .sources.readers import business_demand, infer_columns, list_datasets, put, resolve
+from .sources.catalogue import Catalogue
+from .sources.readers import business_demand, infer_columns, list_datasets, load_csv, put, resolve, write_csv
+from .sources.workbook import write_workbook
+from .storage import shared_folder
 from .streaming.live import bucket_stream
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -364,8 +369,17 @@ def _summary(spark, d):
     return explain.structured_input(board, intervals.expected_change(forecast, last), intervals.horizon_means(forecast), trend, season, told, quality, HORIZON, intervals.horizon_ends(ahead), volatility, anomalies)
 
 
+#: What summary_numbers tells besides structured_summary.
+NUMBERS = ("mae", "rmse", "mape", "trend_slope", "trend_slope_pct", "trend_p_value", "volatility_overall", "volatility_early", "volatility_recent", "volatility_ratio")
+
+
+def summary_numbers(spark, d):
+    out = _summary(spark, d).select("series_id", "best_model", "mae", "rmse", "mape", "smape", "wape", *NUMBERS[3:])
+    return out.withColumns({c: F.round(c, 3) + 0.0 for c in NUMBERS[3:]})
+
+
 def structured_summary(spark, d):
-    out = _summary(spark, d).drop("drivers", "first_issue", "reference")
+    out = _summary(spark, d).drop("drivers", "first_issue", "reference", *NUMBERS)
     return out.withColumns({c: F.round(c, 3) for c in ("end_value", "lower_end", "upper_end")}).withColumn("missing_values", F.col("missing_values").cast("int"))
 
 
@@ -456,6 +470,85 @@ def full_pipeline(spark, d):
     return pipeline.run(spark, raw, pipeline.PipelineConfig(series_col="series_id")).brief
 
 
+# The service functions on a named dataset, with the two models that SQL can express
+
+
+def _serve(spark, d, horizon: int = HORIZON) -> tuple[str, pipeline.PipelineConfig]:
+    put(spark, "service_orders", orders_by_priority(spark, d).withColumnsRenamed({"ts": "date", "y": "target"}))
+    return "service_orders", pipeline.PipelineConfig(series_col="series_id", models=("naive", "seasonal_naive"), include_xgboost=False, horizon=horizon)
+
+
+def service_validate(spark, d):
+    out = pipeline.validate_dataset(spark, *_serve(spark, d))
+    return out.select("series_id", "rows_in", "n", "frequency", "missing_days", "outliers", "score", "is_valid")
+
+
+def service_explore(spark, d):
+    out = pipeline.explore_dataset(spark, *_serve(spark, d))
+    picked = {"mean": "summary_stats.mean", "median": "summary_stats.median", "trend_last": "decomposition.trend_last"}
+    return out.select("series_id", *[F.round(c, 3).alias(k) for k, c in picked.items()], F.col("trend.direction").alias("trend"), F.col("volatility.level").alias("volatility"), F.col("seasonality.detected").alias("detected"), F.col("anomalies.count").alias("n_anomalies"))
+
+
+def service_train(spark, d):
+    name, c = _serve(spark, d)
+    return pipeline.train_summary(spark, name, c, c.models)
+
+
+def service_evaluate(spark, d):
+    return pipeline.evaluate(spark, *_serve(spark, d))
+
+
+def service_forecast(spark, d):
+    out = pipeline.forecast(spark, *_serve(spark, d)).forecast
+    return out.select("series_id", "model", "h", "ds", *_r("yhat", "lower", "upper", digits=3))
+
+
+def service_explain(spark, d):
+    """Drivers with the recent value."""
+    out = pipeline.explain_dataset(spark, *_serve(spark, d))
+    said = F.array_join(F.transform("drivers", lambda x: F.concat(x["driver"], F.lit("="), x["direction"])), ",")
+    return out.select("series_id", said.alias("drivers"), F.size("caveats").alias("n_caveats"))
+
+
+def service_recommend(spark, d):
+    return pipeline.recommend(spark, *_serve(spark, d)).drop("llm_error")
+
+
+def service_upload(spark, d):
+    """The daily orders written as a workbook, uploaded from it and read in several tasks."""
+    path = f"{shared_folder(spark)}/tidewright/orders-{uuid.uuid4().hex}.xlsx"
+    write_workbook(orders_daily(spark, d).select("ts", "y"), path, "ts")
+    df = resolve(spark, pipeline.register_dataset(spark, path, "uploaded_orders"))
+    return df.select(F.to_date("ts").alias("ts"), "y")
+
+
+def csv_round_trip(spark, d):
+    """A table written as CSV and read back by a schema, its columns found by their names."""
+    path = f"{shared_folder(spark)}/tidewright/events-{uuid.uuid4().hex}.csv"
+    write_csv(table(spark, d, "events").select("event_id", "ts", "event_type", "value"), path)
+    df = load_csv(spark, path, "event_id long, ts timestamp, event_type string, value double")
+    date, target, _ = infer_columns(df, date_col="ts", strategy="name")
+    return clean.preprocess(df, date, target, "event_type", "event_id").groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.sum(F.round("y", 2).cast("decimal(18,2)")).cast("double"), 2).alias("total"))
+
+
+def catalogue_versions(spark, d):
+    """Two versions of a durable dataset, read by name and by number."""
+    store = Catalogue(spark)
+    name = f"events-{uuid.uuid4().hex}"
+    e = table(spark, d, "events")
+    store.put(name, e.where("event_id % 2 = 0"), expected=0)
+    store.put(name, e, expected=1)
+    count = lambda v, df: df.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("version", F.lit(v))
+    return count(1, store.get(name, 1)).unionByName(count(2, store.get(name)))
+
+
+def future_calendar(spark, d):
+    """Calendar features of the days after each series' last one."""
+    last = orders_by_priority(spark, d).groupBy("series_id").agg(F.max("ts").alias("last_ts")).withColumn("frequency", F.lit("D"))
+    out = future_features(last, HORIZON)
+    return out.select("series_id", "h", "ds", "year", "month", "quarter", "week", "dayofweek", "is_weekend", "days_in_month", "day_of_year", *_r("sin_week", "cos_month", digits=6))
+
+
 #: Tables that the service queries serve as datasets.
 SERVED = ("events", "lineitem", "orders")
 
@@ -468,6 +561,7 @@ QUERIES = {
         leaderboard, mase, holdout_mae, horizon_dates, gaussian_band, band_annotation, expected_change, horizon_means, residual_diagnostics, hw_fixed_params,
         drivers, structured_summary, brief_text, append_forecast, model_catalog, event_buckets, ets_backtest, arima_backtest, gbt_backtest,
         all_models_leaderboard, feature_importance, empirical_band, sample_generator, full_pipeline, column_inference, dataset_catalog,
-        long_rolling, long_features, long_rolling_mad, long_quantiles, long_summary, long_iqr,
+        service_validate, service_explore, service_train, service_evaluate, service_forecast, service_explain, service_recommend, service_upload, summary_numbers,
+        csv_round_trip, catalogue_versions, future_calendar, long_rolling, long_features, long_rolling_mad, long_quantiles, long_summary, long_iqr,
     )
 } | {"decompose_p7": _decomposed(7), "decompose_p30": _decomposed(30)}
