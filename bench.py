@@ -11,7 +11,7 @@ from tidewright.session import local_session
 
 HEADLINE = (
     "series_by_region", "quality_report", "feature_frame", "rolling", "rolling_mad", "decompose_p7", "seasonality_detect", "leaderboard",
-    "residual_diagnostics", "structured_summary", "ets_backtest", "arima_backtest", "gbt_backtest", "all_models_leaderboard",
+    "residual_diagnostics", "structured_summary", "long_rolling", "long_rolling_mad", "long_quantiles", "ets_backtest", "arima_backtest", "gbt_backtest", "all_models_leaderboard",
 )
 
 

@@ -475,7 +475,7 @@ def full_pipeline(spark, d):
 
 def _serve(spark, d, horizon: int = HORIZON) -> tuple[str, pipeline.PipelineConfig]:
     put(spark, "service_orders", orders_by_priority(spark, d).withColumnsRenamed({"ts": "date", "y": "target"}))
-    return "service_orders", pipeline.PipelineConfig(series_col="series_id", models=("naive", "seasonal_naive"), include_xgboost=False, horizon=horizon)
+    return "service_orders", pipeline.PipelineConfig(series_col="series_id", models=("naive", "seasonal_naive"), include_xgboost=False, horizon=horizon, frequency="D")
 
 
 def service_validate(spark, d):
