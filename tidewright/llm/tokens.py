@@ -336,7 +336,11 @@ def write_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         yield pd.DataFrame({"shard": [part], "path": [path], "n_docs": [n], "n_tokens": [total], "low": pd.array([low], "Int64"), "high": pd.array([high], "Int64")})
 
     rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(shards, F.col("id"), F.xxhash64("text")).sortWithinPartitions(F.col("id"), F.xxhash64("text"), F.col("text"))
+    hash_ = F.xxhash64("text")
+    repeats = df.groupBy(F.col(id_col)).count().agg(F.max("count"), F.sum("count")).first()
+    hot = repeats[0] is not None and 2 * repeats[0] * shards > repeats[1]  # an id of half a shard or more is parted by its texts
+    ranges = [F.col("id"), hash_] if hot else [F.col("id")]  # else finding the ranges reads no text
+    ranged = rows.repartitionByRange(shards, *ranges).sortWithinPartitions(F.col("id"), hash_, F.col("text"))
     done = write_table(ranged.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long, low long, high long"), "manifest")
     before, out = 0, []
     for shard, path, n, total, low, high in sorted(done.collect()):  # one row per shard file
