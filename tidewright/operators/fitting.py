@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from ..functions.calendar import default_lags, tree_windows
@@ -194,7 +196,7 @@ class Boosted:
         n, k = x.shape
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(k)]
         binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1)
-        self.base, self.trees, self.importance = float(y.mean()), [], np.zeros(k)
+        self.base, self.trees, self.reached, self.importance = float(y.mean()), [], [], np.zeros(k)
         pred = np.full(n, self.base)
         for _ in range(self.n_trees):
             use = np.flatnonzero(rng.random(n) < self.rows)
@@ -243,6 +245,7 @@ class Boosted:
             value = self.rate * total / (count + 1)
             pred += value[leaf]
             self.trees.append((feature, cut, value))
+            self.reached.append(np.bincount(leaf, minlength=2**self.depth))
         self.importance /= max(self.importance.sum(), 1e-12)
         self.residuals = y - pred
         return self
@@ -270,11 +273,20 @@ def _next_day(day: np.datetime64, frequency: str) -> np.datetime64:
     return np.datetime64(int(m // months * months + months), "M").astype("datetime64[D]")
 
 
-def fit_trees(y: np.ndarray, days: np.ndarray, horizon: int, frequency: str = "D", n_trees: int = 300, compat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-    """Recursive boosted trees: a step is predicted from the calendar of its own date and what is known before it.
+@dataclass
+class TreeFit:
+    """Trees fitted to a series: the model of the scaled target, the complete rows of features, their names, lags and windows."""
 
-    compat=True pairs a value with features that include it, as older practice did; that leaks the target.
-    """
+    model: Boosted
+    x: np.ndarray
+    names: list[str]
+    lags: list[int]
+    windows: list[int]
+    mean: float
+    std: float
+
+
+def tree_fit(y: np.ndarray, days: np.ndarray, frequency: str = "D", n_trees: int = 300, compat: bool = False) -> TreeFit:
     windows = tree_windows(frequency)
     lags = [k for k in default_lags(frequency) if len(y) - k >= 30 + windows[-1]] or [1]
     shift = 1 if compat else 0
@@ -285,7 +297,16 @@ def fit_trees(y: np.ndarray, days: np.ndarray, horizon: int, frequency: str = "D
     if full.sum() < 30:
         raise ValueError("fewer than 30 complete rows")
     mean, std = y.mean(), y.std(ddof=1) or 1.0
-    model = Boosted(n_trees).fit(x[full], (y[full] - mean) / std)
+    return TreeFit(Boosted(n_trees).fit(x[full], (y[full] - mean) / std), x[full], names, lags, windows, mean, std)
+
+
+def fit_trees(y: np.ndarray, days: np.ndarray, horizon: int, frequency: str = "D", n_trees: int = 300, compat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    """Recursive boosted trees: a step is predicted from the calendar of its own date and what is known before it.
+
+    compat=True pairs a value with features that include it, as older practice did; that leaks the target.
+    """
+    fitted = tree_fit(y, days, frequency, n_trees, compat)
+    model, names, lags, windows, mean, std = fitted.model, fitted.names, fitted.lags, fitted.windows, fitted.mean, fitted.std
     keep = max([*lags, *windows]) + 2
     past, day, fc = list(y[-keep:]), days[-1], []
     for _ in range(horizon):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.calendar import calendar_columns, future_dates, future_features
 from .operators import backtest as bt
-from .operators import clean, explain, explore, features, intervals, metrics, quantiles, validate
+from .operators import attribution, clean, explain, explore, features, intervals, metrics, quantiles, validate
 from .oracle import ORACLE_SQL
 from .plans import pipeline
 from .series import at_least, short_series, to_series, with_position
@@ -454,6 +454,11 @@ def feature_importance(spark, d):
     return explain.top_importances(rows)
 
 
+def feature_attribution(spark, d):
+    """Mean absolute Shapley values of the last hundred days."""
+    return attribution.top_attributions(attribution.attributions(orders_daily(spark, d)))
+
+
 def empirical_band(spark, d):
     series, made = _final(spark, d)
     resid = features.differences(series).select("series_id", F.col("ts").alias("t"), F.col("diff_7").alias("r"))
@@ -560,7 +565,7 @@ QUERIES = {
         periodicity, decomposition_summary, iqr_anomalies, rolling_mad, anomaly_digest, folds, naive_forecasts, seasonal_naive_forecasts, metrics_by_fold,
         leaderboard, mase, holdout_mae, horizon_dates, gaussian_band, band_annotation, expected_change, horizon_means, residual_diagnostics, hw_fixed_params,
         drivers, structured_summary, brief_text, append_forecast, model_catalog, event_buckets, ets_backtest, arima_backtest, gbt_backtest,
-        all_models_leaderboard, feature_importance, empirical_band, sample_generator, full_pipeline, column_inference, dataset_catalog,
+        all_models_leaderboard, feature_importance, feature_attribution, empirical_band, sample_generator, full_pipeline, column_inference, dataset_catalog,
         service_validate, service_explore, service_train, service_evaluate, service_forecast, service_explain, service_recommend, service_upload, summary_numbers,
         csv_round_trip, catalogue_versions, future_calendar, long_rolling, long_features, long_rolling_mad, long_quantiles, long_summary, long_iqr,
     )
