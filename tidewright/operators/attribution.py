@@ -33,16 +33,17 @@ def shares_of(value: float, known: list[float]) -> np.ndarray:
     known: the share of training rows that a condition lets through, a condition a feature.
     """
     d = len(known)
+    holds = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
     out = np.zeros((1 << d, d))
-    weights = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
-    for pattern in range(1 << d):
-        holds = [float(pattern >> k & 1) for k in range(d)]
-        for f in range(d):
-            sums = np.array([1.0])  # by size of the set: products over the other features, known or averaged
-            for g in range(d):
-                if g != f:
-                    sums = np.convolve(sums, [known[g], holds[g]])
-            out[pattern, f] = value * (holds[f] - known[f]) * float(sums @ weights)
+    weights = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+    for f in range(d):
+        sums = np.zeros((1 << d, d))  # by size of the set: products over the other features, known or averaged
+        sums[:, 0] = 1.0
+        for g in range(d):
+            if g != f:
+                sums[:, 1:] = sums[:, 1:] * known[g] + sums[:, :-1] * holds[:, g : g + 1]
+                sums[:, 0] *= known[g]
+        out[:, f] = value * (holds[:, f] - known[f]) * (sums @ weights)
     return out
 
 
