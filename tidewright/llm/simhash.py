@@ -240,8 +240,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Fingerprints of a document's shingles, of PRINT bits each: a pair of Jaccard similarity 0.8 agrees on one of them in 99.5 of 100 cases.
 PRINTS, PRINT = 72, 16
-#: 64-bit parts of the fingerprints that a pair of one bucket is compared by before its texts are.
-CHECKS = 2
+#: 64-bit parts of the fingerprints that a pair of one bucket is compared by before its texts are: at first, and where all pairs of
+#: different classes are.
+CHECKS, ALL_CHECKS = 2, PRINTS * PRINT // 64
 #: Buckets up to this size are compared place by place, all of them together.
 SMALL = 64
 #: Documents of one bucket that a task holds; larger buckets are cut.
@@ -377,7 +378,7 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
     yield joined()
 
 
-def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False) -> DataFrame:
+def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False, checks: int = CHECKS) -> DataFrame:
     """Distinct (a, b), a < b, from signed (rep, s, and perhaps part): see bucket_pairs.  The places of a bucket are in order of rep,
     so buckets that share documents join them to the same few first ones.
 
@@ -385,7 +386,7 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False
     task holds two parts at most and no pair is lost.
     """
     parted = "part" in signed.columns
-    names = ["key", "rep", *(f"c{k}" for k in range(CHECKS)), *(["part"] if parted else [])]
+    names = ["key", "rep", *(f"c{k}" for k in range(checks)), *(["part"] if parted else [])]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.arange(PRINTS, dtype=np.int32) << PRINT
@@ -394,7 +395,7 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False
                 batch = whole.slice(at, 1024)
                 s = np.array(batch["s"].flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)[:, 2:]
                 keys = np.ascontiguousarray(s).view(np.uint16).astype(np.int32) | tables
-                cols = [batch["rep"].to_numpy(zero_copy_only=False), *(s[:, k] for k in range(CHECKS))]
+                cols = [batch["rep"].to_numpy(zero_copy_only=False), *(s[:, k] for k in range(checks))]
                 cols += [batch["part"].to_numpy(zero_copy_only=False)] if parted else []
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, PRINTS)) for c in cols)], names)
 
@@ -410,7 +411,7 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False
 
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             rep = t["rep"].to_numpy()
-            check = np.stack([t[f"c{k}"].to_numpy().view(np.uint64) for k in range(CHECKS)], axis=1)
+            check = np.stack([t[f"c{k}"].to_numpy().view(np.uint64) for k in range(checks)], axis=1)
             for x, y in bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None, every=every):
                 pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
                 pairs = pairs[pairs[:, 0] < pairs[:, 1]]
@@ -432,7 +433,7 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False
         if rows:
             yield from out(pa.concat_tables(held).combine_chunks())
 
-    schema = "key int, rep long, " + ", ".join(f"c{k} long" for k in range(CHECKS)) + (", part long" if parted else "")
+    schema = "key int, rep long, " + ", ".join(f"c{k} long" for k in range(checks)) + (", part long" if parted else "")
     dealt = signed.select("rep", "s", *(["part"] if parted else [])).mapInArrow(deal, schema)
     sizes = dealt.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("cuts"))
     sizes = write_table(sizes, "hot-keys")
@@ -511,7 +512,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = write_table(alike(compared, texts, width, similarity), "alike")
     again = write_table(few(candidates(classed(), most).join(compared, ["a", "b"], "left_anti")), "few")
     compared, linked = compared.unionByName(again), linked.unionByName(write_table(alike(again, texts, width, similarity), "alike"))
-    rest = write_table(candidates(classed(), most, every=True).join(compared, ["a", "b"], "left_anti"), "candidates")
+    closer = bits_at(similarity, 64 * ALL_CHECKS)
+    rest = write_table(candidates(classed(), closer, every=True, checks=ALL_CHECKS).join(compared, ["a", "b"], "left_anti"), "candidates")
     linked = linked.unionByName(alike(rest, texts, width, similarity))
     parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("component", "rep").alias("component_id"))
