@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -225,6 +225,39 @@ def test_classes_are_those_of_exact_pairs(spark, small, monkeypatch):
     assert [got[k] for k in range(len(texts))] == classes(len(texts), alike)
 
 
+def test_templated_texts_between_half_and_four_fifths(spark):
+    """Texts of one template whose sentences have variants: many pairs just below the similarity, some above, no class lost."""
+    rng = random.Random(29)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(12))
+    variants = [[sentence() for _ in range(2)] for _ in range(12)]
+    texts = [". ".join(v[rng.random() < 0.2] for v in variants) + (f" {sentence()}" if rng.random() < 0.5 else "") for _ in range(150)]
+    sets = [simhash.shingle_set(t) for t in texts]
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(150) for b in range(a)}
+    assert sum(0.5 < x < 0.8 for x in share.values()) > 2000 and sum(x >= 0.8 for x in share.values()) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert [got[k] for k in range(150)] == classes(150, [p for p, x in share.items() if x >= 0.8])
+
+
+def test_lone_shingles_rule_out_no_link(spark):
+    rng = random.Random(30)
+    words = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    base = words(80)
+    texts = ["", *(f"{base} {words(k)}" for k in range(40) for _ in range(2)), "few words"]
+    sets = [simhash.shingle_set(t) for t in texts]
+    times = Counter(x for s in sets for x in s)
+    rows = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    lone = {r["rep"]: r["lone"] for r in simhash.lone_shingles(rows, 5).collect()}
+    assert lone == {k: n for k, s in enumerate(sets) if (n := sum(times[x] == 1 for x in s))}
+    again = simhash.lone_shingles(rows.union(spark.createDataFrame([(5, "another text of that id here")], rows.schema)), 5)
+    assert 5 not in {r["rep"] for r in again.collect()}
+    signed = spark.createDataFrame([(k, s.tolist(), lone.get(k, 0)) for k, s in enumerate(simhash.Signer().sign(texts))], "rep long, s array<long>, lone long")
+    most = simhash.bits_at(0.8, 64 * simhash.ALL_CHECKS)
+    pairs = [{(r["a"], r["b"]) for r in simhash.candidates(d, most, every=True, checks=simhash.ALL_CHECKS, similarity=0.8).collect()} for d in (signed.drop("lone"), signed)]
+    links = {(a, b) for a, b in pairs[0] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert links <= pairs[1] < pairs[0] and len(links) > 100
+
+
 def test_bucket_pairs_connect_and_cover():
     rng = np.random.default_rng(14)
     key = np.sort(rng.integers(0, 4, 300))

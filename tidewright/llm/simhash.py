@@ -18,7 +18,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -243,6 +243,8 @@ PRINTS, PRINT = 72, 16
 #: 64-bit parts of the fingerprints that a pair of one bucket is compared by before its texts are: at first, and where all pairs of
 #: different classes are.
 CHECKS, ALL_CHECKS = 2, PRINTS * PRINT // 64
+#: Standard deviations from the expected distance at the similarity within which the nearest classes are compared, round by round.
+NEARER = (-1.0, 0.0)
 #: Buckets up to this size are compared place by place, all of them together.
 SMALL = 64
 #: Documents of one bucket that a task holds; larger buckets are cut.
@@ -268,7 +270,7 @@ def _hadamard(n: int) -> np.ndarray:
 
 
 class Signer:
-    """Signatures of texts: a 128-bit hash of the set of shingles, then PRINTS fingerprints of it.
+    """Signatures of texts: a 128-bit hash of the set of shingles, then PRINTS fingerprints of it, then the number of shingles.
 
     Each bit is the side of a random plane on which the set lies.  The planes come from two rounds of random signs and a
     Hadamard transform of the signed counts of the shingles' hashes, so a bit costs the same for any length; all sums are
@@ -283,16 +285,17 @@ class Signer:
 
     def sign(self, texts: list[str | None]) -> np.ndarray:
         out = [self._block(texts[at : at + 256]) for at in range(0, len(texts), 256)]
-        return np.concatenate(out) if out else np.zeros((0, 2 + PRINTS * PRINT // 64), np.int64)
+        return np.concatenate(out) if out else np.zeros((0, 3 + PRINTS * PRINT // 64), np.int64)
 
     def _block(self, texts: list[str | None]) -> np.ndarray:
         import xxhash
 
         size = SKETCH[0] * SKETCH[1]
         digest = xxhash.xxh3_64_intdigest
-        v, own = np.zeros((len(texts), size)), np.zeros((len(texts), 2), np.int64)
+        v, own, n = np.zeros((len(texts), size)), np.zeros((len(texts), 2), np.int64), np.zeros((len(texts), 1), np.int64)
         for k, text in enumerate(texts):
             h = np.array([digest(x) for x in shingle_set(text, self.width)], np.uint64)
+            n[k] = len(h)
             if len(h):
                 h.sort()
                 own[k] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
@@ -301,22 +304,22 @@ class Signer:
         for signs in self.signs:
             v = self.left @ (v * signs) @ self.right
         bits = v.reshape(-1, size)[:, self.taken] > 0
-        return np.concatenate([own, np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)], axis=1)
+        return np.concatenate([own, np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64), n], axis=1)
 
 
-def bits_at(similarity: float, bits: int = BITS * CHECKS) -> int:
+def bits_at(similarity: float, bits: int = BITS * CHECKS, deviations: float = 4.5) -> int:
     """Most bits in which fingerprints of that length differ for documents of that Jaccard similarity: the expected number and
-    four and a half standard deviations, so that no such pair is refused before its texts are compared."""
+    so many standard deviations; with four and a half, no such pair is refused before its texts are compared."""
     cosine = 2 * similarity / (1 + similarity)
     p = np.arccos(cosine) / np.pi
-    return int(np.ceil(bits * p + 4.5 * np.sqrt(bits * p * (1 - p))))
+    return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
 
 
-def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray | None = None, held: int = PAIRS, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray | None = None, held: int = PAIRS, every: bool = False, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (places in the input) of one key, which is sorted, whose `check` rows differ in at most `most` bits.
 
     Without `every`, what such pairs connect is joined by pairs with its first place, one for each part but that place's own
-    (each place is a part of its own without `part`).  With it, all pairs of different parts, given out whenever `held` of
+    (each place is a part of its own without `part`).  With it, all pairs of different parts that are `allowed`, given out whenever `held` of
     them have gathered, so memory does not grow with their number.
     """
     if every and part is None:
@@ -343,6 +346,7 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
         if not every:
             label = _merge(label, x, x + step)
         else:
+            x = x if allowed is None else x[allowed(x, x + step)]
             found.append((x, x + step))
             waiting += len(x)
             if waiting >= held:
@@ -364,6 +368,7 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
                 y = np.arange(x + 1, at + m)
                 y = y[part[y] != part[x]]
                 y = y[near(x, y)]
+                y = y if allowed is None else y[allowed(np.full(len(y), x), y)]
                 found.append((np.full(len(y), x), y))
                 waiting += len(y)
                 if waiting >= held:
@@ -378,15 +383,19 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
     yield joined()
 
 
-def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False, checks: int = CHECKS) -> DataFrame:
-    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part): see bucket_pairs.  The places of a bucket are in order of rep,
-    so buckets that share documents join them to the same few first ones.
+def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False, checks: int = CHECKS, similarity: float = 0.0) -> DataFrame:
+    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part, lone): see bucket_pairs.  The places of a bucket are in order
+    of rep, so buckets that share documents join them to the same few first ones.
+
+    With `every` and all checks, a pair is given out by the first of the buckets it meets in only, and with `lone`, the number of
+    a document's shingles that no other has, only if the others would do for the similarity.
 
     A key with more than `hot` documents is cut into parts of about that many, and every two parts meet in a task, so a
     task holds two parts at most and no pair is lost.
     """
-    parted = "part" in signed.columns
-    names = ["key", "rep", *(f"c{k}" for k in range(checks)), *(["part"] if parted else [])]
+    more = [c for c in ("part", "lone") if c in signed.columns]
+    parted, bounded = "part" in more, "lone" in more
+    names = ["key", "rep", "n", *(f"c{k}" for k in range(checks)), *more]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = np.arange(PRINTS, dtype=np.int32) << PRINT
@@ -394,9 +403,10 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 s = np.array(batch["s"].flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)[:, 2:]
+                s, n = s[:, :-1], s[:, -1]
                 keys = np.ascontiguousarray(s).view(np.uint16).astype(np.int32) | tables
-                cols = [batch["rep"].to_numpy(zero_copy_only=False), *(s[:, k] for k in range(checks))]
-                cols += [batch["part"].to_numpy(zero_copy_only=False)] if parted else []
+                cols = [batch["rep"].to_numpy(zero_copy_only=False), n, *(s[:, k] for k in range(checks))]
+                cols += [batch[c].to_numpy(zero_copy_only=False) for c in more]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, PRINTS)) for c in cols)], names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +422,18 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             rep = t["rep"].to_numpy()
             check = np.stack([t[f"c{k}"].to_numpy().view(np.uint64) for k in range(checks)], axis=1)
-            for x, y in bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None, every=every):
+            keys, table = check.view(np.uint16), t["key"].to_numpy() >> PRINT
+            n = t["n"].to_numpy()
+            rest = n - t["lone"].to_numpy() if bounded else n
+
+            def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                both = np.minimum(rest[x], rest[y])
+                ok = both >= similarity * (n[x] + n[y] - both)
+                if checks == ALL_CHECKS:
+                    ok[ok] = (keys[x[ok]] == keys[y[ok]]).argmax(axis=1) == table[x[ok]]
+                return ok
+
+            for x, y in bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None, every=every, allowed=allowed):
                 pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
                 pairs = pairs[pairs[:, 0] < pairs[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -433,8 +454,8 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False
         if rows:
             yield from out(pa.concat_tables(held).combine_chunks())
 
-    schema = "key int, rep long, " + ", ".join(f"c{k} long" for k in range(checks)) + (", part long" if parted else "")
-    dealt = signed.select("rep", "s", *(["part"] if parted else [])).mapInArrow(deal, schema)
+    schema = "key int, rep long, n long, " + ", ".join(f"{c} long" for c in [*(f"c{k}" for k in range(checks)), *more])
+    dealt = signed.select("rep", "s", *more).mapInArrow(deal, schema)
     sizes = dealt.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("cuts"))
     sizes = write_table(sizes, "hot-keys")
     dealt = dealt.withColumns({"low": F.lit(0), "high": F.lit(0)})
@@ -447,6 +468,26 @@ def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False
     return tasks.mapInArrow(join, "a long, b long").distinct()
 
 
+def lone_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, lone): how many shingles of each text (rep, text) no other one has; no row for zero, nor for an id with several texts.
+    Counted by 64-bit hashes: where two shingles share one, neither is lone, so the number is never too large."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            own = [np.array([xxhash.xxh3_64_intdigest(x) for x in shingle_set(t, width)], np.uint64) for t in batch["text"].to_pylist()]
+            rep = np.repeat(batch["rep"].to_numpy(zero_copy_only=False), [len(h) for h in own])
+            h = np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)
+            for at in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (h, rep)], ["h", "rep"])
+        release_memory()
+
+    once = texts.select("rep", "text").mapInArrow(shingles, "h long, rep long").groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    several = texts.groupBy("rep").count().where("count > 1")
+    return once.where("n = 1").groupBy("rep").agg(F.count("*").alias("lone")).join(several, "rep", "left_anti")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (rep, text) have that Jaccard similarity of shingles or more, counted exactly."""
 
@@ -474,7 +515,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Candidates are pairs that agree on one of PRINTS SimHash fingerprints of their shingles and that the longer fingerprint
     does not rule out; each is linked only when its texts have the similarity.  First every document is compared with a few
-    first ones of its buckets, then so are the classes that this left apart, and then all candidates of different classes.
+    first ones of its buckets, then with a few of other classes whose fingerprints are as near as such texts' are, and then all
+    candidates of different classes are, but those that shingles of one document alone keep below the similarity.
 
     Null texts count as empty; rows with a null id are reported with the class of equal texts but link nothing; repeated
     rows are repeated; an empty table gives an empty result; other columns are ignored.
@@ -510,10 +552,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = write_table(docs.join(own, ["doc_id", "text_hash"]).select(F.col("doc_id").alias("rep"), "text").distinct(), "near-texts")
     compared = write_table(few(pairs), "few")
     linked = write_table(alike(compared, texts, width, similarity), "alike")
-    again = write_table(few(candidates(classed(), most).join(compared, ["a", "b"], "left_anti")), "few")
-    compared, linked = compared.unionByName(again), linked.unionByName(write_table(alike(again, texts, width, similarity), "alike"))
-    closer = bits_at(similarity, 64 * ALL_CHECKS)
-    rest = write_table(candidates(classed(), closer, every=True, checks=ALL_CHECKS).join(compared, ["a", "b"], "left_anti"), "candidates")
+    for deviations in NEARER:
+        near = few(candidates(classed(), bits_at(similarity, 64 * ALL_CHECKS, deviations), every=True, checks=ALL_CHECKS))
+        again = write_table(near.join(compared, ["a", "b"], "left_anti"), "few")
+        compared, linked = compared.unionByName(again), linked.unionByName(write_table(alike(again, texts, width, similarity), "alike"))
+    lone = write_table(lone_shingles(texts, width), "lone")
+    apart = classed().join(lone, "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    rest = candidates(apart, bits_at(similarity, 64 * ALL_CHECKS), every=True, checks=ALL_CHECKS, similarity=similarity)
+    rest = write_table(rest.join(compared, ["a", "b"], "left_anti"), "candidates")
     linked = linked.unionByName(alike(rest, texts, width, similarity))
     parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     classes = distinct.join(parts, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("component", "rep").alias("component_id"))
