@@ -165,6 +165,16 @@ def test_components(spark, edges):
     assert got == {n: own[n] for e in edges for n in e if e[0] != e[1]}
 
 
+def test_components_of_few_edges_need_few_stages(spark):
+    """The driver keeps record of each stage and its tasks, so a round is one job without an exchange."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "src long, dst long").coalesce(1)
+    spark.sparkContext.setJobGroup("few-edges", "")
+    components(edges)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    assert 0 < sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("few-edges")) <= 15
+
+
 def edited(rng, kind, n=300, similarity=0.8):
     """Two texts whose five-word shingles have barely that Jaccard similarity or more, and the similarity."""
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
@@ -276,6 +286,26 @@ def test_bucket_pairs_connect_and_cover():
     assert sum(len(x) for x, _ in chunks) == 3000 * 2999 // 2 and max(len(x) for x, _ in chunks) < 60_000
 
 
+def test_candidates_come_from_the_tree(spark):
+    """Pairs within the distance of one code, as by brute force, also where no 16 bits of the fingerprints agree."""
+    rng = np.random.default_rng(31)
+    prints = rng.integers(0, 1 << 32, (60, simhash.PRINTS), dtype=np.uint32)
+    prints[1] = prints[0] ^ np.uint32(0x10001)  # one bit of each 16
+    for k in range(2, 60):  # some bits of one code, and more of all others
+        prints[k] = prints[k // 2] ^ (np.uint32(1) << rng.integers(0, 32, simhash.PRINTS).astype(np.uint32) | np.uint32(0x300))
+        prints[k, k % 36] = prints[k // 2, k % 36] ^ np.uint32((0, 1, 3, 7, 1 << 31)[k % 5])
+    s = np.concatenate([np.zeros((60, 2), np.int64), prints.view(np.int64), np.full((60, 1), 50)], axis=1)
+    signed = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(s)], "rep long, s array<long>").persist()
+    code = simhash.codes(prints)
+    apart = np.bitwise_count(code[:, :, None, None] ^ code[:1, None, None, :])  # the first row's tables among themselves
+    assert all(apart[0, t, 0, u] > simhash.APART for t in range(simhash.TABLES) for u in range(t))
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if (np.bitwise_count(code[a] ^ code[b]) <= simhash.APART).any() and np.bitwise_count(prints[a] ^ prints[b]).sum() <= 200}
+    assert (0, 1) in want and not (prints[0].view(np.uint16) == prints[1].view(np.uint16)).any() and 20 < len(want) < 1770
+    for hot in (1 << 17, 100):
+        got = simhash.candidates(signed, 200, hot, every=True, checks=simhash.ALL_CHECKS)
+        assert {(r["a"], r["b"]) for r in got.collect()} == want
+
+
 def test_hot_buckets_are_cut_and_lose_no_pair(spark):
     rng = np.random.default_rng(4)
     words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -93,6 +93,10 @@ def fold_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+#: Edges up to which a round of the components is one task's, without an exchange; longer lists are dealt by their nodes.
+ONE_TASK = 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list (src, dst) of longs.
 
@@ -100,22 +104,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node.  Alternates large-star and small-star rounds until the edge list repeats itself; each round is written to
     the shared folder.  Minima are pre-aggregated before they are shuffled, so a hub costs one row per task.
     """
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
-    edges = write_table(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
-    before = state(edges)
+    def stored(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The table and its number and hash of edges, which are gathered as it is written."""
+        seen = Observation()
+        table = write_table(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")), "edges")
+        return table, (seen.get["n"], seen.get["h"])
+
+    edges, before = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        few = before[0] <= ONE_TASK
+        both = (edges.coalesce(1) if few else edges).select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
         low = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        large = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
+        large = both.where("dst > src").join(low.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
+        large = large.coalesce(1) if few else large
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
-        joined = large.join(low, "src")
-        small = joined.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.select("src", F.col("low").alias("dst")))
-        edges = write_table(small.where("src <> dst").distinct(), "edges")
-        after = state(edges)
+        joined = large.join(low.hint("merge"), "src")
+        small = joined.select(F.inline(F.array(F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")), F.struct("src", F.col("low").alias("dst")))))
+        edges, after = stored(small.where("src <> dst").distinct())
         if after == before:
             break
         before = after

@@ -76,7 +76,7 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Join the classes of a and b; label keeps the smallest member's place."""
+    """Join the classes of a and b in place; label keeps the smallest member's place."""
     while True:
         x, y = label[a], label[b]
         apart = x != y
@@ -85,19 +85,18 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b, x, y = a[apart], b[apart], x[apart], y[apart]
         np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
         while (label[label] != label).any():
-            label = label[label]
+            label[:] = label[label]
 
 
-def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places in the input) that connect, within each group, whatever pairs within `distance` connect.
+def gray_tree_pairs(group: np.ndarray, fp: np.ndarray, label: np.ndarray, distance: int = 3, cross: bool = False, equal: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places in the input) of a group and of different labels that are within `distance`, some thousands at a time.
 
-    With `cross` there are two groups, and only pairs of one of each count.  Only links that join two classes come back,
-    so there are fewer of them than fingerprints.
+    The input is in order of group and, within it, of the Gray code.  Labels may be joined in place between two steps: nodes whose
+    members all have one label are left out from then on.  With `cross` there are two groups, and only pairs of one of each count.
+    Without `equal`, pairs of equal fingerprints are left out, and so are nodes that hold nothing else.
     """
     if len(fp) < 2:
-        return np.array([], int), np.array([], int)
-    order = np.lexsort((gray_rank(fp), group))
-    group, fp = group[order], fp[order]
+        return
     n = len(fp)
     levels = [(fp, fp, np.arange(n), np.arange(n) + 1)]  # bits in all members, bits in any, first child, end of children
     owner = group
@@ -116,7 +115,6 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, cross
     for _, _, first, end in levels[1:]:
         lo, hi = spans[-1]
         spans.append((lo[first], hi[end - 1]))
-    label = np.arange(n)
     shared = [(every, every ^ some) for every, some, _, _ in levels]
     ragged = [bool((end - first != FANOUT).any()) for _, _, first, end in levels]
     one, other = np.repeat(np.arange(FANOUT), FANOUT), np.tile(np.arange(FANOUT), FANOUT)
@@ -138,9 +136,8 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, cross
             near = (a != b) & (label[a] != label[b])
             a, b = a[near], b[near]
             near = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-            a, b = a[near], b[near]
-            if len(a):
-                label = _merge(label, a, b)
+            if near.any():
+                yield a[near], b[near]
             continue
         x = (first[a][:, None] + one).ravel()
         y = (first[b][:, None] + other).ravel()
@@ -155,11 +152,25 @@ def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, cross
         apart = bits[x] ^ bits[y]
         apart &= ~(loose[x] | loose[y])
         keep = np.bitwise_count(apart) <= distance
+        if not equal:
+            keep &= (bits[x] != bits[y]) | ((loose[x] | loose[y]) != 0)
         x, y = x[keep], y[keep]
         far = np.argsort(x != y, kind="stable")[::-1]  # a node with itself comes off the stack first
         x, y = x[far], y[far]
         stack += [(level - 1, x[i : i + CHUNK], y[i : i + CHUNK]) for i in range(0, len(x), CHUNK)]
-    joined = np.flatnonzero(label != np.arange(n))  # each member of a class with its first
+
+
+def gray_index_links(group: np.ndarray, fp: np.ndarray, distance: int = 3, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in the input) that connect, within each group, whatever pairs within `distance` connect.
+
+    With `cross` there are two groups, and only pairs of one of each count.  Only links that join two classes come back,
+    so there are fewer of them than fingerprints.
+    """
+    order = np.lexsort((gray_rank(fp), group))
+    label = np.arange(len(fp))
+    for a, b in gray_tree_pairs(group[order], fp[order], label, distance, cross):
+        _merge(label, a, b)
+    joined = np.flatnonzero(label != np.arange(len(fp)))  # each member of a class with its first
     return order[joined], order[label[joined]]
 
 
@@ -238,17 +249,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of a document's shingles, of PRINT bits each: a pair of Jaccard similarity 0.8 agrees on one of them in 99.5 of 100 cases.
-PRINTS, PRINT = 72, 16
-#: 64-bit parts of the fingerprints that a pair of one bucket is compared by before its texts are: at first, and where all pairs of
+#: Fingerprints of a document's shingles, of PRINT bits each.
+PRINTS, PRINT = 36, 32
+#: Fingerprints that are indexed, their leading bits that are, and the most bits in which a pair may differ there: a pair of Jaccard
+#: similarity 0.8 is met by one of them in 99.8 of 100 cases.
+TABLES, CODE, APART = 32, 28, 2
+#: 64-bit parts of the fingerprints that a pair of near codes is compared by before its texts are: at first, and where all pairs of
 #: different classes are.
 CHECKS, ALL_CHECKS = 2, PRINTS * PRINT // 64
 #: Standard deviations from the expected distance at the similarity within which the nearest classes are compared, round by round.
 NEARER = (-1.0, 0.0)
-#: Buckets up to this size are compared place by place, all of them together.
+#: Groups of equal codes up to this size are compared place by place, all of them together.
 SMALL = 64
-#: Documents of one bucket that a task holds; larger buckets are cut.
-HOT = 50_000
+#: Codes in one block of the order; a task holds two blocks.
+HOT = 1 << 17
 #: Pairs that a task holds before it gives them out.
 PAIRS = 1 << 20
 #: Shape of the sketch that a document's shingles are counted in.
@@ -383,88 +397,140 @@ def bucket_pairs(key: np.ndarray, check: np.ndarray, most: int, part: np.ndarray
     yield joined()
 
 
-def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False, checks: int = CHECKS, similarity: float = 0.0) -> DataFrame:
-    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part, lone): see bucket_pairs.  The places of a bucket are in order
-    of rep, so buckets that share documents join them to the same few first ones.
+def codes(prints: np.ndarray) -> np.ndarray:
+    """The codes of each row of fingerprints (PRINT bits each): CODE bits and, above them, the number of the table, written so often
+    that codes of different tables are further than APART from each other.  So one tree holds all tables."""
+    tag, bits = np.arange(TABLES, dtype=np.uint64), np.uint64((TABLES - 1).bit_length())
+    above = sum(tag << (np.uint64(CODE) + np.uint64(k) * bits) for k in range(APART + 1))
+    return (prints[:, :TABLES] & np.uint32((1 << CODE) - 1)) | above
 
-    With `every` and all checks, a pair is given out by the first of the buckets it meets in only, and with `lone`, the number of
-    a document's shingles that no other has, only if the others would do for the similarity.
 
-    A key with more than `hot` documents is cut into parts of about that many, and every two parts meet in a task, so a
-    task holds two parts at most and no pair is lost.
-    """
-    more = [c for c in ("part", "lone") if c in signed.columns]
-    parted, bounded = "part" in more, "lone" in more
-    names = ["key", "rep", "n", *(f"c{k}" for k in range(checks)), *more]
+def _coded(signed: DataFrame, bounds: list[int], checks: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
+    """block, rank, rep (and n, c0, c1, ...): a row for each code of each document.  A block ends at each of the bounds; a code that
+    is the bound of several is dealt to all of these by its documents."""
+    names = ["block", "rank", "rep", *(["n"] if "n" in more else []), *(f"c{k}" for k in range(checks)), *(c for c in more if c != "n")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.arange(PRINTS, dtype=np.int32) << PRINT
+        ends = np.array(bounds, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 s = np.array(batch["s"].flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)[:, 2:]
-                s, n = s[:, :-1], s[:, -1]
-                keys = np.ascontiguousarray(s).view(np.uint16).astype(np.int32) | tables
-                cols = [batch["rep"].to_numpy(zero_copy_only=False), n, *(s[:, k] for k in range(checks))]
-                cols += [batch[c].to_numpy(zero_copy_only=False) for c in more]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, PRINTS)) for c in cols)], names)
+                s, n = np.ascontiguousarray(s[:, :-1]), s[:, -1]
+                rep = batch["rep"].to_numpy(zero_copy_only=False)
+                rank = gray_rank(codes(s.view(np.uint32))).view(np.int64).ravel()
+                low, high = np.searchsorted(ends, rank, "left"), np.searchsorted(ends, rank, "right")
+                block = low + np.repeat(rep * 0x9E3779B1 >> 8, TABLES) % (high - low + 1)
+                given = {"n": n} | {f"c{k}": s[:, k] for k in range(checks)} | {c: batch[c].to_numpy(zero_copy_only=False) for c in more if c != "n"}
+                cols = [block.astype(np.int32), rank, *(np.repeat(x, TABLES) for x in [rep, *(given[c] for c in names[3:])])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+
+    return signed.select("rep", "s", *(c for c in more if c != "n")).mapInArrow(deal, "block int, rank long" + "".join(f", {c} long" for c in names[2:]))
+
+
+def code_index(signed: DataFrame, hot: int = HOT) -> tuple[list[int], DataFrame]:
+    """The blocks of the codes of signed (rep, s) in Gray order, as their bounds, and the pairs of blocks that the tree's upper nodes do
+    not prune.  The driver gets one number a block.  It serves any part of these documents as well."""
+    blocks, bounds = max(1, -(-signed.count() * TABLES // hot)), []
+    if blocks > 1:
+        bounds = _coded(signed, []).agg(F.percentile_approx("rank", [k / blocks for k in range(1, blocks)], max(10_000, 10 * blocks))).first()[0]
+    code = F.col("rank").bitwiseXOR(F.shiftright("rank", 1))
+    return bounds, node_pairs(_coded(signed, bounds).select("block", code.alias("fp")), APART)
+
+
+def candidates(signed: DataFrame, most: int, hot: int = HOT, every: bool = False, checks: int = CHECKS, similarity: float = 0.0, index: tuple[list[int], DataFrame] | None = None) -> DataFrame:
+    """Distinct (a, b), a < b, from signed (rep, s, and perhaps part, lone): pairs with a code within APART bits and `checks` parts of
+    the fingerprints within `most`, found by the Gray-order tree over the codes of all tables.
+
+    Without `every`, what such pairs connect within a pair of blocks is joined by pairs with its smallest rep.  With it, all pairs of
+    different parts.  With `every` and all checks, a pair is given out by the first of the tables it meets in only, and with `lone`,
+    the number of a document's shingles that no other has, only if the others would do for the similarity.
+
+    A block has about `hot` codes, and a code with more documents several blocks, so a task holds two blocks at most and no pair is
+    lost.
+    """
+    bounds, pairs = index or code_index(signed, hot)
+    more = tuple(c for c in ("part", "lone") if c in signed.columns)
+    parted, bounded = "part" in more, "lone" in more
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches arrive sorted by key; a key's rows are held until it ends."""
-        held: list[pa.Table] = []
-        rows = 0
+        """Batches arrive sorted by pair of blocks; a pair's rows are held until it ends."""
+        held: list[pa.RecordBatch] = []
+        now = None
 
-        def places(t: pa.Table) -> np.ndarray:
-            """A number for each run of rows of one task's bucket."""
-            cols = [t[c].to_numpy() for c in ("key", "low", "high")]
-            return np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+        def given(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            rep = t["rep"].to_numpy()
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            rep, block, rank = t["rep"].to_numpy(), t["block"].to_numpy(), t["rank"].to_numpy().view(np.uint64)
+            code, cross = rank ^ rank >> np.uint64(1), now[0] != now[1]
             check = np.stack([t[f"c{k}"].to_numpy().view(np.uint64) for k in range(checks)], axis=1)
-            keys, table = check.view(np.uint16), t["key"].to_numpy() >> PRINT
+            part = np.unique(t["part"].to_numpy(), return_inverse=True)[1] if parted else np.arange(len(rep))
+            order = np.argsort(rank, kind="stable")  # equal codes of both blocks together
+
+            def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return np.bitwise_count(check[x] ^ check[y]).sum(-1, dtype=np.int64) <= most
+
+            if not every:
+                label = np.arange(len(rep))
+                for x, y in bucket_pairs(rank[order], check[order], most):
+                    _merge(label, order[x], order[y])
+                for x, y in gray_tree_pairs(block, code, label, APART, cross, equal=False):
+                    ok = near(x, y)
+                    _merge(label, x[ok], y[ok])
+                smallest = np.full(len(rep), np.iinfo(np.int64).max)
+                np.minimum.at(smallest, label, rep)
+                yield from given(smallest[label], rep)
+                return
+            prints, table = check.view(np.uint32)[:, :TABLES] & np.uint32((1 << CODE) - 1), (code >> np.uint64(CODE)).astype(np.int64) % TABLES
             n = t["n"].to_numpy()
             rest = n - t["lone"].to_numpy() if bounded else n
 
             def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
                 both = np.minimum(rest[x], rest[y])
                 ok = both >= similarity * (n[x] + n[y] - both)
+                if cross:
+                    ok &= block[x] != block[y]
                 if checks == ALL_CHECKS:
-                    ok[ok] = (keys[x[ok]] == keys[y[ok]]).argmax(axis=1) == table[x[ok]]
+                    ok[ok] = (np.bitwise_count(prints[x[ok]] ^ prints[y[ok]]) <= APART).argmax(axis=1) == table[x[ok]]
                 return ok
 
-            for x, y in bucket_pairs(places(t), check, most, t["part"].to_numpy() if parted else None, every=every, allowed=allowed):
-                pairs = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1), axis=0)
-                pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            for x, y in bucket_pairs(rank[order], check[order], most, part[order], every=True, allowed=lambda x, y: allowed(order[x], order[y])):
+                yield from given(rep[order[x]], rep[order[y]])
+            found, waiting = [], 0
+            for x, y in gray_tree_pairs(block, code, part, APART, cross, equal=False):
+                ok = near(x, y)
+                x, y = x[ok], y[ok]
+                ok = allowed(x, y)
+                found.append((rep[x[ok]], rep[y[ok]]))
+                waiting += int(ok.sum())
+                if waiting >= PAIRS:
+                    yield from given(*(np.concatenate(side) for side in zip(*found)))
+                    found, waiting = [], 0
+            if waiting:
+                yield from given(*(np.concatenate(side) for side in zip(*found)))
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-            if rows < 200_000:
-                continue
-            t = pa.concat_tables(held).combine_chunks()
-            key = places(t)
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield from out(t.slice(0, cut))
-            held, rows = [t.slice(cut)], t.num_rows - cut
-        if rows:
-            yield from out(pa.concat_tables(held).combine_chunks())
-
-    schema = "key int, rep long, n long, " + ", ".join(f"{c} long" for c in [*(f"c{k}" for k in range(checks)), *more])
-    dealt = signed.select("rep", "s", *more).mapInArrow(deal, schema)
-    sizes = dealt.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / hot).cast("int").alias("cuts"))
-    sizes = write_table(sizes, "hot-keys")
-    dealt = dealt.withColumns({"low": F.lit(0), "high": F.lit(0)})
-    if not sizes.isEmpty():  # a hot bucket is cut, and each pair of its cuts is a task's
-        own = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
-        cut = dealt.drop("low", "high").join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        cut = cut.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("cuts", "own", "other")
-        dealt = dealt.join(sizes, "key", "left_anti").unionByName(cut)
-    tasks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
+            a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else []
+            for at, to in zip(cuts, [*cuts[1:], len(a)]):
+                pair = (int(a[at]), int(b[at]))
+                if pair != now and held:
+                    yield from out()
+                    held = []
+                now = pair
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield from out()
+            release_memory()
+
+    coded = _coded(signed, bounds, checks, ("n", *more) if every else more)
+    sides = pairs.select(F.col("a").alias("block"), "a", "b").unionByName(pairs.where("a <> b").select(F.col("b").alias("block"), "a", "b"))
+    tasks = coded.join(sides, "block").repartition("a", "b").sortWithinPartitions("a", "b", "block", "rank", "rep")
     return tasks.mapInArrow(join, "a long, b long").distinct()
 
 
@@ -513,9 +579,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, text_hash, component_id: classes of documents that pairs of that Jaccard similarity of
     their shingles of `width` words, or more, connect.
 
-    Candidates are pairs that agree on one of PRINTS SimHash fingerprints of their shingles and that the longer fingerprint
-    does not rule out; each is linked only when its texts have the similarity.  First every document is compared with a few
-    first ones of its buckets, then with a few of other classes whose fingerprints are as near as such texts' are, and then all
+    Candidates are pairs that the Gray-order tree finds within APART bits on one of TABLES SimHash codes of their shingles and that
+    the longer fingerprint does not rule out; each is linked only when its texts have the similarity.  First every document is
+    compared with a few smallest ones of those that near codes connect it to, then with a few of other classes whose fingerprints are as near as such texts' are, and then all
     candidates of different classes are, but those that shingles of one document alone keep below the similarity.
 
     Null texts count as empty; rows with a null id are reported with the class of equal texts but link nothing; repeated
@@ -545,7 +611,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         return met.join(parts, F.col("rep") == F.col("node"), "left").select("rep", "s", F.coalesce("component", "rep").alias("part"))
 
-    pairs = write_table(candidates(distinct, most), "candidates")
+    index = code_index(distinct)
+    pairs = write_table(candidates(distinct, most, index=index), "candidates")
     met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     met = write_table(distinct.join(met, "rep"), "met")
     own = met.select(F.col("rep").alias("doc_id"), "text_hash").distinct()
@@ -553,12 +620,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = write_table(few(pairs), "few")
     linked = write_table(alike(compared, texts, width, similarity), "alike")
     for deviations in NEARER:
-        near = few(candidates(classed(), bits_at(similarity, 64 * ALL_CHECKS, deviations), every=True, checks=ALL_CHECKS))
+        near = few(candidates(classed(), bits_at(similarity, 64 * ALL_CHECKS, deviations), every=True, checks=ALL_CHECKS, index=index))
         again = write_table(near.join(compared, ["a", "b"], "left_anti"), "few")
         compared, linked = compared.unionByName(again), linked.unionByName(write_table(alike(again, texts, width, similarity), "alike"))
     lone = write_table(lone_shingles(texts, width), "lone")
     apart = classed().join(lone, "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-    rest = candidates(apart, bits_at(similarity, 64 * ALL_CHECKS), every=True, checks=ALL_CHECKS, similarity=similarity)
+    rest = candidates(apart, bits_at(similarity, 64 * ALL_CHECKS), every=True, checks=ALL_CHECKS, similarity=similarity, index=index)
     rest = write_table(rest.join(compared, ["a", "b"], "left_anti"), "candidates")
     linked = linked.unionByName(alike(rest, texts, width, similarity))
     parts = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
