@@ -1,5 +1,6 @@
 import functools
 import io
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -172,6 +173,35 @@ def test_small_memory_changes_nothing(monkeypatch):
     assert (pieces.Pieces(PIECES).sample([text], keys)[0] == want).all()
 
 
+def test_pieces_of_each_key_stay_as_they_were():
+    got = pieces.Pieces(PIECES).sample(ODD + ["a \n", " a", "a ", "é▁ thing&&& 56.41.81.205"], np.arange(12, dtype=np.uint64))
+    assert [len(x) for x in got] == [0, 1, 5, 18, 41, 11, 2, 48, 3, 2, 2, 21] and zlib.crc32(np.concatenate(got).astype("<u4").tobytes()) == 1258835205
+
+
+def test_a_full_memory_keeps_the_words_in_use(monkeypatch):
+    texts = [" ".join(["the"] * 3 + [f"{a}{b}{k}" for a in ("new", "other") for b in "pqrst"]) for k in range(60)]
+    keys = np.arange(60, dtype=np.uint64)
+    m = pieces.Pieces(PIECES)
+    want = [m.sample([t], keys[k : k + 1])[0].tolist() for k, t in enumerate(texts)]
+    monkeypatch.setattr(pieces, "REMEMBER", 900)
+    m, learnt = pieces.Pieces(PIECES), []
+    monkeypatch.setattr(m, "_learn", lambda words, learn=m._learn: (learnt.extend(words), learn(words)))
+    assert [m.sample([t], keys[k : k + 1])[0].tolist() for k, t in enumerate(texts)] == want
+    assert learnt.count(" the") == 1 and len(m.known) < 300 < len(learnt)
+
+
+def test_new_words_do_not_copy_the_known_ones():
+    m, rng, key = pieces.Pieces(PIECES), np.random.default_rng(3), np.array([1], np.uint64)
+    m.sample([" ".join("".join(x) for x in rng.choice(list("abcdefghij"), (30_000, 12)).tolist())], key)
+    m.sample(["neu"], key)  # the room doubles at most once
+    tracemalloc.start()
+    for k in range(20):
+        m.sample([f"neu{k}"], key)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+
+
 # Mixing
 
 

@@ -21,6 +21,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import release_memory, small_batches
 
-#: Arcs of lattices remembered by a worker (9 bytes each); it starts anew when full.
+#: Arcs of lattices remembered by a worker (12 bytes each); when it is full, the words used most often stay.
 REMEMBER = 5_000_000
 #: Words sampled together.
 BLOCK = 60_000
@@ -37,21 +38,61 @@ BLOCK = 60_000
 OFFSET, POWER = 2.7, 1.0
 
 _MARK = "▁"
-_SPACES = re.compile(r" +[^ ]+| +$")
+_SPACES = re.compile(r" ( *[^ ]+| *$)")
 _MODELS: dict[str, Pieces] = {}
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def uniform(keys: np.ndarray, word: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in [0, 1) from key, word and step (the SplitMix64 finaliser)."""
-    with np.errstate(over="ignore"):
-        x = keys + _GOLD * (word.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(step + 1))
-        x = (x ^ (x >> np.uint64(30))) * _MIX1
-        x = (x ^ (x >> np.uint64(27))) * _MIX2
-        x ^= x >> np.uint64(31)
+def seeds(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Of each word, what its numbers are drawn from."""
+    return keys + _GOLD * (word.astype(np.uint64) * np.uint64(1 << 20))
+
+
+def uniform(seed: np.ndarray, step: int) -> np.ndarray:
+    """Numbers in [0, 1) from the words' seeds and the step (the SplitMix64 finaliser)."""
+    x = seed + np.array([step + 1], np.uint64) * _GOLD
+    x ^= x >> np.uint64(30)
+    x *= _MIX1
+    x ^= x >> np.uint64(27)
+    x *= _MIX2
+    x ^= x >> np.uint64(31)
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+class Numbers(dict):
+    """Numbers of words by one look-up each: a word that is met for the first time gets the next number and is listed as new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
+class Store:
+    """An array that grows at its end.  Its room doubles, so what it holds is not copied for every block of words."""
+
+    def __init__(self, kind: type):
+        self.all, self.n = np.empty(1 << 10, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if (upto := self.n + len(more)) > len(self.all):
+            self.all, old = np.empty(max(upto, 2 * len(self.all)), self.all.dtype), self.all
+            self.all[: self.n] = old[: self.n]
+        self.all[self.n : upto] = more
+        self.n = upto
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.all[: self.n]
+
+    @now.setter
+    def now(self, values: np.ndarray) -> None:
+        self.all[: self.n] = values
+
+
 class Pieces:
     """The vocabulary of one model, its lattices, sampler and decoder."""
 
@@ -69,6 +110,7 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 text = piece.replace(_MARK, " ")
                 self.ids[text], self.bytes[i] = i, text.encode()
+        self.bytes = np.array(self.bytes, object)
         first = min(self.ids.values(), default=0)
         self.cost = np.full(n, np.inf)
         for i in self.ids.values():
@@ -96,6 +138,8 @@ class Pieces:
         self.bits = max(4, (4 * len(keys)).bit_length())
         self.table_key, self.table_value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
         keys, values = np.array(keys, np.int64), np.array(values, np.int64)
+        self.root = np.full(len(letters) + 1, -1)  # by letter: the state after it alone
+        self.root[keys[keys < 1 << 20]] = values[keys < 1 << 20]
         at = self._slot(keys)
         while len(keys):
             free = self.table_key[at] < 0
@@ -111,21 +155,22 @@ class Pieces:
         """The next states, -1 where no piece goes on like that."""
         keys = states << 20 | letters
         at = self._slot(keys)
-        out = np.full(len(keys), -1)
-        todo = np.arange(len(keys))
+        have = self.table_key[at]
+        out = np.where(have == keys, self.table_value[at], -1)
+        todo = np.flatnonzero((have != keys) & (have >= 0))
         while len(todo):
-            have = self.table_key[at]
-            hit = have == keys
-            out[todo[hit]] = self.table_value[at[hit]]
-            on = ~hit & (have >= 0)
-            todo, keys, at = todo[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            have = self.table_key[at[todo]]
+            hit = have == keys[todo]
+            out[todo[hit]] = self.table_value[at[todo[hit]]]
+            todo = todo[~hit & (have >= 0)]
         return out
 
     def _start_anew(self) -> None:
-        self.known: dict[str, int] = {}
-        self.base, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each word: its first place, its length
-        self.first = np.zeros(0, np.int32)  # of each place: its first arc
-        self.chance, self.span, self.code = np.zeros(0, np.float32), np.zeros(0, np.uint8), np.zeros(0, np.int32)
+        self.known = Numbers()
+        self.start, self.entry, self.uses = Store(np.int64), Store(np.int64), Store(np.int64)  # of each word: its first arc, the first arc of its end
+        # of each arc: its summed chance, its code, and the first arc of the place it comes from (-1: the word's beginning)
+        self.chance, self.code, self.before = Store(np.float32), Store(np.int32), Store(np.int32)
 
     def _learn(self, words: list[str]) -> None:
         """Lattices of new words.  A place stands for a prefix of a word; its arcs are the pieces that end there, with summed
@@ -142,7 +187,7 @@ class Pieces:
         for size in range(1, self.longest + 1):
             fits = left[at] >= size
             at, state = at[fits], state[fits]
-            state = self._step(state, letters[at + size - 1])
+            state = self._step(state, letters[at + size - 1]) if size > 1 else self.root[letters]
             at, state = at[state >= 0], state[state >= 0]
             if not len(at):
                 break
@@ -158,17 +203,17 @@ class Pieces:
         ends = [s + size - 1 for s, size, _ in found]
         counts = np.bincount(np.concatenate(ends), minlength=n) if ends else np.zeros(n, np.int64)
         # arcs by how far into its word a place is, so that each step below is one slice
-        order = np.argsort(place.astype(np.int32), kind="stable")
+        order = np.argsort(place.astype(np.uint16 if length.max() <= 1 << 16 else np.int32), kind="stable")
         by_depth = np.cumsum(counts[order]) - counts[order]
         first_deep = np.empty(n, np.int64)
         first_deep[order] = by_depth
         total_arcs = int(counts.sum())
-        start, code, span = np.empty(total_arcs, np.int64), np.empty(total_arcs, np.int64), np.empty(total_arcs, np.uint8)
+        start, code = np.empty(total_arcs, np.int64), np.empty(total_arcs, np.int64)
         filled = np.zeros(n, np.int64)
         for (s, size, c), e in zip(found, ends):
             to = first_deep[e] + filled[e]
             filled[e] += 1
-            start[to], code[to], span[to] = np.where(place[s] > 0, s - 1, n), c, size
+            start[to], code[to] = np.where(place[s] > 0, s - 1, n), c
         plain = code < self.size
         cost = np.empty(total_arcs)
         is_byte = np.zeros(self.size, bool)
@@ -194,77 +239,92 @@ class Pieces:
             chance[a0 + begin + many - 1] = 2.0  # whatever the rounding, the last arc is taken
             a0, n0 = a1, n1
         # word by word for the store
-        first = np.cumsum(counts) - counts
-        back = np.repeat(first_deep - first, counts) + np.arange(total_arcs)
-        nodes_before, arcs_before = len(self.first), len(self.code)
-        self.base, self.length = np.concatenate([self.base, base + nodes_before]), np.concatenate([self.length, length])
-        self.first = np.concatenate([self.first, (first + arcs_before).astype(np.int32)])
-        self.chance = np.concatenate([self.chance, chance[back].astype(np.float32)])
-        self.span, self.code = np.concatenate([self.span, span[back]]), np.concatenate([self.code, code[back].astype(np.int32)])
+        first = np.cumsum(counts) - counts + self.code.n
+        back = np.repeat(first_deep - first, counts) + np.arange(self.code.n, self.code.n + total_arcs)
+        self.start.add(first[base])
+        self.entry.add(first[base + length - 1])
+        self.uses.add(np.zeros(len(words), np.int64))
+        self.chance.add(chance[back])
+        self.code.add(code[back])
+        self.before.add(np.r_[first, -1][start[back]])
 
     def _words(self, words: list[str]) -> np.ndarray:
         """Numbers of the words, learning new ones."""
-        known = self.known
-        try:
-            return np.array([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(self.code) > REMEMBER:
-            self._start_anew()
-            known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        known.update(zip(new, range(len(self.base), len(self.base) + len(new))))
-        self._learn(new)
-        return np.array([known[w] for w in words])
+        if self.code.n > REMEMBER:
+            self._forget()
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn([" " + w for w in self.known.new])
+            self.known.new.clear()
+        self.uses.now += np.bincount(which, minlength=self.uses.n)
+        return which
+
+    def _forget(self) -> None:
+        """Room for new words: those used more than once stay, the most used ones first, up to half of the memory."""
+        words, start, entry, uses = list(self.known), self.start.now, self.entry.now, self.uses.now
+        chance, code, before = self.chance.now, self.code.now, self.before.now
+        many = np.diff(start, append=len(code))
+        order = np.argsort(-uses, kind="stable")
+        keep = np.zeros(len(words), bool)
+        keep[order[(uses[order] > 1) & (np.cumsum(many[order]) <= REMEMBER // 2)]] = True
+        arcs, moved = np.repeat(keep, many), start - (np.cumsum(many * keep) - many * keep)
+        self._start_anew()
+        self.known.update(zip(compress(words, keep.tolist()), range(len(words))))
+        self.start.add((start - moved)[keep])
+        self.entry.add((entry - moved)[keep])
+        self.uses.add(uses[keep] // 2)
+        self.chance.add(chance[arcs])
+        self.code.add(code[arcs])
+        self.before.add(np.maximum(before[arcs] - np.repeat(moved[keep], many[keep]), -1))
 
     def split(self, text: str) -> list[str]:
+        """The words of a text, each without the one space that all begin with (the first one's is put before the text)."""
         if not text:
             return []
-        text = " " + text
-        return _SPACES.findall(text) if "  " in text or text[-1] == " " else [" " + x for x in text[1:].split(" ")]
+        return _SPACES.findall(" " + text) if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, sampled with the numbers of its key."""
-        words, rows, places = [], [], []
+        words: list[str] = []
+        parts: list[tuple[int, int, int]] = []  # of each run of words of one text: the text, the first word's place, how many
         out: list[list[np.ndarray]] = [[] for _ in texts]
 
         def flush() -> None:
             if words:
-                ids, ends = self._block(words, keys[np.array(rows)], np.array(places))
-                row = np.array(rows)
-                for at in (starts := np.flatnonzero(np.r_[True, row[1:] != row[:-1]])).tolist():
-                    k = int(np.searchsorted(starts, at, "right"))
-                    last = int(starts[k]) if k < len(starts) else len(row)
-                    out[int(row[at])].append(ids[ends[at] : ends[last]])
-                words.clear(), rows.clear(), places.clear()
+                row, first, many = np.array(parts).T
+                end = np.cumsum(many)
+                place = np.arange(len(words)) + np.repeat(first - end + many, many)
+                ids, ends = self._block(words, seeds(np.repeat(keys[row], many), place))
+                for k, a, b in zip(row.tolist(), ends[end - many].tolist(), ends[end].tolist()):
+                    out[k].append(ids[a:b])
+                words.clear(), parts.clear()
 
         for i, text in enumerate(texts):
             own = self.split(text)
             for at in range(0, len(own), BLOCK):
                 part = own[at : at + BLOCK]
                 words += part
-                rows += [i] * len(part)
-                places += range(at, at + len(part))
+                parts.append((i, at, len(part)))
                 if len(words) >= BLOCK:
                     flush()
         flush()
-        return [np.concatenate(x) if x else np.array([], np.int32) for x in out]
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.array([], np.int32) for x in out]
 
-    def _block(self, words: list[str], keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, words: list[str], seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and where each word's ids begin."""
-        which = self._words(words)
-        base, at, live = self.base[which] - 1, self.length[which], np.arange(len(words))
-        steps, n_steps = [], np.zeros(len(words), np.int64)
+        which, live = self._words(words), np.arange(len(words))
+        arc, chance, steps, n_steps = self.entry.all[which], self.chance.all, [], np.zeros(len(words), np.int64)
         while len(live):
-            u = uniform(keys[live], places[live], len(steps)).astype(np.float32)
-            arc = self.first[base[live] + at[live]]
-            on = np.arange(len(live))
-            while len(on := on[self.chance[arc[on]] <= u[on]]):
+            u = uniform(seed, len(steps)).astype(np.float32)
+            on = np.flatnonzero(chance[arc] <= u)
+            while len(on):
                 arc[on] += 1
-            steps.append((live, self.code[arc]))
+                on = on[chance[arc[on]] <= u[on]]
+            steps.append((live, self.code.all[arc]))
             n_steps[live] += 1
-            at[live] -= self.span[arc]
-            live = live[at[live] > 0]
+            arc = self.before.all[arc].astype(np.int64)
+            on = np.flatnonzero(arc >= 0)
+            live, arc, seed = live[on], arc[on], seed[on]
         ends = np.r_[0, np.cumsum(n_steps)]
         flat = np.empty(ends[-1], np.int32)
         for k, (live, code) in enumerate(steps):  # sampled from the end: the k-th step is the k-th piece from the back
@@ -282,8 +342,7 @@ class Pieces:
         return flat, ends
 
     def decode(self, ids: np.ndarray) -> str:
-        table = self.bytes
-        return b"".join([table[i] for i in ids.tolist()]).decode()[1:]
+        return b"".join(self.bytes[np.asarray(ids, np.intp)].tolist()).decode()[1:]
 
 
 def pieces(path: str) -> Pieces:
