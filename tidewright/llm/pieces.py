@@ -366,6 +366,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 keys = np.array([xxhash.xxh64_intdigest(x, seed) for x in part["key"]], np.uint64)
                 ids = m.sample(texts, keys)
                 yield pd.DataFrame({"doc_id": part["id"].array, "ids": ids, "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], "lossless": [m.decode(x) == t for x, t in zip(ids, texts)]})
+        m._start_anew()  # the worker stays, and later stages share the executor's memory with it
         release_memory()
 
     rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
