@@ -202,6 +202,23 @@ def test_new_words_do_not_copy_the_known_ones():
     assert peak < 2_000_000
 
 
+def test_new_words_and_a_full_memory_take_little_beside_it(monkeypatch):
+    m, rng, key = pieces.Pieces(PIECES), np.random.default_rng(3), np.array([1], np.uint64)
+    text = " ".join("".join(x) for x in rng.choice(list("abcdefghij"), (30_000, 12)).tolist())
+    tracemalloc.start()
+    want = m.sample([text], key)[0].tolist()
+    now, learning = tracemalloc.get_traced_memory()
+    monkeypatch.setattr(pieces, "REMEMBER", m.code.n)
+    assert m.sample([text], key)[0].tolist() == want
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    m._forget()
+    forgetting = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert learning - now < 30_000_000 and forgetting < 10 * m.code.n
+    assert m.sample([text], key)[0].tolist() == want
+
+
 # Mixing
 
 

@@ -4,6 +4,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -234,6 +235,19 @@ def test_toxicity_against_plain_sums():
         assert abs(z - want) < 1e-4
 
 
+def test_scoring_does_not_copy_what_is_remembered():
+    model, words = toxicity.Classifier(), toxicity.Words()
+    scores, answers = model.score([" ".join(f"w{k}" for k in range(60_000))], words, np.zeros((0, 0), np.float32))
+    held = answers.nbytes
+    want = toxicity.Classifier().score(["w1 new w59999", "", "w7"], toxicity.Words(), np.zeros((0, 0), np.float32))[0]
+    tracemalloc.start()
+    got, answers = model.score(["w1 new w59999", "", "w7"], words, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the resized array may count as new, once
+    assert (got == want).all() and len(answers) == 60_001 and peak < held + 3_000_000
+
+
 def test_training_rows_are_bounded_and_chosen_alike(spark):
     docs = spark.createDataFrame([(k % 50, f"text {k} " * (k % 7), "en") for k in range(200)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k % 50, int(k % 3 == 0)) for k in range(100)] + [(None, 1)], "doc_id long, toxic int")

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def release_memory() -> None:
     """Give freed memory back to the system: a Python worker outlives its task and shares the executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()  # Arrow's buffers are not the C library's
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

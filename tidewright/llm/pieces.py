@@ -32,8 +32,8 @@ from .common import release_memory, small_batches
 
 #: Arcs of lattices remembered by a worker (12 bytes each); when it is full, the words used most often stay.
 REMEMBER = 5_000_000
-#: Words sampled together.
-BLOCK = 60_000
+#: Words sampled together, and letters of new words whose lattices are built together.
+BLOCK, LETTERS = 60_000, 1 << 15
 #: Offset of the rank in Zipf's law, and the power of the weights: larger ones sample closer to the best path.
 OFFSET, POWER = 2.7, 1.0
 
@@ -71,6 +71,18 @@ class Numbers(dict):
         return number
 
 
+def parts(words: list[str], letters: int) -> Iterator[list[str]]:
+    """The words in runs of at most so many letters, or of one word."""
+    begin = held = 0
+    for at, word in enumerate(words):
+        held += len(word)
+        if held > letters and at > begin:
+            yield words[begin:at]
+            begin, held = at, len(word)
+    if words:
+        yield words[begin:]
+
+
 class Store:
     """An array that grows at its end.  Its room doubles, so what it holds is not copied for every block of words."""
 
@@ -84,6 +96,12 @@ class Store:
         self.all[self.n : upto] = more
         self.n = upto
 
+    def keep(self, which: np.ndarray) -> None:
+        """Only these stay, in the room there is."""
+        kept = self.now[which]
+        self.n = len(kept)
+        self.now = kept
+
     @property
     def now(self) -> np.ndarray:
         return self.all[: self.n]
@@ -254,28 +272,33 @@ class Pieces:
             self._forget()
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if self.known.new:
-            self._learn([" " + w for w in self.known.new])
+            for part in parts(self.known.new, LETTERS):  # a lattice in the making takes a multiple of what is remembered of it
+                self._learn([" " + w for w in part])
             self.known.new.clear()
         self.uses.now += np.bincount(which, minlength=self.uses.n)
         return which
 
     def _forget(self) -> None:
         """Room for new words: those used more than once stay, the most used ones first, up to half of the memory."""
-        words, start, entry, uses = list(self.known), self.start.now, self.entry.now, self.uses.now
-        chance, code, before = self.chance.now, self.code.now, self.before.now
-        many = np.diff(start, append=len(code))
+        words, uses = list(self.known), self.uses.now
+        many = np.diff(self.start.now, append=self.code.n)
         order = np.argsort(-uses, kind="stable")
         keep = np.zeros(len(words), bool)
         keep[order[(uses[order] > 1) & (np.cumsum(many[order]) <= REMEMBER // 2)]] = True
-        arcs, moved = np.repeat(keep, many), start - (np.cumsum(many * keep) - many * keep)
-        self._start_anew()
+        moved = self.start.now - (np.cumsum(many * keep) - many * keep)
+        self.known = Numbers()
         self.known.update(zip(compress(words, keep.tolist()), range(len(words))))
-        self.start.add((start - moved)[keep])
-        self.entry.add((entry - moved)[keep])
-        self.uses.add(uses[keep] // 2)
-        self.chance.add(chance[arcs])
-        self.code.add(code[arcs])
-        self.before.add(np.maximum(before[arcs] - np.repeat(moved[keep], many[keep]), -1))
+        del words
+        self.start.now -= moved
+        self.entry.now -= moved
+        self.uses.now //= 2
+        for of_word in (self.start, self.entry, self.uses):
+            of_word.keep(keep)
+        arcs = np.repeat(keep, many)
+        for of_arc in (self.chance, self.code, self.before):  # one after the other and in place: the memory is full
+            of_arc.keep(arcs)
+        self.before.now -= np.repeat(moved[keep].astype(np.int32), many[keep])
+        self.before.now = np.maximum(self.before.now, -1)
 
     def split(self, text: str) -> list[str]:
         """The words of a text, each without the one space that all begin with (the first one's is put before the text)."""
@@ -366,6 +389,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 keys = np.array([xxhash.xxh64_intdigest(x, seed) for x in part["key"]], np.uint64)
                 ids = m.sample(texts, keys)
                 yield pd.DataFrame({"doc_id": part["id"].array, "ids": ids, "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], "lossless": [m.decode(x) == t for x, t in zip(ids, texts)]})
+            release_memory()  # what a batch leaves free in pieces would add to the lattices
         m._start_anew()  # the worker stays, and later stages share the executor's memory with it
         release_memory()
 

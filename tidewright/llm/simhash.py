@@ -593,7 +593,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signer = Signer(width)
         for texts in batches:
             yield pd.Series(list(signer.sign(texts.tolist())), dtype=object)
-        release_memory()
+            release_memory()
 
     text, most = F.coalesce(F.col(text_col), F.lit("")), bits_at(similarity)
     docs = small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))

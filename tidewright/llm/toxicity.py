@@ -79,8 +79,8 @@ class Words:
                     self.flat.extend(parts(w))
             return np.array([row[w] for w in words], np.int32)
 
-    def parts(self, since: int = 0) -> np.ndarray:
-        return np.array(self.flat[since * PARTS :], np.int32).reshape(-1, PARTS)
+    def parts(self, since: int = 0, upto: int | None = None) -> np.ndarray:
+        return np.array(self.flat[since * PARTS : (len(self) if upto is None else upto) * PARTS], np.int32).reshape(-1, PARTS)
 
 
 def _vectors(table: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -150,8 +150,7 @@ class Classifier:
     def logits(self, docs: list[np.ndarray], answers: np.ndarray) -> np.ndarray:
         """The outputs for documents, given as rows of answers; in double precision and, for a document, in a fixed order."""
         ahead, n_filters = max(WIDTHS) - 1, len(WIDTHS) * FILTERS
-        none = len(answers)  # a row that answers with minus infinity closes each document, so no window crosses its end
-        answers = np.concatenate([answers, np.full((1, answers.shape[1]), -np.inf, np.float32)])
+        none = len(answers)  # stands for a word that answers with minus infinity and closes each document, so no window crosses its end
         end = np.full(ahead, none, np.int32)
         flat = np.concatenate([x for d in docs for x in (d, end)])
         size = np.array([len(d) + ahead for d in docs])
@@ -159,7 +158,9 @@ class Classifier:
         best = np.full((len(docs), n_filters), -np.inf, np.float32)
         for at in range(0, len(flat), BLOCK):  # a bounded block of the words at a time, however long a text is
             to = min(at + BLOCK, len(flat))
-            own = answers[np.r_[flat[at : to + ahead], end][: to - at + ahead]]
+            words = np.r_[flat[at : to + ahead], end][: to - at + ahead]
+            own = np.full((len(words), answers.shape[1]), -np.inf, np.float32)
+            own[words < none] = answers[words[words < none]]
             first, last = np.searchsorted(begin, at, "right") - 1, np.searchsorted(begin, to)
             cuts, column = np.maximum(begin[first:last], at) - at, 0
             for k, w in enumerate(WIDTHS):
@@ -291,11 +292,16 @@ class Classifier:
                 self.thresholds[lang] = best(rows)
 
     def score(self, texts: list[str], words: Words, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of whole texts; answers grows with the words met."""
+        """Scores of whole texts; answers grows in place with the words met."""
         docs = [words.rows(t) for t in texts]
-        if len(words) > len(answers):
-            new = self.answers(words.parts(len(answers)))
-            answers = np.concatenate([answers, new]) if len(answers) else new
+        have = len(answers)
+        for at in range(have, len(words), BLOCK):  # a bounded block of the new words at a time
+            new = self.answers(words.parts(at, min(at + BLOCK, len(words))))
+            if not at:
+                answers = np.zeros((0, new.shape[1]), np.float32)
+            if at == have:
+                answers.resize((len(words), new.shape[1]), refcheck=False)  # not copied, as the two would not both fit well
+            answers[at : at + BLOCK] = new
         if self.constant is not None or not docs:
             return np.full(len(texts), self.constant or 0.0), answers
         if not len(answers):  # texts without a single word
@@ -385,6 +391,7 @@ def scorer(model: Classifier) -> Callable[[pd.Series], pd.Series]:
                 s, answers = model.score([x or "" for x in b.iloc[at : at + TEXTS]], words, answers)
                 out.append(s)
             yield pd.Series(np.concatenate(out) if out else np.array([], float))
+            release_memory()
         del words, answers
         release_memory()
 
