@@ -116,6 +116,53 @@ def test_encoder_equals_the_library_on_odd_texts(monkeypatch):
         assert np.frombuffer(e.encode(text), "<u4").tolist() + [0] == plain_ids(text)
 
 
+def test_cuts_keep_the_ids_of_the_library(monkeypatch):
+    """White space of all kinds, contractions, letters of several scripts, marks and digits side by side; many texts at once."""
+    import random
+
+    monkeypatch.setattr(tokens, "AT_ONCE", 7)
+    e, rng = tokens.Encoder(BPE), random.Random(5)
+    letters = list("abst 12.,'\"(_\n\t\r    ") + ["'re", "'ll", "é", "×", "÷", "ß", "ŀ", "ȳ", "Ж", "҂", "ό", "日", "ぁ", "、", "’", "—", "\u0301", "½", "ª", "😀", "\xa0", "\x85", "\x0b", "\x1c", "\x00", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b"]
+    for most in (3, 6, 30):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, most))) for _ in range(4_000)]
+        got = e.encode_many(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in library().encode_batch(texts, add_special_tokens=False)]
+
+
+def test_stems_and_marks_are_encoded_once(monkeypatch):
+    """Words that differ by the marks, digits and line breaks around them cost the library no more than their stems."""
+    e = tokens.Encoder(BPE)
+    stems = [f"{a}{b}{c}" for a in "klm" for b in "aeiouéñ" for c in "prst"]
+    texts = [" ".join(f"{x}{s}{y}" for s in stems for y in (".", ",", "!?", ".\nIn", "'s", "7")) for x in ("", "(", '"', "a-", "3")]
+    given = []
+    monkeypatch.setattr(e, "_raw", lambda some, raw=e._raw: given.extend(some) or raw(some))
+    assert [np.frombuffer(x, "<u4").tolist() + [0] for x in e.encode_many(texts)] == [plain_ids(t) for t in texts]
+    assert len(e.known) < 3 * len(stems) and sum(map(len, given)) < 3 * len(" ".join(stems))
+    given.clear()
+    e.encode_many(texts[::-1])
+    assert len(given) <= 1
+
+
+def test_what_is_remembered_stays_small(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBER", 100)
+    e = tokens.Encoder(BPE)
+    for k in range(40):
+        text = " ".join(["in", "the", "word", *(f"{a}{b}" for a in "klmn" for b in (f"x{k}", f"y{k}"))]) + " " + "zq" * 3_000
+        assert np.frombuffer(e.encode(text), "<u4").tolist() + [0] == plain_ids(text)
+        assert len(e.known) == e.many.n == e.begin.n == e.met.n <= 100 and e.ids.n <= 16 * 100
+    assert " the" in e.known and " word" in e.known
+
+
+def test_a_vocabulary_with_a_normalizer_is_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(BPE)
+    other.normalizer = normalizers.Lowercase()
+    other.save(str(tmp_path / "other.json"))
+    got = tokens.Encoder(str(tmp_path / "other.json")).encode_many(["Hello World, HELLO", ""])
+    assert np.frombuffer(got[0], "<u4").tolist() == library().encode("hello world, hello", add_special_tokens=False).ids and got[1] == b""
+
+
 # SentencePiece
 
 ODD = ["", " ", "  a  b ", "x\n\ty▁z 日本語 😀\U0010ffff", "a" * 300 + " b", "▁▁ ▁", "Hello world", "international understanding of extraordinary circumstances " * 9]

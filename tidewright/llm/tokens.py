@@ -18,12 +18,13 @@ text, and may fill several shards; null ids come first; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,31 +34,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, release_memory, small_batches, write_table
+from .pieces import Store
 
 DOCS_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids in one frame at most.
 FRAME_IDS = 1 << 24
-#: Words as they stand in the text, and their stems (without punctuation), remembered by an encoder, in each of two halves;
-#: the older half goes when the newer one is full.
-REMEMBER, STEMS = 500_000, 600_000
+#: Pieces of text remembered by an encoder, of `PIECE_IDS` ids on average at most; half of them, those met last, stay when it is full.
+REMEMBER, PIECE_IDS = 700_000, 16
+#: New pieces that the library gets at once, which holds many times their text.
+AT_ONCE = 10_000
 END_ID = 0
-#: Characters of texts that are encoded together, bytes of text in a shard, and bytes of ids that a reader holds.
-BATCH_CHARS, SHARD_BYTES, READ_BYTES = 3_000_000, 256 << 20, 8 << 20
+#: Bytes of text in a shard, and bytes of ids that a reader holds.
+SHARD_BYTES, READ_BYTES = 256 << 20, 8 << 20
 # Names that Spark's readers give to schemes of object stores.
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
-_TWO_SPACES, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[str, Encoder] = {}
 
+# Classes of bytes: what is known of the character that a byte belongs to.
+_OTHER, _LETTER, _DIGIT, _MARK, _SPACE, _BREAK, _QUOTE, _WIDE = range(8)  # _WIDE: no white space, else unknown
+
+
+def _class_tables() -> tuple[bytes, bytes]:
+    """The class of each byte, and for two neighbours (8 * class + class): 1 a piece ends between them, 2 one ends before both."""
+    kind = np.full(256, _OTHER, np.uint8)
+    for c in range(33, 127):
+        kind[c] = _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _QUOTE if chr(c) == "'" else _MARK
+    kind[32], kind[9:14], kind[128:] = _SPACE, _BREAK, _WIDE
+    pair = np.zeros((8, 8), np.uint8)
+    dark = [_LETTER, _DIGIT, _MARK, _QUOTE, _WIDE]
+    for x in dark:
+        pair[x, [_SPACE, _BREAK]] = 1
+        pair[_SPACE, x], pair[_BREAK, x] = 2, 3
+    for x in (_LETTER, _DIGIT):
+        pair[x, [_MARK, _QUOTE]] = 1
+        pair[_MARK, x] = 1
+    pair[_LETTER, _DIGIT] = pair[_DIGIT, _LETTER] = pair[_QUOTE, _DIGIT] = 1  # a letter after ' may belong to it
+    return kind.tobytes(), pair.tobytes().ljust(256, b"\0")
+
+
+_KIND, _PAIR = _class_tables()
+
+
+def _pieces(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces of the texts (UTF-8, one after another, none empty) begin: a place is given only if the pre-tokenizer surely
+    parts the text there.  That is before white space that ends a word; before the last of several white spaces if a word follows,
+    and after it too if it is no space; between letters, digits and punctuation, but for what may be an English contraction."""
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_KIND)), np.uint8)
+    wide = np.flatnonzero(data >= 0xC2)  # first bytes of longer characters
+    if len(wide):
+        lead, second = data[wide], data[wide + 1]
+        letter = ((lead >= 0xC3) & (lead <= 0xC8) | (lead == 0xD0) | (lead == 0xD1)) & ~((lead == 0xC3) & ((second == 0x97) | (second == 0xB7)))
+        at = wide[letter]  # Latin and Cyrillic letters, all of two bytes
+        kind[at] = kind[at + 1] = _LETTER
+        blank = wide[(lead == 0xC2) & ((second == 0x85) | (second == 0xA0))]
+        kind[blank] = kind[blank + 1] = _OTHER
+        at = wide[(lead == 0xE1) & (second == 0x9A) | (lead == 0xE2) & ((second == 0x80) | (second == 0x81)) | (lead == 0xE3) & (second == 0x80)]
+        for k in range(3):  # some of these are white space
+            kind[at + k] = _OTHER
+    pair = kind[:-1] * 8
+    pair += kind[1:]
+    pair[starts[1:] - 1] = 0
+    ends = np.frombuffer(pair.tobytes().translate(_PAIR), np.uint8)
+    begins = np.zeros(len(data), np.uint8)
+    begins[1:] = ends & 1
+    begins[:-1] |= ends >> 1
+    begins[starts] = 1
+    return np.flatnonzero(begins)
+
 
 class Encoder:
     """Byte-level BPE ids of whole texts by the tokenizers library.
 
-    The pre-tokenizer always starts a new piece at a single space between two other characters, so the text is cut
-    there and a piece already seen is not encoded again.  New pieces are encoded as one text; the ids' byte lengths tell
-    where each piece ends.  A text that holds the string of an added token (an end mark, say) goes to the library as a whole,
-    which reads that string as the token.
+    Texts are cut where the library's byte-level pre-tokenizer surely cuts them, and a piece already seen is not encoded again.  New
+    pieces are encoded as one text; the ids' byte lengths tell where each piece ends.  A text that holds the string of an added
+    token (an end mark, say) goes to the library as a whole, which reads that string as the token; so do all texts of a
+    vocabulary with another pre-tokenizer or with a normalizer.
     """
 
     def __init__(self, path: str):
@@ -65,151 +117,127 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
-        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
+        self.tokenizer.no_padding()
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        settings = json.loads(self.tokenizer.to_str())
+        first = settings["pre_tokenizer"] or {}
+        self.cuts = settings["normalizer"] is None and first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # byte-level: a character of a token's string stands for one byte
             self.length[i] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.older_stems: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}  # words and punctuation without a space before them
-        self.line_break = self._raw("\n")
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _joined(self, words: list[str], mark: str) -> dict[str, bytes]:
-        """The ids of each word: after a space (mark " "), or alone (mark "\n", which is a piece of its own)."""
-        if not words:
-            return {}
-        ids = np.array(self.tokenizer.encode_batch_fast([mark + mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(self.length[ids])
-        sizes = np.array([len(w) if w.isascii() else len(w.encode()) for w in words])
-        want = np.cumsum(sizes + 1)
-        to = np.searchsorted(ends, want) + 1
-        begin = np.r_[0, to[:-1]] if mark == " " else np.searchsorted(ends, want - sizes) + 1
-        if ends[-1] != want[-1] or (ends[to - 1] != want).any():
-            raise ValueError("the vocabulary is not byte-level")
-        raw = ids.tobytes()
-        return {w: raw[x:y] for w, x, y in zip(words, (4 * begin).tolist(), (4 * to).tolist())}
-
-    def _new(self, words: list[str], odd: bool) -> dict[str, bytes]:
-        """The ids of each word after a space.  A line break between other characters is a piece of its own, and so is the
-        punctuation at the end of a word, so words are put together from their parts.  odd: some words may begin or end
-        with white space or hold two such characters in a row."""
-        out: dict[str, bytes] = {}
-        cut: list[tuple[str, list[str]]] = []  # words with their stem and what follows it
-        spaced, bare, line_break = [], set(), "\n"
-
-        def split(line: str) -> tuple[str, str]:
-            stem = line.rstrip(_PUNCTUATION)
-            return (stem, line[len(stem) :]) if stem and stem[-1].isalnum() else (line, "")
-
+        self.batch = 0
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.known: dict[str, int] = {}  # the number of a piece; its ids are ids[begin : begin + many], it was last met in batch `met`
+        self.ids, self.begin, self.many, self.met = Store(np.uint32), Store(np.int64), Store(np.int32), Store(np.int32)
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[str], ids: np.ndarray, many: np.ndarray, met: np.ndarray | None = None) -> None:
+        """Number pieces and keep their ids."""
+        self.known.update(zip(words, range(self.many.n, self.many.n + len(words))))
+        self.begin.add(self.ids.n + np.cumsum(many, dtype=np.int64) - many)
+        self.many.add(many)
+        self.met.add(np.full(len(words), self.batch) if met is None else met)
+        self.ids.add(ids)
+
+    def _joined(self, words: list[str], mark: str) -> None:
+        """Learn pieces that neither begin nor end with white space, except for a space before them (mark "") or none (mark "\n",
+        which is a piece of its own)."""
+        for k in range(0, len(words), AT_ONCE):
+            some = words[k : k + AT_ONCE]
+            (ids,) = self._raw([mark + mark.join(some)])
+            ends = np.cumsum(self.length[ids])
+            want = np.cumsum([len(w if w.isascii() else w.encode()) + len(mark) for w in some])
+            to = np.searchsorted(ends, want) + 1
+            if ends[-1] != want[-1] or (ends[to - 1] != want).any():
+                raise ValueError("the vocabulary is not byte-level")
+            many = np.diff(to, prepend=0)
+            if mark:
+                marks = to - many
+                if (self.length[ids[marks]] != 1).any():
+                    raise ValueError("the vocabulary is not byte-level")
+                ids, many = np.delete(ids, marks), many - 1
+            self._add(some, ids, many)
+
+    def _learn(self, words: list[str]) -> None:
+        spaced, bare, odd = [], [], []
         for w in words:
-            if not w or odd and (w[0].isspace() or w[-1].isspace() or _TWO_SPACES.search(w)):
-                out[w] = self._raw(" " + w)
-                continue
-            if line_break not in w:
-                stem = w.rstrip(_PUNCTUATION)
-                if len(stem) == len(w) or not stem or not stem[-1].isalnum():
-                    spaced.append(w)
-                else:
-                    tail = w[len(stem) :]
-                    spaced.append(stem)
-                    bare.add(tail)
-                    cut.append((w, [stem, tail]))
-                continue
-            lines = w.split(line_break)
-            stem, tail = split(lines[0])
-            parts = [stem, tail] if tail else [stem]
-            for line in lines[1:]:
-                parts.append(line_break)
-                parts += filter(None, split(line))
-            spaced.append(stem)
-            bare.update(parts[1:])
-            cut.append((w, parts))
-        alone, older = self.alone, self.older_stems
-        if len(self.stems) > STEMS:
-            self.stems, self.older_stems, older = {}, self.stems, self.stems
-        stems, new = self.stems, []
-        for x in dict.fromkeys(spaced):
-            if (ids := stems.get(x)) is None:
-                if (ids := older.get(x)) is None:
-                    new.append(x)
-                    continue
-                stems[x] = ids
-            out[x] = ids
-        made = self._joined(new, " ")
-        out |= made
-        stems.update((x, y) for x, y in made.items() if len(x) <= 64)
-        if len(alone) > REMEMBER // 2:
-            alone.clear()
-        alone |= self._joined([x for x in bare if x not in alone and x != line_break], line_break)
-        alone[line_break] = self.line_break
-        for w, parts in cut:
-            out[w] = out[parts[0]] + b"".join([alone[x] for x in parts[1:]])
-        return out
+            if w[-1].isspace() or w[0].isspace() and (w[0] != " " or w[1].isspace()):
+                odd.append(w)
+            elif w[0] == " ":
+                spaced.append(w)
+            else:
+                bare.append(w)
+        self._joined(spaced, "")
+        self._joined(bare, "\n")
+        if odd:
+            made = self._raw(odd)
+            self._add(odd, np.concatenate(made), np.array([len(x) for x in made]))
+
+    def _forget(self) -> None:
+        """Keep the pieces met last, half of what may be remembered, and none that is long."""
+        begin, many, met = self.begin.now, self.many.now, self.met.now
+        half = REMEMBER // 2
+        keep = (many <= 64) & (met > (np.partition(met, -half - 1)[-half - 1] if len(met) > half else -1))
+        words = [w for w, stays in zip(self.known, keep.tolist()) if stays]  # they stand in the order of their numbers
+        ids = self.ids.now[_spans(begin[keep], many[keep])]
+        self._start_anew()
+        self._add(words, ids, many[keep], met[keep])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         return self.encode_many([text])[0]
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text.  The texts are cut and their words numbered in Arrow; only distinct words are looked up."""
+    def encode_many(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text.  Texts are cut and their pieces numbered in numpy and Arrow; only distinct pieces are looked up."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string())
+        whole = np.full(len(texts), not self.cuts)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(whole).tolist()
         out = [b""] * len(texts)
-        plain = []
-        for i, text in enumerate(texts):
-            if self.added and self.added.search(text):
-                out[i] = self._raw(text)
-            elif _TWO_SPACES.search(text):
-                head, *rest = _CUT.split(text)
-                found = self._find(list(dict.fromkeys(rest)), True)
-                ids = dict(zip(dict.fromkeys(rest), found))
-                out[i] = self._raw(head) + b"".join([ids[x] for x in rest])
-            elif text:
-                plain.append(i)
-        if not plain:
+        for i, ids in zip(at, self._raw([texts[i].as_py() for i in at])):
+            out[i] = ids.tobytes()
+        plain = np.flatnonzero(~whole & (pc.binary_length(texts).to_numpy() > 0))
+        if not len(plain):
             return out
-        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        heads = [words[c] for c in codes[ends[:-1]].tolist()]  # the first word of a text has no space before it
-        known = self._find(words, False)
-        known += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        codes[ends[:-1]] = len(words) + np.arange(len(plain))
-        many = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        begin = np.cumsum(many) - many
-        ids = np.frombuffer(b"".join(known), "<u4")
-        n = many[codes]
-        stop = np.cumsum(n)
-        ids = ids[np.arange(stop[-1]) + np.repeat(begin[codes] - stop + n, n)]
-        cut = np.r_[0, stop][ends].tolist()
-        for i, x, y in zip(plain, cut, cut[1:]):
-            out[i] = ids[x:y].tobytes()
+        texts = texts.take(pa.array(plain))
+        starts, data = np.frombuffer(texts.buffers()[1], np.int64)[: len(plain) + 1], texts.buffers()[2]
+        pieces = _pieces(np.frombuffer(data, np.uint8)[: starts[-1]], starts[:-1])
+        coded = pa.LargeStringArray.from_buffers(len(pieces), pa.py_buffer(np.append(pieces, starts[-1])), data).dictionary_encode()
+        numbers = self._find(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        many = self.many.now[numbers].astype(np.int64)
+        ids = self.ids.now[_spans(self.begin.now[numbers], many)].astype("<u4", copy=False)
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(many), [None, pa.py_buffer(4 * np.r_[0, np.cumsum(many)]), pa.py_buffer(ids)]).take(coded.indices)
+        cut = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(pieces, starts)].tolist()
+        raw = memoryview(ids.buffers()[2])
+        for i, x, y in zip(plain.tolist(), cut, cut[1:]):
+            out[i] = raw[x:y].tobytes()
+        if len(self.known) > REMEMBER or self.ids.n > PIECE_IDS * REMEMBER:
+            self._forget()
         return out
 
-    def _find(self, words: list[str], odd: bool) -> list[bytes]:
-        """The ids of each word after a space, for distinct words."""
-        out = list(map(self.known.get, words))
-        if None in out:
-            at = [k for k, x in enumerate(out) if x is None]
-            older, new = self.older, []
-            for k in at:
-                if (ids := older.get(words[k])) is None:
-                    new.append(words[k])
-                out[k] = ids
-            made = self._new(new, odd)
-            for k in at:
-                if out[k] is None:
-                    out[k] = made[words[k]]
-            self.known.update((words[k], out[k]) for k in at if len(words[k]) <= 64)
-            if len(self.known) > REMEMBER:  # the words in use come over from the older half as they are met
-                self.older, self.known = self.known, {}
-        return out
+    def _find(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces."""
+        self.batch += 1
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            words = [words[k] for k in new.tolist()]
+            self._learn(words)
+            found[new] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.met.now[found] = self.batch
+        return found
+
+
+def _spans(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, many of each, one after another."""
+    stop = np.cumsum(many)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - stop + many, many)
 
 
 def encoder(path: str) -> Encoder:
@@ -303,45 +331,39 @@ def write_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     end = np.array([end_id], "<u4").tobytes()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), encoder(vocabulary)
-        first = next((b for b in batches if len(b)), None)
+        first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
 
         ends: list[int] = []
 
         def docs():
-            for b in (x for y in ([first], batches) for x in y):
-                known, ids, texts = b["id"].notna().tolist(), b["id"].tolist(), b["text"].tolist()
-                own = [int(x) for x, k in zip(ids, known) if k]
+            for b in chain([first], batches):
+                ids = b.column("id").to_pylist()
+                own = [x for x in ids if x is not None]
                 ends[:] = [min(ends + own), max(ends + own)] if ends or own else []
-                at = 0
-                while at < len(texts):
-                    to, size = at, 0
-                    while to < len(texts) and size < BATCH_CHARS:
-                        size += len(texts[to])
-                        to += 1
-                    for k, raw in zip(range(at, to), enc.encode_many(texts[at:to])):
-                        yield int(ids[k]) if known[k] else None, raw + end
-                    at = to
+                for doc_id, raw in zip(ids, enc.encode_many(b.column("text"))):
+                    yield doc_id, raw + end
 
         path = f"{folder}/{part:05d}-{uuid.uuid4().hex}.zst"
         with _open(path, "w") as out:
             n, total = write_shard(out, docs())
         release_memory()
         low, high = ends or (None, None)
-        yield pd.DataFrame({"shard": [part], "path": [path], "n_docs": [n], "n_tokens": [total], "low": pd.array([low], "Int64"), "high": pd.array([high], "Int64")})
+        yield pa.RecordBatch.from_pylist([{"shard": part, "path": path, "n_docs": n, "n_tokens": total, "low": low, "high": high}], pa.schema(fields))
 
+    fields = [("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
     rows = small_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hash_ = F.xxhash64("text")
     repeats = df.groupBy(F.col(id_col)).count().agg(F.max("count"), F.sum("count")).first()
     hot = repeats[0] is not None and 2 * repeats[0] * shards > repeats[1]  # an id of half a shard or more is parted by its texts
     ranges = [F.col("id"), hash_] if hot else [F.col("id")]  # else finding the ranges reads no text
     ranged = rows.repartitionByRange(shards, *ranges).sortWithinPartitions(F.col("id"), hash_, F.col("text"))
-    done = write_table(ranged.mapInPandas(write, "shard int, path string, n_docs long, n_tokens long, low long, high long"), "manifest")
+    done = write_table(ranged.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long, low long, high long"), "manifest")
     before, out = 0, []
     for shard, path, n, total, low, high in sorted(done.collect()):  # one row per shard file
         out.append((shard, path, n, total, low, high, before))
