@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.errors import ConflictingWrite, LoadError, UnknownDataset
+from tidewright.queries import QUERIES
 from tidewright.sources import readers, workbook
 from tidewright.sources.catalogue import Catalogue
 
@@ -127,3 +128,18 @@ def test_durable_names_of_the_readers(spark):
     readers.put(spark, "kept", spark.range(2))  # the session's own name comes first
     assert readers.resolve(spark, "kept").count() == 2 and readers.drop(spark, "kept") and readers.resolve(spark, "kept").count() == 4
     assert readers.drop(spark, "kept") and not readers.drop(spark, "kept")
+
+
+def test_csv_keeps_microseconds_and_white_space(spark, tmp_path):
+    at = dt.datetime(2024, 3, 10, 2, 30, 0, 1)
+    made = [(k, at + dt.timedelta(microseconds=k), at.replace(tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=k), text) for k, text in enumerate((" a ", "b\t", "c,d", 'e "f"'))]
+    df = spark.createDataFrame(made, "k long, ntz timestamp_ntz, ltz timestamp, s string")
+    readers.write_csv(df, str(tmp_path / "x.csv"))
+    assert rows_of(readers.load_csv(spark, str(tmp_path / "x.csv"), df.schema)) == rows_of(df)
+
+
+def test_csv_round_trip_within_a_millisecond(spark, tmp_path):
+    """Rows of one type a microsecond apart are rows of their own."""
+    events = spark.range(2000).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 0.000001)").alias("ts"), F.concat(F.lit("t"), F.col("id") % 2).alias("event_type"), (F.col("id") / 100).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert rows_of(QUERIES["csv_round_trip"](spark, str(tmp_path))) == [("t0", 1000, 9990.0), ("t1", 1000, 10000.0)]

@@ -530,8 +530,9 @@ def service_upload(spark, d):
 def csv_round_trip(spark, d):
     """A table written as CSV and read back by a schema, its columns found by their names."""
     path = f"{shared_folder(spark)}/tidewright/events-{uuid.uuid4().hex}.csv"
-    write_csv(table(spark, d, "events").select("event_id", "ts", "event_type", "value"), path)
-    df = load_csv(spark, path, "event_id long, ts timestamp, event_type string, value double")
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    write_csv(rows, path)
+    df = load_csv(spark, path, rows.schema)
     date, target, _ = infer_columns(df, date_col="ts", strategy="name")
     return clean.preprocess(df, date, target, "event_type", "event_id").groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.sum(F.round("y", 2).cast("decimal(18,2)")).cast("double"), 2).alias("total"))
 

@@ -117,8 +117,13 @@ def business_demand(spark: SparkSession, n_days: int = 1095, start: str = "2021-
     return out.select("date", "target") if n_series == 1 else out.select(F.concat(F.lit("series_"), "s").alias("series_id"), "date", "target")
 
 
+#: Spark's own formats of CSV end at the millisecond, and its writer trims texts.
+AS_IT_IS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+    """A CSV file with a header; times keep their microseconds and texts the white space at their ends."""
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(header=True, **AS_IT_IS).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
