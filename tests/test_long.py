@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import explore, features, halo, quantiles
+from tidewright.oracle import ORACLE_SQL
+from tidewright.queries import QUERIES
 from tidewright.series import with_position
 
 START = dt.datetime(2024, 1, 1)
@@ -48,6 +50,28 @@ def test_other_windows_in_blocks(long):
     same(explore.rolling_anomalies(long, rows=33), explore.rolling_anomalies(long))
 
 
+def test_means_between_two_rounded_values(spark, tmp_path):
+    """Of 32 or 64 cents a mean can end in a 5 after the last place; of equal sums of seven a ratio can."""
+    duckdb = pytest.importorskip("duckdb")
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        cents = rng.integers(0, 9000, 400) if seed % 2 else 16 * rng.integers(1, 40, 400)
+        rows = [(k, START + dt.timedelta(seconds=k), float(v) / 100) for k, v in enumerate(cents)]
+        at = tmp_path / f"{seed}"
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(f"{at}/events.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view events as select * from '{at}/events.parquet/*.parquet'")
+        have = con.execute(f"select * from ({ORACLE_SQL['long_features']}) order by ts")
+        columns = [c[0] for c in have.description]
+        assert [tuple(r) for r in QUERIES["long_features"](spark, str(at)).orderBy("ts").select(*columns).collect()] == have.fetchall()
+
+
+@pytest.mark.parametrize("rows", [1, 5, 64])
+def test_wide_means_with_nulls_in_blocks(spark, long, rows):
+    gaps = long.withColumn("y", F.when(F.hash("ts") % 3 != 0, F.col("y")))
+    same(features.rolling(gaps, [15, 16, 17, 33, 90], rows=rows), features.rolling(gaps, [15, 16, 17, 33, 90]))
+
+
 def test_rows_after(long):
     made = lambda df, order: df.withColumn("next", F.sum("y").over(order.rowsBetween(0, 9)))
     same(halo.windows(long, made, 0, 9, rows=4), halo.windows(long, made, 0, 9))

@@ -70,6 +70,11 @@ def _r(*columns: str, digits: int = 4) -> list[Column]:
     return [F.round(c, digits).alias(c) for c in columns]
 
 
+def _as_sql(*columns: str, digits: int) -> list[Column]:
+    """Rounded by way of a product in double precision, as the SQL does; F.round takes the shortest decimal form of a number."""
+    return [(F.round(F.col(c) * 10.0**digits) / 10.0**digits).alias(c) for c in columns]
+
+
 def series_build(spark, d):
     return orders_by_priority(spark, d).select("series_id", "ts", "y")
 
@@ -232,7 +237,7 @@ def long_rolling(spark, d):
 
 def long_features(spark, d):
     out = features.feature_frame(events_series(spark, d), "D", lags=[1, 7, 365], windows=[7, 90], calendar=False, rows=LONG_ROWS)
-    return out.select("series_id", "ts", "lag_1", "lag_7", "lag_365", *_r("rolling_mean_7", "rolling_mean_90", "momentum", digits=6))
+    return out.select("series_id", "ts", "lag_1", "lag_7", "lag_365", *_as_sql("rolling_mean_7", "rolling_mean_90", "momentum", digits=6))
 
 
 def long_rolling_mad(spark, d):
