@@ -1,9 +1,11 @@
 import functools
 import io
+import re
 import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,3 +423,14 @@ def test_mix_edge_cases(spark):
     same = df.where("doc_id = 1").unionByName(df.where("doc_id = 1"))
     out = mixing.plan_mix(same).collect()
     assert len(out) == 2 and out[0] == out[1]
+
+
+def test_words_are_counted_in_batches(spark):
+    """No string of each word is made, and the mix counts the words of each text once a pass."""
+    odd = ["", " ", "a", " a", "a ", "a\tb\nc\x0bd\x0ce\rf", "\u00a0 \u2003x \x1c\x85", "\U0001f600 \U0001f600", None, "\r\n", "word " * 50_000, "a", "\x00 \x08"]
+    df = spark.createDataFrame([(k, x, f"s{k % 3}") for k, x in enumerate(odd)], "doc_id long, text string, source string")
+    want = {k: len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for k, x in enumerate(odd)}
+    assert {r["doc_id"]: r["size"] for r in mixing.plan_mix(df.coalesce(1)).collect()} == want
+    assert mixing.count_words(pa.array(["x", "b c", None, " d"])[1:]).to_pylist() == [2, 0, 1] and mixing.count_words(pa.array([], "string")).to_pylist() == []
+    plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and len(re.findall("ArrowEvalPython", plan)) == 1

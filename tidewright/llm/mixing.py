@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pareto order sampling, in DataFrame functions.
+"""Mixing sources to target weights by Pareto order sampling, in DataFrame functions but for the count of words.
 
 Each source gets a target number of words: its weight's share of all words, at most `cap` times what it has, the excess
 reshared by weight.  A document of a source is expected e = min(cap, c * g) times, where g grows gently with the bits of
@@ -24,10 +24,12 @@ numbers are hashes of id and seed, so reruns agree in any partitioning.  `mix` k
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused, write_table
+from .common import small_batches, unused, write_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -39,9 +41,28 @@ PHASES = 3
 SALTS = 16
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def count_words(texts: pa.Array) -> pa.Array:
+    """Of each text of a batch: bytes that are no white space, with white space or the text's start before them.  In UTF-8 a byte
+    below 128 is a character."""
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    word = ~_SPACE[raw]
+    starts = word.copy()
+    starts[1:] &= ~word[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    starts[first] = word[first]
+    return pa.array(np.diff(np.searchsorted(np.flatnonzero(starts), at)), pa.int64())
+
+
 def size_of(text: Column) -> Column:
-    """Words of a text: runs of anything but ASCII white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words of a text: runs of anything but ASCII white space; counted a batch at a time, since Spark's count of matches makes a string
+    of each."""
+    return F.arrow_udf(count_words, "long")(F.coalesce(text, F.lit("")))
 
 
 def _of_source(rows: DataFrame, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -202,7 +223,7 @@ def counts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
 
 
 def _sizes(df: DataFrame) -> DataFrame:
-    return write_table(df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")), "sizes")
+    return write_table(small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")), "sizes")
 
 
 def plan_mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 42) -> DataFrame:
@@ -217,6 +238,6 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, s
     table = table.select(F.col("s").alias(key), F.struct("c", "phases", "last_rank", "last_size").alias(own))
     table = table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = df.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = out.join(table, out["source"].eqNullSafe(F.col(key)) & (F.col(salt) == F.col(other))).withColumn(size, _once(size_of(F.col("text"))))
+    out = out.join(table, out["source"].eqNullSafe(F.col(key)) & (F.col(salt) == F.col(other))).withColumn(size, size_of(F.col("text"))).withColumn(size, _once(F.col(size)))
     out = _with_copies(out, F.col("doc_id").cast("long"), size, own, times, cap, seed).where(F.col(times) > 0)
     return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)
